@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.token_file import token_digest
 
@@ -22,6 +28,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mix": op2_source_mix,
     "op10_token_ids": op10_token_ids,
 }
 

@@ -19,6 +19,7 @@ Texts of any length are split into blocks without holding more than a batch.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -177,58 +178,80 @@ def read_documents(source, size: int, group: int = 1 << 10) -> Iterator[tuple[in
 
 
 class WordEncoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library. The library's own splitting rule
-    makes words independent, so it is asked once a distinct word and the ids are then laid out by numpy."""
+    """Encodes texts with a byte-level BPE of the tokenizers library.
 
-    def __init__(self, path: str, remember: int = 1 << 20):
+    The library's splitting rule always starts a token at a space that a non-space follows, so texts
+    fall into independent pieces there. The library is asked once a distinct piece, with a special token
+    between pieces, which it cuts out before it does anything else; numpy then lays out the ids."""
+
+    PIECE = re.compile(r" (?=\S)")
+    #: Characters that Python and the library class differently as white space.
+    UNCLEAR = re.compile(r"[\x1c-\x1f]")
+
+    def __init__(self, path: str, remember: int = 1 << 19, chunk_chars: int = 1 << 20):
         import json
 
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in json.loads(self.library.to_str()).get("added_tokens", [])]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.remember = remember
+        self.special = [(t["content"], t["id"]) for t in json.loads(self.library.to_str()).get("added_tokens", []) if t["special"]]
+        self.remember, self.chunk_chars = remember, chunk_chars
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str | tuple[str], int] = {}  # a text's first piece has no space before it: a tuple
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids joined, ``end_id`` after each text, and how many each text has."""
+    def _learn(self, keys: list[str | tuple[str]]) -> None:
+        texts = [" " + k if isinstance(k, str) else k[0] for k in keys]
+        border, border_id = self.special[0]
+        ids = [np.array([], np.uint32)]
+        for at in range(0, len(texts), 512):
+            ids.append(np.array(self.library.encode(border.join(texts[at : at + 512]) + border, add_special_tokens=False).ids, np.uint32))
+        joined = np.concatenate(ids)
+        ends = np.flatnonzero(joined == border_id)
+        sizes = np.diff(ends, prepend=-1) - 1
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.flat = np.concatenate([self.flat, np.delete(joined, ends)])
+
+    def encode(self, texts: list[str], end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For some of the texts at a time: how many, all their ids joined with ``end_id`` after each
+        text, and how many ids each text has."""
+        at = 0
+        while at < len(texts):
+            upto, chars = at, 0
+            while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= self.chunk_chars):
+                chars += len(texts[upto])
+                upto += 1
+            yield upto - at, *self._encode(texts[at:upto], end_id)
+            at = upto
+
+    def _encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.remember:
             self._forget()
-        known, codes, counts = self.known, [], []
-        first = len(known)
-        code = known.setdefault
+        known, pieces, counts = self.known, [], []
         whole: dict[int, str] = {}
         for k, text in enumerate(texts):
-            if any(s in text for s in self.special):  # the library matches these before it splits
+            if not self.special or any(s in text for s, _ in self.special) or self.UNCLEAR.search(text):
                 whole[k] = text
                 counts.append(0)
                 continue
-            words = self.split(text)
-            codes += [code(w, len(known)) for w in words]
-            counts.append(len(words))
-        fresh = list(known)[first:] if len(known) > first else []
+            own = self.PIECE.split(text)
+            own[0] = (own[0],)
+            pieces += own
+            counts.append(len(own))
+        fresh = [p for p in set(pieces) if p not in known]
         if fresh:
-            ids = [e.ids for e in self.library.encode_batch(fresh, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for word in ids for i in word), np.uint32, int(sizes.sum()))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.lengths = np.concatenate([self.lengths, sizes])
-            self.flat = np.concatenate([self.flat, flat])
-        codes_at = np.asarray(codes, np.int64)
-        sizes = self.lengths[codes_at]
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            self._learn(fresh)
+        codes = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        sizes = self.lengths[codes]
         ends = np.cumsum(sizes)
-        laid = self.flat[np.repeat(self.starts[codes_at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        word_ends = np.cumsum(np.asarray(counts, np.int64))
-        text_ends = np.concatenate([[0], ends])[word_ends]
+        laid = self.flat[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        text_ends = np.concatenate([[0], ends])[np.cumsum(np.asarray(counts, np.int64))]
         out, lengths, before = [], [], 0
         stop = np.array([end_id], np.uint32)
         for k, upto in enumerate(text_ends.tolist()):
@@ -236,12 +259,18 @@ class WordEncoder:
             out += [ids, stop]
             lengths.append(len(ids) + 1)
             before = upto
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.asarray(lengths, np.int64)
+        return np.concatenate(out), np.asarray(lengths, np.int64)
+
+
+#: A Python worker serves many tasks; what it has learned of words stays with it.
+ENCODERS: dict[str, WordEncoder] = {}
 
 
-def byte_bpe(path: str, end_id: int) -> Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]:
+def byte_bpe(path: str, end_id: int) -> Callable[[], Callable]:
     def make():
-        encoder = WordEncoder(path)
+        if path not in ENCODERS:
+            ENCODERS[path] = WordEncoder(path)
+        encoder = ENCODERS[path]
         return lambda texts: encoder.encode(texts, end_id)
 
     return make
@@ -270,8 +299,10 @@ def write_token_files(docs: DataFrame, make_encoder: Callable, folder: str, perc
                     continue
                 if writer is None:
                     encode, writer = make_encoder(), IdWriter(sink, percentile)
-                ids, lengths = encode(batch["text"].fillna("").tolist())
-                writer.add(batch["doc_id"].tolist(), ids, lengths)
+                at, doc_ids = 0, batch["doc_id"].tolist()
+                for n_texts, ids, lengths in encode(batch["text"].fillna("").tolist()):
+                    writer.add(doc_ids[at : at + n_texts], ids, lengths)
+                    at += n_texts
             size = writer.close() if writer else 0
         if writer is None:
             fs.delete_file(f"{path}/.{name}")
