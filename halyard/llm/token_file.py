@@ -194,6 +194,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # it only ever sees a piece once
         self.special = [(t["content"], t["id"]) for t in json.loads(self.library.to_str()).get("added_tokens", []) if t["special"]]
         self.remember, self.chunk_chars = remember, chunk_chars
         self._forget()
@@ -209,7 +211,7 @@ class WordEncoder:
         border, border_id = self.special[0]
         ids = [np.array([], np.uint32)]
         for at in range(0, len(texts), 512):
-            ids.append(np.array(self.library.encode(border.join(texts[at : at + 512]) + border, add_special_tokens=False).ids, np.uint32))
+            ids.append(np.array(self.library.encode_batch_fast([border.join(texts[at : at + 512]) + border], add_special_tokens=False)[0].ids, np.uint32))
         joined = np.concatenate(ids)
         ends = np.flatnonzero(joined == border_id)
         sizes = np.diff(ends, prepend=-1) - 1
