@@ -21,6 +21,12 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.toxicity import judge_toxicity
+
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.url_filter import judge_urls
 
@@ -35,6 +41,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op6_toxicity": op6_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_token_ids": op10_token_ids,
 }
