@@ -180,15 +180,15 @@ def read_documents(source, size: int, group: int = 1 << 10) -> Iterator[tuple[in
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
-    The library's splitting rule always starts a token at a space that a non-space follows, so texts
-    fall into independent pieces there. The library is asked once a distinct piece, with a special token
-    between pieces, which it cuts out before it does anything else; numpy then lays out the ids."""
+    The library's splitting rule always starts a token at a space that a non-space follows and at a run of
+    line ends, so texts fall into independent pieces there. Arrow cuts and numbers the pieces, the library
+    is asked once a distinct piece, and numpy lays out the ids. Texts in which a space stands before
+    white space or at the end, or that hold the marks used here, go to the library whole."""
 
-    PIECE = re.compile(r" (?=\S)")
-    #: Characters that Python and the library class differently as white space.
-    UNCLEAR = re.compile(r"[\x1c-\x1f]")
+    FIRST = "\x01"  # stands before a text's first piece, which has no space before it
+    WHOLE = r" \s|[ \x01\x1c-\x1f]$|[\x01\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-    def __init__(self, path: str, remember: int = 1 << 19, chunk_chars: int = 1 << 20):
+    def __init__(self, path: str, remember: int = 1 << 20, chunk_chars: int = 1 << 22):
         import json
 
         from tokenizers import Tokenizer
@@ -196,28 +196,38 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         if hasattr(self.library.model, "_resize_cache"):
             self.library.model._resize_cache(0)  # it only ever sees a piece once
-        self.special = [(t["content"], t["id"]) for t in json.loads(self.library.to_str()).get("added_tokens", []) if t["special"]]
+        added = [t["content"] for t in json.loads(self.library.to_str()).get("added_tokens", [])]
+        self.whole = "|".join([self.WHOLE, *map(re.escape, added)])
+        vocabulary = self.library.get_vocab()
+        self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.after_space[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.remember, self.chunk_chars = remember, chunk_chars
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str | tuple[str], int] = {}  # a text's first piece has no space before it: a tuple
+        self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
-    def _learn(self, keys: list[str | tuple[str]]) -> None:
-        texts = [" " + k if isinstance(k, str) else k[0] for k in keys]
-        border, border_id = self.special[0]
-        ids = [np.array([], np.uint32)]
-        for at in range(0, len(texts), 512):
-            ids.append(np.array(self.library.encode_batch_fast([border.join(texts[at : at + 512]) + border], add_special_tokens=False)[0].ids, np.uint32))
-        joined = np.concatenate(ids)
-        ends = np.flatnonzero(joined == border_id)
-        sizes = np.diff(ends, prepend=-1) - 1
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces after a space are joined, 512 at a time: ids that start with a space begin a piece."""
+        spaced = [p for p in pieces if p[:1] not in ("\n", self.FIRST)]
+        other = [p for p in pieces if p[:1] in ("\n", self.FIRST)]
+        parts = [self._ids(" " + " ".join(spaced[at : at + 512])) for at in range(0, len(spaced), 512)]
+        joined = np.concatenate([np.zeros(0, np.uint32), *parts])
+        sizes = np.diff(np.append(np.flatnonzero(self.after_space[joined]), len(joined)))
+        rest = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([p.removeprefix(self.FIRST) for p in other], add_special_tokens=False)]
+        sizes = np.concatenate([sizes, np.fromiter(map(len, rest), np.int64, len(rest))]).astype(np.int64)
+        if len(sizes) != len(pieces):
+            raise ValueError("the tokenizer's splitting rule is not the byte-level one")
+        self.known.update(zip([*spaced, *other], range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.lengths = np.concatenate([self.lengths, sizes])
-        self.flat = np.concatenate([self.flat, np.delete(joined, ends)])
+        self.flat = np.concatenate([self.flat, joined, *rest])
 
     def encode(self, texts: list[str], end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For some of the texts at a time: how many, all their ids joined with ``end_id`` after each
@@ -232,32 +242,32 @@ class WordEncoder:
             at = upto
 
     def _encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.known) > self.remember:
             self._forget()
-        known, pieces, counts = self.known, [], []
-        whole: dict[int, str] = {}
-        for k, text in enumerate(texts):
-            if not self.special or any(s in text for s, _ in self.special) or self.UNCLEAR.search(text):
-                whole[k] = text
-                counts.append(0)
-                continue
-            own = self.PIECE.split(text)
-            own[0] = (own[0],)
-            pieces += own
-            counts.append(len(own))
-        fresh = [p for p in set(pieces) if p not in known]
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
+        first = pa.scalar(self.FIRST, pa.large_string())
+        cut = pc.replace_substring_regex(pc.binary_join_element_wise(first, column.filter(pa.array(~odd)), pa.scalar("", pa.large_string())), r"(\n+)", r" \1")
+        lists = pc.split_pattern(cut, " ")
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        fresh = [p for p in distinct if p not in self.known]
         if fresh:
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             self._learn(fresh)
-        codes = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        codes = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.lengths[codes]
         ends = np.cumsum(sizes)
         laid = self.flat[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        text_ends = np.concatenate([[0], ends])[np.cumsum(np.asarray(counts, np.int64))]
+        text_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
         out, lengths, before = [], [], 0
         stop = np.array([end_id], np.uint32)
         for k, upto in enumerate(text_ends.tolist()):
-            ids = np.array(self.library.encode(whole[k], add_special_tokens=False).ids, np.uint32) if k in whole else laid[before:upto]
+            ids = self._ids(texts[k]) if odd[k] else laid[before:upto]
             out += [ids, stop]
             lengths.append(len(ids) + 1)
             before = upto
