@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.mixing import mix
 
@@ -40,6 +46,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_source_mix": op2_source_mix,
     "op6_toxicity": op6_toxicity,
     "op9_url_filter": op9_url_filter,
