@@ -27,6 +27,12 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.suffix_dedup import repeat_digest
+
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.toxicity import judge_toxicity
 
@@ -48,6 +54,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_source_mix": op2_source_mix,
+    "op3_repeated_strings": op3_repeated_strings,
     "op6_toxicity": op6_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_token_ids": op10_token_ids,
