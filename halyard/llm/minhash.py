@@ -206,11 +206,8 @@ def similarities(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The distinct pairs (a, b) of text keys whose texts are at least so similar."""
     pairs = pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    own = stored(texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "pair-texts")
-    with_a = pairs.join(own.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(own.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     return stored(with_b.mapInPandas(similarities, "a binary, b binary, similarity double").filter(F.col("similarity") >= least), "links")
 
 
@@ -227,7 +224,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int
     spread = nodes.select("key", F.posexplode("bands").alias("band", "value"))
     full = spread.groupBy("band", "value").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
     members = stored(spread.join(full, ["band", "value"]), "buckets")
-    texts = keyed.select("key", "text")
+    # the texts of all members, fetched once: a shuffle of the texts at any size, so no broadcast here
+    wanted = members.select("key").distinct().hint("merge")
+    texts = stored(keyed.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "member-texts")
     links = verified(members.select(F.col("key").alias("a"), F.col("leader").alias("b")), texts, least)
     classes = components(links)
 
@@ -240,10 +239,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int
     across = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.component") < F.col("y.component")))
     # larger ones are cut by a second band, where similar texts meet again, and led there by several members
     many = left.filter(F.col("rest") > SMALL_BUCKET).join(nodes, "key").select("key", "component", "band", "value", F.posexplode("bands").alias("band2", "value2")).filter(F.col("band") != F.col("band2"))
-    leads = [F.min_by("key", F.xxhash64("key", F.lit(s))).alias(f"lead{s}") for s in range(4)]
+    leads = [F.min_by("key", F.xxhash64("key", F.lit(s))).alias(f"lead{s}") for s in range(2)]
     cut = ["band", "value", "band2", "value2"]
-    led = many.groupBy(*cut).agg(F.count(F.lit(1)).alias("n"), *leads).filter(F.col("n") > 1)
-    more = many.join(led, cut).select("key", F.explode(F.array(*[f"lead{s}" for s in range(4)])).alias("b"))
+    led = many.groupBy(*cut).agg(F.min("component").alias("low"), F.max("component").alias("high"), *leads).filter(F.col("low") != F.col("high"))
+    more = many.join(led, cut).select("key", F.explode(F.array(*[f"lead{s}" for s in range(2)])).alias("b"))
     pairs = across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).union(more.select(F.col("key").alias("a"), "b"))
     links = links.select("a", "b").union(verified(pairs, texts, least).select("a", "b"))
     classes = components(links)
