@@ -39,6 +39,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.pieces import piece_digest
+
+    return piece_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.url_filter import judge_urls
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_repeated_strings": op3_repeated_strings,
     "op6_toxicity": op6_toxicity,
+    "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_token_ids": op10_token_ids,
 }
