@@ -33,6 +33,12 @@ def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.simhash import fingerprint_digest
+
+    return fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.toxicity import judge_toxicity
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_source_mix": op2_source_mix,
     "op3_repeated_strings": op3_repeated_strings,
+    "op4_fingerprints": op4_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
