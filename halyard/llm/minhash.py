@@ -53,7 +53,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     digest = xxhash.xxh3_64_intdigest
-    own = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), U64, len(coded.dictionary))
+    own = np.fromiter((digest(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)), U64, len(coded.dictionary))
     hashes = own[coded.indices.to_numpy(zero_copy_only=False)]
     empty = pc.equal(folded, "").to_numpy(zero_copy_only=False)
     if empty.any():  # splitting gives one empty word

@@ -185,7 +185,7 @@ class WordEncoder:
     is asked once a distinct piece, and numpy lays out the ids. Texts in which a space stands before
     white space or at the end, or that hold the marks used here, go to the library whole."""
 
-    FIRST = "\x01"  # stands before a text's first piece, which has no space before it
+    FIRST = "\x01"  # stands before a piece that no space comes before: a text's first, a line's first, a comma
     WHOLE = r" \s|[ \x01\x1c-\x1f]$|[\x01\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
     def __init__(self, path: str, remember: int = 1 << 20, chunk_chars: int = 1 << 22):
@@ -250,12 +250,15 @@ class WordEncoder:
         column = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
         first = pa.scalar(self.FIRST, pa.large_string())
-        cut = pc.replace_substring_regex(pc.binary_join_element_wise(first, column.filter(pa.array(~odd)), pa.scalar("", pa.large_string())), r"(\n+)", r" \1")
+        cut = pc.binary_join_element_wise(first, column.filter(pa.array(~odd)), pa.scalar("", pa.large_string()))
+        # a comma or point between a letter and white space is a token; so is a run of line ends before a line
+        cut = pc.replace_substring_regex(cut, r"([A-Za-z])([,.])([ \n])", rf"\1 {self.FIRST}\2\3")
+        cut = pc.replace_substring_regex(cut, r"(\n+)([^\s])", rf" \1 {self.FIRST}\2")
         lists = pc.split_pattern(cut, " ")
         counts = np.zeros(len(texts), np.int64)
         counts[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         fresh = [p for p in distinct if p not in self.known]
         if fresh:
             self._learn(fresh)
