@@ -38,6 +38,8 @@ U64 = np.uint64
 #: More different snippets than this under one anchor are filed again by whole windows.
 MOST_KINDS = 256
 SHARDS = 8
+#: Snippet bytes that are indexed together; each takes some 200 bytes of memory meanwhile.
+INDEXED_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -238,7 +240,7 @@ def _split_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _merge_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by anchor: whole anchors are indexed together, a few megabytes at a time."""
+    """Rows sorted by anchor: whole anchors are indexed together, about a megabyte at a time."""
     held: list[pd.DataFrame] = []
     size = 0
 
@@ -251,11 +253,11 @@ def _merge_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         at = 0
         while at < len(batch):
-            piece = batch.iloc[at : at + 4096]
+            piece = batch.iloc[at : at + 1024]
             at += len(piece)
             held.append(piece)
             size += int(piece["data"].map(len).sum())
-            if size > 1 << 22:
+            if size > INDEXED_BYTES:
                 rows = pd.concat(held)
                 last = rows["anchor"].to_numpy() == rows["anchor"].iloc[-1]
                 if not last.all():
