@@ -39,6 +39,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.toxicity import judge_toxicity
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_repeated_strings": op3_repeated_strings,
     "op4_fingerprints": op4_fingerprints,
+    "op5_embedding_links": op5_embedding_links,
     "op6_toxicity": op6_toxicity,
     "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
