@@ -51,6 +51,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.warc import archive_digest
+
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.pieces import piece_digest
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_embedding_links": op5_embedding_links,
     "op6_toxicity": op6_toxicity,
+    "op7_archives": op7_archives,
     "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_token_ids": op10_token_ids,
