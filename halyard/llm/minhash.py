@@ -239,10 +239,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int
     across = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.component") < F.col("y.component")))
     # larger ones are cut by a second band, where similar texts meet again, and led there by several members
     many = left.filter(F.col("rest") > SMALL_BUCKET).join(nodes, "key").select("key", "component", "band", "value", F.posexplode("bands").alias("band2", "value2")).filter(F.col("band") != F.col("band2"))
-    leads = [F.min_by("key", F.xxhash64("key", F.lit(s))).alias(f"lead{s}") for s in range(2)]
+    leads = [F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(s))).alias(f"lead{s}") for s in range(2)]
     cut = ["band", "value", "band2", "value2"]
     led = many.groupBy(*cut).agg(F.min("component").alias("low"), F.max("component").alias("high"), *leads).filter(F.col("low") != F.col("high"))
-    more = many.join(led, cut).select("key", F.explode(F.array(*[f"lead{s}" for s in range(2)])).alias("b"))
+    foreign = F.filter(F.array_distinct(F.array(*[f"lead{s}" for s in range(2)])), lambda lead: lead["component"] != F.col("component"))
+    more = many.join(led.drop("low", "high"), cut).select("key", F.explode(foreign).alias("lead")).select("key", F.col("lead.key").alias("b"))
     pairs = across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).union(more.select(F.col("key").alias("a"), "b"))
     links = links.select("a", "b").union(verified(pairs, texts, least).select("a", "b"))
     classes = components(links)
