@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,12 +58,25 @@ def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    # shuffle files go when the driver's garbage is collected; without this, those of all steps pile up
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's garbage is collected; without this, those of all steps pile up."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``stored`` wrote and nothing reads any more."""
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        if "/halyard-" in name:
+            remove_path(df.sparkSession, name)
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI, for executors that write or read files themselves."""
     from pyarrow import fs

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.minhash import chunks, mixed
-from halyard.llm.shared import partitions, stored
+from halyard.llm.shared import discard, partitions, stored
 
 LENGTH, GRAM, STEP = 200, 100, 50
 U64 = np.uint64
@@ -296,6 +296,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     same = F.col("k.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("k.text_key") == F.col("h.text_key"))
     cut = k.join(h, same).select("k.doc_id", "k.text_key", "k.data", "h.runs").mapInPandas(_cut_snippets, "doc_id long, text_key binary, begin int, anchor long, snippet binary, data binary")
     cut = stored(cut, "snippets")
+    discard(runs)
 
     kinds = cut.groupBy("anchor", "snippet").agg(F.count(F.lit(1)).alias("times"), F.first("data", True).alias("data"))
     kinds = stored(kinds, "distinct-snippets")
