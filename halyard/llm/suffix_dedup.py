@@ -35,8 +35,8 @@ from halyard.llm.shared import discard, partitions, stored
 
 LENGTH, GRAM, STEP = 200, 100, 50
 U64 = np.uint64
-#: More different snippets than this under one anchor are filed again by whole windows.
-MOST_KINDS = 256
+#: More different snippets than this under one anchor, about a megabyte, are filed again by whole windows.
+MOST_KINDS = 4096
 SHARDS = 8
 #: Snippet bytes that are indexed together; each takes some 200 bytes of memory meanwhile.
 INDEXED_BYTES = 1 << 20
@@ -308,17 +308,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     windows = stored(kinds.join(hot, "anchor", "left_semi").select("snippet", "data", "times").mapInPandas(_split_windows, "outer binary, offset int, snippet binary, data binary, times long"), "windows")
     each = windows.groupBy("snippet").agg(F.sum("times").alias("times"), F.first("data").alias("data")).withColumn("anchor", F.xxhash64("snippet"))
     again = each.repartition(n, "anchor").sortWithinPartitions("anchor").mapInPandas(_merge_groups, found_kind)
-    from_windows = windows.join(again.select("snippet"), "snippet").select(F.col("outer").alias("snippet"), F.array("offset").alias("starts"), F.array(F.lit(LENGTH)).alias("sizes"))
+    # the windows found of a snippet, as one row again
+    from_windows = windows.join(again.select("snippet"), "snippet").groupBy(F.col("outer").alias("snippet")).agg(F.collect_list("offset").alias("starts"))
+    from_windows = from_windows.withColumn("sizes", F.array_repeat(F.lit(LENGTH), F.size("starts")))
 
-    covers = found.unionByName(from_windows).select("snippet", F.arrays_zip("starts", "sizes").alias("r"))
-    spans = cut.select("doc_id", "text_key", "begin", "snippet").join(covers, "snippet").select("doc_id", "text_key", "begin", F.explode("r").alias("r"))
-    spans = spans.select("doc_id", "text_key", (F.col("begin") + F.col("r.starts")).alias("begin"), (F.col("begin") + F.col("r.starts") + F.col("r.sizes")).alias("end"))
-    grouped = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    covers = found.unionByName(from_windows)
+    spans = cut.select("doc_id", "text_key", "begin", "snippet").join(covers, "snippet")
+    grouped = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "starts", "sizes")).alias("parts"))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["spans"] = [[{"begin": a, "end": b} for a, b in merged_spans((s["begin"], s["end"]) for s in row)] for row in batch["spans"]]
-            yield batch
+            spans = []
+            for parts in batch["parts"]:
+                runs = ((p["begin"] + a, p["begin"] + a + n) for p in parts for a, n in zip(p["starts"], p["sizes"], strict=True))
+                spans.append([{"begin": int(a), "end": int(b)} for a, b in merged_spans(runs)])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "spans": spans})
 
     return stored(grouped.mapInPandas(settle, "doc_id long, text_key binary, spans array<struct<begin:int,end:int>>"), "spans")
 
