@@ -19,6 +19,7 @@ give no rows; other columns are not touched.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -212,7 +213,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int = 16, seed: int = 1) -> DataFrame:
-    """doc_id, text_key, class_id of ``docs(doc_id, text)``: the class id is the smallest doc_id in it.
+    """doc_id, text_key, class_id, class_key of ``docs(doc_id, text)``: the class id is the smallest doc_id in it,
+    the class key its own even where ids repeat or are null.
 
     Two texts of similarity 0.8 are proposed with a probability of 0.9998 at the default bands."""
     # texts without a word are one node
@@ -250,19 +252,18 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int
 
     of_text = keyed.select("doc_id", "key").alias("d").join(classes.alias("c"), F.col("d.key") == F.col("c.node"), "left").select("d.doc_id", "d.key", F.coalesce("c.component", "d.key").alias("component"))
     first = of_text.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return of_text.join(first, "component").select("doc_id", F.hex("key").alias("text_key"), "class_id")
+    return of_text.join(first, "component").select("doc_id", F.hex("key").alias("text_key"), "class_id", F.hex("component").alias("class_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """One row of each class stays, that with the smallest doc_id, with all its columns. Among rows of
-    that id, equal texts first, one stays."""
+    that id, the smallest text key first, one stays."""
     classes = near_duplicates(docs, **parameters)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_key").alias("text_key"))
-    text = F.coalesce("text", F.lit(""))
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("text_key").alias("text_key"), F.first("class_id").alias("class_id"))
+    text = F.coalesce(F.col("d.text"), F.lit(""))
     text = F.when(text.rlike(r"[\p{L}\p{N}]"), text).otherwise(F.lit(""))
-    names = docs.columns
-    marked = docs.withColumn("__key", F.upper(F.md5(text)))
-    k = kept.alias("k")
-    joined = marked.alias("d").join(k, F.col("d.doc_id").eqNullSafe(F.col("k.class_id")) & (F.col("d.__key") == F.col("k.text_key")), "left_semi")
-    repeats = docs.groupBy("doc_id").count().filter(F.col("count") > 1).limit(1).count()
-    return (joined.dropDuplicates(["doc_id", "__key"]) if repeats else joined).select(*names)
+    names, key = docs.columns, f"key_{uuid.uuid4().hex}"
+    joined = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.class_id")) & (F.upper(F.md5(text)) == F.col("k.text_key")), "left_semi")
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        joined = joined.withColumn(key, F.md5(text)).dropDuplicates(["doc_id", key])
+    return joined.select(*[F.col(f"`{c}`") for c in names])

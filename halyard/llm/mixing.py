@@ -12,10 +12,14 @@ Equal rows are separate documents. Other columns pass through untouched if the c
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halyard.llm.shared import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3  # no document and no source is taken more often than this
 
@@ -73,10 +77,11 @@ def sainte_lague(votes: np.ndarray, seats: int, limit: np.ndarray | None = None)
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, block_words: int = 64, shard_words: int = 1 << 24, most: int = MOST, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, shard, quota of ``docs(doc_id, text, source)``.
 
-    Only ids and sizes are shuffled. A hot source is cut into as many shards as its size asks for.
+    The texts are read once; only ids and sizes are shuffled. A hot source is cut into as many shards as its size asks for.
     The driver holds one row a (source, shard), so one for each source and each 16 million words."""
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("tie"))
+    sized = stored(sized, "sizes")
     per_source = source_targets(sized, weights, most, share).withColumn("n_shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long"))
     s, d = per_source.alias("s"), sized.alias("d")
     dealt = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.*", "s.source_size", "s.target", "s.n_shards")
@@ -130,4 +135,5 @@ def mix_corpus(docs: DataFrame, **parameters) -> DataFrame:
     copies = plan.groupBy("doc_id", F.col("source").alias("from_source")).agg((F.floor(F.avg(ratio)) + F.when(chance < F.avg(ratio) - F.floor(F.avg(ratio)), 1).otherwise(0)).cast("int").alias("copies"))
     d, c = docs.alias("d"), copies.alias("c")
     joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.from_source")))
-    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("c.copies")))).select("d.*")
+    extra = f"copy_{uuid.uuid4().hex}"
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(1), F.col("c.copies"))).alias(extra)).drop(extra)

@@ -328,9 +328,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    data = F.coalesce("text", F.lit("")).cast("binary")
-    d, s = docs.withColumn("__key", F.unhex(F.md5(data))).alias("d"), spans.alias("s")
-    return d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__key") == F.col("s.text_key")), "left")
+    key = F.unhex(F.md5(F.coalesce(F.col("d.text"), F.lit("")).cast("binary")))
+    return docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (key == F.col("s.text_key")), "left")
 
 
 def kept_bytes(data: bytes, spans) -> bytes:
