@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from halyard.llm.oracles import ORACLES
 from halyard.llm.shared import table
 
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -87,5 +90,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_token_ids": op10_token_ids,
 }
-
-ORACLES: dict[str, str] = {}
