@@ -93,6 +93,18 @@ def intersects(a: DataFrame, b: DataFrame) -> bool:
     return a.join(b, "id", "left_semi").limit(1).count() > 0
 
 
+def synced_rows(raw: DataFrame) -> DataFrame:
+    """Rows of a source (id, type, created, modified, width, height, seconds, title, mime_type) as asset columns: unknown dates
+    are 0, durations are milliseconds. There is no size: a sync must not touch it."""
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return raw.select("id", "type", whole("created").cast("long").alias("created_date"), whole("modified").cast("long").alias("modified_date"), whole("width").cast("int").alias("width"), whole("height").cast("int").alias("height"), (whole("seconds") * 1000).cast("long").alias("duration_ms"), "title", "mime_type")
+
+
+def scanned(source: DataFrame, start: int, end: int) -> DataFrame:
+    """Rows ``start`` to ``end`` (excluded) of a source, newest first."""
+    return source.orderBy(F.col("created_date").desc(), "id").offset(start).limit(max(end - start, 0))
+
+
 def as_assets(rows: DataFrame) -> DataFrame:
     """Rows of any columns as whole asset rows: types cast, absent columns at their defaults."""
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(ASSET_DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in ASSETS.fields])

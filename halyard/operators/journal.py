@@ -68,3 +68,14 @@ def restore(journal: DataFrame, restored: DataFrame) -> DataFrame:
 
 def with_days_remaining(journal: DataFrame, as_of: Column, days: int = RETENTION_DAYS) -> DataFrame:
     return journal.withColumn("days_remaining", days_remaining(F.col("deleted_at_ms"), as_of, days))
+
+
+def by_id(journal: DataFrame, id_: str) -> DataFrame:
+    return journal.filter(F.col("id") == id_)
+
+
+def items(journal: DataFrame, as_of: Column) -> DataFrame:
+    """What a list of the trash shows: a name, a time, a kind."""
+    name = F.coalesce(F.nullif("filename", F.lit("")), F.lit("IMG"))
+    when = F.when(F.col("deleted_at_ms") == 0, F.unix_millis(as_of)).otherwise(F.col("deleted_at_ms"))
+    return journal.select("id", name.alias("name"), when.alias("deleted_at_ms"), F.when(F.col("asset_type") == 2, "video").otherwise("image").alias("kind"))

@@ -92,5 +92,24 @@ def batch_outcome(items: DataFrame) -> DataFrame:
     return items.agg(F.count(F.lit(1)).alias("done"), n("saved").alias("saved"), n("skipped").alias("skipped"), F.when(n("saved") > 0, "completed").otherwise("failed").alias("outcome"))
 
 
+def processed(items: DataFrame, work, kind: str) -> DataFrame:
+    """Each item (id, data) through ``work(data) -> bytes | None``, a batch at a time: (id, status, result). Missing data are
+    skipped, errors are a failed item and do not stop the rest."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for id_, data in zip(batch["id"], batch["data"], strict=True):
+                try:
+                    out = None if data is None else work(bytes(data))
+                    rows.append((id_, "skipped" if out is None else "saved", out))
+                except Exception as e:  # one item's error is its result
+                    rows.append((id_, "failed", repr(e).encode()))
+            yield pd.DataFrame(rows, columns=["id", "status", "result"])
+
+    return items.select("id", "data").mapInPandas(run, f"id {kind}, status string, result binary")
+
+
 def status_rank(status: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, TASK_STATES)), status)

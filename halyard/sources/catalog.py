@@ -99,6 +99,22 @@ def backups(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("backup_path"), "content")
 
 
+class Flags:
+    """Named switches in a versioned table of their own."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.table = VersionedTable(spark, folder, StructType.fromDDL("name string, on boolean"))
+
+    def get(self, name: str) -> bool:
+        rows = self.table.read().filter(F.col("name") == name).collect()
+        return bool(rows and rows[0]["on"])
+
+    def put(self, name: str, on: bool) -> None:
+        known = self.table.read()
+        row = known.sparkSession.createDataFrame([(name, on)], known.schema)
+        self.table.write(known.filter(F.col("name") != name).unionByName(row))
+
+
 def first_digit(c: Column) -> Column:
     return F.substring(c, 1, 1)
 

@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+import halyard.scalar_queries  # noqa: F401  registers more queries
 from halyard.queries import ORACLES, QUERIES
 
 
