@@ -35,11 +35,11 @@ from halyard.llm.shared import discard, partitions, stored
 
 LENGTH, GRAM, STEP = 200, 100, 50
 U64 = np.uint64
-#: More different snippets than this under one anchor, about a megabyte, are filed again by whole windows.
-MOST_KINDS = 4096
+#: More different snippets than this under one anchor, half a megabyte, are filed again by whole windows.
+MOST_KINDS = 2048
 SHARDS = 8
-#: Snippet bytes that are indexed together; each takes some 200 bytes of memory meanwhile.
-INDEXED_BYTES = 1 << 20
+#: Snippet bytes that are indexed together; each takes some 100 bytes of memory meanwhile.
+INDEXED_BYTES = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -121,8 +121,8 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks from 1."""
     order = np.argsort(keys)
     ordered = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]), dtype=np.int32)
     return out
 
 
@@ -134,36 +134,35 @@ class ShardTransform:
         """symbol: rank at each place, 0 at ends; live: bytes left from each place; place: offset in its snippet."""
         two = self._pairs(symbol, live, STEP)
         four = self._pairs(two, live, 2 * STEP)
-        self.suffixes = np.argsort(four, kind="stable")
-        before = np.zeros(len(symbol), np.int64)
+        self.suffixes = stable_order(four)
+        before = np.zeros(len(symbol), np.int32)
         before[STEP:] = symbol[:-STEP]
         self.transform = np.where(place >= STEP, before, 0)[self.suffixes]
-        self.suffixes = self.suffixes + first
+        self.suffixes = (self.suffixes + first).astype(np.int32)
 
     @staticmethod
     def _pairs(key: np.ndarray, live: np.ndarray, step: int) -> np.ndarray:
-        after = np.zeros(len(key), np.int64)
+        after = np.zeros(len(key), np.int32)
         after[:-step] = key[step:] if step < len(key) else 0
-        return ranks(key * (int(key.max(initial=0)) + 1) + np.where(live >= step, after, 0))
+        return ranks(key.astype(np.int64) * (int(key.max(initial=0)) + 1) + np.where(live >= step, after, 0))
 
 
 def merge_transforms(shards: list[ShardTransform], depth: int = LENGTH // STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffix, bucket, common prefix with the one before, in symbols) of the merged order, sorted by ``depth`` symbols."""
     turn = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.suffixes) for s in shards])
     transform = np.concatenate([s.transform for s in shards])
-    bucket = np.zeros(len(turn), np.int64)
-    prefix = np.full(len(turn), depth, np.int64)
-    row = np.arange(len(turn))
+    bucket = np.zeros(len(turn), np.int32)
+    prefix = np.full(len(turn), depth, np.uint8)
+    row = np.arange(len(turn), dtype=np.int32)
     for passed in range(depth):
         symbol = transform[row]
         moved = stable_order(symbol)
         turn, symbol, bucket = turn[moved], symbol[moved], bucket[moved]
         # ends of strings (symbol 0) are all alike; a border once drawn stays, later passes refine between borders
         split = np.append(True, (symbol[1:] != symbol[:-1]) | ((bucket[1:] != bucket[:-1]) & (symbol[1:] > 0)))
-        bucket = np.cumsum(split) - 1
-        prefix = np.where(split, np.minimum(prefix, passed), prefix)
-        row = np.empty(len(turn), np.int64)
-        row[np.argsort(turn, kind="stable")] = np.arange(len(turn))  # each shard's rows keep their order
+        bucket = np.cumsum(split, dtype=np.int32) - 1
+        np.minimum(prefix, passed, out=prefix, where=split)
+        row[np.argsort(turn, kind="stable")] = np.arange(len(turn), dtype=np.int32)  # each shard's rows keep their order
     return np.concatenate([s.suffixes for s in shards])[row], bucket, prefix
 
 
@@ -171,14 +170,14 @@ def repeated_windows(snippets: list[bytes], counts: np.ndarray, shards: int = SH
     """(snippet number, offset) of each window that occurs twice or more, snippets occurring ``counts`` times."""
     lengths = np.fromiter(map(len, snippets), np.int64, len(snippets))
     sizes = lengths + 1
-    who = np.repeat(np.arange(len(snippets)), sizes)
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    live = lengths[who] - place
+    who = np.repeat(np.arange(len(snippets), dtype=np.int32), sizes)
+    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    live = lengths.astype(np.int32)[who] - place
     data = np.frombuffer(b"\x00".join(snippets) + b"\x00", np.uint8)
     hashes = np.zeros(len(place), U64)
     hashes[: max(0, len(data) - STEP + 1)] = gram_hashes(data, STEP)
     real = live >= STEP
-    symbol = np.zeros(len(place), np.int64)
+    symbol = np.zeros(len(place), np.int32)
     symbol[real] = ranks(hashes[real])
     cuts = np.searchsorted(np.cumsum(sizes), np.linspace(0, int(sizes.sum()), shards + 1)[1:-1])
     edges = np.concatenate([[0], np.append(0, np.cumsum(sizes))[cuts], [len(place)]]).astype(np.int64)
@@ -240,7 +239,7 @@ def _split_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _merge_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by anchor: whole anchors are indexed together, about a megabyte at a time."""
+    """Rows sorted by anchor: whole anchors are indexed together, half a megabyte at a time."""
     held: list[pd.DataFrame] = []
     size = 0
 
@@ -283,18 +282,18 @@ def merged_spans(runs) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, spans of the documents that hold repeats: array of (begin, end) bytes, disjoint
-    and sorted. ``text_key`` is the MD5 of the text; rows equal in both share their spans."""
+    and sorted. ``text_key`` is a hash of the text that tells rows of one id apart; rows equal in both share their spans."""
     spark = docs.sparkSession
     data = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.select("doc_id", F.unhex(F.md5(data)).alias("text_key"), data.alias("data"))
-    kind = "doc_id long, text_key binary, anchor array<long>, begin array<int>, windows array<int>, places array<int>"
+    keyed = docs.select("doc_id", F.xxhash64(data).alias("text_key"), data.alias("data"))
+    kind = "doc_id long, text_key long, anchor array<long>, begin array<int>, windows array<int>, places array<int>"
     runs = stored(keyed.filter(F.octet_length("data") >= LENGTH).mapInPandas(_find_runs, kind), "anchored-runs")
     one = runs.select("doc_id", "text_key", F.explode(F.arrays_zip("anchor", "begin", "windows", "places")).alias("r")).select("doc_id", "text_key", "r.*")
     common = one.groupBy("anchor").agg(F.sum("places").alias("times")).filter(F.col("times") > 1).select("anchor")
     hits = one.join(common, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "windows", "anchor")).alias("runs"))
     k, h = keyed.alias("k"), hits.alias("h")
     same = F.col("k.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("k.text_key") == F.col("h.text_key"))
-    cut = k.join(h, same).select("k.doc_id", "k.text_key", "k.data", "h.runs").mapInPandas(_cut_snippets, "doc_id long, text_key binary, begin int, anchor long, snippet binary, data binary")
+    cut = k.join(h, same).select("k.doc_id", "k.text_key", "k.data", "h.runs").mapInPandas(_cut_snippets, "doc_id long, text_key long, begin int, anchor long, snippet binary, data binary")
     cut = stored(cut, "snippets")
     discard(runs)
 
@@ -324,11 +323,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 spans.append([{"begin": int(a), "end": int(b)} for a, b in merged_spans(runs)])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "spans": spans})
 
-    return stored(grouped.mapInPandas(settle, "doc_id long, text_key binary, spans array<struct<begin:int,end:int>>"), "spans")
+    return stored(grouped.mapInPandas(settle, "doc_id long, text_key long, spans array<struct<begin:int,end:int>>"), "spans")
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    key = F.unhex(F.md5(F.coalesce(F.col("d.text"), F.lit("")).cast("binary")))
+    key = F.xxhash64(F.coalesce(F.col("d.text"), F.lit("")).cast("binary"))
     return docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (key == F.col("s.text_key")), "left")
 
 

@@ -161,7 +161,7 @@ def repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("most", [4096, 2])
+@pytest.mark.parametrize("most", [2048, 2])
 def test_repeats_match_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST_KINDS", most)
     r = random.Random(3)
