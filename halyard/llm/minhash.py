@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int
     # larger ones are cut by a second band, where similar texts meet again, and led there by several members; an
     # earlier band is left out: its bucket is large too and cut by this one, or small and compared above
     many = left.filter(F.col("rest") > SMALL_BUCKET).join(nodes, "key").select("key", "component", "band", "value", F.posexplode("bands").alias("band2", "value2")).filter(F.col("band") < F.col("band2"))
-    leads = [F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(s))).alias(f"lead{s}") for s in range(2)]
+    leads = [F.min_by(F.struct("key", "component"), F.xxhash64("key", "band", "band2", F.lit(s))).alias(f"lead{s}") for s in range(2)]
     cut = ["band", "value", "band2", "value2"]
     led = many.groupBy(*cut).agg(F.min("component").alias("low"), F.max("component").alias("high"), *leads).filter(F.col("low") != F.col("high"))
     foreign = F.filter(F.array_distinct(F.array(*[f"lead{s}" for s in range(2)])), lambda lead: lead["component"] != F.col("component"))
