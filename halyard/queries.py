@@ -14,6 +14,7 @@ from halyard.functions import binary, numbers, text
 from halyard.operators import catalog_index, estimate, journal, tasks
 from halyard.plans import view
 from halyard.plans.view import View, planned
+from halyard.scratch import scratch_root
 from halyard.sources.catalog import assets_of, tasks_of, trash_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,11 +461,9 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
     """What a stream has given once it has read all there is, from a table in the shared folder."""
-    import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="halyard-")
-    where = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    where = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/out/batch={n}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
