@@ -13,7 +13,8 @@ each block starts, and the id at which each document starts.
     index      u64 byte offset of each block
     footer     u64 ids, u64 documents, u64 blocks, u64 offset of documents, u64 offset of index, magic
 
-Nulls are empty texts, an empty text holds only the end id, equal doc_ids keep one entry a row.
+Nulls are empty texts, an empty text holds only the end id, equal doc_ids keep one entry a row. A null doc_id is
+written as the smallest number and read as null.
 Texts of any length are split into blocks without holding more than a batch.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from halyard.llm.shared import open_fs, partitions, scratch_path, stored
 
 MAGIC = b"PFORids1"
+NO_ID = -(1 << 63)  # stands for a null doc_id, which comes first
 LANES = STEPS = 32
 BLOCK = LANES * STEPS
 FOOTER = struct.Struct("<QQQQQ8s")
@@ -325,7 +327,8 @@ def write_token_files(docs: DataFrame, make_encoder: Callable, folder: str, perc
         fs.move(f"{path}/.{name}", f"{path}/{name}")
         yield pd.DataFrame({"file_no": [context.partitionId()], "path": [f"{folder}/{name}"], "n_ids": [writer.n_ids], "n_docs": [len(writer.doc_ids)], "n_bytes": [size]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc()).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    numbered = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    ordered = numbered.repartitionByRange(n, F.col("doc_id").asc()).sortWithinPartitions("doc_id", F.xxhash64("text"))
     manifest = stored(ordered.mapInPandas(write, "file_no int, path string, n_ids long, n_docs long, n_bytes long"), "token-manifest")
     # one row a file, so this window holds as many rows as there are files
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -350,7 +353,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = partitions(manifest.sparkSession)
-    return manifest.repartition(n, "file_no").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = manifest.repartition(n, "file_no").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.shared import stored
@@ -214,23 +214,21 @@ def around(folded: str, found: dict[int, float]) -> list[str]:
     return out
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs(doc_id, text)`` as doc_id, score, predicted; nothing is shuffled."""
-    shipped = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the number of entries
+def scorer(spark: SparkSession, lexicon: Lexicon):
+    """A column function from texts to scores; the lexicon goes to the tasks, a few thousand entries at most."""
+    shipped = spark.sparkContext.broadcast(lexicon)
+    return F.pandas_udf(lambda texts: pd.Series([shipped.value.score(t) for t in texts], dtype="float64"), "double")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = [shipped.value.score(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": values, "predicted": [int(v >= 0.5) for v in values]})
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double, predicted int")
+def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc_id, score, predicted of ``docs(doc_id, text)``; nothing is shuffled."""
+    scored = docs.select("doc_id", scorer(docs.sparkSession, lexicon)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, most: float = 0.5) -> DataFrame:
     """The rows whose score is below ``most``, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast(lexicon)
-    scored = F.pandas_udf(lambda texts: pd.Series([shipped.value.score(t) for t in texts], dtype="float64"), "double")
-    return docs.filter(scored(F.col("text")) < most)
+    return docs.filter(scorer(docs.sparkSession, lexicon)(F.col("text")) < most)
 
 
 def judge_toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:

@@ -426,7 +426,13 @@ def test_blocks(top):
 def test_odd_tables(spark):
     df = odd(spark)
     n = df.count()
-    for out in (minhash.near_duplicates(df), mixing.mix(df), suffix_dedup.repeat_digest(df), simhash.fingerprint_digest(df)):
-        assert out.count() == n
-    for f in (minhash.near_duplicates, mixing.mix, suffix_dedup.repeat_digest, simhash.fingerprint_digest):
-        assert f(df.limit(0)).count() == 0
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    labels = spark.createDataFrame([(k, k % 2, 1 if k == 6 else 0) for k in range(10)] + [(None, None, None), (1, None, None)], "doc_id long, quality int, toxic int")
+    ways = (minhash.near_duplicates, mixing.mix, suffix_dedup.repeat_digest, simhash.fingerprint_digest, lambda d: toxicity.judge_toxicity(d, labels), lambda d: pieces.piece_digest(d, path), lambda d: token_file.token_digest(d, queries.tokenizer_path("byte_bpe_50k.json")))
+    for f in ways:
+        out = f(df)
+        assert out.count() == n and out.filter("doc_id is null").count() == 2 and f(df.limit(0)).count() == 0
+    pages = spark.createDataFrame([(None, None, None, "x"), (1, "http://a.net/", "h", None), (1, "http://a.net/", "h", None)], "page_id long, url string, html string, host string")
+    for f in (url_filter.judge_urls, warc.archive_digest):
+        out = f(pages)
+        assert out.count() == 3 and out.filter("page_id is null").count() == 1 and f(pages.limit(0)).count() == 0
