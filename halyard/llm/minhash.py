@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.components import components
-from halyard.llm.shared import stored
+from halyard.llm.shared import stored, trim_worker
 
 SHINGLE = 5
 U64 = np.uint64
@@ -172,6 +172,7 @@ def banded(texts: DataFrame, k: int, bands: int, seed: int) -> DataFrame:
                 own = rows[part]
                 signed = signatures(*weighted_shingles(own), len(own), k, seed)
                 yield pd.DataFrame({"key": batch["key"].iloc[part].tolist(), "bands": list(band_values(signed, bands).view(np.int64))})
+        trim_worker()
 
     return texts.mapInPandas(sign, "key binary, bands array<long>")
 
@@ -202,6 +203,7 @@ def similarities(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 total = float(wx.sum() + wy.sum()) - both
                 likeness.append(both / total if total else 1.0)
             yield pd.DataFrame({"a": batch["a"].iloc[part].tolist(), "b": batch["b"].iloc[part].tolist(), "similarity": likeness})
+    trim_worker()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.minhash import chunks, mixed
-from halyard.llm.shared import discard, partitions, stored
+from halyard.llm.shared import discard, partitions, stored, trim_worker
 
 LENGTH, GRAM, STEP = 200, 100, 50
 U64 = np.uint64
@@ -205,6 +205,7 @@ def _find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bounds = np.searchsorted(found["text"], np.arange(part.stop - part.start + 1))
             cut = lambda name, kind: [found[name][a:b].astype(kind) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]  # noqa: B023, E731
             yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].tolist(), "text_key": batch["text_key"].iloc[part].tolist(), "anchor": cut("anchor", np.int64), "begin": cut("begin", np.int32), "windows": cut("windows", np.int32), "places": cut("places", np.int32)})
+    trim_worker()
 
 
 def _cut_snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,6 +227,8 @@ def _cut_snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=["doc_id", "text_key", "begin", "anchor", "snippet", "data"])
                 rows, size = [], 0
         yield pd.DataFrame(rows, columns=["doc_id", "text_key", "begin", "anchor", "snippet", "data"])
+    seen.clear()
+    trim_worker()
 
 
 def _split_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,6 +270,8 @@ def _merge_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(held)
         if len(rows):
             yield index(rows)
+    held.clear()
+    trim_worker()
 
 
 def merged_spans(runs) -> list[tuple[int, int]]:
