@@ -62,11 +62,20 @@ def as_text(hi: Column, lo: Column) -> Column:
 
 
 def blocks(hi: Column, lo: Column, radius: int) -> list[Column]:
-    """``radius`` + 1 parts that make up the 128 bits, as numbers; a radius of 3 gives halves of the longs."""
-    if radius + 1 > 4:
-        raise ValueError("a radius above 3 needs blocks under 32 bits, which this table does not cut")
-    half = lambda c: (F.shiftrightunsigned(c, HALF), c.bitwiseAND(F.lit((1 << HALF) - 1)))
-    return [*half(hi), *half(lo)]
+    """``radius`` + 1 parts of about equal width that make up the 128 bits, as numbers (a hash, if one part is all)."""
+    if radius == 0:
+        return [F.xxhash64(hi, lo)]
+    edges = [128 * k // (radius + 1) for k in range(radius + 2)]
+    low = lambda c, width: c if width >= 64 else c.bitwiseAND(F.lit((1 << width) - 1))
+    out = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b <= 64:
+            out.append(low(F.shiftrightunsigned(hi, 64 - b), b - a))
+        elif a >= 64:
+            out.append(low(F.shiftrightunsigned(lo, 128 - b), b - a))
+        else:  # it lies across both longs
+            out.append(F.shiftleft(low(hi, 64 - a), b - 64).bitwiseOR(F.shiftrightunsigned(lo, 128 - b)))
+    return out
 
 
 def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3) -> DataFrame:

@@ -211,14 +211,15 @@ def test_fingerprints(spark):
     assert all(got[k].near_rows is None for k in range(len(texts)) if k % 20)
 
 
-def test_radius_search_finds_all(spark):
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 6])
+def test_radius_search_finds_all(spark, radius):
     r = random.Random(9)
     prints = [r.getrandbits(128) for _ in range(30)]
-    prints += [p ^ sum(1 << b for b in r.sample(range(128), r.randrange(1, 6))) for p in prints for _ in range(3)]
+    prints += [p ^ sum(1 << b for b in r.sample(range(128), r.randrange(1, 8))) for p in prints for _ in range(3)]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(signed(p >> 64), signed(p & (1 << 64) - 1)) for p in prints], "hi long, lo long")
-    want = sum(bin(a ^ b).count("1") <= 3 for a in set(prints) for b in set(prints))
-    assert simhash.within_radius(df, df).count() == want
+    want = sum(bin(a ^ b).count("1") <= radius for a in set(prints) for b in set(prints))
+    assert simhash.within_radius(df, df, radius).count() == want
 
 
 # 5 ------------------------------------------------------------------------------------------------
