@@ -129,6 +129,13 @@ def surprise(inside: np.ndarray, outside: np.ndarray, n_in: int, n_out: int) ->
     return 2 * (term(inside, own, rate) + term(outside, 1 - own, 1 - rate))
 
 
+def closed(found: list[str], bad: np.ndarray, rows: np.ndarray, most: float = 0.9) -> np.ndarray:
+    """The rows of entries of which no longer one covers nearly as many toxic documents: not " los" where " loser " does."""
+    count = dict(zip(found, bad.tolist(), strict=True))
+    covered = {t[:k] for t, n in count.items() for k in range(2, len(t)) if n >= most * count.get(t[:k], np.inf)}
+    return np.array([r for t, r in zip(found, rows.tolist(), strict=True) if t not in covered], np.int64)
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the likeliest curve, with a weak pull towards zero."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -182,6 +189,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 16_000, entr
     # rarer by chance than one in all terms of that size that were looked at
     needed = np.array([2 * math.log(4 * kinds[min(len(t), 12)]) for t in rest["term"]])
     keep = np.flatnonzero((odds > 1.5) & (sure > needed))
+    keep = closed([rest["term"][k] for k in keep], bad[keep], keep)
     keep = keep[np.argsort(-sure[keep], kind="stable")][:entries]
     lexicon = Lexicon({rest["term"][k]: float(min(odds[k], 6.0)) for k in keep}, exceptions)
 
