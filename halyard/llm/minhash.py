@@ -8,8 +8,9 @@ and keeps the earliest a coordinate; documents that miss a coordinate double the
 Two documents share a coordinate's dart with the probability of their weighted Jaccard similarity. Bands
 of coordinates propose pairs, whose similarity is then computed from the whole texts.
 
-Work is per distinct text. A band's bucket proposes its members against its smallest; buckets that
-still hold several classes afterwards propose their members again, so no bucket makes all its pairs.
+Work is per distinct text. A band's bucket proposes its members against its smallest. Buckets that still hold
+several classes afterwards propose their members again: small ones every pair across classes, the members of
+large ones every pair whose rare tokens allow the similarity, an exact join.
 
 Null and empty texts, and texts without words, are copies of one another and one class. Repeated rows fall
 into one class. A null doc_id takes part and never names a class unless all ids in it are null. Empty tables
@@ -34,6 +35,8 @@ SHINGLE = 5
 U64 = np.uint64
 #: Up to so many members left in several classes, a bucket compares all of them across classes.
 SMALL_BUCKET = 32
+#: A token that more texts share is joined in several parts.
+HOT_TOKEN = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -214,6 +217,60 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return stored(with_b.mapInPandas(similarities, "a binary, b binary, similarity double").filter(F.col("similarity") >= least), "links")
 
 
+def token_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, tokens of (key, text): a shingle of weight w is w tokens, so that the Jaccard similarity of the token sets is
+    the weighted one of the texts."""
+    for batch in batches:
+        rows = batch["text"].tolist()
+        for part in chunks(rows):
+            own = rows[part]
+            text, shingle, weight = weighted_shingles(own)
+            units = weight.astype(np.int64)
+            level = np.arange(int(units.sum())) - np.repeat(np.cumsum(units) - units, units)
+            token = mixed(np.repeat(shingle, units) + level.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+            edges = np.searchsorted(np.repeat(text, units), np.arange(1, len(own)))
+            yield pd.DataFrame({"key": batch["key"].iloc[part].tolist(), "tokens": np.split(token, edges)})
+    trim_worker()
+
+
+def rare_tokens(texts: DataFrame, least: float) -> DataFrame:
+    """key, size, token, holders, rest of ``texts(key, text)``: the tokens by which a text can meet texts of at least that
+    similarity. ``holders`` texts have the token; ``rest`` of the text's ``size`` tokens are this one or come after it.
+
+    Tokens are ordered by their holders, fewest first. Similar texts agree in so many tokens that the first
+    one they share is among the first fifth of the larger text's and the first ninth of the smaller one's at 0.8."""
+    sets = stored(texts.select("key", "text").mapInPandas(token_sets, "key binary, tokens array<long>"), "tokens")
+    each = sets.select("key", F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    held = each.join(shared, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("held"))
+    held = held.join(sets.select("key", F.size("tokens").alias("size")), "key").withColumn("alone", F.col("size") - F.size("held"))
+    first = F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1 - F.col("alone")
+    held = held.select("key", "size", "alone", F.posexplode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("at", "of"))
+    return stored(held.select("key", "size", "of.token", "of.holders", (F.col("size") - F.col("alone") - F.col("at")).alias("rest")), "rare-tokens")
+
+
+def led(rare: DataFrame) -> DataFrame:
+    """Pairs (a, b): each text and, for each of its rare tokens, the holder with the least before it. So most texts that
+    belong together are in one class before all pairs across classes meet."""
+    lead = rare.groupBy("token").agg(F.min_by("key", F.struct(F.col("size") - F.col("rest"), "key")).alias("b"))
+    return rare.join(lead, "token").select(F.col("key").alias("a"), "b")
+
+
+def met(rare: DataFrame, component: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different ``component(key, component)``: all that can be similar by what is left after a shared
+    rare token."""
+    agreed = least / (1 + least)
+    # a token of many texts is dealt out: each smaller text to one part, the larger ones to all
+    rare = rare.join(component, "key").withColumn("parts", F.ceil(F.col("holders") / HOT_TOKEN).cast("int"))
+    small = rare.filter(F.col("rest") >= 2 * agreed * F.col("size") - 1e-6).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    large = rare.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    ordered = F.struct(x("size"), x("key")) < F.struct(y("size"), y("key"))
+    enough = F.least(x("rest"), y("rest")) >= agreed * (x("size") + y("size")) - 1e-6
+    pairs = small.alias("x").join(large.alias("y"), (x("token") == y("token")) & (x("part") == y("part")) & (x("component") != y("component")) & ordered & enough)
+    return pairs.select(x("key").alias("a"), y("key").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int = 16, seed: int = 1) -> DataFrame:
     """doc_id, text_key, class_id, class_key of ``docs(doc_id, text)``: the class id is the smallest doc_id in it,
     the class key its own even where ids repeat or are null.
@@ -241,17 +298,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int
     left = stored(left.join(split.select("band", "value", "rest"), ["band", "value"]), "split-buckets")
     few = left.filter(F.col("rest") <= SMALL_BUCKET)
     across = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.component") < F.col("y.component")))
-    # larger ones are cut by a second band, where similar texts meet again, and led there by several members; an
-    # earlier band is left out: its bucket is large too and cut by this one, or small and compared above
-    many = left.filter(F.col("rest") > SMALL_BUCKET).join(nodes, "key").select("key", "component", "band", "value", F.posexplode("bands").alias("band2", "value2")).filter(F.col("band") < F.col("band2"))
-    leads = [F.min_by(F.struct("key", "component"), F.xxhash64("key", "band", "band2", F.lit(s))).alias(f"lead{s}") for s in range(2)]
-    cut = ["band", "value", "band2", "value2"]
-    led = many.groupBy(*cut).agg(F.min("component").alias("low"), F.max("component").alias("high"), *leads).filter(F.col("low") != F.col("high"))
-    foreign = F.filter(F.array_distinct(F.array(*[f"lead{s}" for s in range(2)])), lambda lead: lead["component"] != F.col("component"))
-    more = many.join(led.drop("low", "high"), cut).select("key", F.explode(foreign).alias("lead")).select("key", F.col("lead.key").alias("b"))
-    pairs = across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).union(more.select(F.col("key").alias("a"), "b"))
-    links = links.select("a", "b").union(verified(pairs, texts, least).select("a", "b"))
+    pairs = across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    # the members of larger ones meet at rare tokens, so no bucket makes all its pairs
+    many = left.filter(F.col("rest") > SMALL_BUCKET).select("key").distinct()
+    rare = None if many.isEmpty() else rare_tokens(texts.join(many, "key"), least)
+    links = links.select("a", "b").union(verified(pairs if rare is None else pairs.union(led(rare)), texts, least).select("a", "b"))
     classes = components(links)
+    if rare is not None:
+        own = rare.select("key").distinct().join(classes.select(F.col("node").alias("key"), "component"), "key", "left")
+        links = links.union(verified(met(rare, own.withColumn("component", F.coalesce("component", "key")), least), texts, least).select("a", "b"))
+        classes = components(links)
 
     of_text = keyed.select("doc_id", "key").alias("d").join(classes.alias("c"), F.col("d.key") == F.col("c.node"), "left").select("d.doc_id", "d.key", F.coalesce("c.component", "d.key").alias("component"))
     first = of_text.groupBy("component").agg(F.min("doc_id").alias("class_id"))

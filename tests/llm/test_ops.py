@@ -98,6 +98,45 @@ def test_large_bucket_keeps_links(spark):
     assert [got[k] for k in range(len(texts))] == classes_of([shingles(t) for t in texts])
 
 
+def template_group(n=2500, planted=250, seed=4):
+    """Texts of one template that are mostly not similar, and copies of some with similarities around 0.8."""
+    r = random.Random(seed)
+    base = [f"v{k}" for k in range(100)]
+    own = [[f"u{x}x{k}" for k in range(30)] for x in range(n)]
+    texts = [base + o for o in own]
+    for x in range(planted):
+        copy = texts[x] + []
+        for k in r.sample(range(100, 130), 1 + x % 4):
+            copy[k] = f"c{x}x{k}"
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def classes_by_matrix(texts, least=0.8):
+    """classes_of for many texts whose shingles all have weight one."""
+    sets = [list(shingles(t)) for t in texts]
+    seen = Counter(g for s in sets for g in s)
+    number = {g: k for k, g in enumerate(g for g, n in seen.items() if n > 1)}
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for k, s in enumerate(sets):
+        held[k, [number[g] for g in s if g in number]] = 1
+    both = held @ held.T
+    size = np.array([len(s) for s in sets])
+    root = list(range(len(sets)))
+    for a, b in np.argwhere(np.triu(both >= least * (size[:, None] + size - both) - 1e-6, 1)).tolist():
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root]
+    return root
+
+
+def test_template_group_keeps_every_link(spark):
+    texts = template_group()
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    want = classes_by_matrix(texts)
+    assert 2500 < len(set(want)) < 2700
+    assert [got[k] for k in range(len(texts))] == want
+
+
 # 2 ------------------------------------------------------------------------------------------------
 
 
