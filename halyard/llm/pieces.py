@@ -7,8 +7,10 @@ its new neighbours. Here the agendas of all new segments of a batch advance toge
 turn. What the model does not know falls back to bytes; so does the space mark itself when a text holds it,
 which makes decoding lossless for every text.
 
-A segment takes one of ``variants`` drawn by its text's key and its place, so equal words differ within and
-between texts, while the same seed repeats everything. With a dropout of 0 the pieces are the model's own.
+Every occurrence of a segment has its own draw, by its text's key and its place, so equal words differ within and
+between texts, while the same seed repeats everything. An occurrence whose draw skips none of the merges that the
+model itself makes has the model's own pieces, which are kept; only the others run an agenda. ``variants`` bounds
+the draws of a segment where a caller wants that; 0, the default, does not. With a dropout of 0 the pieces are the model's own.
 
 Null texts give null ids and decode to null; empty texts have no ids. Texts of any length are encoded in
 whole. Equal rows with equal keys get equal ids.
@@ -73,8 +75,25 @@ def segment_hashes(segments: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) for s in segments), U64, len(segments))
 
 
-def encode_segments(model: PieceModel, segments: list[str], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all segments joined, and how many each has. A space in a segment is the space mark."""
+def drawn(hashes: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
+    """The keys of the draws of segments."""
+    return mixed(hashes + mixed(variants.astype(U64) + U64(seed) * U64(0x9E3779B97F4A7C15)))
+
+
+def threshold(dropout: float) -> np.uint64:
+    return U64(min(int(dropout * 2.0**64), 2**64 - 1))
+
+
+def borders(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What a merge's borders add to the key of its draw."""
+    return start.astype(U64) * U64(0xA0761D6478BD642F) + middle.astype(U64) * U64(0xE7037ED1A0B428DB) + end.astype(U64) * U64(0x8EBC6AF09C88C6E3)
+
+
+def encode_segments(model: PieceModel, segments: list[str], variants: np.ndarray, dropout: float, seed: int, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all segments joined, and how many each has. A space in a segment is the space mark.
+
+    ``variants``: an unsigned 64-bit number a segment, on which its skips depend. ``taken`` gets the number of the segment
+    and the ``borders`` of each merge that is made."""
     known = model.ids
     lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     n = int(lengths.sum())
@@ -87,8 +106,8 @@ def encode_segments(model: PieceModel, segments: list[str], variants: np.ndarray
     table = {c: (-1 if c == SPACE else known.get(SPACE if c == " " else c, -1)) for c in set(letters)}
     symbol = np.fromiter(map(table.__getitem__, letters), np.int32, n)
     end = start + 1  # borders of each live symbol in its segment
-    key = mixed(segment_hashes(segments) + mixed(variants.astype(U64) + U64(seed) * U64(0x9E3779B97F4A7C15)))
-    bar = U64(min(int(dropout * 2.0**64), 2**64 - 1))
+    key = drawn(segment_hashes(segments), variants, seed)
+    bar = threshold(dropout)
     after = np.where(np.append(own[1:] == own[:-1], False), np.arange(1, n + 1, dtype=np.int32), np.int32(-1))
     before = np.where(np.append(False, own[1:] == own[:-1]), np.arange(-1, n - 1, dtype=np.int32), np.int32(-1))
     offered = np.full(n, -1, np.int32)  # what each symbol and the next would merge to
@@ -97,7 +116,7 @@ def encode_segments(model: PieceModel, segments: list[str], variants: np.ndarray
         right = after[at]
         made = np.where(right >= 0, model.merge(symbol[at], symbol[right]), -1)
         if dropout > 0:
-            spot = mixed(key[own[at]] + start[at].astype(U64) * U64(0xA0761D6478BD642F) + end[at].astype(U64) * U64(0xE7037ED1A0B428DB) + end[right].astype(U64) * U64(0x8EBC6AF09C88C6E3))
+            spot = mixed(key[own[at]] + borders(start[at], end[at], end[right]))
             made = np.where(spot < bar, -1, made)
         offered[at] = made
 
@@ -111,6 +130,8 @@ def encode_segments(model: PieceModel, segments: list[str], variants: np.ndarray
         top = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, groups), size))
         best = live[top[np.append(True, own[live[top[1:]]] != own[live[top[:-1]]])]]
         gone = after[best]
+        if taken is not None:
+            taken.append((own[best], borders(start[best], end[best], end[gone])))
         symbol[best], end[best] = offered[best], end[gone]
         follow = after[gone]
         after[best] = follow
@@ -135,22 +156,30 @@ def encode_segments(model: PieceModel, segments: list[str], variants: np.ndarray
     return flat, np.bincount(own[kept], width, len(segments)).astype(np.int64)
 
 
+def written(segment: str) -> str:
+    """A segment with the space that it was cut at."""
+    return segment[1:] if segment[:1] == BARE else " " + segment
+
+
 class Encoder:
-    """Encodes texts, remembering the ids of (segment, variant)."""
+    """Encodes texts, remembering the model's own pieces and merges of each segment."""
 
     def __init__(self, path: str, dropout: float, seed: int, variants: int, remember: int = 1 << 18):
         self.model = PieceModel(path)
-        self.dropout, self.seed, self.variants, self.remember = dropout, seed, (variants if dropout > 0 else 1), remember
+        self.dropout, self.seed, self.variants, self.remember = dropout, seed, variants, remember
         # a character that no piece joins with others is a border on both sides: line ends, as a rule
         self.lines = not any("\n" in p for p in self.model.ids if len(p) > 1)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.codes = np.zeros(0, np.int64)  # row in the tables below of (segment, variant), or -1
+        self.hashes = np.zeros(0, U64)
         self.flat = np.zeros(0, np.uint16 if self.model.size <= 1 << 16 else np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
+        self.merges = np.zeros(0, U64)  # borders of the merges of each segment
+        self.first_merge = np.zeros(0, np.int64)
+        self.n_merges = np.zeros(0, np.int64)
 
     def rest(self) -> None:
         self._forget()
@@ -199,27 +228,36 @@ class Encoder:
         known = self.known
         fresh = [s for s in distinct if s not in known]
         known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-        self.codes = np.concatenate([self.codes, np.full(len(fresh) * self.variants, -1, np.int64)])
-        numbers = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-        row = numbers[codes] * self.variants
-        if self.variants > 1:
-            place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
-            row += (mixed(np.repeat(keys, counts) + place.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(self.variants)).astype(np.int64)
-        wanted = np.zeros(len(self.codes), bool)
-        wanted[row] = True
-        missing = np.flatnonzero(wanted & (self.codes < 0))
-        if len(missing):
-            name = dict(zip(numbers.tolist(), distinct, strict=True))
-            segments = [s[1:] if s[:1] == BARE else " " + s for s in map(name.__getitem__, (missing // self.variants).tolist())]
-            flat, sizes = encode_segments(self.model, segments, missing % self.variants, self.dropout, self.seed)
-            self.codes[missing] = len(self.sizes) + np.arange(len(missing))
+        if fresh:
+            taken: list = []
+            flat, sizes = encode_segments(self.model, list(map(written, fresh)), np.zeros(len(fresh), U64), 0.0, self.seed, taken)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
-        at = self.codes[row]
-        sizes = self.sizes[at]
+            whose, merge = (np.concatenate(x) for x in zip(*taken, strict=True)) if taken else (np.zeros(0, np.int64), np.zeros(0, U64))
+            n = np.bincount(whose, minlength=len(fresh))
+            self.first_merge = np.concatenate([self.first_merge, len(self.merges) + np.cumsum(n) - n])
+            self.n_merges = np.concatenate([self.n_merges, n])
+            self.merges = np.concatenate([self.merges, merge[np.argsort(whose, kind="stable")]])
+            self.hashes = np.concatenate([self.hashes, segment_hashes(list(map(written, fresh)))])
+        row = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[codes]
+        starts, sizes, pool = self.starts[row], self.sizes[row], self.flat
+        if self.dropout > 0:
+            # an occurrence that skips none of the model's own merges has the model's own pieces
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
+            draw = mixed(np.repeat(keys, counts) + place.astype(U64) * U64(0x9E3779B97F4A7C15))
+            draw = draw % U64(self.variants) if self.variants else draw
+            n = self.n_merges[row]
+            which = np.repeat(np.arange(len(row)), n)
+            at = np.repeat(self.first_merge[row] - (np.cumsum(n) - n), n) + np.arange(len(which))
+            skips = mixed(drawn(self.hashes[row], draw, self.seed)[which] + self.merges[at]) < threshold(self.dropout)
+            other = np.unique(which[skips])
+            if len(other):
+                flat, own = encode_segments(self.model, [written(distinct[k]) for k in codes[other].tolist()], draw[other], self.dropout, self.seed)
+                starts[other], sizes[other] = len(pool) + np.cumsum(own) - own, own
+                pool = np.concatenate([pool, flat.astype(pool.dtype)])
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        ids = pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
         totals = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
         return ids, totals
 
@@ -258,7 +296,7 @@ def _digest(batch: pd.DataFrame, own: Encoder) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["n_pieces", "pieces_crc32", "round_trip", "decoded_crc32"])
 
 
-def encode_documents(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, variants: int = 2) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, variants: int = 0) -> DataFrame:
     """``docs(doc_id, text)`` as doc_id, ids. Nothing is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,7 +324,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInPandas(run, "doc_id long, text string")
 
 
-def piece_digest(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, variants: int = 2) -> DataFrame:
+def piece_digest(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, variants: int = 0) -> DataFrame:
     """doc_id, n_pieces, pieces_crc32 (of the ids as little-endian 32-bit numbers), round_trip (whether decoding
     gives the text, null as empty), decoded_crc32 (of the decoded text in UTF-8)."""
 

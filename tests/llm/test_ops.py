@@ -396,6 +396,25 @@ def test_dropout_follows_the_agenda():
         assert flat[ends[k] : ends[k + 1]].tolist() == want
 
 
+def test_dropout_of_every_occurrence():
+    """Each occurrence against an agenda of its own; a word's segmentations are not bounded."""
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    word, n = "internationalisation", 400
+    own = pieces.Encoder(path, 0.1, 7, 0)
+    keys = np.array([5, 6], np.uint64)
+    ids, totals = own.encode([" ".join([word] * n)] * 2, keys)
+    draws = np.concatenate([pieces.mixed(k + np.arange(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in keys])
+    want, sizes = pieces.encode_segments(own.model, [" " + word] * 2 * n, draws, 0.1, 7)
+    assert ids.tolist() == want.tolist() and totals.sum() == sizes.sum()
+    assert len({tuple(x) for x in np.split(want, np.cumsum(sizes)[:-1])}) > 20
+
+
+def test_default_dropout_is_not_bounded(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    rows = pieces.encode_documents(docs(spark, ["internationalisation"] * 300), path).collect()
+    assert len({tuple(r.ids) for r in rows}) > 2
+
+
 def test_pieces_round_trip(spark):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     df = odd(spark).filter("doc_id is not null")
