@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from halyard.llm.shared import stored
-from tests.llm.test_ops import classes_of, odd, repeats, shingles
+from tests.llm.test_ops import classes_by_matrix, classes_of, docs, odd, repeats, shingles, template_group
 
 
 def test_stages(spark, tiny):
@@ -50,3 +50,10 @@ def test_odd_tables(spark, tiny):
             assert out.columns == df.columns, name
             assert out.count() <= 3 * df.count()
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, tiny).collect()} >= {0, None}
+
+
+def test_template_group_keeps_one_of_each_class(spark, tiny):
+    """Thousands of texts of one template with near copies among them."""
+    texts = template_group()
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, texts), tiny)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes_by_matrix(texts)))
