@@ -182,13 +182,14 @@ def read_documents(source, size: int, group: int = 1 << 10) -> Iterator[tuple[in
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
-    The library's splitting rule always starts a token at a space that a non-space follows and at a run of
-    line ends, so texts fall into independent pieces there. Arrow cuts and numbers the pieces, the library
-    is asked once a distinct piece, and numpy lays out the ids. Texts in which a space stands before
-    white space or at the end, or that hold the marks used here, go to the library whole."""
+    The library's splitting rule always starts a token at a space that a non-space follows. A run of white space
+    before a non-space ends one character early, and if that last character is no space it is a token of its own. So
+    texts fall into independent pieces before a run, before its last character and after it. Arrow cuts and numbers
+    the pieces, the library is asked once a distinct piece, and numpy lays out the ids. Texts in which a space stands
+    before white space or at the end, or that hold other white space or the mark used here, go to the library whole."""
 
     FIRST = "\x01"  # stands before a piece that no space comes before: a text's first, a line's first, a comma
-    WHOLE = r" \s|[ \x01\x1c-\x1f]$|[\x01\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    WHOLE = r" \s|[ \x01\x1c-\x1f]$|[\x01\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
     def __init__(self, path: str, remember: int = 1 << 20, chunk_chars: int = 1 << 22):
         import json
@@ -217,8 +218,8 @@ class WordEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Pieces after a space are joined, 512 at a time: ids that start with a space begin a piece."""
-        spaced = [p for p in pieces if p[:1] not in ("\n", self.FIRST)]
-        other = [p for p in pieces if p[:1] in ("\n", self.FIRST)]
+        spaced = [p for p in pieces if p[:1] != self.FIRST]
+        other = [p for p in pieces if p[:1] == self.FIRST]
         parts = [self._ids(" " + " ".join(spaced[at : at + 512])) for at in range(0, len(spaced), 512)]
         joined = np.concatenate([np.zeros(0, np.uint32), *parts])
         sizes = np.diff(np.append(np.flatnonzero(self.after_space[joined]), len(joined)))
@@ -253,9 +254,10 @@ class WordEncoder:
         odd = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
         first = pa.scalar(self.FIRST, pa.large_string())
         cut = pc.binary_join_element_wise(first, column.filter(pa.array(~odd)), pa.scalar("", pa.large_string()))
-        # a comma or point between a letter and white space is a token; so is a run of line ends before a line
+        # a comma or point between a letter and white space is a token; so is the last line end or tab before a non-space,
+        # and the run before that last one (an empty piece where there is none)
         cut = pc.replace_substring_regex(cut, r"([A-Za-z])([,.])([ \n])", rf"\1 {self.FIRST}\2\3")
-        cut = pc.replace_substring_regex(cut, r"(\n+)([^\s])", rf" \1 {self.FIRST}\2")
+        cut = pc.replace_substring_regex(cut, r"([\t\n\f\r]*)([\t\n\f\r])([^\s])", rf" {self.FIRST}\1 {self.FIRST}\2 {self.FIRST}\3")
         lists = pc.split_pattern(cut, " ")
         counts = np.zeros(len(texts), np.int64)
         counts[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)

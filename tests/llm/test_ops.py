@@ -470,6 +470,30 @@ def test_token_files_round_trip(spark):
     assert token_file.token_digest(df.limit(0), path).count() == 0
 
 
+PLAIN = ["a", "b", "Word", "one", "\n", "\n\n", "\n\n\n", " x", " y", "\t", "\r\n", "\r", ".", ",", ", ", ",\n", "'s", "12", "é", "-"]
+ODD_PARTS = [*PLAIN, " ", "  ", "\f", "\x0b", "\u0085", "\u2003", "\xa0", "😀", "\x1c", "\x01", "<|endoftext|>"]
+
+
+@pytest.mark.parametrize(("parts", "n"), [(PLAIN, 25_000), (ODD_PARTS, 25_000)])
+def test_ids_equal_the_library(parts, n):
+    """Paragraph breaks, tabs, CR LF and odd spaces in any order, and texts of whole paragraphs."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_file.WordEncoder(path)
+    r = random.Random(n + len(parts))
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(n)]
+    texts += [r.choice(["\n\n", "\r\n\r\n", "\n \n"]).join(" ".join(r.choice(["Some", "words,", "of", "a", "line.", "x\ny", "3"]) for _ in range(40)) for _ in range(9)) for _ in range(200)]
+    for at in range(0, len(texts), 500):
+        ids, lengths = [], []
+        for _, some, sizes in own.encode(texts[at : at + 500], 2):
+            ids.append(some)
+            lengths += sizes.tolist()
+        got = np.split(np.concatenate(ids), np.cumsum(lengths)[:-1])
+        for text, want, x in zip(texts[at : at + 500], library.encode_batch_fast(texts[at : at + 500], add_special_tokens=False), got, strict=True):
+            assert [*want.ids, 2] == x.tolist(), repr(text)
+
+
 @pytest.mark.parametrize("top", [0, 1, 255, 50_000, 2**32 - 1])
 def test_blocks(top):
     v = np.random.default_rng(top).integers(0, top + 1, (5, 1024), dtype=np.uint32)
