@@ -5,9 +5,12 @@ Filters on record_type, page_id, target_uri and refers_to are pushed down: a rec
 first, and of one that no filter wants, or whose payload no column asks for, the block is passed over without
 being decoded. Ask for fewer columns with ``.schema(...)``.
 
-Writing sends each partition to an archive of its own, one gzip member a record. The driver lists the archives
-of the tasks that committed in ``_archives``; readers follow that list, so what lost or repeated tasks
-left is never read.
+Writing sends each partition to an archive of its own, one gzip member a record, and beside it an index with a line a
+member: its bytes, type, id and reference. Filters on these are answered from the index, so unwanted members are never
+read; of a member whose payload nobody asks for, only the beginning is. The driver lists the archives of the tasks that
+committed in a new file below ``_archives``, one file a write; readers follow all lists, so appends add up, and
+what lost or repeated tasks left is never read. Overwriting removes older lists and their archives once the new list stands.
+A folder without lists is read whole, its archives from begin to end, headers first.
 
 A record stands for a page: its id, URL, and either the payload (response) or where an equal payload stands
 (revisit). Null URLs leave out the target; line ends in a URL are percent-encoded. Null payloads are
@@ -39,7 +42,11 @@ VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"2024-01-01T00:00:00Z"
 NAME = b"urn:page:"
-LIST = "_archives"
+LISTS, INDEX = "_archives", ".index"
+#: Members next to each other are read together up to so many bytes.
+TOGETHER = 1 << 20
+#: So much of a member is read at first where only its headers are wanted.
+HEAD = 1 << 12
 
 
 def payload_digest(payload: bytes) -> str:
@@ -52,7 +59,7 @@ def record(page_id: int | None, target: str | None, payload: bytes, digest: str,
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = [VERSION, b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Record-ID: <%s%s>" % (NAME, b"" if page_id is None else b"%d" % page_id), b"WARC-Date: " + DATE]
     if target is not None:
-        head.append(b"WARC-Target-URI: " + re.sub(r"[\x00-\x1f%]", lambda m: f"%{ord(m[0]):02X}", target).encode("utf-8"))
+        head.append(b"WARC-Target-URI: " + re.sub(r"[\x00-\x20%]", lambda m: f"%{ord(m[0]):02X}", target).encode("utf-8"))
     head.append(b"WARC-Payload-Digest: sha1:" + digest.encode())
     if revisit:
         head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: <%s%d>" % (NAME, refers_to)]
@@ -62,8 +69,59 @@ def record(page_id: int | None, target: str | None, payload: bytes, digest: str,
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-class Members:
-    """The bytes of a file of gzip members (or of a plain one), as they are asked for."""
+@dataclass
+class Member:
+    """A line of an archive's index."""
+
+    offset: int
+    size: int
+    record_type: str
+    page_id: int | None
+    refers_to: int | None
+
+    def line(self) -> str:
+        return "\t".join("" if x is None else str(x) for x in (self.offset, self.size, self.record_type, self.page_id, self.refers_to)) + "\n"
+
+    @classmethod
+    def of(cls, line: str) -> Member:
+        offset, size, kind, page_id, refers_to = line.split("\t")
+        return cls(int(offset), int(size), kind, int(page_id) if page_id else None, int(refers_to) if refers_to else None)
+
+
+def whole_members(source, members: list[Member]) -> Iterator[bytes]:
+    """The inflated records; members that follow one another are read together."""
+    at = 0
+    while at < len(members):
+        upto, end = at, members[at].offset
+        while upto < len(members) and members[upto].offset == end and (upto == at or end - members[at].offset < TOGETHER):
+            end += members[upto].size
+            upto += 1
+        source.seek(members[at].offset)
+        data = source.read(end - members[at].offset)
+        for m in members[at:upto]:
+            start = m.offset - members[at].offset
+            yield zlib.decompress(data[start : start + m.size], 31)
+        at = upto
+
+
+def member_heads(source, members: list[Member]) -> Iterator[bytes]:
+    """The headers of the records; payloads are not read, but for what a first small read holds of them."""
+    for m in members:
+        source.seek(m.offset)
+        inflate, head, left = zlib.decompressobj(31), b"", m.size
+        while (end := head.find(b"\r\n\r\n")) < 0:
+            data = source.read(min(HEAD, left))
+            if not data:
+                raise EOFError("a record is cut off")
+            left -= len(data)
+            head += inflate.decompress(data, 2 * HEAD)
+            while inflate.unconsumed_tail and b"\r\n\r\n" not in head:
+                head += inflate.decompress(inflate.unconsumed_tail, 2 * HEAD)
+        yield head[:end]
+
+
+class Walk:
+    """The bytes of an archive without an index, gzip members or plain, as they are asked for."""
 
     def __init__(self, source, chunk: int = 1 << 18):
         self.source, self.chunk = source, chunk
@@ -134,7 +192,7 @@ def described(head: dict[str, str]) -> dict:
     target = head.get("warc-target-uri")
     return {
         "page_id": number_of(head.get("warc-record-id")),
-        "target_uri": None if target is None else re.sub(r"%([01][0-9A-F]|25)", lambda m: chr(int(m[1], 16)), target),
+        "target_uri": None if target is None else re.sub(r"%([01][0-9A-F]|20|25)", lambda m: chr(int(m[1], 16)), target),
         "record_type": head.get("warc-type"),
         "refers_to": number_of(head.get("warc-refers-to")),
     }
@@ -163,9 +221,17 @@ class WarcReader(DataSourceReader):
                 self.wanted.append((name, (f.value,) if isinstance(f, EqualTo) else tuple(f.value)))
 
     def partitions(self) -> list[Archives]:
+        from pyarrow.fs import FileSelector
+
         fs, path = open_fs(self.folder)
-        with fs.open_input_stream(f"{path}/{LIST}") as source:
-            listed = [line.split("\t") for line in source.read().decode().splitlines()]
+        listed = []
+        lists = sorted(lists_below(fs, path))
+        for where in lists:
+            with fs.open_input_stream(where, compression=None) as source:
+                listed += [line.split("\t") for line in source.read().decode().splitlines()]
+        if not lists:  # archives that others wrote
+            found = fs.get_file_info(FileSelector(path))
+            listed = sorted((f.base_name, f.size) for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz")))
         groups: list[Archives] = []
         size = self.group_bytes
         for name, length in listed:
@@ -177,30 +243,65 @@ class WarcReader(DataSourceReader):
         return groups or [Archives([])]
 
     def read(self, partition: Archives) -> Iterator[tuple]:
-        decode = bool({"payload", "payload_bytes", "payload_digest"} & set(self.columns))
         for uri in partition.paths:
             fs, path = open_fs(uri)
-            with fs.open_input_stream(path, compression=None) as source:
-                members = Members(source)
-                while (block := members.until(b"\r\n\r\n")) is not None:
-                    head = headers(block)
-                    length = int(head["content-length"])
-                    row = described(head)
-                    if any(row[c] is None if not v else row[c] not in v for c, v in self.wanted):
-                        members.skip(length + 4)
-                        continue
-                    if not decode:
-                        members.skip(length + 4)
-                    elif row["record_type"] == "response":
-                        http = members.until(b"\r\n\r\n")
-                        payload = members.take(length - len(http) - 4)
-                        members.skip(4)
-                        row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": payload_digest(payload)}
-                    else:
-                        http = headers(members.take(length))
-                        members.skip(4)
-                        row |= {"payload_bytes": int(http.get("content-length", 0)), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None}
-                    yield tuple(row.get(c) for c in self.columns)
+            if fs.get_file_info(f"{path}{INDEX}").is_file:
+                with fs.open_input_stream(f"{path}{INDEX}", compression=None) as source:
+                    members = [Member.of(line) for line in source.read().decode().splitlines()]
+                with fs.open_input_file(path) as source:
+                    yield from self.rows(source, members)
+            else:
+                with fs.open_input_stream(path, compression=None) as source:
+                    yield from self.walked(Walk(source))
+
+    @property
+    def decodes(self) -> bool:
+        return bool({"payload", "payload_bytes", "payload_digest"} & set(self.columns))
+
+    @staticmethod
+    def wants(value, values: tuple) -> bool:
+        return value is not None if not values else value in values
+
+    def rows(self, source, members: list[Member]) -> Iterator[tuple]:
+        """The wanted rows of an archive, by its index."""
+        members = [m for m in members if all(self.wants(getattr(m, c), v) for c, v in self.wanted if c != "target_uri")]
+        for data in (whole_members if self.decodes else member_heads)(source, members):
+            block, _, content = data.partition(b"\r\n\r\n")
+            head = headers(block)
+            row = described(head)
+            if all(self.wants(row[c], v) for c, v in self.wanted):
+                yield self.filled(row, head, content[: int(head["content-length"])] if self.decodes else None)
+
+    def walked(self, walk: Walk) -> Iterator[tuple]:
+        """The wanted rows of an archive from its begin to its end: blocks that nobody asks for are passed over unparsed."""
+        while (block := walk.until(b"\r\n\r\n")) is not None:
+            head = headers(block)
+            length = int(head["content-length"])
+            row = described(head)
+            wanted = all(self.wants(row[c], v) for c, v in self.wanted)
+            content = walk.take(length) if wanted and self.decodes else walk.skip(length)
+            walk.skip(4)
+            if wanted:
+                yield self.filled(row, head, content)
+
+    def filled(self, row: dict, head: dict[str, str], content: bytes | None) -> tuple:
+        """A row, with its payload's columns if there is content. Only HTTP messages have headers of their own."""
+        if content is not None:
+            http, payload = b"", content
+            if head.get("content-type", "").lower().startswith("application/http"):
+                http, _, payload = content.partition(b"\r\n\r\n")
+            if row["record_type"] != "revisit":
+                row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": payload_digest(payload)}
+            else:
+                row |= {"payload_bytes": int(headers(http).get("content-length", 0)), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None}
+        return tuple(row.get(c) for c in self.columns)
+
+
+def lists_below(fs, path: str) -> list[str]:
+    """The lists of a folder's writes."""
+    from pyarrow.fs import FileSelector
+
+    return [f.path for f in fs.get_file_info(FileSelector(f"{path}/{LISTS}", allow_not_found=True)) if f.is_file and not f.base_name.startswith(".")]
 
 
 @dataclass
@@ -210,8 +311,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, folder: str, level: int):
-        self.folder, self.level = folder, level
+    def __init__(self, folder: str, level: int, overwrite: bool):
+        self.folder, self.level, self.overwrite = folder, level, overwrite
 
     def write(self, iterator: Iterator[Row]) -> Written:
         first = next(iterator, None)
@@ -220,33 +321,47 @@ class WarcWriter(DataSourceWriter):
         fs, path = open_fs(self.folder)
         fs.create_dir(path, recursive=True)
         name, size = f"{uuid.uuid4().hex}.warc.gz", 0
-        with fs.open_output_stream(f"{path}/{name}", compression=None) as sink:
-            buffer = io.BytesIO()
+        # the index is streamed beside the archive, so memory does not grow with it
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as sink, fs.open_output_stream(f"{path}/{name}{INDEX}", compression=None) as index:
+            buffer, lines = io.BytesIO(), io.StringIO()
             row: Row | None = first
             while row is not None:
                 data = record(row["page_id"], row["target_uri"], bytes(row["payload"] or b""), row["payload_digest"], row["refers_to"])
                 member = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                buffer.write(member.compress(data) + member.flush())
-                if buffer.tell() > 1 << 20:
-                    size += sink.write(buffer.getvalue()) or buffer.tell()
-                    buffer = io.BytesIO()
+                packed = member.compress(data) + member.flush()
+                buffer.write(packed)
+                lines.write(Member(size, len(packed), "response" if row["refers_to"] is None else "revisit", row["page_id"], row["refers_to"]).line())
+                size += len(packed)
                 row = next(iterator, None)
-            sink.write(buffer.getvalue())
-            size += buffer.tell()
+                if buffer.tell() > 1 << 20 or row is None:
+                    sink.write(buffer.getvalue())
+                    index.write(lines.getvalue().encode())
+                    buffer, lines = io.BytesIO(), io.StringIO()
         return Written(name, size)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, path = open_fs(self.folder)
-        fs.create_dir(path, recursive=True)
-        lines = sorted(f"{m.name}\t{m.size}\n" for m in messages if m is not None and m.name)
-        with fs.open_output_stream(f"{path}/{LIST}", compression=None) as sink:
-            sink.write("".join(lines).encode())
+        fs.create_dir(f"{path}/{LISTS}", recursive=True)
+        older = lists_below(fs, path) if self.overwrite else []
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{path}/{LISTS}/.{name}", compression=None) as sink:
+            sink.write("".join(sorted(f"{m.name}\t{m.size}\n" for m in messages if m is not None and m.name)).encode())
+        fs.move(f"{path}/{LISTS}/.{name}", f"{path}/{LISTS}/{name}")
+        for where in older:
+            with fs.open_input_stream(where, compression=None) as source:
+                gone = [line.split("\t")[0] for line in source.read().decode().splitlines()]
+            fs.delete_file(where)  # from here on its archives are not read
+            self.remove(fs, path, gone)
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, path = open_fs(self.folder)
-        for m in messages:
-            if m is not None and m.name:
-                fs.delete_file(f"{path}/{m.name}")
+        self.remove(*open_fs(self.folder), [m.name for m in messages if m is not None and m.name])
+
+    @staticmethod
+    def remove(fs, path: str, names: list[str]) -> None:
+        for name in names:
+            for where in (f"{path}/{name}", f"{path}/{name}{INDEX}"):
+                if fs.get_file_info(where).is_file:
+                    fs.delete_file(where)
 
 
 class WarcSource(DataSource):
@@ -263,7 +378,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"].rstrip("/"), schema.names, int(float(self.options.get("group_mb", "32")) * 1e6))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"].rstrip("/"), int(self.options.get("level", "4")))
+        return WarcWriter(self.options["path"].rstrip("/"), int(self.options.get("level", "4")), overwrite)
 
 
 def register(spark: SparkSession) -> None:

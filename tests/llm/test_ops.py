@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import math
 import random
 import re
@@ -348,12 +349,82 @@ def test_archives(spark):
     assert warc.archive_digest(df.limit(0)).count() == 0
 
 
-def test_payload_is_passed_over_undecoded():
-    import io
-
-    data = b"".join(warc.record(k, "u", b"x" * 50, "D", None) for k in range(3))
-    members = warc.Members(io.BytesIO(data))
-    assert warc.described(warc.headers(members.until(b"\r\n\r\n")))["page_id"] == 0
+def test_appends_add_up_and_overwriting_replaces(spark):
+    rows = lambda *ids: spark.createDataFrame([(k, " u v ", f"h{k}") for k in ids], "page_id long, url string, html string")
+    folder = warc.scratch_path(spark, "test")
+    warc.archived(rows(1, 2), folder)
+    warc.archived(rows(3), folder)
+    back = warc.read_archives(spark, folder).collect()
+    assert sorted(r.page_id for r in back) == [1, 2, 3] and {r.target_uri for r in back} == {" u v "}
+    fs, path = warc.open_fs(folder)
+    other = warc.scratch_path(spark, "foreign")
+    fs.create_dir(warc.open_fs(other)[1])
+    for f in fs.get_file_info(warc_files(path)):
+        if f.base_name.endswith(".gz"):
+            fs.copy_file(f.path, f"{warc.open_fs(other)[1]}/{f.base_name}")
+    assert sorted(tuple(r) for r in warc.read_archives(spark, other).collect()) == sorted(tuple(r) for r in back)
+    again = rows(7, 8).select("page_id", F.col("url").alias("target_uri"), F.encode("html", "utf-8").alias("payload"), F.lit("D").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"))
+    again.write.format("warc").mode("overwrite").save(folder)
+    assert sorted(r.page_id for r in warc.read_archives(spark, folder).collect()) == [7, 8]
+    fs, path = warc.open_fs(folder)
+    assert len(warc.lists_below(fs, path)) == 1 and sum(f.base_name.endswith(".warc.gz") for f in fs.get_file_info(warc_files(path))) <= 2
+
+
+def warc_files(path):
+    from pyarrow.fs import FileSelector
+
+    return FileSelector(path)
+
+
+class Counting:
+    """A file that counts the bytes that are read."""
+
+    def __init__(self, data):
+        self.data, self.at, self.n = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = self.data[self.at : self.at + n]
+        self.at, self.n = self.at + len(out), self.n + len(out)
+        return out
+
+
+def test_unwanted_members_are_not_read():
+    from pyspark.sql.datasource import EqualTo
+
+    noise = np.random.default_rng(1).bytes(100_000)
+    members, data = [], b""
+    for k in range(20):
+        packed = warc.zlib.compress(warc.record(k, f"u{k}", noise if k % 2 else b"", "D", None if k % 2 else 1), 4, 31)
+        members.append(warc.Member(len(data), len(packed), "response" if k % 2 else "revisit", k, None if k % 2 else 1))
+        assert warc.Member.of(members[-1].line()[:-1]) == members[-1]
+        data += packed
+
+    def read(columns, *filters):
+        source = Counting(data)
+        reader = warc.WarcReader("", columns, 1)
+        assert not list(reader.pushFilters(list(filters)))
+        return list(reader.rows(source, members)), source.n
+
+    rows, n = read(["page_id", "payload"], EqualTo(("page_id",), 5))
+    assert rows == [(5, noise)] and n == members[5].size
+    rows, n = read(["page_id"], EqualTo(("record_type",), "revisit"))
+    assert [r[0] for r in rows] == list(range(0, 20, 2)) and n == sum(m.size for m in members[::2])
+    rows, n = read(["page_id", "target_uri"])  # headers only: payloads are passed over unread
+    assert rows == [(k, f"u{k}") for k in range(20)] and n < 20 * 4096 + 1 and n < len(data) / 10
+    rows, n = read(["target_uri"], EqualTo(("target_uri",), "u7"))
+    assert rows == [("u7",)] and n < len(data) / 10
+    # the same without an index, packed or plain
+    for plain in (False, True):
+        file = data if not plain else b"".join(warc.zlib.decompress(data[m.offset : m.offset + m.size], 31) for m in members)
+        reader = warc.WarcReader("", ["page_id", "payload"], 1)
+        list(reader.pushFilters([EqualTo(("page_id",), 5)]))
+        assert list(reader.walked(warc.Walk(io.BytesIO(file)))) == [(5, noise)]
+        assert len(list(warc.WarcReader("", ["page_id"], 1).walked(warc.Walk(io.BytesIO(file))))) == 20
+    rows, n = read(["payload_bytes"])
+    assert [r[0] for r in rows] == [100_000 if k % 2 else 0 for k in range(20)] and n == len(data)
 
 
 # 8 ------------------------------------------------------------------------------------------------
