@@ -519,8 +519,74 @@ def test_ratio_on_held_out_urls(spark):
     ratio = url_filter.Ratio(texts["allow"][::2], texts["block"][::2])
     good, bad = ratio.scores(texts["allow"][1::2]) > ratio.threshold, ratio.scores(texts["block"][1::2]) > ratio.threshold
     assert good.mean() > 0.9 and bad.mean() < 0.1
-    p = np.exp(url_filter.Markov(["abab", "abac"], 3).log_probabilities(*url_filter.encode(["ab"])))
-    assert 0 < p.min() and p.max() < 1
+
+
+def witten_bell(texts, order):
+    """P(character | what stands before it), by counting substrings."""
+    texts = [t.encode() + b"\0" for t in texts]
+
+    def p(before, c):
+        out = 1 / 256
+        for n in range(min(order, len(before)) + 1):
+            context = before[len(before) - n :]
+            after = Counter(t[k + n] for t in texts for k in range(len(t) - n) if t[k : k + n] == context)
+            if not after:
+                continue
+            out = (after[c] + len(after) * out) / (sum(after.values()) + len(after))
+        return out
+
+    return p
+
+
+def likelihood(p, text):
+    data = text.encode() + b"\0"
+    return [math.log(p(data[:k], data[k])) for k in range(len(data))]
+
+
+def test_probabilities_match_brute_force():
+    r = random.Random(6)
+    texts = ["".join(r.choice("abé/.") for _ in range(r.randrange(12))) for _ in range(40)]
+    for order in (0, 2, 5):
+        own, p = url_filter.Markov(texts, order), witten_bell(texts, order)
+        for text in (*texts[:8], "", "zz", "abababé"):
+            assert np.allclose(own.log_probabilities(*url_filter.encode([text])), likelihood(p, text))
+
+
+def test_verdicts_match_brute_force(spark):
+    """Every verdict from the rules, or from models and a threshold computed plainly; nine accepted URLs are learnt from."""
+    r = random.Random(12)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randrange(3, 8)))
+    urls = [f"http://{word('abcd')}.org/fr/{word('abcd')}" for _ in range(9)] + [f"http://{word('wxyz')}.net/{word('wxyz')}" for _ in range(60)]
+    urls += [f"http://{word(letters)}.com/{word(letters)}" for letters in ("abcd", "wxyz") for _ in range(15)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: x for x in url_filter.judge_urls(df).collect()}
+    draws = {x.page_id: x.draw for x in df.select("page_id", F.xxhash64("url", F.lit(5)).alias("draw")).collect()}
+    texts = {"allow": [], "block": []}
+    for k in sorted((k for k in got if got[k].rule), key=lambda k: (draws[k], got[k].host, got[k].path)):
+        texts[got[k].verdict].append(url_filter.features(got[k].host, got[k].path))
+    assert (len(texts["allow"]), len(texts["block"])) == (9, 60)
+
+    def scores(accepted, rejected, rows):
+        a, b = witten_bell(accepted, 5), witten_bell(rejected, 5)
+        return [float(np.mean(np.array(likelihood(a, t)) - likelihood(b, t))) for t in rows]
+
+    rest, held = ([[t for k, t in enumerate(texts[v]) if (k % 5 == 0) == h] for v in ("allow", "block")] for h in (False, True))
+    good, bad = (scores(*rest, h) for h in held)
+    cuts = sorted({*good, *bad})
+    mids = [cuts[0] - 1e-6, *((x + y) / 2 for x, y in zip(cuts, cuts[1:], strict=False))]
+    wrong = [np.mean([x < m for x in good]) + np.mean([x >= m for x in bad]) for m in mids]
+    threshold = min((m for m, w in zip(mids, wrong, strict=True) if w <= min(wrong) + 1e-12), key=abs)
+    open_ = [k for k in got if not got[k].rule]
+    want = scores(texts["allow"], texts["block"], [url_filter.features(got[k].host, got[k].path) for k in open_])
+    assert len(open_) == 30 and np.allclose([got[k].score for k in open_], np.array(want) - threshold)
+    assert [got[k].verdict for k in open_] == ["allow" if w >= threshold else "block" for w in want]
+    assert {got[k].verdict for k in open_} == {"allow", "block"}
+
+
+def test_one_url_of_a_class_is_learnt_from(spark):
+    urls = ["http://abcd.org/fr/abab", *[f"http://zz{k}.net/zyzy" for k in range(30)], "http://zz.com/zyzy", "http://abcd.com/abab"]
+    got = {x.page_id: x.verdict for x in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert (got[31], got[32]) == ("block", "allow")
 
 
 # 10 -----------------------------------------------------------------------------------------------
