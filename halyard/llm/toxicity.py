@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.shared import stored
@@ -121,12 +121,11 @@ class Lexicon:
         return 1 / (1 + math.exp(-min(60.0, max(-60.0, self.slope * self.density(fold(text)) + self.offset))))
 
 
-def surprise(inside: np.ndarray, outside: np.ndarray, n_in: int, n_out: int) -> np.ndarray:
+def surprise(bad: Column, good: Column, n_bad: int, n_good: int) -> Column:
     """How much likelier the counts are at their own rate than at the common one (twice the log ratio)."""
-    both, rate = inside + outside, n_in / (n_in + n_out)
-    own = inside / both
-    term = lambda n, p, q: np.where(n > 0, n * np.log(np.maximum(p, 1e-12) / q), 0.0)
-    return 2 * (term(inside, own, rate) + term(outside, 1 - own, 1 - rate))
+    rate = n_bad / (n_bad + n_good)
+    term = lambda n, q: F.when(n > 0, n * F.log(n / (bad + good) / F.lit(q))).otherwise(0.0)
+    return 2 * (term(bad, rate) + term(good, 1 - rate))
 
 
 def closed(found: list[str], bad: np.ndarray, rows: np.ndarray, most: float = 0.9) -> np.ndarray:
@@ -156,10 +155,10 @@ def held_out(doc_id):
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 16_000, entries: int = 4_000, exceptions: tuple[str, ...] = EXCEPTIONS, seed: int = 11) -> Lexicon:
     """Learns from at most ``fit_rows`` labelled rows (the documented bound), those with the smallest keyed
-    hashes, none of them held out. The driver gets at most ``entries`` lexicon entries and one pair of
-    numbers a training row. Labels that repeat for a document count once, as toxic if any is."""
+    hashes, none of them held out. The driver gets those terms of these rows that pass the test of significance, of which
+    the ``entries`` surest make the lexicon, and one pair of numbers a training row. Labels that repeat for a document count once, as toxic if any is."""
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    chosen = chosen.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = chosen.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
@@ -174,22 +173,20 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 16_000, entr
             yield pd.DataFrame({"term": ["", *words], "bad": [rows[1], *(seen[1][w] for w in words)], "good": [rows[0], *(seen[0][w] for w in words)]})
 
     counts = stored(train.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "toxicity-terms")
-    size = F.least(F.length("term"), F.lit(12)).alias("size")
-    kinds = {r["size"]: r["n"] for r in counts.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = counts.filter((F.col("bad") >= 3) | (F.col("term") == "")).orderBy((F.col("term") == "").desc(), (F.col("bad") / (F.col("good") + 1)).desc(), F.col("bad").desc(), "term").limit(20 * entries)
-    found = ranked.toPandas()
-    top = found[found["term"] == ""]
-    n_bad, n_good = (int(top["bad"].sum()), int(top["good"].sum())) if len(top) else (0, 0)
+    rows = counts.filter("term = ''").first()
+    n_bad, n_good = (rows["bad"], rows["good"]) if rows else (0, 0)
     if not n_bad or not n_good:
         return Lexicon(exceptions=exceptions)
-    rest = found[found["term"] != ""].reset_index(drop=True)
-    bad, good = rest["bad"].to_numpy(float), rest["good"].to_numpy(float)
-    sure = surprise(bad, good, n_bad, n_good)
-    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    size = F.least(F.length("term"), F.lit(12)).alias("size")
+    kinds = {r["size"]: r["n"] for r in counts.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()}
     # rarer by chance than one in all terms of that size that were looked at
-    needed = np.array([2 * math.log(4 * kinds[min(len(t), 12)]) for t in rest["term"]])
-    keep = np.flatnonzero((odds > 1.5) & (sure > needed))
-    keep = closed([rest["term"][k] for k in keep], bad[keep], keep)
+    needed = F.element_at(F.create_map(*[F.lit(x) for k, n in kinds.items() for x in (k, 2 * math.log(4 * n))]), size)
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
+    tested = counts.filter((F.col("bad") >= 3) & (F.col("term") != "")).withColumn("odds", odds).withColumn("sure", surprise(F.col("bad"), F.col("good"), n_bad, n_good))
+    rest = tested.filter((F.col("odds") > 1.5) & (F.col("sure") > needed)).select("term", "bad", "odds", "sure").toPandas()
+    rest = rest.sort_values(["term"], ignore_index=True)
+    keep = closed(rest["term"].tolist(), rest["bad"].to_numpy(float), np.arange(len(rest)))
+    sure, odds = rest["sure"].to_numpy(float), rest["odds"].to_numpy(float)
     keep = keep[np.argsort(-sure[keep], kind="stable")][:entries]
     lexicon = Lexicon({rest["term"][k]: float(min(odds[k], 6.0)) for k in keep}, exceptions)
 

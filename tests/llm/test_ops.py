@@ -319,6 +319,42 @@ def test_toxicity_folding():
     assert toxicity.Lexicon().score("anything") < 0.5
 
 
+def plain_score(lexicon, text):
+    """The score by trying every entry at every place."""
+    folded = toxicity.fold(text)
+    spared = {k for phrase in lexicon.exceptions for at in range(len(folded)) if folded.startswith(toxicity.fold(phrase), at) for k in range(at, at + len(toxicity.fold(phrase)) - 1)}
+    total = 0.0
+    for at in range(len(folded)):
+        fits = [w for e, w in lexicon.weights.items() if folded.startswith(e, at)]
+        total += max(fits) if fits and at not in spared else 0.0
+    words = len(folded.split())
+    density = math.log1p(100 * total / max(words, 10)) if total else 0.0
+    return 1 / (1 + math.exp(-(lexicon.slope * density + lexicon.offset)))
+
+
+def test_scores_match_brute_force(spark):
+    r = random.Random(7)
+    words = ["clown", "clowns", "idiot", "1diot", "id", "fish", "fine", "trash", "can", "idle", "moron", "the", "a", "cl0wn"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 40))) for _ in range(300)] + ["", None, "clown fish", "trash can clown fish idiot"]
+    lexicon = toxicity.Lexicon({" clown ": 5.0, " clow": 2.0, " idi": 4.0, " idiot ": 3.0, " moron ": 1.5, " fish ": 0.7}, ("clown fish", "trash can", "fine idiot"), 2.0, -4.0)
+    got = {x.doc_id: x for x in toxicity.score_toxicity(docs(spark, texts), lexicon).collect()}
+    for k, t in enumerate(texts):
+        want = plain_score(lexicon, t)
+        assert abs(got[k].score - want) < 1e-12 and got[k].predicted == int(want >= 0.5)
+    assert {got[k].predicted for k in got} == {0, 1}
+
+
+def test_every_significant_term_is_looked_at(spark):
+    """A term that many toxic and few harmless documents have, among thousands that three toxic ones alone have."""
+    noise = [" ".join(f"n{k}x{j}" for j in range(400)) for k in range(60)]
+    toxic = [f"{noise[k // 3]} blockhead" for k in range(180)]
+    fine = ["plain words of no harm", *["plain words"] * 2000, *["a blockhead of sorts"] * 60]
+    df = docs(spark, [*toxic, *fine])
+    labels = spark.createDataFrame([(k, 1, int(k < 180)) for k in range(180 + len(fine))], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit_lexicon(df, labels, entries=20)
+    assert any(e.startswith(" block") for e in lexicon.weights) and len(lexicon.weights) <= 20
+
+
 def test_toxicity_without_labels(spark):
     df = docs(spark, ["a b", None])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
