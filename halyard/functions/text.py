@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +16,12 @@ def extension(name: Column) -> Column:
 
 def family(mime: Column, name: Column) -> Column:
     """jpeg, png, heif, avif, webp or other, by the MIME type and the extension, the first rule that fits."""
-    m, e = F.lower(F.coalesce(mime, F.lit(""))), F.lower(extension(name))
-    out = F.when(m.contains("jpeg") | m.contains("jpg") | e.isin("jpeg", "jpg"), "jpeg")
-    out = out.when(m.contains("png") | e.isin("png", "jpng"), "png")
-    out = out.when(m.contains("hei") | e.isin("heic", "heif"), "heif")
-    return out.when(m.contains("avif") | (e == "avif"), "avif").when(m.contains("webp") | (e == "webp"), "webp").otherwise("other")
+    m, n = F.lower(F.coalesce(mime, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    ends = lambda *names: reduce(or_, (n.endswith("." + x) for x in names))  # noqa: E731  as extension() says, without a pattern
+    out = F.when(m.contains("jpeg") | m.contains("jpg") | ends("jpeg", "jpg"), "jpeg")
+    out = out.when(m.contains("png") | ends("png", "jpng"), "png")
+    out = out.when(m.contains("hei") | ends("heic", "heif"), "heif")
+    return out.when(m.contains("avif") | ends("avif"), "avif").when(m.contains("webp") | ends("webp"), "webp").otherwise("other")
 
 
 def output_name(title: Column, ext: Column, suffix: Column, now_ms: Column) -> Column:

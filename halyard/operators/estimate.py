@@ -20,9 +20,15 @@ def one_of(c: Column, values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[c]
 
 
+def once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """``keep`` and the columns, as a generator of one row: no filter or use of a column is moved below it, so what a column
+    stands for is in the generated code once."""
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def items(assets: DataFrame, alpha: Column | None = None) -> DataFrame:
     """id, pixels, source_bytes, family, has_alpha of assets."""
-    return assets.select("id", pixels(F.col("width"), F.col("height")).alias("pixels"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("source_bytes"), family(F.col("mime_type"), F.col("title")).alias("family"), (F.lit(False) if alpha is None else alpha).alias("has_alpha"))
+    return once(assets, ["id"], pixels(F.col("width"), F.col("height")).alias("pixels"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("source_bytes"), family(F.col("mime_type"), F.col("title")).alias("family"), (F.lit(False) if alpha is None else alpha).alias("has_alpha"))
 
 
 def quality_factor(quality: int) -> float:
@@ -69,13 +75,22 @@ def prior(df: DataFrame, target: str, quality: int) -> DataFrame:
     return df.agg(F.coalesce(F.sum(predicted(target, quality)), F.lit(0)).alias("p")).select(*_band(F.col("p").cast("double"), F.lit(0.45), F.lit(0.25)))
 
 
+def by_stratum(df: DataFrame, target: str, quality: int) -> DataFrame:
+    """family, tier, e: the model's bytes of each stratum. All that calibrates the model depends on a row's stratum alone,
+    so one pass with partial sums leaves 24 rows at most, which later steps join."""
+    rows = strata(df.select("pixels", "source_bytes", "family", "has_alpha"))
+    return rows.groupBy("family", "tier").agg(F.sum(predicted(target, quality)).alias("e"))
+
+
 def calibrated(df: DataFrame, samples: DataFrame, target: str, quality: int) -> DataFrame:
     """One row: the model times what samples (pixels, source_bytes, family, predicted, actual) show.
 
     Ratios beyond a third or three times their median are left out. An item takes the factor of its family and tier
     if two samples have both, else its tier's, else the common one; all three come from one pass over grouping
-    sets. Without a usable sample it is the prior. Samples are few by design; the factors, at most 29 rows, are broadcast."""
-    usable = strata(samples.filter(F.col("predicted") > 0)).withColumn("ratio", F.col("actual") / F.col("predicted").cast("double"))
+    sets. Without a usable sample it is the prior. The medians are exact, so one task counts the samples' distinct
+    ratios; samples are what a stratified sample takes. The factors, at most 29 rows, are broadcast."""
+    ratio = F.when(F.col("predicted") > 0, F.col("actual") / F.col("predicted").cast("double"))
+    usable = once(strata(samples), [], F.col("family"), F.col("tier"), F.col("predicted"), F.col("actual"), ratio.alias("ratio")).filter("ratio is not null")
     middle = usable.agg(F.median("ratio").alias("med"))
     kept = usable.crossJoin(F.broadcast(middle)).filter((F.col("med") > 0) & F.col("ratio").between(F.col("med") / 3, F.col("med") * 3))
     sums = kept.groupingSets([["family", "tier"], ["tier"], []], "family", "tier").agg(F.sum("actual").alias("a"), F.sum("predicted").alias("p"), F.count(F.lit(1)).alias("n"), F.grouping_id("family", "tier").alias("g"))
@@ -87,27 +102,24 @@ def calibrated(df: DataFrame, samples: DataFrame, target: str, quality: int) ->
     rel = F.when(F.col("common") > 0, clamp(F.col("mad") / F.col("common"), 0.0, 1.0)).otherwise(0.5)
     half = clamp(rel / F.sqrt(F.col("n_kept").cast("double")), 0.04, 0.5)
     spread = spread.select(F.col("common"), half.alias("half"))
-    each = strata(df).withColumn("e", predicted(target, quality)).join(F.broadcast(fine), ["family", "tier"], "left").join(F.broadcast(coarse), "tier", "left").crossJoin(F.broadcast(spread))
-    total = each.agg(F.sum("e").alias("p"), F.count(F.lit(1)).alias("rows"), _exact_sum(F.col("e") * F.coalesce("fine", "coarse", "common")).alias("x"))
-    joined = total.crossJoin(F.broadcast(spread))
-    usable_half = F.when(F.col("common").isNotNull(), F.col("half"))
+    each = by_stratum(df, target, quality).join(F.broadcast(fine), ["family", "tier"], "left").join(F.broadcast(coarse), "tier", "left").crossJoin(F.broadcast(spread))
+    total = each.agg(F.sum("e").alias("p"), F.first("common").alias("common"), F.first("half").alias("half"), _exact_sum(F.col("e") * F.coalesce("fine", "coarse", "common")).alias("x"))
+    known = F.col("common").isNotNull()
     plain = F.coalesce(F.col("p"), F.lit(0)).cast("double")
-    expected = F.when(usable_half.isNotNull(), F.col("x")).otherwise(plain)
-    confidence = F.when(usable_half.isNotNull(), clamp(1 - F.col("half"), 0.0, 0.97)).otherwise(0.25)
-    return joined.select(*_band(expected, F.coalesce(usable_half, F.lit(0.45)), confidence))
+    confidence = F.when(known, clamp(1 - F.col("half"), 0.0, 0.97)).otherwise(0.25)
+    return total.select(*_band(F.when(known, F.col("x")).otherwise(plain), F.when(known, F.col("half")).otherwise(0.45), confidence))
 
 
 def anchored(df: DataFrame, anchor_id: str, actual: Column | int, target: str, quality: int) -> DataFrame:
     """One row: the model corrected by one encoded item, the more the closer an item's family and tier are to its."""
-    each = strata(df).withColumn("e", predicted(target, quality))
     ratio = F.col("actual") / F.col("e").cast("double")
     ok = (F.col("e") > 0) & (F.col("actual") > 0)
-    anchor = each.filter(F.col("id") == anchor_id).withColumn("actual", F.lit(actual).cast("long"))
+    anchor = strata(df.filter(F.col("id") == anchor_id)).withColumn("e", predicted(target, quality)).withColumn("actual", F.lit(actual).cast("long"))
     anchor = anchor.limit(1).agg(F.first("family").alias("a_family"), F.first("tier").alias("a_tier"), F.first(F.when(ok, clamp(ratio, 0.2, 5.0))).alias("ratio"))
     apart = F.abs(F.col("tier") - F.col("a_tier"))
     same = F.col("family") == F.col("a_family")
     weight = F.when(same & (apart == 0), 0.9).when(same & (apart == 1), 0.6).when(apart == 0, 0.5).when(apart == 1, 0.35).otherwise(0.22)
-    sums = each.crossJoin(F.broadcast(anchor)).agg(F.first("ratio").alias("ratio"), F.sum("e").alias("p"), _exact_sum(F.col("e") * (1 + (F.col("ratio") - 1) * weight)).alias("x"))
+    sums = by_stratum(df, target, quality).crossJoin(F.broadcast(anchor)).agg(F.first("ratio").alias("ratio"), F.sum("e").alias("p"), _exact_sum(F.col("e") * (1 + (F.col("ratio") - 1) * weight)).alias("x"))
     known = F.col("ratio").isNotNull()
     plain = F.coalesce(F.col("p"), F.lit(0)).cast("double")
     return sums.select(*_band(F.when(known, F.col("x")).otherwise(plain), F.when(known, 0.22).otherwise(0.45), F.when(known, 0.55).otherwise(0.25)))
@@ -137,19 +149,29 @@ def eta_seconds(df: DataFrame, anchor_id: str, anchor_ms: int) -> DataFrame:
 
 def stratified_sample(df: DataFrame, cap: int, index: str = "idx") -> DataFrame:
     """At most ``cap`` items, a turn each from every stratum in the order they first appear, inside one largest, smallest,
-    next largest, and so on by pixels. ``place`` is the order taken."""
+    next largest, and so on by pixels. ``place`` is the order taken; where all items are taken, the index's.
+
+    Of a stratum at most ``cap`` items can be taken, half of them from each end of its order, so each task passes on
+    that many from each end only."""
     rows = strata(df)
-    by_size = Window.partitionBy("family", "tier").orderBy("pixels", index)
-    whole = Window.partitionBy("family", "tier")
-    i, n = F.row_number().over(by_size), F.count(F.lit(1)).over(whole)
-    rows = rows.withColumn("turn", F.least(2 * (n - i), 2 * (i - 1) + 1)).withColumn("first", F.min(index).over(whole))
     if cap <= 0:
-        return rows.limit(0).withColumn("place", F.lit(0).cast("long")).drop("turn", "first")
-    total = df.count()
-    order = [F.col(index)] if cap >= total else [F.col("turn"), F.col("first")]
-    taken = rows.orderBy(*order).limit(cap)
-    # the rows are at most cap, so one task numbers them
-    return taken.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")).drop("turn", "first")
+        return rows.limit(0).withColumn("place", F.lit(0).cast("long"))
+    ends, key = cap // 2 + 1, ["family", "tier"]
+    largest = Window.partitionBy(*key).orderBy(F.col("pixels").desc(), F.col(index).desc())
+    smallest = Window.partitionBy(*key).orderBy("pixels", index)
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("first"))
+    top = rows.withColumn("at", F.row_number().over(largest)).filter(F.col("at") <= ends).withColumn("turn", 2 * (F.col("at") - 1))
+    low = rows.withColumn("at", F.row_number().over(smallest)).filter(F.col("at") <= ends).withColumn("turn", 2 * (F.col("at") - 1) + 1)
+    both = top.unionByName(low).join(F.broadcast(counts), key)  # one row a stratum, at most 24
+    # an item near both ends has two turns, of which the earlier holds
+    reached = F.when(F.col("turn") % 2 == 0, 2 * (F.col("n") - F.col("at")) + 1).otherwise(2 * (F.col("n") - F.col("at")))
+    both = both.filter(F.col("turn") < reached)
+    total = counts.agg(F.sum("n").alias("total"))
+    whole = F.when(F.col("total") <= cap, F.col(index))
+    order = [whole.asc(), F.col("turn"), F.col("first")]
+    # what is left is at most 24 times cap rows, of which one task takes and numbers cap
+    taken = both.crossJoin(F.broadcast(total)).orderBy(*order).limit(cap)
+    return taken.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")).select(*rows.columns, "place")
 
 
 def estimate(assets: DataFrame, selection: DataFrame, choice: str, quality: int, capabilities: dict[str, bool], anchor: tuple[str, int, int] | None = None) -> DataFrame:

@@ -6,10 +6,11 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.schema import IMAGE, MIB, VIDEO
+from halyard.scratch import numbered
 
 # Size buckets (lower, upper) and the needles of a format.
 BUCKETS = {"any": (None, None), "small": (None, MIB), "medium": (MIB, 10 * MIB), "large": (10 * MIB, None)}
@@ -164,16 +165,8 @@ def client_view(loaded: DataFrame, view: View, position: str = "position") -> Da
 
 
 def positions(assets: DataFrame, p: Parameters) -> DataFrame:
-    """The view's rows with their place from 0. A range sort numbers each part, and the parts' sizes, one row each,
-    shift them: no task sees the whole view."""
-    parts = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = order_of(p)
-    ranged = matching(assets, p).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    inside = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    return inside.join(shifts, "__part").withColumn("position", F.col("__shift") + F.col("__row") - 1).drop("__part", "__row", "__shift")
+    """The view's rows with their place from 0."""
+    return numbered(matching(assets, p), order_of(p))
 
 
 def type_lock(placed: DataFrame, selection: DataFrame) -> DataFrame:

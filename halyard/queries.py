@@ -391,12 +391,36 @@ def debounced_changes(spark, sf_dir):
     return tasks.debounced_batch(changes, 3_600_000).select("key", F.unix_millis("started").alias("started"), F.unix_millis("last").alias("last"), "changes")
 
 
-@register("run_selection", f"WITH {ASSETS_SQL}, placed AS (SELECT id, type, row_number() OVER (ORDER BY created_date DESC, id) - 1 AS pos FROM assets) SELECT id FROM placed WHERE pos BETWEEN 20 AND 90 AND type = (SELECT type FROM placed WHERE pos = 90) UNION SELECT id FROM placed WHERE pos < 3")
+PLACED_SQL = f"{ASSETS_SQL}, placed AS (SELECT id, type, row_number() OVER (ORDER BY created_date DESC, id) - 1 AS position FROM assets)"
+
+
+@register("all_positions", f"WITH {PLACED_SQL} SELECT id, type, position FROM placed")
+def all_positions(spark, sf_dir):
+    return view.positions(assets(spark, sf_dir), planned(View())).select("id", "type", "position")
+
+
+@register("run_selection", f"WITH {PLACED_SQL} SELECT id FROM placed WHERE position BETWEEN 20 AND 90 AND type = (SELECT type FROM placed WHERE position = 90) UNION SELECT id FROM placed WHERE position < 3")
 def run_selection(spark, sf_dir):
     placed = view.positions(assets(spark, sf_dir), planned(View()))
     return view.select_run(placed, placed.filter("position < 3"), 90, 20)
 
 
+@register("middle_run", f"WITH {PLACED_SQL} SELECT id FROM placed WHERE position BETWEEN 700 AND 1400 AND type = (SELECT type FROM placed WHERE position = 700) UNION SELECT id FROM placed WHERE position BETWEEN 690 AND 710")
+def middle_run(spark, sf_dir):
+    """A drag through the middle of the view, away from the first range."""
+    placed = view.positions(assets(spark, sf_dir), planned(View()))
+    return view.select_run(placed, placed.filter("position between 690 and 710"), 700, 1400)
+
+
+@register("last_shared", f"WITH {PLACED_SQL} SELECT id, position FROM placed WHERE id IN (SELECT id FROM placed WHERE cast(id AS bigint) > (SELECT max(cast(id AS bigint)) - 500 FROM placed)) ORDER BY position LIMIT 12")
+def last_shared(spark, sf_dir):
+    """What is shared of a selection that lies anywhere in the view: its first twelve by place."""
+    rows = assets(spark, sf_dir)
+    newest = rows.agg((F.max(F.col("id").cast("long")) - 500).alias("from"))
+    chosen = rows.join(F.broadcast(newest), F.col("id").cast("long") > F.col("from"), "left_semi").select("id")
+    return view.shared(view.positions(rows, planned(View())), chosen).select("id", "position")
+
+
 @register("name_search", "SELECT p_partkey, p_name AS name FROM part WHERE lower(p_name) LIKE '%blue%'")
 def name_search(spark, sf_dir):
     return view.named(read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")), " BLUE")
