@@ -203,16 +203,59 @@ def webp_has_alpha(data: bytes) -> bool:
         return True
 
 
+def gif_has_alpha(data: bytes) -> bool:
+    """Whether the first frame names a transparent colour; True where the blocks break off before a frame."""
+    try:
+        flags = data[10]
+        at = 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+        while data[at] == 0x21:  # extensions
+            if data[at + 1] == 0xF9 and data[at + 3] & 1:
+                return True
+            at += 2
+            while data[at]:
+                at += 1 + data[at]
+            at += 1
+        return data[at] != 0x2C
+    except IndexError:
+        return True
+
+
+def bmp_has_alpha(data: bytes) -> bool:
+    """Only 32 bits a pixel have room for alpha."""
+    try:
+        return struct.unpack_from("<H", data, 28)[0] == 32
+    except struct.error:
+        return True
+
+
+def tiff_has_alpha(data: bytes) -> bool:
+    """Whether a pixel has a sample more than its colours, by the first directory; True where that cannot be read."""
+    try:
+        order = "<" if data[:2] == b"II" else ">"
+        (at,) = struct.unpack_from(order + "I", data, 4)
+        (n,) = struct.unpack_from(order + "H", data, at)
+        tags = {}
+        for k in range(n):
+            tag, kind, _ = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+            (tags[tag],) = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, at + 10 + 12 * k)
+        colours = {0: 1, 1: 1, 2: 3, 3: 1, 5: 4, 6: 3}.get(tags[262], 3)
+        return tags.get(277, 1) > colours
+    except (struct.error, KeyError):
+        return True
+
+
+ALPHA = {"png": png_has_alpha, "webp": webp_has_alpha, "gif": gif_has_alpha, "bmp": bmp_has_alpha, "tiff": tiff_has_alpha}
+
+
 @F.pandas_udf(T.BooleanType())
 def _alpha(kind: pd.Series, data: pd.Series) -> pd.Series:
-    read = {"png": png_has_alpha, "webp": webp_has_alpha}
-    return pd.Series([read[k](bytes(d)) if k in read and d is not None else k in ("gif", "tiff", "bmp") for k, d in zip(kind, data, strict=True)])
+    return pd.Series([k in ALPHA and d is not None and ALPHA[k](bytes(d)) for k, d in zip(kind, data, strict=True)])
 
 
 def has_alpha(data: Column) -> Column:
     """False for jpeg, heic, avif and unknown; for the rest read from the headers, True where they cannot be read."""
     kind = sniffed(data)
-    return F.when(kind.isin("jpeg", "heic", "avif", "unknown"), F.lit(False)).otherwise(_alpha(kind, data))
+    return F.when(kind.isin(*ALPHA), _alpha(kind, data)).otherwise(F.lit(False))
 
 
 def metadata_summary(tags: Column) -> Column:

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from halyard.schema import ASSET_DEFAULTS, ASSETS
 
 
-def upsert(table: DataFrame, rows: DataFrame, supplied: list[str] | None = None, defaults: dict | None = None) -> DataFrame:
+def upsert(table: DataFrame, rows: DataFrame, supplied: list[str] | None = None, defaults: dict | None = None, order: str | None = None) -> DataFrame:
     """``rows`` inserted; where an id exists, only the ``supplied`` columns are replaced, by null too if given so.
 
     Columns that ``rows`` leaves out keep their old value, or take the default in a new row. Of rows that repeat an
-    id, the greatest wins. One join on the id; both sides are hashed alike, so a table bucketed by id needs no shuffle."""
-    supplied = [c for c in (supplied or rows.columns) if c != "id"]
+    id, the last by the column ``order`` wins, which is not stored; among equals, and without it, the greatest. One join
+    on the id; both sides are hashed alike, so a table bucketed by id needs no shuffle."""
+    supplied = [c for c in (supplied or rows.columns) if c not in ("id", order)]
     defaults = ASSET_DEFAULTS if defaults is None else defaults
     packed = F.struct(*[F.col(c) for c in supplied]) if supplied else F.lit(True)
-    new = rows.groupBy("id").agg(F.max(packed).alias("__new")) if supplied else rows.select("id").distinct().withColumn("__new", packed)
+    last = F.max(packed) if order is None else F.max_by(packed, F.struct(F.col(order), packed))
+    new = rows.groupBy("id").agg(last.alias("__new")) if supplied else rows.select("id").distinct().withColumn("__new", packed)
     old = table.withColumn("__old", F.lit(True))
     both = old.join(new, "id", "full_outer")
     out = [F.col("id")]

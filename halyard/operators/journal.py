@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from halyard.functions.numbers import days_remaining, retention_cutoff
 from halyard.schema import COMMITTED, PENDING, RETENTION_DAYS, TRASH_DEFAULTS
+from halyard.scratch import spooled
+from halyard.sources.backups import delete_backups, read_backups
+from halyard.sources.catalog import VersionedTable, append_gallery
 
 
 class DuplicateKey(ValueError):
@@ -61,9 +64,42 @@ def empty_all(journal: DataFrame) -> DataFrame:
     return journal.filter(F.col("state") != COMMITTED)
 
 
-def restore(journal: DataFrame, restored: DataFrame) -> DataFrame:
-    """Entries whose assets were re-created go; failed ones stay."""
-    return journal.join(restored.filter("ok"), "id", "left_anti")
+def restorable(journal: DataFrame, ids: DataFrame, files: DataFrame) -> DataFrame:
+    """Gallery rows of the wanted entries whose backup ``files(backup_path, content)`` still holds: the original's name,
+    time and place. Entries without a name are called restored; a time of 0 is none."""
+    created = F.when(F.col("created_date_ms") > 0, F.timestamp_millis("created_date_ms"))
+    wanted = journal.join(ids.select("id").distinct(), "id", "left_semi").filter("backup_path <> ''").join(files, "backup_path")
+    return wanted.select("id", F.coalesce(F.nullif("filename", F.lit("")), F.lit("restored")).alias("title"), "content", created.alias("created"), "latitude", "longitude", "backup_path")
+
+
+def restore(table: VersionedTable, ids: DataFrame, backup_folder: str, gallery: str) -> DataFrame:
+    """Re-creates the wanted entries' originals in the gallery from their backups, then drops what was re-created from the
+    journal and deletes its backups: (id, ok) of the wanted ids. One whose backup is gone stays in the journal.
+
+    The gallery is written first, then the journal, the files last: a job that stops in between loses nothing."""
+    before, spark = table.read(), table.spark
+    rows = spooled(restorable(before, ids, read_backups(spark, backup_folder)), "restored")
+    append_gallery(rows, gallery)
+    table.write(before.join(rows, "id", "left_anti"))
+    delete_backups(rows).collect()
+    return ids.select("id").distinct().join(rows.select("id", F.lit(True).alias("ok")), "id", "left").select("id", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+
+def drop_entries(table: VersionedTable, ids: DataFrame) -> DataFrame:
+    """Drops entries for ever, with their backups; one row: how many backups were deleted. Unknown ids do nothing."""
+    before = table.read()
+    left, paths = drop(before, ids)
+    table.write(left)
+    return delete_backups(paths)
+
+
+def launch_sweep(table: VersionedTable, as_of: Column, days: int = RETENTION_DAYS) -> DataFrame:
+    """The job that runs once at a start: expired entries go, with their backups; one row: how many went."""
+    before = table.read()
+    left, count = purge(before, as_of, days)
+    table.write(left)
+    delete_backups(before.filter(expired(as_of, days))).collect()
+    return count
 
 
 def with_days_remaining(journal: DataFrame, as_of: Column, days: int = RETENTION_DAYS) -> DataFrame:

@@ -16,10 +16,13 @@ EVENT = "task_id long, seq long, ts timestamp, status string"
 
 
 def fold(state: str | None, events: Iterable[str]) -> str | None:
-    """The state after events in order. The first event opens a task. A cancel always holds; an end holds if the task
-    still runs or waits; later starts and ends of a finished task do nothing."""
+    """The state after events in order. Tasks wait at first. A start lets a waiting task run; an error ends one that waits or
+    runs; a task completes only while it runs. A cancel always holds; nothing else changes a finished task."""
     for event in events:
-        if event == "cancelled" or state is None or state not in FINISHED:
+        state = state or "pending"
+        if event == "cancelled":
+            state = event
+        elif state not in FINISHED and (event in ("running", "failed") or (event == "completed" and state == "running")):
             state = event
     return state
 
@@ -30,13 +33,16 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """(task_id, status) by the fold's rules, in one aggregate: a cancel holds; else the first end; else the last event."""
+    """(task_id, status) by the fold's rules: a cancel holds; else the first end, a completion being one only after a start;
+    else running once started. Both aggregates shuffle a row or two a task; only completions are looked at twice."""
     order = F.struct("ts", "seq")
-    end = F.col("status").isin("completed", "failed")
-    cancelled = F.max(F.col("status") == "cancelled")
-    first_end = F.min_by("status", F.when(end, order))
-    last = F.max_by("status", order)
-    return events.groupBy("task_id").agg(F.when(cancelled, F.lit("cancelled")).otherwise(F.coalesce(first_end, last)).alias("status"))
+    is_ = lambda s: F.col("status") == s
+    seen = events.groupBy("task_id").agg(F.coalesce(F.max(is_("cancelled")), F.lit(False)).alias("cancelled"), F.min(F.when(is_("running"), order)).alias("started"), F.min(F.when(is_("failed"), order)).alias("failed"))
+    starts = seen.filter("started is not null").select("task_id", "started")
+    done = events.filter(is_("completed")).join(starts, "task_id").filter(order > F.col("started")).groupBy("task_id").agg(F.min(order).alias("completed"))
+    first_end = F.when(F.col("failed").isNull() & F.col("completed").isNull(), F.lit(None)).when(F.col("completed").isNull() | (F.col("failed") < F.col("completed")), "failed").otherwise("completed")
+    running = F.when(F.col("started").isNotNull(), "running").otherwise("pending")
+    return seen.join(done, "task_id", "left").select("task_id", F.when(F.col("cancelled"), "cancelled").otherwise(F.coalesce(first_end, running)).alias("status"))
 
 
 def shown(states: DataFrame, which: str) -> DataFrame:
@@ -74,12 +80,28 @@ def debounced(changes: DataFrame, quiet: str = "2 seconds") -> DataFrame:
     return changes.groupBy("key", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("changes")).select("key", F.col("w.start").alias("started"), F.col("w.end").alias("settled"), "changes")
 
 
-def debounced_batch(changes: DataFrame, quiet_ms: int = 2000) -> DataFrame:
-    """The same per key, for tables whose single key would be too large for one session window."""
-    w = Window.partitionBy("key").orderBy("ts")
-    gap = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(w))
+def debounced_batch(changes: DataFrame, quiet_ms: int = 2000, span_ms: int = 86_400_000) -> DataFrame:
+    """The same per key for tables: key, started, last, changes.
+
+    A key's changes are cut into spans of time, so one hot key is many tasks' work: runs are found inside each span,
+    and then only the runs of a key, few where changes come in bursts, are joined across spans."""
+    runs = _runs(changes.filter("ts is not null").withColumn("span", F.floor(F.unix_millis("ts") / span_ms)).withColumn("last", F.col("ts")), ["key", "span"], quiet_ms)
+    return _runs(runs, ["key"], quiet_ms).drop("span")
+
+
+def _runs(rows: DataFrame, by: list[str], quiet_ms: int) -> DataFrame:
+    """``by``, started, last, changes of the runs of rows (ts or started, last, changes or one each)."""
+    start = "started" if "started" in rows.columns else "ts"
+    n = F.col("changes") if "changes" in rows.columns else F.lit(1)
+    w = Window.partitionBy(*by).orderBy(start, "last")
+    gap = F.unix_millis(start) - F.unix_millis(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     run = F.sum(F.when(gap.isNull() | (gap > quiet_ms), 1).otherwise(0)).over(w)
-    return changes.withColumn("run", run).groupBy("key", "run").agg(F.min("ts").alias("started"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("changes"))
+    return rows.withColumn("run", run).groupBy(*by, "run").agg(F.min(start).alias("started"), F.max("last").alias("last"), F.sum(n).alias("changes")).drop("run")
+
+
+def newest_results(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """The results (key, seq, ...) of each key's newest request (key, seq); what was overtaken meanwhile is dropped."""
+    return results.join(requests.groupBy("key").agg(F.max("seq").alias("seq")), ["key", "seq"], "left_semi")
 
 
 def with_times(states: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ readers keep what they opened and a lost executor only repeats its part of the w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from halyard.schema import ASSETS, TRASH
+from halyard.schema import ASSETS, SCHEMA_VERSION, TRASH
 
 
 def _path(spark: SparkSession, where: str):
@@ -24,13 +26,20 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, folder: str, schema: StructType):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
-    def versions(self) -> list[int]:
+    def _folders(self) -> list[int]:
+        """Numbers of all versions, whole or not."""
         path, fs = _path(self.spark, self.folder)
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-        done = [n for n in names if n.startswith("v") and fs.exists(_path(self.spark, f"{self.folder}/{n}/_SUCCESS")[0])]
-        return sorted(int(n[1:]) for n in done)
+        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+        return [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)]
+
+    def versions(self) -> list[int]:
+        """Numbers of the whole versions, oldest first."""
+        whole = []
+        for number in sorted(self._folders()):
+            path, fs = _path(self.spark, f"{self.folder}/v{number:08d}/_SUCCESS")
+            if fs.exists(path):
+                whole.append(number)
+        return whole
 
     def read(self) -> DataFrame:
         """The newest version; an empty table before the first."""
@@ -40,8 +49,9 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{known[-1]:08d}")
 
     def write(self, df: DataFrame, sort_by: str | None = None) -> DataFrame:
-        """The next version. Sorted files let a filter on that column skip row groups."""
-        number = (self.versions() or [0])[-1] + 1
+        """The next version. Sorted files let a filter on that column skip row groups. A write that was killed leaves a
+        folder that is never read and whose number is not used again."""
+        number = max(self._folders(), default=0) + 1
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         if sort_by:
             out = out.repartitionByRange(sort_by).sortWithinPartitions(sort_by)
@@ -49,16 +59,32 @@ class VersionedTable:
         return self.read()
 
     def vacuum(self, keep: int = 1) -> list[int]:
-        gone = self.versions()[:-keep] if keep else []
+        """Removes versions before the newest ``keep``, and what killed writes before them left."""
+        whole = self.versions()
+        newest = whole[-keep:] if keep else []
+        gone = [n for n in self._folders() if n < min(newest, default=max(whole, default=0) + 1)]
         for number in gone:
             path, fs = _path(self.spark, f"{self.folder}/v{number:08d}")
             fs.delete(path, True)
-        return gone
+        return sorted(set(gone) & set(whole))
 
 
 def open_tables(spark: SparkSession, folder: str) -> dict[str, VersionedTable]:
-    """The tables of the current schema version: the journal came with version 2."""
-    return {"assets": VersionedTable(spark, f"{folder}/assets", ASSETS), "trash": VersionedTable(spark, f"{folder}/trash", TRASH)}
+    """The tables of the current schema version, migrated to it first. A folder without a version marker is empty or of
+    version 1, which had no journal: it gains an empty one, and its assets stay as they are."""
+    tables = {"assets": VersionedTable(spark, f"{folder}/assets", ASSETS), "trash": VersionedTable(spark, f"{folder}/trash", TRASH)}
+    marker = VersionedTable(spark, f"{folder}/schema", StructType.fromDDL("version int"))
+    if schema_version(marker) < SCHEMA_VERSION:
+        for table in tables.values():
+            if not table.versions():
+                table.write(table.read())
+        marker.write(spark.createDataFrame([(SCHEMA_VERSION,)], marker.schema))
+    return tables
+
+
+def schema_version(marker: VersionedTable) -> int:
+    row = marker.read().agg(F.max("version").alias("version")).first()
+    return row["version"] or 0
 
 
 def fresh_sizes(raw: DataFrame) -> DataFrame:
@@ -75,9 +101,9 @@ def store_sizes(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def resource_sizes(resources: DataFrame) -> DataFrame:
     """(id, size_bytes): of each asset's resources (id, position, kind, size) the first photo, video or audio, else the
-    first of all; only sizes above 0."""
-    main = F.col("kind").isin("photo", "video", "audio")
-    first = F.min_by("size", F.struct(F.when(main, 0).otherwise(1), F.col("position")))
+    first of all, at equal positions the smallest known size; only sizes above 0."""
+    main = F.coalesce(F.col("kind").isin("photo", "video", "audio"), F.lit(False))
+    first = F.min_by("size", F.struct(F.when(main, 0).otherwise(1), F.col("position"), F.col("size").isNull(), F.col("size")))
     return resources.groupBy("id").agg(first.alias("size_bytes")).filter(F.col("size_bytes") > 0)
 
 
@@ -88,15 +114,13 @@ def album_page(assets: DataFrame, membership: DataFrame, album_id: str, start: i
 
 
 def gallery_rows(saved: DataFrame) -> DataFrame:
-    """Rows to append for saved results: coordinates of 0 or with one part missing are none."""
-    lat, lon = F.nullif("latitude", F.lit(0.0)), F.nullif("longitude", F.lit(0.0))
-    both = lat.isNotNull() & lon.isNotNull()
-    return saved.withColumns({"latitude": F.when(both, lat), "longitude": F.when(both, lon)})
+    """Rows to append for saved results: a coordinate of 0 is none, each by itself."""
+    return saved.withColumns({c: F.nullif(c, F.lit(0.0)) for c in ("latitude", "longitude")})
 
 
-def backups(spark: SparkSession, folder: str) -> DataFrame:
-    """(backup_path, content) of the files below ``folder``; reading one that is gone gives no row."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("backup_path"), "content")
+def append_gallery(saved: DataFrame, folder: str) -> None:
+    """Adds saved results (id, title, content, created, latitude, longitude) to a gallery; nothing in it is replaced."""
+    gallery_rows(saved).select("id", "title", "content", "created", "latitude", "longitude").write.mode("append").parquet(folder)
 
 
 class Flags:

@@ -8,7 +8,8 @@ from halyard.operators import journal as J
 from halyard.operators import tasks as T
 from halyard.plans import view as V
 from halyard.schema import ASSETS, TRASH
-from halyard.sources.catalog import VersionedTable, fresh_sizes, open_tables, resource_sizes, store_sizes
+from halyard.sources.backups import read_backups, write_backups
+from halyard.sources.catalog import Flags, VersionedTable, append_gallery, fresh_sizes, open_tables, resource_sizes, store_sizes
 
 
 def assets(spark, *rows):
@@ -78,6 +79,8 @@ def test_size_lookups(spark):
     assert [tuple(r) for r in store_sizes(rows, wanted).collect()] == [("1", 5)]
     parts = spark.createDataFrame([("a", 0, "other", 9), ("a", 1, "photo", 7), ("b", 0, "other", 0)], "id string, position int, kind string, size long")
     assert [tuple(r) for r in resource_sizes(parts).collect()] == [("a", 7)]
+    ties = spark.createDataFrame([("a", 1, "photo", n) for n in (9, 4, None, 6)], parts.schema)
+    assert [tuple(r) for r in resource_sizes(ties).collect()] == [("a", 4)]
 
 
 def test_selection(spark):
@@ -100,9 +103,132 @@ def test_versions(spark, tmp_path):
     assert set(open_tables(spark, str(tmp_path))) == {"assets", "trash"}
 
 
+def test_a_killed_write_does_not_block_the_next(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t", ASSETS)
+    table.write(assets(spark, {"id": "a"}))
+    (tmp_path / "t" / "v00000002").mkdir()
+    (tmp_path / "t" / "v00000002" / "part-0.parquet").write_bytes(b"torn")
+    assert ids(table.read()) == ["a"]
+    table.write(assets(spark, {"id": "b"}))
+    assert table.versions() == [1, 3] and ids(table.read()) == ["b"]
+    assert table.vacuum() == [1] and table.versions() == [3] and not (tmp_path / "t" / "v00000002").exists()
+
+
+def test_migration_adds_the_journal(spark, tmp_path):
+    old = VersionedTable(spark, f"file://{tmp_path}/assets", ASSETS)
+    old.write(assets(spark, {"id": "a", "size_bytes": 5}))
+    tables = open_tables(spark, f"file://{tmp_path}")
+    assert old.versions() == [1] and ids(tables["assets"].read()) == ["a"] and tables["trash"].versions() == [1]
+    tables["trash"].write(J.insert_pending(tables["trash"].read(), entry(spark)))
+    again = open_tables(spark, f"file://{tmp_path}")  # a second opening changes nothing
+    assert again["trash"].versions() == [1, 2] and again["trash"].read().count() == 1
+    assert VersionedTable(spark, f"file://{tmp_path}/schema", again["assets"].schema).versions() == [1]
+
+
+def test_flags(spark, tmp_path):
+    flags = Flags(spark, f"file://{tmp_path}/flags")
+    assert flags.get("seen") is False
+    flags.put("seen", True)
+    flags.put("other", False)
+    assert flags.get("seen") is True and flags.get("other") is False
+    flags.put("seen", False)
+    assert flags.get("seen") is False
+
+
+def test_positions_of_a_large_view(spark, tmp_path):
+    """100,000 rows of several files in 16 parts, all columns kept: places are a permutation in view order."""
+    rows = spark.range(100_000).select(F.col("id").cast("string").alias("id"), (1 + F.col("id") % 2).cast("int").alias("type"), (F.xxhash64("id") % 5000).alias("created_date"), F.lit(0).alias("width"))
+    rows.repartition(11).write.parquet(f"{tmp_path}/rows")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = V.positions(spark.read.parquet(f"{tmp_path}/rows"), V.planned(V.View())).orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r.position for r in placed] == list(range(100_000))
+    assert [r.id for r in placed] == [r.id for r in sorted(placed, key=lambda r: (-r.created_date, r.id))]
+
+
+def test_restore_and_sweep(spark, tmp_path):
+    backups, gallery = f"file://{tmp_path}/backups", f"file://{tmp_path}/gallery"
+    content = spark.createDataFrame([("e", bytearray(b"one")), ("f", bytearray(b"two")), ("n", None)], "id string, content binary")
+    paths = {r.id: r.backup_path for r in write_backups(content, backups).collect()}
+    assert set(paths) == {"e", "f"} and {bytes(r.content) for r in read_backups(spark, backups).collect()} == {b"one", b"two"}
+    table = VersionedTable(spark, f"file://{tmp_path}/trash", TRASH)
+    rows = [entry(spark, id=k, backup_path=paths.get(k, f"{backups}/none.bin"), filename="" if k == "e" else k, created_date_ms=0 if k == "e" else 1000, latitude="0" if k == "e" else "1.5", longitude="2.5") for k in ("e", "f", "g")]
+    book = J.insert_pending(table.read(), rows[0].union(rows[1]).union(rows[2]))
+    table.write(book)
+    wanted = spark.createDataFrame([("e",), ("g",), ("unknown",)], "id string")
+    assert {r.id: r.ok for r in J.restore(table, wanted, backups, gallery).collect()} == {"e": True, "g": False, "unknown": False}
+    assert sorted(ids(table.read())) == ["f", "g"] and [bytes(r.content) for r in read_backups(spark, backups).collect()] == [b"two"]
+    saved = spark.read.parquet(gallery).collect()
+    assert [(r.title, bytes(r.content), r.created, r.latitude, r.longitude) for r in saved] == [("restored", b"one", None, None, 2.5)]
+    append_gallery(spark.read.parquet(gallery).withColumn("content", F.lit(b"new")), gallery)
+    assert sorted(bytes(r.content) for r in spark.read.parquet(gallery).collect()) == [b"new", b"one"]  # nothing is overwritten
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    table.write(J.mark_committed(J.mark_committed(table.read(), "f", 1000), "g", 1_706_600_000_000))
+    assert J.launch_sweep(table, as_of).first()["purged"] == 1 and ids(table.read()) == ["g"]
+    assert read_backups(spark, backups).count() == 0
+    assert J.drop_entries(table, spark.createDataFrame([("g",), ("x",)], "id string")).first()["deleted"] == 0 and table.read().count() == 0
+
+
+def test_last_row_of_a_repeated_id_wins(spark):
+    rows = assets(spark, {"id": "a", "title": "old"})
+    new = spark.createDataFrame([("a", "z", 1), ("a", "b", 2), ("c", "y", 5), ("c", "q", 4)], "id string, title string, at int")
+    out = {r.id: r.title for r in C.upsert(rows, new, order="at").collect()}
+    assert out == {"a": "b", "c": "y"} and C.upsert(rows, new, order="at").columns == rows.columns
+
+
+def test_ingest_and_small_parts(spark):
+    rows = assets(spark, {"id": "a"}, {"id": "b"})
+    source = spark.createDataFrame([("c", 1, "t"), ("d", 2, "u")], "id string, type int, title string")
+    sizes = spark.createDataFrame([("c", 7), ("d", 8), ("a", 9)], "id string, size_bytes long")
+    out = {r.id: r.size_bytes for r in C.ingest(rows, source, spark.createDataFrame([("c",), ("x",)], "id string"), sizes).collect()}
+    assert out == {"a": None, "b": None, "c": 7}
+    assert sorted(ids(V.all_ids(rows.union(rows)))) == ["a", "b"] and C.remaining_total(3, 5) == 0
+    assert C.intersects(rows, source.select("id").union(rows.select("id"))) and not C.intersects(rows, source)
+    assert V.View(sort="largest").any_active and V.View(size="small").needs_sizes and not V.View().any_active and not V.View(format="jpeg").needs_sizes
+
+
+def test_newest_results(spark):
+    requests = spark.createDataFrame([("a", 1), ("a", 3), ("b", 1)], "key string, seq int")
+    results = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 1, "z"), ("c", 1, "w")], "key string, seq int, out string")
+    assert sorted(r.out for r in T.newest_results(requests, results).collect()) == ["y", "z"]
+
+
+def test_processed_items(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"ab")), (2, None), (3, bytearray(b"bad"))], "id long, data binary")
+
+    def work(data):
+        if data == b"bad":
+            raise ValueError("no")
+        return data[::-1]
+
+    out = {r.id: (r.status, r.result and bytes(r.result)) for r in T.processed(rows, work, "long").collect()}
+    assert out[1] == ("saved", b"ba") and out[2] == ("skipped", None) and out[3][0] == "failed"
+
+
+def test_debounce_across_spans(spark):
+    import datetime as dt
+
+    r = __import__("random").Random(3)
+    at = sorted(r.choice([0, 40, 90, 200]) * 86_400 + r.randrange(20_000) for _ in range(300))
+    base = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("k", base + dt.timedelta(seconds=s)) for s in at] + [("k", None)], "key string, ts timestamp")
+    runs = [[at[0]]]
+    for s in at[1:]:
+        if s - runs[-1][-1] <= 60:
+            runs[-1].append(s)
+        else:
+            runs.append([s])
+    want = sorted((base + dt.timedelta(seconds=x[0]), base + dt.timedelta(seconds=x[-1]), len(x)) for x in runs)
+    for span in (30_000, 3_600_000, 10**12):
+        assert sorted((x.started, x.last, x.changes) for x in T.debounced_batch(rows, 60_000, span).collect()) == want
+
+
 def entry(spark, **given):
     row = {"id": "e", "original_asset_id": "o", "original_bytes": 5_000_000, "new_bytes": 1_200_000, "user_album_ids": '["alb1","alb2"]', "backup_path": "/b/e"} | given
-    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'string'}" for k, v in row.items()))
+    row |= {k: float(row[k]) for k in ("latitude", "longitude") if k in row}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'double' if isinstance(v, float) else 'string'}" for k, v in row.items()))
 
 
 def test_journal(spark):
@@ -121,13 +247,13 @@ def test_journal(spark):
     assert J.purge(book, as_of)[0].count() == 1 and J.empty_all(done.unionByName(book)).count() == 1
     rest, files = J.drop(done, spark.createDataFrame([("e",), ("x",)], "id string"))
     assert rest.count() == 0 and files.first()[0] == "/b/e"
-    assert J.restore(done, spark.createDataFrame([("e", False)], "id string, ok boolean")).count() == 1
 
 
 def test_task_fold(spark):
     assert T.fold(None, ["running", "failed", "completed"]) == "failed"
     assert T.fold(None, ["running", "completed", "cancelled", "failed"]) == "cancelled"
     assert T.fold("completed", ["running"]) == "completed"
+    assert T.fold(None, ["pending", "completed"]) == "pending" and T.fold(None, ["completed", "running"]) == "running"
     import datetime as dt
 
     rows, truth = [], {}
