@@ -13,12 +13,15 @@ Equal rows are separate documents. Other columns pass through untouched if the c
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.shared import stored
+from halyard.scratch import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3  # no document and no source is taken more often than this
@@ -29,24 +32,84 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = MOST, share: float = 1.0) -> DataFrame:
-    """source, source_size, weight, target of ``sized(source, size)``.
+    """source, place, source_size, source_docs, weight, target of ``sized(source, size)``, one stored row a source.
 
     The sources, by code point and null last, weigh ``weights`` in turn and share ``share`` of all sizes.
     A target stops at ``most`` times its source's size and the excess is dealt out by weight until none
-    is above: sorted by cap over weight, a first run of sources sits at its caps and the rest share
-    the remainder, which two running sums find. The windows run over one row a source."""
-    one = Window.orderBy(F.col("source").asc_nulls_last())
-    level = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    after, before = level.rowsBetween(Window.currentRow, Window.unboundedFollowing), level.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(one) - 1) % len(weights) + 1))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    per = per.withColumn("free", (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    # sources up to the first that stays below its cap are full; all later ones share that one's level
-    per = per.withColumn("water", F.min(F.when(F.col("free") * F.col("weight") <= F.col("cap"), F.struct(F.row_number().over(level).alias("at"), "free"))).over(whole)["free"])
-    per = per.withColumn("target", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("cap", F.coalesce(F.col("water"), F.lit(float("inf"))) * F.col("weight"))))
-    return per.select("source", "source_size", "weight", "target")
+    is above: with the targets ``min(cap, level * weight)``, the level rises from that at which none stops until
+    their sum is reached, each step at the rate of those that have not stopped. A step is one sum over the
+    sources; the driver holds the level alone."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    per = numbered(per, [F.col("source").asc_nulls_last()], "place")
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    per = stored(per.withColumn("cap", F.col("source_size") * F.lit(float(most))), "sources")
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level = 0.0
+    while True:
+        stopped = F.col("cap") <= F.lit(level) * F.col("weight")
+        sums = per.agg(F.sum(F.when(stopped, F.col("cap"))).alias("full"), F.sum(F.when(~stopped, F.col("weight"))).alias("free")).first()
+        if not sums["free"]:
+            break
+        risen = (total - (sums["full"] or 0.0)) / sums["free"]
+        if risen <= level * (1 + 1e-15):
+            break
+        level = risen
+    return per.select("source", "place", "source_size", "source_docs", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
+
+
+def divisor(votes: DataFrame, seats: int, lanes: int = 64) -> tuple[float, int]:
+    """(d, left): above the divisor ``d`` lie all but ``left`` of the ``seats`` highest quotients vote / (2k + 1) of
+    ``votes(target)``; the rest lie at the next smaller number.
+
+    Between two bounds ``lanes`` divisors are tried at once, whose seats one pass over the parties counts."""
+
+    def counter(tried: np.ndarray):
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(tried))
+            for batch in batches:
+                for v in np.array_split(batch["target"].to_numpy(float), len(batch) // 4096 + 1):
+                    total += seats_above(v[:, None], tried[None, :]).sum(axis=0)
+            yield pd.DataFrame({"lane": np.arange(len(tried)), "n": total.astype(np.int64)})
+
+        return votes.mapInPandas(count, "lane int, n long").groupBy("lane").agg(F.sum("n").alias("n"))
+
+    ends = votes.agg(F.max("target").alias("top"), F.sum("target").alias("sum"), F.count(F.lit(1)).alias("n")).first()
+    # rounding moves the sum of seats by half a seat a party at most
+    low, high = ends["sum"] / (2 * seats + ends["n"] + 1), ends["sum"] / (2 * seats - ends["n"] - 1) if 2 * seats > ends["n"] + 1 else 2 * ends["top"]
+    low, high, at_high = low * 0.999, max(high, low) * 1.001, 0
+    while np.nextafter(low, high) < high:
+        tried = np.unique(np.linspace(low, high, lanes + 2)[1:-1])
+        tried = tried[(tried > low) & (tried < high)]
+        tried = tried if len(tried) else np.array([np.nextafter(low, high)])
+        found = {r["lane"]: r["n"] for r in counter(tried).collect()}
+        counts = np.array([found.get(k, 0) for k in range(len(tried))])
+        if (counts == seats).any():
+            return float(tried[int(np.argmax(counts == seats))]), 0
+        above = int((counts > seats).sum())  # counts fall as divisors rise
+        if above < len(tried):
+            high, at_high = float(tried[above]), int(counts[above])
+        if above:
+            low = float(tried[above - 1])
+    return high, seats - at_high
+
+
+def seats_above(votes, d):
+    """How many quotients votes / (2k + 1) are above the divisor, for numpy."""
+    return np.ceil(votes / (2 * d) - 0.5).clip(0)
+
+
+def source_quotas(sources: DataFrame, seats: int) -> DataFrame:
+    """The sources with ``quota``, their seats by the highest quotients, ties to the earlier source."""
+    some = sources.filter("target > 0").select("target")
+    if seats <= 0 or not some.limit(1).count():
+        return sources.withColumn("quota", F.lit(0).cast("long"))
+    d, left = divisor(some, seats)
+    won = F.greatest(F.ceil(F.col("target") / F.lit(2 * d) - 0.5), F.lit(0)).cast("long")
+    out = sources.withColumn("quota", won)
+    if left:  # the last seats are equal quotients
+        tied = out.filter("target > 0").orderBy((F.col("target") / (2 * F.col("quota") + 1)).desc(), "place").limit(left)
+        out = out.join(tied.select("place", F.lit(1).cast("long").alias("more")), "place", "left").withColumn("quota", F.col("quota") + F.coalesce("more", F.lit(0))).drop("more")
+    return out
 
 
 def sainte_lague(votes: np.ndarray, seats: int, limit: np.ndarray | None = None) -> np.ndarray:
@@ -74,25 +137,25 @@ def sainte_lague(votes: np.ndarray, seats: int, limit: np.ndarray | None = None)
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, block_words: int = 64, shard_words: int = 1 << 24, most: int = MOST, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, block_words: int = 64, shard_words: int = 1 << 24, shard_docs: int = 1 << 20, most: int = MOST, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, shard, quota of ``docs(doc_id, text, source)``.
 
-    The texts are read once; only ids and sizes are shuffled. A hot source is cut into as many shards as its size asks for.
-    The driver holds one row a (source, shard), so one for each source and each 16 million words."""
-    spark = docs.sparkSession
+    The texts are read once; only ids and sizes are shuffled. A hot source is cut into as many shards as its words and
+    documents ask for. Quotas stay rows of tables; the driver sees sums only."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("tie"))
     sized = stored(sized, "sizes")
-    per_source = source_targets(sized, weights, most, share).withColumn("n_shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long"))
-    s, d = per_source.alias("s"), sized.alias("d")
-    dealt = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.*", "s.source_size", "s.target", "s.n_shards")
+    sources = source_targets(sized, weights, most, share)
+    sources = source_quotas(sources, round((sources.agg(F.sum("target")).first()[0] or 0.0) / block_words))
+    n_shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_docs") / shard_docs), F.lit(1)).cast("long")
+    s, d = stored(sources.withColumn("n_shards", n_shards), "source-quotas").alias("s"), sized.alias("d")
+    dealt = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.*", "s.place", "s.source_size", "s.target", "s.n_shards", F.col("s.quota").alias("source_quota"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("n_shards")))
-    sizes = dealt.groupBy("source", "target", "shard").agg(F.sum("size").alias("shard_size")).orderBy(F.col("source").asc_nulls_last(), "shard").collect()
-    quotas = spark.createDataFrame(shard_quotas(sizes, block_words, most), "source string, shard long, quota long, passes long, rest long")
+    shards = dealt.groupBy("place", "source_quota", "n_shards", "shard").agg(F.sum("size").alias("shard_size"))
+    quotas = shard_quotas(shards, block_words, most)
 
-    on_line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "tie")
+    on_line = Window.partitionBy("place", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "tie")
     placed = dealt.withColumn("begin", F.coalesce(F.sum("size").over(on_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("row", F.row_number().over(on_line))
-    x, q = placed.alias("x"), quotas.alias("q")
-    placed = x.join(q, F.col("x.source").eqNullSafe(F.col("q.source")) & (F.col("x.shard") == F.col("q.shard")), "left").select("x.*", "q.quota", "q.passes", "q.rest")
+    placed = placed.join(quotas, ["place", "shard"])
 
     # a row for each block that a document touches: the blocks are drawn in a seeded order until the
     # partial pass is used up, the last of them in part
@@ -100,27 +163,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     blocks = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.sequence(F.floor(F.col("begin") / block_words), F.floor((end - 1) / block_words)))
     pieces = placed.withColumn("block", F.explode_outer(blocks))
     pieces = pieces.withColumn("from", F.greatest("begin", F.col("block") * block_words)).withColumn("words", F.least(end, (F.col("block") + 1) * block_words) - F.col("from"))
-    drawn = Window.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "block", F.lit(seed + 2)), "block", "from").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = Window.partitionBy("place", "shard").orderBy(F.xxhash64("place", "shard", "block", F.lit(seed + 2)), "block", "from").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("got", F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.coalesce(F.sum("words").over(drawn), F.lit(0)))))
-    kept = ("doc_id", "size", "source_size", "target", "source", "shard", "quota")
+    kept = ("place", "doc_id", "size", "source_size", "target", "source", "shard", "quota")
     per_doc = pieces.groupBy(*kept, "row", "passes").agg(F.coalesce(F.sum("got"), F.lit(0)).alias("got"))
     return per_doc.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes") + F.col("got")).alias("taken"), "source", "shard", "quota")
 
 
-def shard_quotas(sizes: list, block_words: int, most: int) -> list[tuple]:
-    """(source, shard, blocks, whole passes, words of the partial pass) from rows (source, target, shard,
-    shard_size) that are sorted by source. A shard can give ``most`` passes; its last block may be short."""
-    by_source: dict[str | None, list] = {}
-    for row in sizes:
-        by_source.setdefault(row.source, []).append(row)
-    votes = np.array([rows[0].target for rows in by_source.values()], np.float64)
-    plan = []
-    for rows, quota in zip(by_source.values(), sainte_lague(votes, round(votes.sum() / block_words)).tolist(), strict=True):
-        shard_sizes = np.array([r.shard_size for r in rows], np.int64)
-        for r, blocks in zip(rows, sainte_lague(shard_sizes, quota, -(-most * shard_sizes // block_words)).tolist(), strict=True):
-            passes, rest = divmod(min(blocks * block_words, most * r.shard_size), r.shard_size) if r.shard_size else (0, 0)
-            plan.append((r.source, r.shard, int(blocks), int(passes), int(rest)))
-    return plan
+def shard_quotas(shards: DataFrame, block_words: int, most: int) -> DataFrame:
+    """place, shard, quota in blocks, whole passes, words of the partial pass of ``shards(place, source_quota, n_shards,
+    shard, shard_size)``. A shard can give ``most`` passes; its last block may be short. Only sources of several shards,
+    so of millions of words or documents, are apportioned, a row a shard; one task has all shards of a source."""
+    limit = F.ceil(F.col("shard_size") * most / block_words).cast("long")
+    single = shards.filter("n_shards = 1").select("place", "shard", "shard_size", F.least(F.col("source_quota"), limit).alias("quota"))
+
+    def split(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard", ignore_index=True)
+        sizes = group["shard_size"].to_numpy(np.int64)
+        group["quota"] = sainte_lague(sizes, int(group["source_quota"].iloc[0]), -(-most * sizes // block_words))
+        return group[["place", "shard", "shard_size", "quota"]]
+
+    several = shards.filter("n_shards > 1").groupBy("place").applyInPandas(split, "place long, shard long, shard_size long, quota long")
+    words = F.least(F.col("quota") * block_words, F.col("shard_size") * most)
+    passes = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
+    out = single.unionByName(several).withColumn("passes", passes)
+    return out.select("place", "shard", "quota", "passes", (words - F.col("passes") * F.col("shard_size")).alias("rest"))
 
 
 def mix_corpus(docs: DataFrame, **parameters) -> DataFrame:

@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.scratch import scratch_root
+from halyard.scratch import remove_path, scratch_path
+from halyard.sources.backups import open_fs
+
+__all__ = ["discard", "open_fs", "partitions", "release", "remove_path", "scratch_path", "stored", "table", "trim_worker"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, removed when the driver ends."""
-    path = f"{scratch_root(spark)}/halyard-{label}-{uuid.uuid4().hex[:12]}"
-    atexit.register(remove_path, spark, path)
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM may be gone at exit; the folder is scratch space
-        pass
-
-
 def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: lineage ends there, so a lost
     executor costs no recomputation of what came before."""
@@ -62,17 +45,6 @@ def discard(df: DataFrame) -> None:
             remove_path(df.sparkSession, name)
 
 
-def open_fs(uri: str):
-    """(file system, path) of a URI, for executors that write or read files themselves."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

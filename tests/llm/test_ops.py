@@ -176,6 +176,21 @@ def test_mix(spark):
     assert all(abs(taken[s] - target[s]) <= 130 for s in sizes)
 
 
+def test_quotas_of_many_sources(spark):
+    """Targets and quotas of sources, in distributed passes, against one quotient at a time; equal quotients too."""
+    r = np.random.default_rng(8)
+    for sizes in ([10] * 7, [0, 0, 5], r.integers(1, 1000, 40).tolist(), [1] * 30 + [100_000], (r.pareto(1.0, 200) * 50).astype(int).tolist()):
+        df = spark.createDataFrame([(k, f"{k:04d}", int(n)) for k, n in enumerate(sizes)], "doc_id long, source string, size long")
+        sources = mixing.source_targets(df)
+        want = water(sizes, [[5, 2, 1][k % 3] for k in range(len(sizes))])
+        rows = {x.place: x for x in sources.collect()}
+        assert np.allclose([rows[k].target for k in range(len(sizes))], want) and [rows[k].source_size for k in range(len(sizes))] == sizes
+        votes = [rows[k].target for k in range(len(sizes))]
+        for seats in (0, 1, 17, 400):
+            got = {x.place: x.quota for x in mixing.source_quotas(sources, seats).collect()}
+            assert [got[k] for k in range(len(sizes))] == mixing.sainte_lague(np.array(votes), seats).tolist()
+
+
 def test_sainte_lague():
     r = np.random.default_rng(3)
     for _ in range(30):
