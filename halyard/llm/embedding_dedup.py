@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, a graph a shard.
 
 Vectors are scaled to unit length in double precision. Equal vectors of a label are one node with a count. A
-label's nodes are dealt by hash into shards of about ``SHARD_ROWS``; each shard builds one graph, and every
-node of the label is asked of every shard, in blocks. Searches of a block walk in step, so that each step is a
-few array operations. Beams widen until two tests hold: every found neighbour list ends below the threshold, and
+label's nodes are dealt by hash into shards of about ``SHARD_ROWS``, fewer where vectors are long; each shard builds one
+graph, and every node of the label is asked of every shard. A task holds one shard and lets blocks of nodes stream past
+it; a label of many blocks is cut into as long rounds of blocks as a shard is, so a shard moves once a round
+and a block once a shard. Searches of a block walk in step, so that each step is a few array operations. Beams widen until two tests hold: every found neighbour list ends below the threshold, and
 an audit of each block against all of the shard's vectors finds the recall asked for. A beam that would have to
 hold the whole shard is a complete scan. Neighbours are verified by their cosines in double precision; links are
 counted and contracted to a forest a block before they are united into components.
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.components import components
-from halyard.llm.shared import partitions, stored
+from halyard.llm.shared import partitions, stored, trim_worker
 
-SHARD_ROWS = 8_192
+SHARD_ROWS = 32_768
+#: Bytes of a shard's vectors in double precision.
+SHARD_BYTES = 1 << 25
 BLOCK_ROWS = 1_024
 
 
@@ -249,33 +252,42 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99,
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("label", "node").agg(F.max("unit").alias("unit"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes.withColumn("dim", F.octet_length("unit")), "nodes")
     counts = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    size = F.least(F.lit(shard_rows), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / F.col("dim"))))
+    counts = counts.withColumn("shards", F.ceil(F.col("n") / size).cast("long")).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long"))
+    counts = stored(counts.withColumn("rounds", F.ceil(F.col("blocks") * block_rows / (2 * size)).cast("long")), "label-sizes")
     dealt = nodes.join(counts, ["label", "dim"])
-    part = lambda size, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("n") / size).cast("long"))
-    dealt = stored(dealt.withColumn("shard", part(shard_rows, 1)).withColumn("block", part(block_rows, 2)), "dealt")
-    packed = "label long, dim int, {0} long, {0}_nodes binary, {0}_copies binary, {0}_units binary, graph binary"
+    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    dealt = stored(dealt.withColumn("shard", part("shards", 1)).withColumn("block", part("blocks", 2)), "dealt")
 
     def pack(name: str, indexed: bool) -> DataFrame:
-        def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             units = b"".join(group["unit"])
             graph = pack_graph(Graph(np.frombuffer(units, np.float64).reshape(len(group), -1).astype(np.float32))) if indexed else None
-            return pd.DataFrame([(*map(int, key), b"".join(group["node"]), group["copies"].to_numpy("<i8").tobytes(), units, graph)], columns=["label", "dim", name, f"{name}_nodes", f"{name}_copies", f"{name}_units", "graph"])
+            return pd.DataFrame([(*map(int, key), b"".join(group["node"]), group["copies"].to_numpy("<i8").tobytes(), units, graph)], columns=["label", "dim", name, "nodes", "copies", "units", "graph"])
 
         grouped = dealt.select("label", "dim", name, "node", "copies", "unit").groupBy("label", "dim", name)
-        return stored(grouped.applyInPandas(run, packed.format(name)), f"{name}s")
+        return stored(grouped.applyInPandas(run, f"label long, dim int, {name} long, nodes binary, copies binary, units binary, graph binary"), f"{name}s")
 
-    shards, blocks = pack("shard", True), pack("block", False).drop("graph")
+    # a round of a shard is the shard, which comes first (block -1), and every block of that round
+    each = lambda of, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(of)
+    shards = pack("shard", True).join(counts, ["label", "dim"]).select("label", "dim", "shard", each("round", "rounds"), F.lit(-1).cast("long").alias("block"), "nodes", "copies", "units", "graph")
+    blocks = pack("block", False).join(counts, ["label", "dim"]).select("label", "dim", each("shard", "shards"), (F.col("block") % F.col("rounds")).alias("round"), "block", "nodes", F.lit(None).cast("binary").alias("copies"), "units", F.lit(None).cast("binary").alias("graph"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, number, copies, units, graph = [], {}, None, None, None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                names, asking = [row.shard_nodes[k : k + 16] for k in range(0, len(row.shard_nodes), 16)], [row.block_nodes[k : k + 16] for k in range(0, len(row.block_nodes), 16)]
-                copies = np.frombuffer(row.shard_copies, "<i8")
-                units = np.frombuffer(row.shard_units, np.float64).reshape(len(names), -1)
-                queries = np.frombuffer(row.block_units, np.float64).reshape(len(asking), -1)
-                q, found = matches(unpack_graph(row.graph, units.astype(np.float32)), queries.astype(np.float32), least, recall=recall)
+                asking = [row.nodes[k : k + 16] for k in range(0, len(row.nodes), 16)]
+                queries = np.frombuffer(row.units, np.float64).reshape(len(asking), -1)
+                if row.block < 0:
+                    names, units = asking, queries
+                    number = {n: k for k, n in enumerate(names)}
+                    copies = np.frombuffer(row.copies, "<i8")
+                    graph = unpack_graph(row.graph, units.astype(np.float32))
+                    continue
+                q, found = matches(graph, queries.astype(np.float32), least, recall=recall)
                 sure = np.concatenate([np.einsum("ij,ij->i", queries[q[k : k + 65536]], units[found[k : k + 65536]]) >= least for k in range(0, len(q), 65536)] or [np.zeros(0, bool)])
                 q, found = q[sure], found[sure]
-                number = {n: k for k, n in enumerate(names)}
                 itself = np.array([number.get(n, -1) for n in asking])
                 other = itself[q] != found
                 q, found = q[other], found[other]
@@ -283,8 +295,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99,
                 told = [(n, None, int(c)) for n, c in zip(asking, links, strict=True) if c]
                 told += [(asking[x], names[y - len(asking)], 0) for x, y in forest(q, found + len(asking))]
                 yield pd.DataFrame(told, columns=["a", "b", "n"])
+        trim_worker()
 
-    asked = shards.join(blocks, ["label", "dim"]).repartition(4 * partitions(spark), "label", "dim", "shard", "block")
+    # about as many tasks as rounds of shards, so that a task holds little and a lost one costs little
+    tiles = counts.agg(F.sum(F.col("shards") * F.col("rounds"))).first()[0] or 0
+    asked = shards.unionByName(blocks).repartition(max(4 * partitions(spark), int(tiles)), "label", "dim", "shard", "round").sortWithinPartitions("label", "dim", "shard", "round", "block")
     told = stored(asked.mapInPandas(ask, "a binary, b binary, n long"), "vector-links")
     links = told.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("n_links"))
     classes = components(told.filter(F.col("b").isNotNull()))

@@ -289,7 +289,7 @@ def test_embeddings(spark):
     rows = [(k, [float(x) for x in v[k].astype(np.float32)], labels[k]) for k in range(400)]
     rows += [(400, None, 1), (401, [0.0] * 32, 1), (402, [float("nan")] * 32, 1), (403, [None] * 32, 1), (404, rows[0][1], None), (405, [], 1), (None, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {x.vec_id: x for x in embedding_dedup.near_vectors(df, shard_rows=64, block_rows=50).collect()}
+    got = {x.vec_id: x for x in embedding_dedup.near_vectors(df, shard_rows=40, block_rows=16).collect()}
     u = np.array([x[1] for x in rows[:400]], np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     linked = (u @ u.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels))
@@ -306,6 +306,26 @@ def test_embeddings(spark):
     assert np.mean([got[k].component_id == component[k] for k in range(400)]) > 0.97
 
 
+def test_odd_embeddings(spark):
+    """Repeated rows, ties, null ids, labels and components, several lengths, clashing column names, an empty table."""
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 1), (4, [1.0, 0.0], None), (None, [1.0, 0.1], 1), (5, None, 1), (6, [0.0, -0.0], 1), (7, [1e308, 1e308], 2), (8, [1e-300, 1e-300], 2), (9, [float("inf"), 1.0], 2)]
+    df = spark.createDataFrame([(*r, "x", 0, 0) for r in rows], "vec_id long, embedding array<double>, label int, node string, shard int, n_links int")
+    out = embedding_dedup.near_vectors(df)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in out.collect()), key=repr)
+    want = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (None, 3, 1, False)]
+    assert got == sorted(want, key=repr) and out.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_links_do_not_depend_on_shards_and_blocks(spark):
+    """One shard and block, or several of each in rounds."""
+    r = np.random.default_rng(2)
+    v = r.normal(size=(600, 8))
+    df = spark.createDataFrame([(k, v[k].tolist(), 1) for k in range(600)], "vec_id long, embedding array<double>, label int")
+    one, many = (sorted(map(tuple, embedding_dedup.near_vectors(df, block_rows=b, shard_rows=s).collect())) for b, s in ((1024, 32_768), (40, 150)))
+    assert one == many
+
+
 def test_graph_survives_packing():
     v = np.random.default_rng(1).normal(size=(700, 16)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
