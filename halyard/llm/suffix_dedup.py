@@ -12,8 +12,13 @@ unique. The rest, cut out as snippets that hold the windows of one anchor, are i
   is the common prefix of its neighbours. After four passes, unsplit buckets are the repeated intervals.
   No suffixes are compared or sorted again across shards.
 
-Equal snippets are one with a count. An anchor with very many different snippets (a common
-passage in different surroundings) is filed again by whole windows, which spreads it over all tasks.
+The common prefixes that the refinement derives bound the repeated intervals: rows whose prefix with the one before is
+all four symbols are one interval.
+
+Equal snippets are one with a count, and long ones are cut at fixed places, so a text of one letter is one snippet with a
+large count. An anchor with very many different snippets (a common passage in different surroundings) is filed again
+under longer strings: first the smallest hash of 150 bytes, then whole windows, of which each anchor has one. So no
+anchor's snippets outgrow a task, and each step moves only what the one before could not hold. Long texts are read in slices.
 
 Nulls are empty texts; texts under 200 bytes keep everything; repeated rows are repeats of each other.
 Windows are compared by 64-bit hashes of their four quarters. Equal ids with equal texts share a result.
@@ -34,9 +39,13 @@ from halyard.llm.minhash import chunks, mixed
 from halyard.llm.shared import discard, partitions, stored, trim_worker
 
 LENGTH, GRAM, STEP = 200, 100, 50
+#: Under what strings the snippets of a hot anchor are filed again, in turn.
+FINER = (150, LENGTH)
 U64 = np.uint64
-#: More different snippets than this under one anchor, half a megabyte, are filed again by whole windows.
-MOST_KINDS = 2048
+#: An anchor with more different snippets than this, or more bytes of them, is hot.
+MOST_KINDS, MOST_BYTES = 2048, 1 << 19
+#: A snippet holds so many windows at most, and a text is read in slices of so many bytes.
+MOST_WINDOWS, SLICE = 1 << 14, 1 << 21
 SHARDS = 8
 #: Snippet bytes that are indexed together; each takes some 100 bytes of memory meanwhile.
 INDEXED_BYTES = 1 << 19
@@ -76,16 +85,17 @@ def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
 
 
-def anchored_runs(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Runs of neighbouring windows under one anchor: text number, anchor, first byte, windows, and at how many
-    places of the run the anchor's string stands."""
+def anchored_runs(texts: list[bytes], gram: int = GRAM, most: int = MOST_WINDOWS) -> dict[str, np.ndarray]:
+    """Runs of at most ``most`` neighbouring windows under one anchor, the smallest hash of their ``gram`` bytes: text number,
+    anchor, first byte, windows, and at how many places of the run (or of the run that it was cut from, where it is its
+    first part) the anchor's string stands."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = {k: np.zeros(0, np.int64) for k in ("text", "anchor", "begin", "windows", "places")}
     if len(data) < LENGTH:
         return none
-    hashes = gram_hashes(data, GRAM)
-    low = slide(hashes, LENGTH - GRAM + 1, np.minimum)
+    hashes = gram_hashes(data, gram)
+    low = slide(hashes, LENGTH - gram + 1, np.minimum)
     ends = np.cumsum(lengths)
     number = np.repeat(np.arange(len(texts)), lengths)
     inside = np.arange(len(low)) + LENGTH <= ends[number[: len(low)]]
@@ -98,15 +108,42 @@ def anchored_runs(texts: list[bytes]) -> dict[str, np.ndarray]:
     # a run ends where the next begins or its text's last window stands
     last = np.minimum(np.append(begin[1:], len(low)), ends[number[begin]] - LENGTH + 1)
     # a place is chosen if its hash is the smallest of one window over it
-    padded = np.zeros(len(low) + 2 * (LENGTH - GRAM), U64)
-    padded[LENGTH - GRAM : LENGTH - GRAM + len(low)] = np.where(inside, low, U64(0))
-    chosen = np.flatnonzero(slide(padded, LENGTH - GRAM + 1, np.maximum)[: len(hashes)] == hashes)
+    padded = np.zeros(len(low) + 2 * (LENGTH - gram), U64)
+    padded[LENGTH - gram : LENGTH - gram + len(low)] = np.where(inside, low, U64(0))
+    chosen = np.flatnonzero(slide(padded, LENGTH - gram + 1, np.maximum)[: len(hashes)] == hashes)
     value, own = hashes[chosen], number[chosen]
     heads = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (own[1:] != own[:-1])))
     places = np.diff(np.append(heads, len(chosen)))
     if len(places) != len(begin):
         raise AssertionError("runs and their anchors differ")
-    return {"text": number[begin], "anchor": low[begin].view(np.int64), "begin": begin - (ends - lengths)[number[begin]], "windows": last - begin, "places": places}
+    parts = -(-(last - begin) // most)
+    run = np.repeat(np.arange(len(begin)), parts)
+    part = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return {
+        "text": number[begin][run],
+        "anchor": low[begin][run].view(np.int64),
+        "begin": (begin - (ends - lengths)[number[begin]])[run] + part * most,
+        "windows": np.minimum((last - begin)[run] - part * most, most),
+        "places": np.where(part == 0, places[run], 0),
+    }
+
+
+def sliced(texts: list[bytes], most: int | None = None) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of (text number, first byte, slice) of about ``most`` bytes. Slices of a text share 199 bytes, so each window
+    is in one of them."""
+    most = most or SLICE
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - LENGTH + 1), most - LENGTH + 1):
+            piece = text[at : at + most]
+            if held and size + len(piece) > most:
+                yield held
+                held, size = [], 0
+            held.append((k, at, piece))
+            size += len(piece)
+    if held:
+        yield held
 
 
 def stable_order(keys: np.ndarray) -> np.ndarray:
@@ -147,8 +184,9 @@ class ShardTransform:
         return ranks(key.astype(np.int64) * (int(key.max(initial=0)) + 1) + np.where(live >= step, after, 0))
 
 
-def merge_transforms(shards: list[ShardTransform], depth: int = LENGTH // STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix, bucket, common prefix with the one before, in symbols) of the merged order, sorted by ``depth`` symbols."""
+def merge_transforms(shards: list[ShardTransform], depth: int = LENGTH // STEP) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, common prefix with the one before in symbols, ``depth`` at most) of the merged order, sorted by ``depth``
+    symbols. A pass in which a border between two rows is first drawn gives their common prefix."""
     turn = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.suffixes) for s in shards])
     transform = np.concatenate([s.transform for s in shards])
     bucket = np.zeros(len(turn), np.int32)
@@ -163,7 +201,7 @@ def merge_transforms(shards: list[ShardTransform], depth: int = LENGTH // STEP)
         bucket = np.cumsum(split, dtype=np.int32) - 1
         np.minimum(prefix, passed, out=prefix, where=split)
         row[np.argsort(turn, kind="stable")] = np.arange(len(turn), dtype=np.int32)  # each shard's rows keep their order
-    return np.concatenate([s.suffixes for s in shards])[row], bucket, prefix
+    return np.concatenate([s.suffixes for s in shards])[row], prefix
 
 
 def repeated_windows(snippets: list[bytes], counts: np.ndarray, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
@@ -182,10 +220,12 @@ def repeated_windows(snippets: list[bytes], counts: np.ndarray, shards: int = SH
     cuts = np.searchsorted(np.cumsum(sizes), np.linspace(0, int(sizes.sum()), shards + 1)[1:-1])
     edges = np.concatenate([[0], np.append(0, np.cumsum(sizes))[cuts], [len(place)]]).astype(np.int64)
     built = [ShardTransform(symbol[a:b], live[a:b], place[a:b], a) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-    suffix, bucket, _ = merge_transforms(built)
+    suffix, prefix = merge_transforms(built)
+    # a repeated interval: rows that share all symbols with the row before
+    interval = np.cumsum(prefix < LENGTH // STEP, dtype=np.int32) - 1
     whole = live[suffix] >= LENGTH
-    times = np.bincount(bucket, np.where(whole, counts[who[suffix]], 0))
-    hit = np.sort(suffix[whole & (times[bucket] >= 2)])
+    times = np.bincount(interval, np.where(whole, counts[who[suffix]], 0))
+    hit = np.sort(suffix[whole & (times[interval] >= 2)])
     return who[hit], place[hit]
 
 
@@ -198,13 +238,15 @@ def runs_of_starts(snippet: np.ndarray, start: np.ndarray, n: int) -> tuple[list
 
 
 def _find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The anchored runs of each text, in a row a slice of it."""
     for batch in batches:
-        texts = batch["data"].tolist()
-        for part in chunks(texts, 1 << 21):
-            found = anchored_runs(texts[part])
-            bounds = np.searchsorted(found["text"], np.arange(part.stop - part.start + 1))
+        for group in sliced(batch["data"].tolist()):
+            rows, at, pieces = map(list, zip(*group, strict=True))
+            found = anchored_runs(pieces)
+            found["begin"] = found["begin"] + np.array(at, np.int64)[found["text"]]
+            bounds = np.searchsorted(found["text"], np.arange(len(rows) + 1))
             cut = lambda name, kind: [found[name][a:b].astype(kind) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]  # noqa: B023, E731
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].tolist(), "text_key": batch["text_key"].iloc[part].tolist(), "anchor": cut("anchor", np.int64), "begin": cut("begin", np.int32), "windows": cut("windows", np.int32), "places": cut("places", np.int32)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[rows].tolist(), "text_key": batch["text_key"].iloc[rows].tolist(), "anchor": cut("anchor", np.int64), "begin": cut("begin", np.int32), "windows": cut("windows", np.int32), "places": cut("places", np.int32)})
     trim_worker()
 
 
@@ -231,14 +273,25 @@ def _cut_snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     trim_worker()
 
 
-def _split_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each window of a snippet as a snippet of its own."""
-    for batch in batches:
-        for snippet, data, times in zip(batch["snippet"], batch["data"], batch["times"], strict=True):
-            n = len(data) - LENGTH + 1
-            for at in range(0, n, 1 << 14):
-                windows = [data[k : k + LENGTH] for k in range(at, min(n, at + (1 << 14)))]
-                yield pd.DataFrame({"outer": snippet, "offset": range(at, at + len(windows)), "snippet": [hashlib.blake2b(w, digest_size=16).digest() for w in windows], "data": windows, "times": times})
+def _filed_again(gram: int):
+    """The runs of snippets under anchors of ``gram`` bytes, as snippets of their own. Where the anchors are whole windows, a run
+    of equal ones is one window that occurs as often."""
+    exact = gram == LENGTH
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in chunks(batch["data"].tolist(), 1 << 19):
+                own = batch.iloc[part]
+                data = own["data"].tolist()
+                found = anchored_runs(data, gram)
+                text, begin, windows = found["text"], found["begin"], found["windows"]
+                times = own["times"].to_numpy(np.int64)[text]
+                cover = windows + LENGTH - 1
+                inner = [data[t][a : a + n] for t, a, n in zip(text.tolist(), begin.tolist(), (np.full(len(text), LENGTH) if exact else cover).tolist(), strict=True)]
+                yield pd.DataFrame({"outer": own["snippet"].to_numpy(object)[text], "offset": begin.astype(np.int32), "cover": cover.astype(np.int32), "anchor": found["anchor"], "snippet": [hashlib.blake2b(x, digest_size=16).digest() for x in inner], "data": inner, "times": times * windows if exact else times, "places": times * found["places"]})
+        trim_worker()
+
+    return file
 
 
 def _merge_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,10 +338,30 @@ def merged_spans(runs) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def repeats_within(kinds: DataFrame, finer: tuple[int, ...]) -> DataFrame:
+    """snippet, starts, sizes: the runs of repeated bytes in the snippets of ``kinds(anchor, snippet, times, data)``, some rows a
+    snippet. Calm anchors are indexed; the snippets of hot ones are filed under the next of ``finer`` and come back here."""
+    hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("data")).alias("bytes"))
+    hot = stored(hot.filter((F.col("kinds") > MOST_KINDS) | ((F.col("kinds") > 1) & (F.col("bytes") > MOST_BYTES))).select("anchor"), "hot-anchors")
+    again = bool(finer) and hot.limit(1).count() > 0
+    calm = kinds.join(hot, "anchor", "left_anti") if again else kinds
+    found = calm.repartition(partitions(kinds.sparkSession), "anchor").sortWithinPartitions("anchor").mapInPandas(_merge_groups, "snippet binary, starts array<int>, sizes array<int>")
+    if not again:
+        return found
+    kind = "outer binary, offset int, cover int, anchor long, snippet binary, data binary, times long, places long"
+    filed = stored(kinds.join(hot, "anchor", "left_semi").select("snippet", "data", "times").mapInPandas(_filed_again(finer[0]), kind), "filed-again")
+    common = filed.groupBy("anchor").agg(F.sum("places").alias("places")).filter("places > 1").select("anchor")
+    inner = filed.join(common, "anchor", "left_semi").groupBy("anchor", "snippet").agg(F.sum("times").alias("times"), F.first("data").alias("data"))
+    inner = repeats_within(stored(inner, "finer-snippets"), finer[1:])
+    # of a run of equal windows the first stands for all
+    sizes = F.array("cover") if finer[0] == LENGTH else F.col("sizes")
+    back = filed.select("outer", "offset", "cover", "snippet").join(inner, "snippet")
+    return found.unionByName(back.select(F.col("outer").alias("snippet"), F.transform("starts", lambda x: x + F.col("offset")).alias("starts"), sizes.alias("sizes")))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, spans of the documents that hold repeats: array of (begin, end) bytes, disjoint
     and sorted. ``text_key`` is a hash of the text that tells rows of one id apart; rows equal in both share their spans."""
-    spark = docs.sparkSession
     data = F.coalesce("text", F.lit("")).cast("binary")
     keyed = docs.select("doc_id", F.xxhash64(data).alias("text_key"), data.alias("data"))
     kind = "doc_id long, text_key long, anchor array<long>, begin array<int>, windows array<int>, places array<int>"
@@ -303,20 +376,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     discard(runs)
 
     kinds = cut.groupBy("anchor", "snippet").agg(F.count(F.lit(1)).alias("times"), F.first("data", True).alias("data"))
-    kinds = stored(kinds, "distinct-snippets")
-    hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > MOST_KINDS)
-    n = partitions(spark)
-    found_kind = "snippet binary, starts array<int>, sizes array<int>"
-    calm = kinds.join(hot, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor")
-    found = calm.mapInPandas(_merge_groups, found_kind)
-    windows = stored(kinds.join(hot, "anchor", "left_semi").select("snippet", "data", "times").mapInPandas(_split_windows, "outer binary, offset int, snippet binary, data binary, times long"), "windows")
-    each = windows.groupBy("snippet").agg(F.sum("times").alias("times"), F.first("data").alias("data")).withColumn("anchor", F.xxhash64("snippet"))
-    again = each.repartition(n, "anchor").sortWithinPartitions("anchor").mapInPandas(_merge_groups, found_kind)
-    # the windows found of a snippet, as one row again
-    from_windows = windows.join(again.select("snippet"), "snippet").groupBy(F.col("outer").alias("snippet")).agg(F.collect_list("offset").alias("starts"))
-    from_windows = from_windows.withColumn("sizes", F.array_repeat(F.lit(LENGTH), F.size("starts")))
-
-    covers = found.unionByName(from_windows)
+    covers = repeats_within(stored(kinds, "distinct-snippets"), FINER)
     spans = cut.select("doc_id", "text_key", "begin", "snippet").join(covers, "snippet")
     grouped = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "starts", "sizes")).alias("parts"))
 

@@ -232,6 +232,82 @@ def test_repeats_match_brute_force(spark, monkeypatch, most):
     assert got[len(texts)].n_bytes == 0
 
 
+@pytest.mark.parametrize("gram", [100, 150, 200])
+def test_slices_and_cut_runs_hold_every_window(gram):
+    r = random.Random(gram)
+    texts = [bytes(r.choice(b"ab") for _ in range(n)) for n in (3000, 150, 200, 701, 0)] + [b"a" * 2500, b"xyz" * 400]
+
+    def windows(pieces, most):
+        found = suffix_dedup.anchored_runs([p for _, _, p in pieces], gram, most)
+        for t, anchor, begin, n in zip(*(found[c].tolist() for c in ("text", "anchor", "begin", "windows")), strict=True):
+            assert n <= most
+            yield from ((pieces[t][0], pieces[t][1] + begin + k, anchor) for k in range(n))
+
+    whole = list(windows([(k, 0, t) for k, t in enumerate(texts)], 10**9))
+    assert len(whole) == sum(max(0, len(t) - 199) for t in texts)
+    small = [w for group in suffix_dedup.sliced(texts, 700) for w in windows(group, 90)]
+    assert sorted(small) == sorted(whole)
+
+
+def test_hot_anchors_and_long_runs_match_brute_force(spark, monkeypatch):
+    """Anchors that are hot by bytes, runs of one letter of many lengths."""
+    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", 900)
+    r = random.Random(13)
+    rnd = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    q = rnd(900)
+    texts = [rnd(2000) + q + rnd(1500), rnd(690) + q + rnd(10), "a" * 5000, "a" * 199, "a" * 200, "ab" * 900 + rnd(500)]
+    texts += ["a" * n for n in range(201, 1000, 97)] + [rnd(150) + q[200:500] + rnd(150) for _ in range(12)]
+    got = {x.doc_id: x for x in suffix_dedup.repeat_digest(docs(spark, texts)).collect()}
+    for k, (t, m) in enumerate(zip([t.encode() for t in texts], repeats([t.encode() for t in texts]), strict=True)):
+        runs = int(m[0]) + int((m[1:] & ~m[:-1]).sum())
+        assert tuple(got[k])[1:] == (len(t), int(m.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~m])).hexdigest()), k
+
+
+def test_a_text_of_one_letter_takes_little_memory():
+    """25 MB of one letter: slices bound what is held, and all its snippets but the ends are one."""
+    import tracemalloc
+
+    text = b"a" * 25_000_000
+    tracemalloc.start()
+    kinds, windows = set(), 0
+    for group in suffix_dedup.sliced([text]):
+        found = suffix_dedup.anchored_runs([piece for _, _, piece in group])
+        windows += int(found["windows"].sum())
+        kinds |= set(found["windows"].tolist())
+    (_, peak), _ = tracemalloc.get_traced_memory(), tracemalloc.stop()
+    assert windows == len(text) - 199 and len(kinds) <= 3 and peak < 600e6
+
+
+def test_common_prefixes_are_exact():
+    """The merged order and its common prefixes against sorted suffixes."""
+    r = random.Random(21)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(200, 420))) for _ in range(9)] * 2
+    stream = b"\0".join(texts) + b"\0"
+    sizes = np.array([len(t) + 1 for t in texts])
+    place = np.arange(len(stream)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    live = (np.repeat(sizes - 1, sizes) - place).astype(np.int32)
+    rank = {g: k + 1 for k, g in enumerate(sorted({stream[k : k + 50] for k in range(len(stream)) if live[k] >= 50}))}
+    symbol = np.array([rank[stream[k : k + 50]] if live[k] >= 50 else 0 for k in range(len(stream))], np.int32)
+    edges = np.append(0, np.cumsum(sizes))[::3]
+    built = [suffix_dedup.ShardTransform(symbol[a:b], live[a:b], place[a:b].astype(np.int32), int(a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    suffix, prefix = suffix_dedup.merge_transforms(built)
+
+    def key(at):
+        out = []
+        while len(out) < 4:
+            out.append(int(symbol[at]))
+            if live[at] < 50:
+                break
+            at += 50
+        return out + [0] * (4 - len(out))
+
+    keys = [key(at) for at in suffix.tolist()]
+    assert sorted(suffix.tolist()) == list(range(len(stream))) and keys == sorted(keys)
+    for k in range(1, len(keys)):
+        same = next((n for n in range(4) if keys[k][n] != keys[k - 1][n]), 4)
+        assert prefix[k] == same or (prefix[k] > same - 1 and 0 in keys[k][: same + 1])
+
+
 def test_merged_transform_is_sorted():
     r = random.Random(8)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(200, 330))) for _ in range(20)]
