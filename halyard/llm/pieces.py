@@ -77,7 +77,7 @@ def segment_hashes(segments: list[str]) -> np.ndarray:
 
 def drawn(hashes: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
     """The keys of the draws of segments."""
-    return mixed(hashes + mixed(variants.astype(U64) + U64(seed) * U64(0x9E3779B97F4A7C15)))
+    return mixed(hashes + mixed(variants.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
 
 
 def threshold(dropout: float) -> np.uint64:

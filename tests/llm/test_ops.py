@@ -433,9 +433,10 @@ def test_toxicity_folding():
 def plain_score(lexicon, text):
     """The score by trying every entry at every place."""
     folded = toxicity.fold(text)
-    spared = {k for phrase in lexicon.exceptions for at in range(len(folded)) if folded.startswith(toxicity.fold(phrase), at) for k in range(at, at + len(toxicity.fold(phrase)) - 1)}
+    phrases = [toxicity.fold(p) for p in lexicon.exceptions]
+    spared = {k for p in phrases for at in range(len(folded)) if folded.startswith(p, at) for k in range(at, at + len(p) - 1)}
     total = 0.0
-    for at in range(len(folded)):
+    for at in (k for k, c in enumerate(folded) if c == " "):  # entries begin with a space
         fits = [w for e, w in lexicon.weights.items() if folded.startswith(e, at)]
         total += max(fits) if fits and at not in spared else 0.0
     words = len(folded.split())
@@ -590,28 +591,55 @@ def test_pieces_equal_the_library_without_dropout():
         assert ids[ends[k] : ends[k + 1]].tolist() == library.encode(t)
 
 
+def scrambled(x):
+    """The 64-bit mix of the draws, in plain integers."""
+    for _ in range(2):
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+    return x ^ (x >> 32)
+
+
+def agenda(model, segment, draw, dropout, seed):
+    """Ids of one segment: the best merge that is not skipped, again and again."""
+    import xxhash
+
+    key = scrambled((xxhash.xxh3_64_intdigest(segment.encode()) + scrambled((draw + seed * 0x9E3779B97F4A7C15) % 2**64)) % 2**64)
+    live = [(n, n + 1, -1 if c == "▁" else model.ids.get("▁" if c == " " else c, -1)) for n, c in enumerate(segment)]
+    formed = dict(zip(model.keys.tolist(), model.results.tolist(), strict=True)) if not hasattr(model, "formed") else model.formed
+    model.formed = formed
+    while True:
+        offers = []
+        for n, ((a, b, x), (_, c, y)) in enumerate(zip(live, live[1:], strict=False)):
+            made = formed.get(x * model.size + y, -1) if x >= 0 and y >= 0 else -1
+            if made >= 0 and scrambled((key + a * 0xA0761D6478BD642F + b * 0xE7037ED1A0B428DB + c * 0x8EBC6AF09C88C6E3) % 2**64) >= int(dropout * 2.0**64):
+                offers.append((-model.score[made], a, n, made))
+        if not offers:
+            return [i for a, b, x in live for i in ([x] if x >= 0 else [int(model.byte_ids[v]) for v in segment[a:b].encode()])]
+        _, _, n, made = min(offers)
+        live[n : n + 2] = [(live[n][0], live[n + 1][1], made)]
+
+
+def plain_ids(model, text, key, dropout=0.1, seed=7):
+    """Ids of a text, one segment after another; ``key`` is that of its document."""
+    if not text:
+        return []
+    if re.search(r"  |^ | $|\x01", text):
+        segments = re.findall(r" +[^ ]*|[^ ]+", " " + text)
+    else:
+        segments = [part if part[:1] == "\n" else part for part in re.findall(r"\n+| ?[^ \n]+| (?=\n)", " " + text)]
+    out = []
+    for place, segment in enumerate(segments):
+        out += agenda(model, segment, scrambled((key + place * 0x9E3779B97F4A7C15) % 2**64), dropout, seed)
+    return out
+
+
 def test_dropout_follows_the_agenda():
     """The vectorised agendas against one agenda a segment."""
     model = pieces.PieceModel(queries.tokenizer_path("piece_bpe_32k.model"))
     words = [" internationalisation", " tokenization", "ééa", " a▁b", " 12345"]
     flat, sizes = pieces.encode_segments(model, words, np.zeros(5, np.int64), 0.3, 11)
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    key = pieces.mixed(pieces.segment_hashes(words) + pieces.mixed(np.zeros(5, np.uint64) + np.uint64(11) * np.uint64(0x9E3779B97F4A7C15)))
     for k, w in enumerate(words):
-        live = [(n, n + 1, -1 if c == "▁" else model.ids.get("▁" if c == " " else c, -1)) for n, c in enumerate(w)]
-        while True:
-            offers = []
-            for n, ((a, b, x), (_, c, y)) in enumerate(zip(live, live[1:], strict=False)):
-                made = int(model.merge(np.array([x]), np.array([y]))[0])
-                spot = pieces.mixed(np.array([(int(key[k]) + a * 0xA0761D6478BD642F + b * 0xE7037ED1A0B428DB + c * 0x8EBC6AF09C88C6E3) % 2**64], np.uint64))[0]
-                if made >= 0 and spot >= int(0.3 * 2.0**64):
-                    offers.append((-model.score[made], a, n, made))
-            if not offers:
-                break
-            _, _, n, made = min(offers)
-            live[n : n + 2] = [(live[n][0], live[n + 1][1], made)]
-        want = [i for a, b, x in live for i in ([x] if x >= 0 else [int(model.byte_ids[v]) for v in w[a:b].encode()])]
-        assert flat[ends[k] : ends[k + 1]].tolist() == want
+        assert flat[ends[k] : ends[k + 1]].tolist() == agenda(model, w, 0, 0.3, 11)
 
 
 def test_dropout_of_every_occurrence():
