@@ -129,11 +129,11 @@ def elapsed_ms(started: Column, ended: Column) -> Column:
 
 def elapsed_text(ms: Column) -> Column:
     s = F.floor(ms / 1000)
-    return F.when(s < 60, F.format_string("%d.%ds", s, F.floor((ms % 1000) / 100))).otherwise(F.format_string("%dm %02ds", F.floor(s / 60), s % 60))
+    return F.when(s.isNull(), None).when(s < 60, F.format_string("%d.%ds", s, F.floor((ms % 1000) / 100))).otherwise(F.format_string("%dm %02ds", F.floor(s / 60), s % 60))
 
 
 def minutes_text(seconds: Column) -> Column:
-    return F.format_string("%d:%02d", F.floor(seconds / 60), F.floor(seconds % 60))
+    return F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(seconds / 60), F.floor(seconds % 60)))
 
 
 def clock_text(seconds: Column) -> Column:

@@ -51,7 +51,8 @@ def mime_label(mime: Column) -> Column:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """A number with some decimals; null stays null, of which a format would make text."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x.cast("double")))
 
 
 def bytes_text(size: Column, mb_digits: int = 1) -> Column:

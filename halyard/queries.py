@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from halyard.functions import binary, numbers, text
 from halyard.operators import catalog_index, estimate, journal, tasks
 from halyard.plans import view
 from halyard.plans.view import View, planned
-from halyard.scratch import scratch_root
+from halyard.scratch import scratch_path
 from halyard.sources.catalog import assets_of, tasks_of, trash_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +46,8 @@ TASKS_SQL = """tasks AS (
     WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' END AS status
   FROM events)"""
 STATES_SQL = f"""{TASKS_SQL}, states AS (
-  SELECT task_id, CASE WHEN bool_or(status = 'cancelled') THEN 'cancelled' ELSE coalesce(
-    arg_min(status, (ts, seq)) FILTER (status IN ('completed', 'failed')), arg_max(status, (ts, seq))) END AS status
+  SELECT task_id, list_reduce(list_prepend('pending', list(status ORDER BY ts, seq)), lambda s, e: CASE WHEN e = 'cancelled' THEN e WHEN s IN ('completed', 'failed', 'cancelled') THEN s
+    WHEN e IN ('running', 'failed') THEN e WHEN e = 'completed' AND s = 'running' THEN e ELSE s END) AS status
   FROM tasks GROUP BY task_id)"""
 SELECTION_SQL = "selection AS (SELECT DISTINCT cast(user_id AS varchar) AS id FROM events)"
 FAMILY_SQL = """CASE WHEN m LIKE '%jpeg%' OR m LIKE '%jpg%' OR e IN ('jpeg', 'jpg') THEN 'jpeg' WHEN m LIKE '%png%' OR e IN ('png', 'jpng') THEN 'png'
@@ -426,14 +428,21 @@ def name_search(spark, sf_dir):
     return view.named(read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")), " BLUE")
 
 
+def rounded_sql(c: str, unit: int, digits: int) -> str:
+    """A size in units with some decimals, ties rounded up, in whole numbers throughout."""
+    tens = 10**digits
+    n = f"(({c} * {2 * tens} + {unit}) // {2 * unit})"
+    return f"({n} // {tens}) || '.' || lpad(cast({n} % {tens} AS varchar), {digits}, '0')" if digits else n
+
+
 def size_text_sql(c: str, mb: int) -> str:
-    return f"CASE WHEN {c} < 1024 THEN {c} || ' B' WHEN {c} < 1048576 THEN printf('%.1f KB', {c} / 1024.0::double) WHEN {c} < 1073741824 THEN printf('%.{mb}f MB', {c} / 1048576.0::double) ELSE printf('%.2f GB', {c} / 1073741824.0::double) END"
+    return f"CASE WHEN {c} < 1024 THEN {c} || ' B' WHEN {c} < 1048576 THEN {rounded_sql(c, 1 << 10, 1)} || ' KB' WHEN {c} < 1073741824 THEN {rounded_sql(c, 1 << 20, mb)} || ' MB' ELSE {rounded_sql(c, 1 << 30, 2)} || ' GB' END"
 
 
-@register("label_bytes", f"WITH {ASSETS_SQL} SELECT id, {size_text_sql('size_bytes', 1)} AS short, {size_text_sql('size_bytes', 2)} AS long FROM assets WHERE size_bytes IS NOT NULL AND size_bytes % 64 <> 0")
+@register("label_bytes", f"WITH {ASSETS_SQL} SELECT id, {size_text_sql('size_bytes', 1)} AS short, {size_text_sql('size_bytes', 2)} AS long FROM assets")
 def label_bytes(spark, sf_dir):
-    rows = assets(spark, sf_dir).filter("size_bytes is not null and size_bytes % 64 <> 0")
-    return rows.select("id", text.bytes_text(F.col("size_bytes")).alias("short"), text.bytes_text(F.col("size_bytes"), 2).alias("long"))
+    """Of every asset: an unknown size has no text."""
+    return assets(spark, sf_dir).select("id", text.bytes_text(F.col("size_bytes")).alias("short"), text.bytes_text(F.col("size_bytes"), 2).alias("long"))
 
 
 @register("relative_time", f"SELECT event_id, CASE WHEN s < 60000 THEN 'now' WHEN s < 3600000 THEN 'minutes' WHEN s < 86400000 THEN 'hours' ELSE 'days' END AS unit, cast(CASE WHEN s < 60000 THEN 0 WHEN s < 3600000 THEN s // 60000 WHEN s < 86400000 THEN s // 3600000 ELSE s // 86400000 END AS bigint) AS count FROM (SELECT event_id, epoch_ms(TIMESTAMP '{AS_OF}') - (epoch_us(ts) // 1000) AS s FROM events)")
@@ -461,20 +470,96 @@ def clip_figures(spark, sf_dir):
     return assets(spark, sf_dir).filter("type = 2").select("id", numbers.frame_count(seconds, every=F.lit(2)).alias("frames"), numbers.minutes_text(seconds).alias("clock"), F.size(numbers.keyframes(seconds)).cast("long").alias("keyframes"))
 
 
-@register("sniff_pages", "SELECT page_id, 'unknown' AS kind, FALSE AS can_strip FROM pages")
+def _png_head(colour: int) -> bytes:
+    head = b"IHDR" + struct.pack(">IIBBBBB", 1, 1, 8, colour, 0, 0, 0)
+    return binary.PNG_START + struct.pack(">I", 13) + head + struct.pack(">I", zlib.crc32(head))
+
+
+def _gif_head(transparent: int) -> bytes:
+    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\x00\x00\x00\xff\xff\xff" + bytes([0x21, 0xF9, 4, transparent, 0, 0, 0, 0, 0x2C])
+
+
+def _tiff_head(samples: int) -> bytes:
+    return b"II*\x00" + struct.pack("<IH", 8, 2) + struct.pack("<HHIHH", 262, 3, 1, 2, 0) + struct.pack("<HHIHH", 277, 3, 1, samples, 0) + b"\x00" * 4
+
+
+PNG_END = struct.pack(">I4sI", 0, b"IEND", zlib.crc32(b"IEND"))
+VP8 = b"VP8 " + struct.pack("<I", 4) + bytes([1, 2, 3, 4])
+#: An image for each page by its id's remainder: kind, whether it has alpha, and its bytes before and after the metadata.
+IMAGES = (
+    ("jpeg", False, b"\xff\xd8\xff\xe0\x00\x07JFIF\x00", b"\xff\xda\x00\x04\x01\x02scan\xff\xd9"),
+    ("png", True, _png_head(6), PNG_END),
+    ("png", False, _png_head(2), PNG_END),
+    ("webp", True, b"", VP8),
+    ("gif", True, _gif_head(1), b""),
+    ("gif", False, _gif_head(0), b""),
+    ("bmp", True, b"BM" + struct.pack("<IIIIIIHH", 58, 0, 54, 40, 1, 1, 1, 32), b""),
+    ("bmp", False, b"BM" + struct.pack("<IIIIIIHH", 58, 0, 54, 40, 1, 1, 1, 24), b""),
+    ("heic", False, b"\x00\x00\x00\x18ftypheic\x00\x00\x00\x00heicmif1", b""),
+    ("avif", False, b"\x00\x00\x00\x18ftypavif\x00\x00\x00\x00avifmif1", b""),
+    ("tiff", True, _tiff_head(4), b""),
+    ("tiff", False, _tiff_head(3), b""),
+    ("unknown", False, b"", b""),
+)
+
+
+def hex32(n, little: bool = False):
+    """A number as four bytes in hexadecimal."""
+    digits = F.lpad(F.hex(n), 8, "0")
+    return F.concat(*[F.substring(digits, k, 2) for k in ((7, 5, 3, 1) if little else (1, 3, 5, 7))])
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, image: a small image of a kind by the page's id, with the page's whole html as its metadata: as many comment
+    segments as it needs (jpeg), a text chunk (png), an EXIF chunk (webp), else behind the image."""
+    html = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    rows = read(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.octet_length(html).alias("n"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / 65_533).cast("int")), lambda k: F.substr("html", k * 65_533 + 1, F.lit(65_533)))
+    segments = F.array_join(F.transform(parts, lambda d: F.concat(F.lit("FFFE"), F.lpad(F.hex(F.octet_length(d) + 2), 4, "0"), F.hex(d))), "")
+    chunk = F.concat(F.lit("74455874"), F.hex("html"))
+    text_chunk = F.concat(hex32(F.col("n")), chunk, hex32(F.crc32(F.unhex(chunk))))
+    pad = F.when(F.col("n") % 2 == 1, F.lit("00")).otherwise(F.lit(""))
+    # the flags say that EXIF and alpha are there
+    webp = F.concat(F.lit((b"WEBPVP8X" + struct.pack("<IB9x", 10, 0x1C) + VP8 + b"EXIF").hex().upper()), hex32(F.col("n"), True), F.hex("html"), pad)
+    webp = F.concat(F.lit("52494646"), hex32((F.length(webp) / 2).cast("long"), True), webp)
+    image = F.hex("html")
+    for k, (kind, _, head, tail) in enumerate(IMAGES):
+        middle = {"jpeg": segments, "png": text_chunk}.get(kind)
+        ends = F.lit(head.hex().upper()), F.lit(tail.hex().upper())
+        whole = webp if kind == "webp" else F.concat(*ends, F.hex("html")) if middle is None else F.concat(ends[0], middle, ends[1])
+        image = F.when(F.col("page_id") % len(IMAGES) == k, whole).otherwise(image)
+    return rows.select("page_id", F.unhex(image).alias("image"))
+
+
+def by_page_sql(values) -> str:
+    """The value of each kind of image, by the page's id."""
+    return "CASE page_id % " + str(len(IMAGES)) + " " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@register("sniff_pages", f"SELECT page_id, {by_page_sql(repr(kind) for kind, *_ in IMAGES)} AS kind, {by_page_sql(kind in ('jpeg', 'png', 'webp') for kind, *_ in IMAGES)} AS can_strip FROM pages")
 def sniff_pages(spark, sf_dir):
-    data = F.encode("html", "utf-8")
-    return read(spark, sf_dir, "pages").select("page_id", binary.sniffed(data).alias("kind"), F.coalesce(binary.can_strip(data), F.lit(False)).alias("can_strip"))
+    return page_images(spark, sf_dir).select("page_id", binary.sniffed(F.col("image")).alias("kind"), binary.can_strip(F.col("image")).alias("can_strip"))
+
+
+@register("alpha_probe", f"SELECT page_id, {by_page_sql(alpha for _, alpha, *_ in IMAGES)} AS has_alpha FROM pages")
+def alpha_probe(spark, sf_dir):
+    return page_images(spark, sf_dir).select("page_id", binary.has_alpha(F.col("image")).alias("has_alpha"))
 
 
-@register("strip_images")
+BARE_WEBP = b"RIFF" + struct.pack("<I", 34) + b"WEBPVP8X" + struct.pack("<IB9x", 10, 0x10) + VP8
+STRIPPED = [head + tail if kind in ("jpeg", "png") else BARE_WEBP if kind == "webp" else None for kind, _, head, tail in IMAGES]
+BEFORE = [
+    f"{len(head) + len(tail)} + " + {"jpeg": "n + 4 * (n // 65533 + 1)", "png": "n + 12"}.get(kind, "n") if kind != "webp" else f"{len(BARE_WEBP)} + 8 + n + n % 2"
+    for kind, _, head, tail in IMAGES
+]
+
+
+@register("strip_images", f"""SELECT page_id, cast({by_page_sql(BEFORE)} AS integer) AS before, {by_page_sql("NULL" if x is None else repr(x.hex().upper()) for x in STRIPPED)} AS bytes,
+  {by_page_sql({"jpeg": "'jpg'", "png": "'png'", "webp": "'webp'"}.get(kind, "NULL") for kind, *_ in IMAGES)} AS ext FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n FROM pages)""")
 def strip_images(spark, sf_dir):
-    """JPEG, PNG and WebP images made from the pages' titles as metadata, stripped; rows only."""
-    head, tail = F.unhex(F.lit("FFD8FFFE")), F.unhex(F.lit("FFDA0008000102030405FFD9"))
-    comment = F.encode(F.substring("html", 1, 200), "utf-8")
-    size = F.unhex(F.lpad(F.hex(F.octet_length(comment) + 2), 4, "0"))
-    image = F.concat(head, size, comment, tail)
-    return read(spark, sf_dir, "pages").select("page_id", F.octet_length(image).alias("before"), binary.stripped(image).alias("s")).select("page_id", "before", F.octet_length("s.bytes").alias("after"), "s.ext")
+    """The pages' images without their metadata, the pages' whole text; null for kinds that are not edited."""
+    rows = page_images(spark, sf_dir)
+    return rows.select("page_id", F.octet_length("image").alias("before"), binary.stripped(F.col("image")).alias("s")).select("page_id", "before", F.hex("s.bytes").alias("bytes"), "s.ext")
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,14 +568,16 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events*.parquet")
 
 
-def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream has given once it has read all there is, from a table in the shared folder."""
-    import uuid
-
-    where = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream has given once it has read all there is, from a table in the shared folder: of updates the newest a
+    key. A repeated batch writes its own folder again."""
+    where = scratch_path(spark, name)
     keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/out/batch={n}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+    out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{where}/out")
+    if keys:
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("last")).select(*keys, "last.*")
+    return out.drop("batch")
 
 
 @register("task_state_stream", f"WITH {STATES_SQL} SELECT * FROM states")
@@ -499,13 +586,16 @@ def task_state_stream(spark, sf_dir):
 
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     use_rocksdb(spark)
-    return drained(spark, task_states(tasks_of(streamed(spark, sf_dir))), "task-states", "update").select("task_id", "status")
+    return drained(spark, task_states(tasks_of(streamed(spark, sf_dir))), "task-states", "update", ["task_id"]).select("task_id", "status")
 
 
-@register("debounce_stream")
+@register("debounce_stream", """WITH g AS (SELECT user_id AS key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 2000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  r AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), b AS (SELECT key, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 2000000 AS settled, count(*) AS changes FROM r GROUP BY key, run)
+  SELECT * FROM b WHERE settled <= (SELECT max(epoch_us(ts)) - 10000000 FROM events)""")
 def debounce_stream(spark, sf_dir):
+    """A user's bursts that have settled before the stream's end less ten seconds, the watermark; later ones are still open."""
     from halyard.streaming.tasks import change_bursts
 
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    changes = streamed(spark, sf_dir).select(F.lit("library").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return drained(spark, change_bursts(changes), "bursts", "append").select("key", "started", "settled", "changes")
+    changes = streamed(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return drained(spark, change_bursts(changes), "bursts", "append").select("key", F.unix_micros("started").alias("started"), F.unix_micros("settled").alias("settled"), "changes")

@@ -8,7 +8,7 @@ from halyard.functions import binary, numbers, text
 from halyard.operators import catalog_index, estimate, journal, tasks
 from halyard.plans import view
 from halyard.plans.view import View, planned
-from halyard.queries import ANCHOR, ANCHOR_BYTES, ANCHOR_MS, ANCHOR_SQL, AS_OF, ASSETS_SQL, ITEMS_SQL, SELECTION_SQL, TASKS_SQL, assets, read, register, selection, task_events
+from halyard.queries import ANCHOR, ANCHOR_BYTES, ANCHOR_MS, ANCHOR_SQL, AS_OF, ASSETS_SQL, ITEMS_SQL, SELECTION_SQL, TASKS_SQL, assets, read, register, rounded_sql, selection, task_events
 from halyard.sources import catalog
 
 
@@ -17,12 +17,12 @@ def sized(spark, sf_dir):
 
 
 @register("text_functions", f"""WITH {ASSETS_SQL} SELECT id, regexp_extract(title, '\\.([^.]+)$', 1) AS ext, regexp_replace(title, '\\.[^.]*$', '') || '_clean.heic' AS clean_name,
-  CASE WHEN size_bytes < 1024 THEN size_bytes || 'B' WHEN size_bytes < 1048576 THEN cast(round(size_bytes / 1024.0::double) AS bigint) || 'KB' WHEN size_bytes < 10485760 THEN printf('%.1fMB', size_bytes / 1048576.0::double)
-    WHEN size_bytes < 1073741824 THEN cast(round(size_bytes / 1048576.0::double) AS bigint) || 'MB' ELSE printf('%.1fGB', size_bytes / 1073741824.0::double) END AS badge,
+  CASE WHEN size_bytes < 1024 THEN size_bytes || 'B' WHEN size_bytes < 1048576 THEN {rounded_sql('size_bytes', 1 << 10, 0)} || 'KB' WHEN size_bytes < 10485760 THEN {rounded_sql('size_bytes', 1 << 20, 1)} || 'MB'
+    WHEN size_bytes < 1073741824 THEN {rounded_sql('size_bytes', 1 << 20, 0)} || 'MB' ELSE {rounded_sql('size_bytes', 1 << 30, 1)} || 'GB' END AS badge,
   CASE WHEN width > 99 THEN '99+' ELSE cast(width AS varchar) END AS count_badge, replace(replace(title, '_', '_'), '/', '%2F') AS route,
-  CASE WHEN type = 2 THEN 'jpg' ELSE 'webp' END AS target_ext FROM assets WHERE size_bytes % 64 <> 0""")
+  CASE WHEN type = 2 THEN 'jpg' ELSE 'webp' END AS target_ext FROM assets""")
 def text_functions(spark, sf_dir):
-    rows = assets(spark, sf_dir).filter("size_bytes % 64 <> 0")
+    rows = assets(spark, sf_dir)
     target = F.when(F.col("type") == 2, "auto").otherwise("webp")
     return rows.select("id", text.extension(F.col("title")).alias("ext"), text.output_name(F.col("title"), F.lit("heic"), F.lit("clean"), F.lit(0)).alias("clean_name"), text.bytes_badge(F.col("size_bytes")).alias("badge"), text.badge_count(F.col("width")).alias("count_badge"), text.route_id(F.col("title")).alias("route"), text.target_extension(target).alias("target_ext"))
 
@@ -107,7 +107,7 @@ def raw_sizes(spark, sf_dir):
     return catalog.fresh_sizes(assets(spark, sf_dir).select("id", F.concat(sign, F.col("size_bytes").cast("string"), F.lit(".7")).alias("size")))
 
 
-@register("resource_sizes", "SELECT cast(l_orderkey AS varchar) AS id, cast(arg_min(l_quantity, (CASE WHEN l_returnflag IN ('A', 'R') THEN 0 ELSE 1 END, l_linenumber, l_partkey)) AS bigint) AS size_bytes FROM lineitem GROUP BY l_orderkey")
+@register("resource_sizes", "SELECT cast(l_orderkey AS varchar) AS id, cast(arg_min(l_quantity, (CASE WHEN l_returnflag IN ('A', 'R') THEN 0 ELSE 1 END, l_linenumber, l_partkey, l_quantity)) AS bigint) AS size_bytes FROM lineitem GROUP BY l_orderkey")
 def resource_sizes(spark, sf_dir):
     kind = F.when(F.col("l_returnflag") == "A", "photo").when(F.col("l_returnflag") == "R", "video").otherwise("other")
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.struct("l_linenumber", "l_partkey").alias("position"), kind.alias("kind"), F.col("l_quantity").cast("long").alias("size"))
@@ -189,8 +189,3 @@ def batch_outcome(spark, sf_dir):
 def estimate_run(spark, sf_dir):
     rows = assets(spark, sf_dir)
     return estimate.estimate(rows, rows.filter("type = 1").select("id"), "auto", 80, {"heic": True}, (ANCHOR, ANCHOR_BYTES, ANCHOR_MS))
-
-
-@register("alpha_probe", "SELECT page_id, FALSE AS has_alpha FROM pages")
-def alpha_probe(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", binary.has_alpha(F.encode("html", "utf-8")).alias("has_alpha"))

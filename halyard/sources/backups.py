@@ -20,10 +20,18 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def named(folder: str) -> str:
+    """A folder's URI as paths come back from reading: local ones with three slashes."""
+    local = folder[5:] if folder.startswith("file:") else None if "://" in folder else folder
+    return folder.rstrip("/") if local is None else "file:///" + local.strip("/")
+
+
 def write_backups(entries: DataFrame, folder: str, ext: str = "bin") -> DataFrame:
     """(id, backup_path) of ``entries(id, content)``, each stored as a file of its own, named by its id. A file appears only
     when whole, so a repeated task does no harm; null contents are left out. Nothing is written before an action."""
 
+    folder = named(folder)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -43,7 +51,6 @@ def write_backups(entries: DataFrame, folder: str, ext: str = "bin") -> DataFram
 def read_backups(spark: SparkSession, folder: str) -> DataFrame:
     """(backup_path, content) of the files below ``folder``; one that is gone gives no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    # paths come back with the scheme's slashes as the file system writes them
     return files.select(F.regexp_replace("path", r"^file:/+", "file:///").alias("backup_path"), "content")
 
 

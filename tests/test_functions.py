@@ -24,6 +24,8 @@ def test_text(spark):
     assert v(X.copy_name(F.lit("clip"), F.lit(2), F.lit(1))) == "clip_copy.mp4"
     assert [v(X.bytes_text(F.lit(n))) for n in (5, 1536, 5 << 20, 3 << 29)] == ["5 B", "1.5 KB", "5.0 MB", "1.50 GB"]
     assert [v(X.bytes_badge(F.lit(n))) for n in (5, 1536, 3 << 19, 20 << 20)] == ["5B", "2KB", "1.5MB", "20MB"]
+    unknown = F.lit(None).cast("long")
+    assert [v(f(unknown)) for f in (X.bytes_text, X.bytes_badge, X.trimmed_decimal)] == [None] * 3 and v(X.bytes_text(F.lit(0))) == "0 B"
     assert v(X.trimmed_decimal(F.lit(2.0))) == "2" and v(X.trimmed_decimal(F.lit(2.25))) == "2.3"
     assert v(X.camera_line(F.lit("Make"), F.lit(None))) == "Make" and v(X.camera_line(F.lit(""), F.lit(None))) is None
     assert v(X.exposure_line(F.lit("f/2"), F.lit(None).cast("string"), F.lit("5 mm"))) == "f/2 · 5 mm"
@@ -45,6 +47,8 @@ def test_numbers(spark):
     assert v(N.aspect_ratio(L("original"), L(4), L(2), L(1))) == 0.5 and v(N.aspect_ratio(L("16:9"), L(1), L(1), L(0))) == 16 / 9 and v(N.aspect_ratio(L("free"), L(1), L(1), L(0))) is None
     assert v(N.elapsed_text(L(2450))) == "2.4s" and v(N.elapsed_text(L(64_000))) == "1m 04s"
     assert v(N.minutes_text(L(65))) == "1:05" and v(N.clock_text(L(9))) == "9s"
+    unknown = L(None).cast("long")
+    assert [v(f(unknown)) for f in (N.elapsed_text, N.minutes_text, N.clock_text)] == [None] * 3
     assert v(N.frame_count(L(1000.0), every=L(2))) == 64 and v(N.frame_count(L(0.5), fps=L(30))) == 15 and v(N.frame_count(L(3))) == 1
     assert v(N.keyframes(L(7.0))) == [2, 4, 6] and v(N.keyframes(L(1.0))) == []
     assert v(N.separation_text(L(100), L(50))) == "~2:00 min" and v(N.trims_nothing(L(0.1), L(9.9), L(10.0))) is True
@@ -97,6 +101,17 @@ def test_strip(spark):
     assert B.strip_webp(riff(part(b"VP8 ", b"abc"))) == riff(part(b"VP8 ", b"abc"))
 
 
+def test_alpha_by_headers():
+    from halyard.queries import IMAGES
+
+    for kind, alpha, head, tail in IMAGES:
+        if kind in ("gif", "bmp", "tiff", "png"):
+            assert B.ALPHA[kind](head + tail) is alpha
+            assert B.ALPHA[kind](head[:9]) is True  # what cannot be read may have alpha
+    big_endian = b"MM\x00*" + struct.pack(">IH", 8, 2) + struct.pack(">HHIHH", 262, 3, 1, 1, 0) + struct.pack(">HHIHH", 277, 3, 1, 2, 0)
+    assert B.tiff_has_alpha(big_endian) and not B.tiff_has_alpha(big_endian[:-4] + struct.pack(">HH", 1, 0))
+
+
 def test_turn(spark):
     pixels = bytes(v for k in range(6) for v in (k, 0, 0, 255))  # 3 wide, 2 high
     png = B.turned_png(pixels, 3, 2, 1, False, False, (0, 0, 1, 1))

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import halyard.scalar_queries  # noqa: F401  registers more queries
+import halyard.workflow_queries  # noqa: F401
 from halyard.queries import ORACLES, QUERIES
 
 
