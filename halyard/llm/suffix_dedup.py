@@ -339,8 +339,8 @@ def merged_spans(runs) -> list[tuple[int, int]]:
 
 
 def repeats_within(kinds: DataFrame, finer: tuple[int, ...]) -> DataFrame:
-    """snippet, starts, sizes: the runs of repeated bytes in the snippets of ``kinds(anchor, snippet, times, data)``, some rows a
-    snippet. Calm anchors are indexed; the snippets of hot ones are filed under the next of ``finer`` and come back here."""
+    """snippet, starts, sizes: the runs of repeated bytes in the snippets of ``kinds(anchor, snippet, times, data)``, a row a
+    snippet that has any. Calm anchors are indexed; the snippets of hot ones are filed under the next of ``finer`` and come back here."""
     hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("data")).alias("bytes"))
     hot = stored(hot.filter((F.col("kinds") > MOST_KINDS) | ((F.col("kinds") > 1) & (F.col("bytes") > MOST_BYTES))).select("anchor"), "hot-anchors")
     again = bool(finer) and hot.limit(1).count() > 0
@@ -356,7 +356,10 @@ def repeats_within(kinds: DataFrame, finer: tuple[int, ...]) -> DataFrame:
     # of a run of equal windows the first stands for all
     sizes = F.array("cover") if finer[0] == LENGTH else F.col("sizes")
     back = filed.select("outer", "offset", "cover", "snippet").join(inner, "snippet")
-    return found.unionByName(back.select(F.col("outer").alias("snippet"), F.transform("starts", lambda x: x + F.col("offset")).alias("starts"), sizes.alias("sizes")))
+    back = back.select("outer", F.arrays_zip(F.transform("starts", lambda x: x + F.col("offset")).alias("starts"), sizes.alias("sizes")).alias("runs"))
+    # a row a snippet again, so that many copies of one do not multiply its runs
+    back = back.groupBy(F.col("outer").alias("snippet")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return found.unionByName(back.select("snippet", "runs.starts", "runs.sizes"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
