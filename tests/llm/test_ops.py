@@ -342,6 +342,45 @@ def test_fingerprints(spark):
     assert all(got[k].near_rows is None for k in range(len(texts)) if k % 20)
 
 
+def plain_prints(spark, texts):
+    """The fingerprint of each text, one vote after another; only the terms' hashes are Spark's."""
+    import regex
+
+    terms = []
+    for t in texts:
+        w = [x for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x]
+        terms.append([tuple(w[k : k + 3]) + (None,) * (3 - len(w[k : k + 3])) for k in range(max(1, len(w) - 2))] if w else [])
+    distinct = list({x for own in terms for x in own})
+    h0 = F.xxhash64("a", "b", "c")
+    rows = spark.createDataFrame(list(enumerate(distinct)), "k long, t struct<a: string, b: string, c: string>").select("k", "t.*").select("k", h0.alias("h0"), F.xxhash64(h0, F.lit(1)).alias("h1")).collect()
+    hashed = {distinct[r.k]: (r.h0 % 2**64) << 64 | r.h1 % 2**64 for r in rows}
+    out = []
+    for own in terms:
+        votes = [0] * 128
+        for x in own:
+            weight = 1 + min(3, sum(len(p or "") for p in x) // 8)
+            for b in range(128):
+                votes[b] += weight if hashed[x] >> b & 1 else -weight
+        out.append(sum(1 << b for b in range(128) if votes[b] > 0))
+    return out
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = [*near_texts(), "Éa 中文 ÉA, one!", "one two", "a", "a a a a a a a a", " ,. "]
+    plain = [t or "" for t in texts]
+    edited = []
+    for k, t in enumerate(plain):
+        half = len(t) // 2
+        edited.append(t[: len(t) - half] + plain[k - 1][:half])  # descending ids: the next one is the one before
+    own, other = plain_prints(spark, plain), plain_prints(spark, edited)
+    like = lambda a, b: 1 - bin(a ^ b).count("1") / 128
+    got = {x.doc_id: x for x in simhash.fingerprint_digest(docs(spark, texts)).collect()}
+    for k in range(len(texts)):
+        x = got[k]
+        assert (x.fingerprint, x.edited_fingerprint) == (f"{own[k]:032x}", f"{other[k]:032x}"), texts[k]
+        assert abs(x.near_edited - like(own[k], other[k])) < 1e-12 and abs(x.near_next - like(own[k], own[k - 1])) < 1e-12
+
+
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 6])
 def test_radius_search_finds_all(spark, radius):
     r = random.Random(9)
