@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 64, bands: int
     """doc_id, text_key, class_id, class_key of ``docs(doc_id, text)``: the class id is the smallest doc_id in it,
     the class key its own even where ids repeat or are null.
 
-    Two texts of similarity 0.8 are proposed with a probability of 0.9998 at the default bands."""
+    Texts are linked at ``least`` and above and not below it: copies with more edits than that, as with one word in
+    fifty replaced throughout, are different texts here. Two texts of similarity 0.8 are proposed with a probability of 0.9998 at the default bands."""
     # texts without a word are one node
     text = F.coalesce("text", F.lit(""))
     text = F.when(text.rlike(r"[\p{L}\p{N}]"), text).otherwise(F.lit(""))
