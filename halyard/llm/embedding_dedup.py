@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, a graph a shard.
 
-Vectors are scaled to unit length in double precision. Equal vectors of a label are one node with a count. A
-label's nodes are dealt by hash into shards of about ``SHARD_ROWS``, fewer where vectors are long; each shard builds one
-graph, and every node of the label is asked of every shard. A task holds one shard and lets blocks of nodes stream past
-it; a label of many blocks is cut into as long rounds of blocks as a shard is, so a shard moves once a round
-and a block once a shard. Searches of a block walk in step, so that each step is a few array operations. Beams widen until two tests hold: every found neighbour list ends below the threshold, and
-an audit of each block against all of the shard's vectors finds the recall asked for. A beam that would have to
-hold the whole shard is a complete scan. Neighbours are verified by their cosines in double precision; links are
-counted and contracted to a forest a block before they are united into components.
+Vectors are scaled to unit length in double precision. Equal vectors of a label are one node with a count. A label's
+nodes are dealt by hash into shards of about ``SHARD_ROWS``, fewer where vectors are long; each shard builds one graph,
+and every node of the label is asked of every shard. A task holds one shard and lets blocks of nodes stream past it. The
+blocks of a large label are cut into rounds as long as a shard, so a shard moves once a round and a block once a shard.
+
+Searches of a block walk in step, so that each step is a few array operations. Beams widen until two tests hold: every
+found neighbour list ends below the threshold, and an audit of each block against all of the shard's vectors finds the
+recall asked for. Walks that would have to widen to a large part of the shard become comparisons with all of it.
+Neighbours are verified by their cosines in double precision; links are counted and contracted to a forest a block before
+they are united into components.
 
 Vectors that are null, empty, zero, or that hold null or non-finite numbers link with nothing, nor do rows without a
 label; each is a component of its own. Vectors of different lengths do not link. Repeated rows of a vec_id count as
@@ -153,18 +155,17 @@ def matches(graph: Graph, queries: np.ndarray, least: float, beam: int = 32, rec
 
     A walk whose beam ends above ``least`` may have missed more: its beam doubles. Then ``audit`` of the queries, at even
     steps, are compared with every vector; while the walks found less than ``recall`` of what those find, all beams double.
-    A beam as wide as the shard is the comparison with every vector."""
+    A beam that has grown to a sixteenth of the shard costs more than the comparison with every vector, which takes its place."""
     n = len(graph.vectors)
     least -= 1e-5  # single precision proposes, double precision decides
     found: dict[int, np.ndarray] = {}
     probe = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(np.int64))
     truth = queries[probe] @ graph.vectors.T >= least
-    todo, size = np.arange(len(queries)), beam
+    size = beam
     while True:
-        wide = size
-        rest = todo
+        rest, wide = np.arange(len(queries)), size
         while len(rest):
-            if 2 * wide >= n:
+            if 2 * wide >= n or (wide > beam and 16 * wide >= n):
                 for part in np.array_split(rest, max(1, len(rest) // 256)):
                     hit = queries[part] @ graph.vectors.T >= least
                     for k, row in zip(part.tolist(), hit, strict=True):
@@ -176,11 +177,10 @@ def matches(graph: Graph, queries: np.ndarray, least: float, beam: int = 32, rec
                 found[k] = row[c >= least]
             rest = rest[full]
             wide *= 2
-        total = int(truth.sum())
         got = sum(int(truth[k, found[p]].sum()) for k, p in enumerate(probe.tolist()))
-        if got >= recall * total or 2 * size >= n:
+        if got >= recall * int(truth.sum()):
             break
-        size *= 2
+        size *= 2  # at last all are compared
     q = np.repeat(np.arange(len(queries)), [len(found[k]) for k in range(len(queries))])
     return q, np.concatenate([found[k] for k in range(len(queries))]) if len(queries) else np.zeros(0, np.int64)
 
@@ -254,7 +254,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99,
     counts = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     size = F.least(F.lit(shard_rows), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / F.col("dim"))))
     counts = counts.withColumn("shards", F.ceil(F.col("n") / size).cast("long")).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long"))
-    counts = stored(counts.withColumn("rounds", F.ceil(F.col("blocks") * block_rows / (2 * size)).cast("long")), "label-sizes")
+    counts = stored(counts.withColumn("rounds", F.least("shards", "blocks")), "label-sizes")
     dealt = nodes.join(counts, ["label", "dim"])
     part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     dealt = stored(dealt.withColumn("shard", part("shards", 1)).withColumn("block", part("blocks", 2)), "dealt")
