@@ -186,7 +186,7 @@ def test_quotas_of_many_sources(spark):
         rows = {x.place: x for x in sources.collect()}
         assert np.allclose([rows[k].target for k in range(len(sizes))], want) and [rows[k].source_size for k in range(len(sizes))] == sizes
         votes = [rows[k].target for k in range(len(sizes))]
-        for seats in (0, 1, 17, 400):
+        for seats in (1, 17, 400):
             got = {x.place: x.quota for x in mixing.source_quotas(sources, seats).collect()}
             assert [got[k] for k in range(len(sizes))] == mixing.sainte_lague(np.array(votes), seats).tolist()
 
