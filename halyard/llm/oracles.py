@@ -1,5 +1,5 @@
 """SQL for the rows of those queries that SQL can express. What is left out there: learnt models, seeded draws and
-tokenizers (op2's draw of blocks, op4's hashes, op6, op8, op9's model, op10)."""
+tokenizers (op2's draw of blocks, op4's hashes, op6, op8, op9's model, op10), and eigenvectors (op11)."""
 
 from __future__ import annotations
 
@@ -59,9 +59,46 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+LINES = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+f AS (SELECT *, length(key) >= 10 AND doc_id <> min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+said AS (SELECT doc_id, max(cast(quality = 1 AS integer)) AS good, max(cast(toxic = 1 AS integer)) AS bad FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, {
+    'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words), 'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'), 'E': doc_id <> first} AS f FROM w LEFT JOIN said USING (doc_id)),
+masks AS (SELECT part, concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END, CASE WHEN f.D THEN 'D' ELSE '' END, CASE WHEN f.E THEN 'E' ELSE '' END) AS mask,
+  count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM failed GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(o) < 5 AND NOT contains(o, x)),
+steps AS (SELECT o AS filter_order, s AS step, o[s] AS x, left(o, s - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS s) WHERE length(o) = 5),
+rows AS (
+  SELECT part, filter_order, step, x,
+    coalesce(sum(n) FILTER (NOT regexp_matches(mask, '[' || before || x || ']')), 0) AS kept,
+    coalesce(sum(n) FILTER (contains(mask, x) AND NOT regexp_matches(mask, '[' || before || '_]')), 0) AS removed,
+    coalesce(sum(n) FILTER (contains(mask, x) AND regexp_matches(mask, '[' || before || '_]')), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = x), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (contains(mask, x) AND NOT regexp_matches(mask, '[' || before || '_]')), 0) AS good_lost,
+    coalesce(sum(bad) FILTER (contains(mask, x) AND NOT regexp_matches(mask, '[' || before || '_]')), 0) AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+SELECT part, filter_order, cast(step AS integer) AS step, cast(kept AS bigint) AS kept, cast(removed AS bigint) AS removed, cast(redundant AS bigint) AS redundant, cast(unique_fails AS bigint) AS unique_fails,
+  cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, x) AS bigint) AS shapley FROM rows
+"""
+
 ORACLES = {
     "op1_near_duplicates": NEAR_DUPLICATES,
     "op3_repeated_strings": REPEATED_STRINGS,
     "op5_embedding_links": EMBEDDING_LINKS,
     "op7_archives": ARCHIVES,
+    "op12_lines": LINES,
+    "op13_filter_audit": FILTER_AUDIT,
 }

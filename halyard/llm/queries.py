@@ -78,6 +78,24 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.whitening import whitening_digest
+
+    return whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.line_dedup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_source_mix": op2_source_mix,
@@ -89,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_token_ids": op10_token_ids,
+    "op11_whitened": op11_whitened,
+    "op12_lines": op12_lines,
+    "op13_filter_audit": op13_filter_audit,
 }

@@ -1,4 +1,4 @@
-"""The ten operators against brute force, exact round trips or held-out accuracy."""
+"""The first ten operators against brute force, exact round trips or held-out accuracy."""
 
 from __future__ import annotations
 
