@@ -77,29 +77,31 @@ def restore(table: VersionedTable, ids: DataFrame, backup_folder: str, gallery:
     journal and deletes its backups: (id, ok) of the wanted ids. One whose backup is gone stays in the journal.
 
     The gallery is written first, then the journal, the files last: a job that stops in between loses nothing."""
-    before, spark = table.read(), table.spark
-    rows = spooled(restorable(before, ids, read_backups(spark, backup_folder)), "restored")
+    rows = spooled(restorable(table.read(), ids, read_backups(table.spark, backup_folder)), "restored")
     append_gallery(rows, gallery)
-    table.write(before.join(rows, "id", "left_anti"))
+    table.change(lambda now: now.join(rows, "id", "left_anti"))
     delete_backups(rows).collect()
     return ids.select("id").distinct().join(rows.select("id", F.lit(True).alias("ok")), "id", "left").select("id", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
 def drop_entries(table: VersionedTable, ids: DataFrame) -> DataFrame:
     """Drops entries for ever, with their backups; one row: how many backups were deleted. Unknown ids do nothing."""
-    before = table.read()
-    left, paths = drop(before, ids)
-    table.write(left)
-    return delete_backups(paths)
+    before = table.change(lambda now: drop(now, ids)[0]).before
+    return delete_backups(drop(before, ids)[1])
+
+
+def empty_trash(table: VersionedTable) -> DataFrame:
+    """Every committed entry goes for ever, with its backup; one row: how many backups were deleted. Pending entries and theirs
+    stay."""
+    before = table.change(empty_all).before
+    return delete_backups(before.filter(F.col("state") == COMMITTED))
 
 
 def launch_sweep(table: VersionedTable, as_of: Column, days: int = RETENTION_DAYS) -> DataFrame:
     """The job that runs once at a start: expired entries go, with their backups; one row: how many went."""
-    before = table.read()
-    left, count = purge(before, as_of, days)
-    table.write(left)
+    before = table.change(lambda now: purge(now, as_of, days)[0]).before
     delete_backups(before.filter(expired(as_of, days))).collect()
-    return count
+    return purge(before, as_of, days)[1]
 
 
 def with_days_remaining(journal: DataFrame, as_of: Column, days: int = RETENTION_DAYS) -> DataFrame:

@@ -27,6 +27,17 @@ def fold(state: str | None, events: Iterable[str]) -> str | None:
     return state
 
 
+def fold_timed(state: tuple[str | None, int | None], events: Iterable[tuple[int, int, str]], forget_ms: int | None = None) -> tuple[str | None, int | None]:
+    """(status, last time) after timed events (microseconds, seq, status) in order. With ``forget_ms``, a task that has been
+    finished and quiet for more than that many milliseconds begins anew with its next event."""
+    status, last = state
+    for us, _, event in events:
+        if forget_ms is not None and status in FINISHED and us - last > forget_ms * 1000:
+            status = None
+        status, last = fold(status, [event]), us
+    return status, last
+
+
 def latest(events: DataFrame) -> DataFrame:
     """(task_id, status) of each task's last event."""
     return events.groupBy("task_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"))
@@ -45,6 +56,22 @@ def folded(events: DataFrame) -> DataFrame:
     return seen.join(done, "task_id", "left").select("task_id", F.when(F.col("cancelled"), "cancelled").otherwise(F.coalesce(first_end, running)).alias("status"))
 
 
+def folded_lives(events: DataFrame, forget_ms: int) -> DataFrame:
+    """``fold_timed`` for tables: (task_id, status).
+
+    A task's events are cut where it was quiet for more than ``forget_ms``; each stretch is folded once from a waiting and once
+    from a running task, and the stretches of a task, a row each, are chained: one that meets a finished task begins anew."""
+    w = Window.partitionBy("task_id").orderBy("ts", "seq")
+    quiet = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > forget_ms * 1000
+    cut = events.withColumn("life", F.sum(F.when(quiet, 1).otherwise(0)).over(w)).withColumn("task_id", F.struct("task_id", "life"))
+    running = cut.groupBy("task_id").agg(F.min("ts").alias("ts")).select("task_id", F.lit(None).cast("long").alias("seq"), "ts", F.lit("running").alias("status"))
+    before = running.withColumn("seq", F.lit(-(1 << 63)))  # a start before all else
+    waiting, going = folded(cut.select("task_id", "seq", "ts", "status")), folded(cut.select("task_id", "seq", "ts", "status").unionByName(before))
+    both = waiting.join(going.withColumnRenamed("status", "going"), "task_id").select("task_id.*", "status", "going")
+    stretches = both.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("life", "status", "going"))).alias("s"))
+    return stretches.select("task_id", F.aggregate("s", F.lit("pending"), lambda at, x: F.when(at == "running", x["going"]).otherwise(x["status"])).alias("status"))
+
+
 def shown(states: DataFrame, which: str) -> DataFrame:
     return states.filter(F.col("status").isin(*FILTERS[which]))
 
@@ -76,27 +103,31 @@ def newly_completed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def debounced(changes: DataFrame, quiet: str = "2 seconds") -> DataFrame:
-    """One row for each run of a key's changes without a gap of ``quiet``; works on streams with a watermark too."""
+    """One row for each run of a key's changes that are never more than ``quiet`` apart: changes exactly that far apart are one
+    run. Works on streams with a watermark too."""
     return changes.groupBy("key", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("changes")).select("key", F.col("w.start").alias("started"), F.col("w.end").alias("settled"), "changes")
 
 
 def debounced_batch(changes: DataFrame, quiet_ms: int = 2000, span_ms: int = 86_400_000) -> DataFrame:
-    """The same per key for tables: key, started, last, changes.
-
-    A key's changes are cut into spans of time, so one hot key is many tasks' work: runs are found inside each span,
-    and then only the runs of a key, few where changes come in bursts, are joined across spans."""
-    runs = _runs(changes.filter("ts is not null").withColumn("span", F.floor(F.unix_millis("ts") / span_ms)).withColumn("last", F.col("ts")), ["key", "span"], quiet_ms)
-    return _runs(runs, ["key"], quiet_ms).drop("span")
-
-
-def _runs(rows: DataFrame, by: list[str], quiet_ms: int) -> DataFrame:
-    """``by``, started, last, changes of the runs of rows (ts or started, last, changes or one each)."""
-    start = "started" if "started" in rows.columns else "ts"
-    n = F.col("changes") if "changes" in rows.columns else F.lit(1)
-    w = Window.partitionBy(*by).orderBy(start, "last")
-    gap = F.unix_millis(start) - F.unix_millis(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    run = F.sum(F.when(gap.isNull() | (gap > quiet_ms), 1).otherwise(0)).over(w)
-    return rows.withColumn("run", run).groupBy(*by, "run").agg(F.min(start).alias("started"), F.max("last").alias("last"), F.sum(n).alias("changes")).drop("run")
+    """The same per key for tables: key, started, last, changes; changes exactly ``quiet_ms`` apart are one run, and those
+    without a time are none. Keys may be null.
+
+    A key's changes are cut into spans of time, so one hot key is many tasks' work, however dense or sparse its changes
+    are. Inside a span, runs are found; those between its first and its last run are whole. The two at its ends are all that a
+    span passes on: the spans of a key are chained by them, a row or two a span. Both kinds of run travel in one shuffle, the whole
+    ones by key and span, the open ones by key alone."""
+    span = F.floor(F.unix_millis("ts") / span_ms)
+    inside = Window.partitionBy("key", "span").orderBy("ts")
+    rows = changes.filter("ts is not null").select("key", "ts", span.alias("span"))
+    gap = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(inside))
+    rows = rows.withColumn("run", F.sum(F.when(gap > quiet_ms, 1).otherwise(0)).over(inside))
+    runs = rows.groupBy("key", "span", "run").agg(F.min("ts").alias("started"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("changes"))
+    ends = F.max("run").over(Window.partitionBy("key", "span"))
+    runs = runs.withColumn("whole", F.when((F.col("run") > 0) & (F.col("run") < ends), F.struct("span", "run")))
+    chain = Window.partitionBy("key", "whole").orderBy("started")
+    gap = F.unix_millis("started") - F.unix_millis(F.lag("last").over(chain))
+    runs = runs.select("key", "whole", "started", "last", "changes").withColumn("link", F.sum(F.when(gap <= quiet_ms, 0).otherwise(1)).over(chain))
+    return runs.groupBy("key", "whole", "link").agg(F.min("started").alias("started"), F.max("last").alias("last"), F.sum("changes").alias("changes")).select("key", "started", "last", "changes")
 
 
 def newest_results(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -9,14 +9,14 @@ import struct
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import binary, numbers, text
 from halyard.operators import catalog_index, estimate, journal, tasks
 from halyard.plans import view
 from halyard.plans.view import View, planned
-from halyard.scratch import scratch_path
+from halyard.scratch import scratch_path, spooled
 from halyard.sources.catalog import assets_of, tasks_of, trash_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -589,7 +589,40 @@ def task_state_stream(spark, sf_dir):
     return drained(spark, task_states(tasks_of(streamed(spark, sf_dir))), "task-states", "update", ["task_id"]).select("task_id", "status")
 
 
-@register("debounce_stream", """WITH g AS (SELECT user_id AS key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 2000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+FORGET_MS = 2 * 86_400_000
+LIVES_SQL = f"""{TASKS_SQL}, states AS (
+  SELECT task_id, list_reduce(list_prepend({{'s': 'pending', 't': 0::bigint}}, list({{'s': status, 't': epoch_us(ts)}} ORDER BY ts, seq)), lambda a, e: {{'t': e.t, 's': CASE WHEN e.s = 'cancelled' THEN e.s
+    WHEN a.s IN ('completed', 'failed', 'cancelled') AND e.t - a.t <= {FORGET_MS * 1000} THEN a.s
+    WHEN e.s IN ('running', 'failed') THEN e.s WHEN e.s = 'completed' AND a.s = 'running' THEN e.s
+    WHEN a.s IN ('completed', 'failed', 'cancelled') THEN 'pending' ELSE a.s END}}).s AS status
+  FROM tasks GROUP BY task_id)"""
+
+
+@register("task_lives", f"WITH {LIVES_SQL} SELECT * FROM states")
+def task_lives(spark, sf_dir):
+    """Finished tasks are forgotten after two quiet days."""
+    return tasks.folded_lives(task_events(spark, sf_dir), FORGET_MS)
+
+
+@register("task_lives_stream", f"WITH {LIVES_SQL} SELECT * FROM states")
+def task_lives_stream(spark, sf_dir):
+    """The same as a stream of four batches that shuffle the events among them by up to a minute."""
+    from halyard.streaming.tasks import task_states, use_rocksdb
+
+    use_rocksdb(spark)
+    where = scratch_path(spark, "shuffled")
+    events = task_events(spark, sf_dir)
+    late = F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(60_000_000))
+    batch = F.ntile(4).over(Window.orderBy("at"))
+    # the batches go out one after another, as file streams take the oldest first
+    told = spooled(events.withColumn("at", late).withColumn("batch", batch), "told")
+    for k in range(1, 5):
+        told.filter(F.col("batch") == k).drop("at", "batch").coalesce(1).write.mode("append").parquet(where)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    return drained(spark, task_states(stream, "2 minutes", FORGET_MS), "task-lives", "update", ["task_id"]).select("task_id", "status")
+
+
+@register("debounce_stream", """WITH g AS (SELECT user_id AS key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 2000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   r AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), b AS (SELECT key, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 2000000 AS settled, count(*) AS changes FROM r GROUP BY key, run)
   SELECT * FROM b WHERE settled <= (SELECT max(epoch_us(ts)) - 10000000 FROM events)""")
 def debounce_stream(spark, sf_dir):

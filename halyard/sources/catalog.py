@@ -1,12 +1,20 @@
 """Asset, journal and task tables: versions on disk, lookups, and views over star-schema tables.
 
 A table is a folder of versions, each a whole Parquet table; a change reads the newest and writes the next, so
-readers keep what they opened and a lost executor only repeats its part of the write.
+readers keep what they opened and a lost executor only repeats its part of the write. Writers may meet: each writes a data
+folder of its own, and a version exists from the moment that its number is claimed by one atomic step, so a version is
+whole when it is seen and no two writers share one. Who finds the number claimed has read a table that is no longer the
+newest: his change runs again on the newest.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
 import re
+import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,53 +28,149 @@ def _path(spark: SparkSession, where: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def claim(spark: SparkSession, target: str, content: str) -> bool:
+    """Makes the file ``target`` with its content in one step, unless it exists: True for the one who made it.
+
+    Local files are linked into place; elsewhere a file is renamed, which on HDFS fails where the target exists. The
+    folder must exist."""
+    parent, name = target.rsplit("/", 1)
+    path, fs = _path(spark, parent)
+    real = fs.resolvePath(path).toUri()
+    own = f".{uuid.uuid4().hex}.claim"
+    if real.getScheme() == "file":
+        folder = real.getPath()
+        with open(f"{folder}/{own}", "x", encoding="utf-8") as sink:
+            sink.write(content)
+        try:
+            os.link(f"{folder}/{own}", f"{folder}/{name}")
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(f"{folder}/{own}")
+        return True
+    staged, _ = _path(spark, f"{parent}/{own}")
+    sink = fs.create(staged, True)
+    sink.write(bytearray(content.encode()))
+    sink.close()
+    if fs.rename(staged, _path(spark, target)[0]):
+        return True
+    fs.delete(staged, False)
+    return False
+
+
+class Conflict(RuntimeError):
+    """Another writer has made a version since the one that a write is based on."""
+
+
+class Change(NamedTuple):
+    """What a change found and what it left."""
+
+    before: DataFrame
+    after: DataFrame
+    version: int
+
+
 class VersionedTable:
-    """A table whose changes are new versions. Old ones stay until ``vacuum``."""
+    """A table whose changes are new versions. Old ones stay until ``vacuum``.
+
+    Version n is the file ``v`` n, which names the folder of its data."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: StructType):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
-    def _folders(self) -> list[int]:
-        """Numbers of all versions, whole or not."""
+    def _listed(self) -> tuple[list[int], dict[str, int]]:
+        """(numbers of the versions in order, {data folder: the number it was written for})."""
         path, fs = _path(self.spark, self.folder)
-        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
-        return [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)]
+        whole, data = [], {}
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            name = status.getPath().getName()
+            if found := re.fullmatch(r"v(\d+)(-[0-9a-f]+)?", name):
+                if status.isDirectory():
+                    data[name] = int(found[1])
+                else:
+                    whole.append(int(found[1]))
+        return sorted(whole), data
+
+    def _data(self, number: int) -> str:
+        path, fs = _path(self.spark, f"{self.folder}/v{number:08d}")
+        source = fs.open(path)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
 
     def versions(self) -> list[int]:
-        """Numbers of the whole versions, oldest first."""
-        whole = []
-        for number in sorted(self._folders()):
-            path, fs = _path(self.spark, f"{self.folder}/v{number:08d}/_SUCCESS")
-            if fs.exists(path):
-                whole.append(number)
-        return whole
+        """Numbers of the versions, oldest first."""
+        return self._listed()[0]
+
+    def at(self, number: int) -> DataFrame:
+        """A version; an empty table for number 0."""
+        if not number:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self._data(number)}")
 
     def read(self) -> DataFrame:
         """The newest version; an empty table before the first."""
-        known = self.versions()
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{known[-1]:08d}")
+        return self.at(max(self.versions(), default=0))
 
-    def write(self, df: DataFrame, sort_by: str | None = None) -> DataFrame:
-        """The next version. Sorted files let a filter on that column skip row groups. A write that was killed leaves a
-        folder that is never read and whose number is not used again."""
-        number = max(self._folders(), default=0) + 1
+    def _stored(self, df: DataFrame, number: int, sort_by: str | None) -> str:
+        name = f"v{number:08d}-{uuid.uuid4().hex[:12]}"
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         if sort_by:
             out = out.repartitionByRange(sort_by).sortWithinPartitions(sort_by)
-        out.write.parquet(f"{self.folder}/v{number:08d}")
-        return self.read()
+        out.write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def _remove(self, name: str) -> None:
+        path, fs = _path(self.spark, f"{self.folder}/{name}")
+        fs.delete(path, True)
+
+    def _next(self) -> tuple[int, int]:
+        """(the newest version or 0, the number after all that were ever begun)."""
+        whole, data = self._listed()
+        return max(whole, default=0), max([0, *whole, *(n for d, n in data.items() if "-" not in d)]) + 1
+
+    def change(self, work: Callable[[DataFrame], DataFrame | None], sort_by: str | None = None, tries: int = 50) -> Change:
+        """Puts ``work(newest version)`` in the next version, or nothing if it is None. If another writer was faster, the work
+        is done again on what he left, so ``work`` must only describe rows."""
+        for _ in range(tries):
+            newest, number = self._next()
+            before = self.at(newest)
+            after = work(before)
+            if after is None:
+                return Change(before, before, newest)
+            name = self._stored(after, number, sort_by)
+            if claim(self.spark, f"{self.folder}/v{number:08d}", name):
+                return Change(before, self.at(number), number)
+            self._remove(name)
+        raise Conflict(f"{self.folder}: {tries} other changes came first")
+
+    def write(self, df: DataFrame, sort_by: str | None = None, since: int | None = None) -> DataFrame:
+        """``df`` as the next version. With ``since``, the version that ``df`` was made from (0 for none), it is a conflict if
+        there is a newer one; without, ``df`` replaces whatever is there. Sorted files let a filter on that column
+        skip row groups. A write that was killed leaves a folder that is never read."""
+        newest, number = self._next()
+        if since is not None and since != newest:
+            raise Conflict(f"{self.folder}: version {newest} came after {since}")
+        name = self._stored(df, number, sort_by)
+        while not claim(self.spark, f"{self.folder}/v{number:08d}", name):
+            if since is not None:
+                self._remove(name)
+                raise Conflict(f"{self.folder}: version {number} came after {since}")
+            number = self._next()[1]
+        return self.at(number)
 
     def vacuum(self, keep: int = 1) -> list[int]:
-        """Removes versions before the newest ``keep``, and what killed writes before them left."""
-        whole = self.versions()
+        """Removes versions before the newest ``keep``, and what killed writes before them left. A write that is still going on
+        counts as killed if it began before the oldest version kept."""
+        whole, data = self._listed()
         newest = whole[-keep:] if keep else []
-        gone = [n for n in self._folders() if n < min(newest, default=max(whole, default=0) + 1)]
-        for number in gone:
-            path, fs = _path(self.spark, f"{self.folder}/v{number:08d}")
-            fs.delete(path, True)
-        return sorted(set(gone) & set(whole))
+        least = min(newest, default=max(whole, default=0) + 1)
+        held = {self._data(n) for n in newest}
+        gone = [n for n in whole if n < least]
+        for name in [f"v{n:08d}" for n in gone] + [d for d, n in data.items() if n < least and d not in held]:
+            self._remove(name)
+        return gone
 
 
 def open_tables(spark: SparkSession, folder: str) -> dict[str, VersionedTable]:
@@ -75,10 +179,11 @@ def open_tables(spark: SparkSession, folder: str) -> dict[str, VersionedTable]:
     tables = {"assets": VersionedTable(spark, f"{folder}/assets", ASSETS), "trash": VersionedTable(spark, f"{folder}/trash", TRASH)}
     marker = VersionedTable(spark, f"{folder}/schema", StructType.fromDDL("version int"))
     if schema_version(marker) < SCHEMA_VERSION:
-        for table in tables.values():
-            if not table.versions():
-                table.write(table.read())
-        marker.write(spark.createDataFrame([(SCHEMA_VERSION,)], marker.schema))
+        known = max(marker.versions(), default=0)
+        steps = [(table, table.read(), 0) for table in tables.values() if not table.versions()]
+        for table, first, since in [*steps, (marker, spark.createDataFrame([(SCHEMA_VERSION,)], marker.schema), known)]:
+            with contextlib.suppress(Conflict):  # another opening was faster
+                table.write(first, since=since)
     return tables
 
 
@@ -134,9 +239,8 @@ class Flags:
         return bool(rows and rows[0]["on"])
 
     def put(self, name: str, on: bool) -> None:
-        known = self.table.read()
-        row = known.sparkSession.createDataFrame([(name, on)], known.schema)
-        self.table.write(known.filter(F.col("name") != name).unionByName(row))
+        row = self.table.spark.createDataFrame([(name, on)], self.table.schema)
+        self.table.change(lambda known: known.filter(F.col("name") != name).unionByName(row))
 
 
 def first_digit(c: Column) -> Column:

@@ -11,30 +11,77 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from halyard.operators import catalog_index
-from halyard.operators.tasks import debounced, fold
+from halyard.operators.tasks import FINISHED, debounced, fold_timed
 from halyard.sources.catalog import VersionedTable
 
 
 class TaskFold(StatefulProcessor):
-    """One string of state a task. Within a micro-batch events fold in (ts, seq) order; across batches in order of arrival."""
+    """A task's settled state, and its events that the watermark has not passed.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "status string")
+    Late events may still come before those, so they wait in order; a timer at the earliest one's time settles what the
+    watermark has passed. What is told at each batch is the state after all events so far, and is told again if a late
+    event changes it. With ``forget_ms``, a finished task that has been quiet for so long is a new one if it is heard
+    of again (``fold_timed``): its state goes when the watermark tells so."""
+
+    def __init__(self, forget_ms: int | None = None):
+        self.forget_ms = forget_ms
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        before = self.state.get()[0] if self.state.exists() else None
-        after = fold(before, events["status"])
-        self.state.update((after,))
-        yield pd.DataFrame({"task_id": [key[0]], "status": [after]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "status string, last_us long")
+        self.waiting = handle.getListState("waiting", "us long, seq long, status string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        waiting = list(map(tuple, self.waiting.get()))
+        first = min(waiting, default=None)
+        for batch in rows:
+            micros = batch["ts"].astype("datetime64[us]").astype("int64")
+            waiting += zip(micros.tolist(), batch["seq"].tolist(), batch["status"].tolist(), strict=True)
+        waiting.sort(key=lambda e: e[:2])
+        self.waiting.put(waiting)
+        if first is None or waiting[0] < first:
+            self._arm(waiting[0][0], first)
+        status, _ = fold_timed(self._state(), waiting, self.forget_ms)
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status]})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = list(map(tuple, self.waiting.get()))
+        passed = [e for e in waiting if e[0] <= watermark]
+        state = fold_timed(self._state(), passed, self.forget_ms)
+        rest = waiting[len(passed) :]
+        if passed:
+            self.settled.update(state)
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self._arm(rest[0][0])
+        elif self.forget_ms is not None and state[0] in FINISHED:
+            over = state[1] + self.forget_ms * 1000
+            if over < watermark:
+                self.settled.clear()
+            else:
+                self._arm(over + 1000)
+        yield from ()
+
+    def _state(self) -> tuple[str | None, int | None]:
+        return tuple(self.settled.get()) if self.settled.exists() else (None, None)
+
+    def _arm(self, us: int, before: tuple | None = None) -> None:
+        """A timer at the first millisecond that is not before ``us``, in place of the one for ``before``."""
+        if before is not None:
+            self.handle.deleteTimer(-(-before[0] // 1000))
+        self.handle.registerTimer(-(-us // 1000))
 
     def close(self) -> None:
         pass
 
 
-def task_states(events: DataFrame) -> DataFrame:
-    """(task_id, status) updates of a stream of (task_id, seq, ts, status)."""
-    return events.groupBy("task_id").transformWithStateInPandas(statefulProcessor=TaskFold(), outputStructType="task_id long, status string", outputMode="Update", timeMode="None")
+def task_states(events: DataFrame, late: str = "10 seconds", forget_ms: int | None = None) -> DataFrame:
+    """(task_id, status) updates of a stream of (task_id, seq, ts, status). Events fold in (ts, seq) order, whatever batch they
+    come in, if they are at most ``late`` behind the newest; later ones are dropped. A task keeps one string and a time
+    besides its events of the last ``late``; with ``forget_ms`` not even that, once it is finished and quiet."""
+    timely = events.withWatermark("ts", late).groupBy("task_id")
+    return timely.transformWithStateInPandas(statefulProcessor=TaskFold(forget_ms), outputStructType="task_id long, status string", outputMode="Update", timeMode="EventTime")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -47,12 +94,12 @@ def change_bursts(changes: DataFrame, quiet: str = "2 seconds", late: str = "10
 
 
 def sync_on_bursts(bursts: DataFrame, table: VersionedTable, read_source, checkpoint: str):
-    """Syncs the index once a micro-batch with bursts. Micro-batches run one at a time, so syncs never overlap, and a
-    repeated batch writes the same table again."""
+    """Syncs the index once a micro-batch with bursts. Micro-batches run one at a time, so syncs never overlap; a
+    repeated batch writes the same table again, and what other writers change meanwhile is synced, not overwritten."""
 
     def run(batch: DataFrame, _: int) -> None:
         if batch.limit(1).count():
-            table.write(catalog_index.sync(table.read(), read_source()))
+            table.change(lambda now: catalog_index.sync(now, read_source()))
 
     return bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
 
@@ -61,6 +108,7 @@ def sizes_from(stream: DataFrame, table: VersionedTable, checkpoint: str):
     """A stream of (id, size_bytes) put into the index."""
 
     def run(batch: DataFrame, _: int) -> None:
-        table.write(catalog_index.set_sizes(table.read(), batch.filter(F.col("size_bytes") >= 0)))
+        new = batch.filter(F.col("size_bytes") >= 0)
+        table.change(lambda now: catalog_index.set_sizes(now, new))
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)

@@ -152,7 +152,7 @@ def restored_originals(spark, sf_dir):
     paths = spooled(write_backups(pages.filter("page_id % 2 = 0"), f"{folder}/backups"), "backup-paths")
     entries = pages.join(paths, "id", "left").select("id", F.lit("o").alias("original_asset_id"), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("p"), "id")).otherwise("").alias("filename"), F.coalesce("backup_path", F.concat(F.lit(f"{folder}/backups/gone-"), "id")).alias("backup_path"), F.lit(0).alias("original_bytes"), F.lit(0).alias("new_bytes"))
     table = open_tables(spark, folder)["trash"]
-    table.write(journal.insert_pending(table.read(), entries))
+    table.change(lambda now: journal.insert_pending(now, entries))
     asked = journal.restore(table, pages.select("id"), f"{folder}/backups", f"{folder}/gallery")
     saved = spark.read.parquet(f"{folder}/gallery").select("id", "title", F.sha2("content", 256).alias("sha"))
     return asked.join(saved, "id", "left").select("id", "ok", "title", "sha")
@@ -209,6 +209,54 @@ def synced_by_bursts(spark, sf_dir):
     return table.read().select("id", "width", "size_bytes")
 
 
+@register("emptied_trash", f"WITH {TRASH_SQL} SELECT id, state = 0 AS listed, state = 0 AND cast(id AS bigint) % 3 <> 0 AS backed FROM trash WHERE state = 0 OR cast(id AS bigint) % 3 <> 0")
+def emptied_trash(spark, sf_dir):
+    """A journal two thirds of whose entries have backups, emptied: what is left in the table and in the folder. Entries that
+    are gone are listed by the backups they had."""
+    folder = scratch_path(spark, "emptied")
+    book = journal_of(spark, sf_dir)
+    content = book.filter(F.col("id").cast("long") % 3 != 0).select("id", F.encode("original_asset_id", "utf-8").alias("content"))
+    paths = spooled(write_backups(content, f"{folder}/backups"), "backup-paths")
+    table = open_tables(spark, folder)["trash"]
+    table.write(book.drop("backup_path").join(paths, "id", "left").withColumn("backup_path", F.coalesce("backup_path", F.lit(""))))
+    journal.empty_trash(table).collect()
+    left = read_backups(spark, f"{folder}/backups").select("backup_path", F.lit(True).alias("there"))
+    backed = paths.join(left, "backup_path", "left").select("id", F.coalesce("there", F.lit(False)).alias("backed"))
+    listed = table.read().select("id", F.lit(True).alias("listed"))
+    both = listed.join(backed, "id", "full_outer")
+    return both.select("id", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("backed", F.lit(False)).alias("backed"))
+
+
+@register("met_streams", f"""WITH {ASSETS_SQL}, sized AS (SELECT cast(user_id AS varchar) AS id, max(event_id) AS size FROM events GROUP BY user_id)
+  SELECT a.id, a.width + 2 AS width, coalesce(s.size, a.size_bytes) AS size_bytes, CASE WHEN cast(a.id AS bigint) % 5 < 4 THEN 't' || cast(a.id AS bigint) % 5 ELSE a.title END AS title
+  FROM assets a LEFT JOIN sized s ON s.id = a.id WHERE cast(a.id AS bigint) % 10 <> 3""")
+def met_streams(spark, sf_dir):
+    """A sync stream, a size stream and four writers change one stored index at the same time: every change is in the end."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from halyard.streaming.tasks import change_bursts, sizes_from, sync_on_bursts
+
+    rows, folder = assets(spark, sf_dir), scratch_path(spark, "met")
+    table = VersionedTable(spark, f"{folder}/assets", ASSETS)
+    table.write(rows)
+    source = lambda: rows.filter(F.col("id").cast("long") % 10 != 3).select("id", "type", (F.col("width") + 2).alias("width"))
+    events = streamed(spark, sf_dir)
+    changes = events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    sizes = events.select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("size_bytes"))
+    streams = [sync_on_bursts(change_bursts(changes), table, source, f"{folder}/sync"), sizes_from(sizes, table, f"{folder}/sizes")]
+    running = [s.trigger(availableNow=True).start() for s in streams]
+
+    def retitle(k: int) -> int:
+        mine = F.col("id").cast("long") % 5 == k
+        return table.change(lambda now: now.withColumn("title", F.when(mine, F.lit(f"t{k}")).otherwise(F.col("title")))).version
+
+    with ThreadPoolExecutor(4) as pool:
+        assert len(set(pool.map(retitle, range(4)))) == 4
+    for query in running:
+        query.awaitTermination()
+    return table.read().select("id", "width", "size_bytes", "title")
+
+
 @register("turned_images", """WITH p AS (SELECT page_id, cast(1 + page_id % 5 AS integer) AS w, cast(1 + page_id % 3 AS integer) AS h, cast(page_id % 4 AS integer) AS t FROM pages)
   SELECT page_id, CASE WHEN t % 2 = 1 THEN h ELSE w END AS wide, CASE WHEN t % 2 = 1 THEN w ELSE h END AS high, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 6 END AS colour FROM p""")
 def turned_images(spark, sf_dir):

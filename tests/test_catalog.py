@@ -9,7 +9,7 @@ from halyard.operators import tasks as T
 from halyard.plans import view as V
 from halyard.schema import ASSETS, TRASH
 from halyard.sources.backups import read_backups, write_backups
-from halyard.sources.catalog import Flags, VersionedTable, append_gallery, fresh_sizes, open_tables, resource_sizes, store_sizes
+from halyard.sources.catalog import Conflict, Flags, VersionedTable, append_gallery, fresh_sizes, open_tables, resource_sizes, store_sizes
 
 
 def assets(spark, *rows):
@@ -103,6 +103,56 @@ def test_versions(spark, tmp_path):
     assert set(open_tables(spark, str(tmp_path))) == {"assets", "trash"}
 
 
+def test_writers_that_meet(spark, tmp_path):
+    """Four writers of a thousand rows each leave four versions; replacing writes share none either."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = VersionedTable(spark, f"file://{tmp_path}/t", ASSETS)
+    rows = [C.as_assets(spark.range(1000).select(F.concat(F.lit(f"{k}-"), F.col("id").cast("string")).alias("id"), F.lit(1).alias("type"), F.lit(k).alias("width"))) for k in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda r: table.change(lambda now: now.unionByName(r)), rows))
+    assert table.versions() == [1, 2, 3, 4] == sorted(d.version for d in done)
+    assert [table.at(n).count() for n in table.versions()] == [1000, 2000, 3000, 4000] and table.read().select("id").distinct().count() == 4000
+    assert all(d.after.count() == d.before.count() + 1000 for d in done)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(table.write, rows))
+    assert table.versions() == list(range(1, 9))
+    assert sorted(table.at(n).agg(F.first("width"), F.count_distinct("width"), F.count("id")).first() for n in range(5, 9)) == [(k, 1, 1000) for k in range(4)]
+    folders = [p.name for p in (tmp_path / "t").iterdir() if p.is_dir()]
+    assert len(folders) == 8 and not [p for p in (tmp_path / "t").iterdir() if p.name.endswith(".claim")]
+
+
+def test_a_stale_write_is_a_conflict(spark, tmp_path):
+    """What a sync planned before a size write does not wipe the sizes out."""
+    table = VersionedTable(spark, f"file://{tmp_path}/t", ASSETS)
+    table.write(assets(spark, {"id": "a"}, {"id": "b"}), since=0)
+    source = spark.createDataFrame([("a", 1, 5)], "id string, type int, width int")
+    planned = C.sync(table.read(), source)
+    table.change(lambda now: C.set_size(now, "a", 7))
+    with pytest.raises(Conflict):
+        table.write(planned, since=1)
+    met = []
+
+    def sync(now):
+        if not met:  # another writer comes between the reading and the writing
+            met.append(table.change(lambda t: C.set_size(t, "a", 9)).version)
+        return C.sync(now, source)
+
+    assert table.change(sync).version == 4 and met == [3]
+    assert [(r.id, r.width, r.size_bytes) for r in table.read().collect()] == [("a", 5, 9)]
+    assert table.change(lambda now: None).version == 4 and table.versions() == [1, 2, 3, 4]
+    assert table.vacuum(2) == [1, 2] and len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 2
+
+
+def test_empty_trash_takes_the_backups(spark, tmp_path):
+    table, backups = VersionedTable(spark, f"file://{tmp_path}/trash", TRASH), f"file://{tmp_path}/backups"
+    content = spark.createDataFrame([("e", bytearray(b"one")), ("f", bytearray(b"two"))], "id string, content binary")
+    paths = {r.id: r.backup_path for r in write_backups(content, backups).collect()}
+    table.write(J.mark_committed(J.insert_pending(table.read(), entry(spark, id="e", backup_path=paths["e"]).union(entry(spark, id="f", backup_path=paths["f"]))), "e", 5))
+    assert J.empty_trash(table).first()["deleted"] == 1 and ids(table.read()) == ["f"]
+    assert [bytes(r.content) for r in read_backups(spark, backups).collect()] == [b"two"] and J.empty_trash(table).first()["deleted"] == 0
+
+
 def test_a_killed_write_does_not_block_the_next(spark, tmp_path):
     table = VersionedTable(spark, f"file://{tmp_path}/t", ASSETS)
     table.write(assets(spark, {"id": "a"}))

@@ -37,6 +37,91 @@ def test_state_is_kept_from_batch_to_batch(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, out.select("task_id", "status").collect()))
 
 
+def batches(spark, path, *parts, kind=T.EVENT):
+    """A stream of files, one a micro-batch."""
+    for rows in parts:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def test_shuffled_batches_fold_in_order(spark, tmp_path):
+    """Events of forty tasks, each up to 20 seconds late: the rows are those of the fold over the whole table."""
+    import random
+
+    use_rocksdb(spark)
+    r = random.Random(5)
+    names = ["pending", "running", "running", "completed", "failed", "cancelled"]
+    events = [(r.randrange(40), k, at(k), r.choice(names[: 6 if k % 7 == 0 else 4])) for k in range(600)]
+    told = sorted(events, key=lambda e: e[1] + r.random() * 20)
+    out = drained(spark, task_states(batches(spark, tmp_path, *(told[k : k + 150] for k in range(0, 600, 150))), "30 seconds"), "shuffled", "update", ["task_id"])
+    whole = spark.createDataFrame(events, T.EVENT)
+    want = sorted(map(tuple, T.folded(whole).collect()))
+    assert sorted(map(tuple, out.select("task_id", "status").collect())) == want
+    assert want == sorted((k, T.fold(None, [e[3] for e in events if e[0] == k])) for k in {e[0] for e in events})
+
+
+def test_finished_tasks_are_forgotten(spark, tmp_path):
+    """State rows fall once finished tasks were quiet for a minute; running ones stay; a forgotten task begins anew."""
+    use_rocksdb(spark)
+    first = [(k, k, at(k % 10), "running" if k % 4 == 0 else "cancelled") for k in range(100)]
+    later = [[(1000, 200 + k, at(300 * (k + 1)), "running")] for k in range(3)]
+    last = [(1, 900, at(3000), "running"), (4, 901, at(3000), "completed")]
+    stream = task_states(batches(spark, tmp_path, first, *later, last), "10 seconds", 60_000)
+    where = f"{tmp_path}/x"
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{where}/c").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{where}/out/batch={n}")).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: __import__("json").loads(p.json), query.recentProgress) if p["stateOperators"]]
+    assert max(held) >= 100 and held[-1] <= 60
+    rows = spark.read.parquet(f"{where}/out")
+    final = {x.task_id: x.status for x in rows.groupBy("task_id").agg(F.max_by("status", "batch").alias("status")).collect()}
+    assert final[1] == "running" and final[2] == "cancelled" and final[4] == "completed" and final[8] == "running"
+    everything = spark.createDataFrame(first + sum(later, []) + last, T.EVENT)
+    assert {r.task_id: r.status for r in T.folded_lives(everything, 60_000).collect()} == final
+
+
+def test_lives_match_the_fold(spark):
+    import random
+
+    r = random.Random(8)
+    events, us = [], {}
+    for k in range(1500):
+        task = r.randrange(60)
+        us[task] = us.get(task, 0) + r.choice([1, 30, 60, 61, 200]) * 1_000_000
+        events.append((task, k, us[task], r.choice(["pending", "running", "completed", "failed", "cancelled"])))
+    want = {t: T.fold_timed((None, None), [e[1:] for e in ((x[0], x[2], x[1], x[3]) for x in events) if e[0] == t], 60_000)[0] for t in us}
+    rows = spark.createDataFrame([(t, s, BASE + dt.timedelta(microseconds=u), e) for t, s, u, e in events], T.EVENT)
+    assert {x.task_id: x.status for x in T.folded_lives(rows, 60_000).collect()} == want
+    assert T.folded_lives(rows.limit(0), 60_000).count() == 0
+
+
+def test_changes_as_far_apart_as_the_quiet_are_one_burst(spark, tmp_path):
+    """Three changes two seconds apart: one burst in the table and in the stream, as their docstrings say."""
+    rows = [("k", at(0)), ("k", at(2)), ("k", at(4)), ("k", BASE + dt.timedelta(seconds=6, milliseconds=1)), ("z", at(100)), (None, at(1)), (None, None)]
+    table = spark.createDataFrame(rows, "key string, ts timestamp")
+    assert sorted((x.key, x.changes) for x in T.debounced_batch(table, 2000).filter("key is not null").collect()) == [("k", 1), ("k", 3), ("z", 1)]
+    assert T.debounced_batch(table, 2000).filter("key is null").count() == 1 and T.debounced_batch(table.limit(0)).count() == 0
+    stream = change_bursts(batches(spark, tmp_path, rows, kind="key string, ts timestamp"))
+    out = drained(spark, stream, "ties", "append").filter("key = 'k'")
+    assert sorted(x.changes for x in out.collect()) == [1, 3]
+
+
+def test_a_hot_key_of_sparse_changes_is_many_tasks_work(spark):
+    """A key of two million changes 3 s apart, each its own burst, with one pair a thousand: no task sees more than its spans."""
+    n = 2_000_000
+    ms = F.col("id") * 3000 + F.when(F.col("id") % 1000 == 1, -1500).otherwise(0)
+    rows = spark.range(n).select(F.lit("hot").alias("key"), F.timestamp_millis(ms).alias("ts"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = T.debounced_batch(rows, 2000)
+        got = out.groupBy("changes").count().orderBy("changes").collect()
+        spread = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    pairs = n // 1000
+    assert [tuple(r) for r in got] == [(1, n - 2 * pairs), (2, pairs)]
+    assert spread < n / 4
+
+
 def test_bursts_sync_once_a_batch(spark, tmp_path):
     """Bursts of a micro-batch are one sync; a batch without a settled burst is none."""
     table = VersionedTable(spark, f"file://{tmp_path}/t", ASSETS)
