@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from halyard.functions.numbers import days_remaining, retention_cutoff
 from halyard.schema import COMMITTED, PENDING, RETENTION_DAYS, TRASH_DEFAULTS
 from halyard.scratch import spooled
-from halyard.sources.backups import delete_backups, read_backups
+from halyard.sources.backups import delete_backups, opened
 from halyard.sources.catalog import VersionedTable, append_gallery
 
 
@@ -64,20 +64,27 @@ def empty_all(journal: DataFrame) -> DataFrame:
     return journal.filter(F.col("state") != COMMITTED)
 
 
+def backed(journal: DataFrame, ids: DataFrame) -> DataFrame:
+    """The wanted entries that have a backup."""
+    return journal.join(ids.select("id").distinct(), "id", "left_semi").filter("backup_path <> ''")
+
+
 def restorable(journal: DataFrame, ids: DataFrame, files: DataFrame) -> DataFrame:
     """Gallery rows of the wanted entries whose backup ``files(backup_path, content)`` still holds: the original's name,
     time and place. Entries without a name are called restored; a time of 0 is none."""
     created = F.when(F.col("created_date_ms") > 0, F.timestamp_millis("created_date_ms"))
-    wanted = journal.join(ids.select("id").distinct(), "id", "left_semi").filter("backup_path <> ''").join(files, "backup_path")
+    wanted = backed(journal, ids).join(files, "backup_path")
     return wanted.select("id", F.coalesce(F.nullif("filename", F.lit("")), F.lit("restored")).alias("title"), "content", created.alias("created"), "latitude", "longitude", "backup_path")
 
 
-def restore(table: VersionedTable, ids: DataFrame, backup_folder: str, gallery: str) -> DataFrame:
+def restore(table: VersionedTable, ids: DataFrame, gallery: str) -> DataFrame:
     """Re-creates the wanted entries' originals in the gallery from their backups, then drops what was re-created from the
     journal and deletes its backups: (id, ok) of the wanted ids. One whose backup is gone stays in the journal.
+    Only the wanted backups are opened.
 
     The gallery is written first, then the journal, the files last: a job that stops in between loses nothing."""
-    rows = spooled(restorable(table.read(), ids, read_backups(table.spark, backup_folder)), "restored")
+    before = table.read()
+    rows = spooled(restorable(before, ids, opened(backed(before, ids))), "restored")
     append_gallery(rows, gallery)
     table.change(lambda now: now.join(rows, "id", "left_anti"))
     delete_backups(rows).collect()

@@ -108,7 +108,7 @@ def debounced(changes: DataFrame, quiet: str = "2 seconds") -> DataFrame:
     return changes.groupBy("key", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("changes")).select("key", F.col("w.start").alias("started"), F.col("w.end").alias("settled"), "changes")
 
 
-def debounced_batch(changes: DataFrame, quiet_ms: int = 2000, span_ms: int = 86_400_000) -> DataFrame:
+def debounced_batch(changes: DataFrame, quiet_ms: int = 2000, span_ms: int = 7 * 86_400_000) -> DataFrame:
     """The same per key for tables: key, started, last, changes; changes exactly ``quiet_ms`` apart are one run, and those
     without a time are none. Keys may be null.
 

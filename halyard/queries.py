@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from halyard.functions import binary, numbers, text
 from halyard.operators import catalog_index, estimate, journal, tasks
 from halyard.plans import view
+from halyard.plans.rank_index import RankIndex
 from halyard.plans.view import View, planned
 from halyard.scratch import scratch_path, spooled
 from halyard.sources.catalog import assets_of, tasks_of, trash_of
@@ -403,15 +405,32 @@ def all_positions(spark, sf_dir):
 
 @register("run_selection", f"WITH {PLACED_SQL} SELECT id FROM placed WHERE position BETWEEN 20 AND 90 AND type = (SELECT type FROM placed WHERE position = 90) UNION SELECT id FROM placed WHERE position < 3")
 def run_selection(spark, sf_dir):
-    placed = view.positions(assets(spark, sf_dir), planned(View()))
-    return view.select_run(placed, placed.filter("position < 3"), 90, 20)
+    index = RankIndex.built(assets(spark, sf_dir).select("id", "type", "created_date"), planned(View()))
+    return view.select_run(index.run(20, 90), index.run(0, 2), 90, 20)
 
 
 @register("middle_run", f"WITH {PLACED_SQL} SELECT id FROM placed WHERE position BETWEEN 700 AND 1400 AND type = (SELECT type FROM placed WHERE position = 700) UNION SELECT id FROM placed WHERE position BETWEEN 690 AND 710")
 def middle_run(spark, sf_dir):
     """A drag through the middle of the view, away from the first range."""
-    placed = view.positions(assets(spark, sf_dir), planned(View()))
-    return view.select_run(placed, placed.filter("position between 690 and 710"), 700, 1400)
+    index = RankIndex.built(assets(spark, sf_dir).select("id", "type", "created_date"), planned(View()))
+    return view.select_run(index.run(700, 1400), index.run(690, 710), 700, 1400)
+
+
+@register("indexed_pages", f"""WITH {ASSETS_SQL}, placed AS (SELECT id, size_bytes, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, id) - 1 AS position FROM assets WHERE type = 1),
+  n AS (SELECT count(*) AS n FROM placed)
+  SELECT id, size_bytes, position, 'page' AS asked FROM placed, n WHERE position // 100 IN (0, n // 200, (n - 1) // 100) UNION ALL
+  SELECT id, size_bytes, position, 'place' FROM placed WHERE id = (SELECT min(id) FROM placed) OR size_bytes IS NULL AND id = (SELECT max(id) FROM placed WHERE size_bytes IS NULL)""")
+def indexed_pages(spark, sf_dir):
+    """The first, the middle and the last page of a view by size, and the places of two entries, from one index."""
+    rows = assets(spark, sf_dir)
+    index = RankIndex.built(rows.select("id", "type", "size_bytes"), planned(View("photos", "largest")), rows_per_file=5_000)
+    n = index.count()
+    pages = [index.page(at * 100, 100) for at in sorted({0, n // 200, (n - 1) // 100})]
+    out = reduce(DataFrame.unionByName, pages).select("id", "size_bytes", "position", F.lit("page").alias("asked"))
+    photos = rows.filter("type = 1")
+    some = photos.agg(F.min(F.struct("id", "size_bytes")).alias("a"), F.max(F.when(F.col("size_bytes").isNull(), F.struct("id", "size_bytes"))).alias("b")).first()
+    found = [(e["id"], e["size_bytes"], index.place(e["size_bytes"], e["id"]), "place") for e in (some["a"], some["b"]) if e]
+    return out.union(spark.createDataFrame(found, "id string, size_bytes long, position long, asked string"))
 
 
 @register("last_shared", f"WITH {PLACED_SQL} SELECT id, position FROM placed WHERE id IN (SELECT id FROM placed WHERE cast(id AS bigint) > (SELECT max(cast(id AS bigint)) - 500 FROM placed)) ORDER BY position LIMIT 12")

@@ -54,6 +54,27 @@ def read_backups(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_replace("path", r"^file:/+", "file:///").alias("backup_path"), "content")
 
 
+def opened(paths: DataFrame, counter=None) -> DataFrame:
+    """(backup_path, content) of the files that ``paths(backup_path)`` names, and no others: each task opens its own, one at
+    a time. A file that is gone gives no row; empty and repeated paths are passed over. ``counter``, an accumulator, counts the files
+    that were opened."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for where in batch["backup_path"]:
+                fs, path = open_fs(where)
+                try:
+                    with fs.open_input_stream(path, compression=None) as source:
+                        content = source.readall()
+                except FileNotFoundError:
+                    continue
+                if counter is not None:
+                    counter.add(1)
+                yield pd.DataFrame({"backup_path": [where], "content": [content]})
+
+    return paths.filter("backup_path <> ''").select("backup_path").distinct().mapInPandas(read, "backup_path string, content binary")
+
+
 def delete_backups(paths: DataFrame) -> DataFrame:
     """One row: how many files of ``paths(backup_path)`` were there and are deleted. Empty paths and files that
     are gone are passed over, and a file that cannot be deleted stays, which harms nothing."""

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from halyard.functions import binary, numbers, text
-from halyard.operators import catalog_index, estimate, journal, tasks
+from halyard.operators import catalog_index, digest, estimate, journal, tasks
 from halyard.plans import view
 from halyard.queries import AS_OF, ASSETS_SQL, SELECTION_SQL, TASKS_SQL, TRASH_SQL, assets, read, register, selection, streamed, task_events, trash
 from halyard.schema import ASSETS, TRASH
 from halyard.scratch import scratch_path, spooled
 from halyard.sources import catalog
-from halyard.sources.backups import read_backups, write_backups
+from halyard.sources.backups import opened, read_backups, write_backups
 from halyard.sources.catalog import Flags, VersionedTable, open_tables
+from halyard.sources.change_log import ChangeLog
 
 
 @register("index_ids", f"WITH {ASSETS_SQL} SELECT id FROM assets")
@@ -153,7 +154,7 @@ def restored_originals(spark, sf_dir):
     entries = pages.join(paths, "id", "left").select("id", F.lit("o").alias("original_asset_id"), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("p"), "id")).otherwise("").alias("filename"), F.coalesce("backup_path", F.concat(F.lit(f"{folder}/backups/gone-"), "id")).alias("backup_path"), F.lit(0).alias("original_bytes"), F.lit(0).alias("new_bytes"))
     table = open_tables(spark, folder)["trash"]
     table.change(lambda now: journal.insert_pending(now, entries))
-    asked = journal.restore(table, pages.select("id"), f"{folder}/backups", f"{folder}/gallery")
+    asked = journal.restore(table, pages.select("id"), f"{folder}/gallery")
     saved = spark.read.parquet(f"{folder}/gallery").select("id", "title", F.sha2("content", 256).alias("sha"))
     return asked.join(saved, "id", "left").select("id", "ok", "title", "sha")
 
@@ -257,6 +258,47 @@ def met_streams(spark, sf_dir):
     return table.read().select("id", "width", "size_bytes", "title")
 
 
+@register("restored_few", "SELECT cast(page_id AS varchar) AS id, sha256(encode(html)) AS sha, (SELECT count(*) FROM pages WHERE page_id % 50 = 7 AND html IS NOT NULL) AS opened FROM pages WHERE page_id % 50 = 7 AND html IS NOT NULL")
+def restored_few(spark, sf_dir):
+    """All pages have backups; a fiftieth of them is asked for, and as many files are opened."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "page_id", F.encode("html", "utf-8").alias("content"))
+    paths = spooled(write_backups(pages, scratch_path(spark, "few")), "backup-paths")
+    count = spark.sparkContext.accumulator(0)
+    wanted = paths.filter(F.col("id").cast("long") % 50 == 7)
+    found = spooled(wanted.join(opened(wanted, count), "backup_path").select("id", F.sha2("content", 256).alias("sha")), "opened")
+    return found.withColumn("opened", F.lit(count.value).cast("long"))
+
+
+@register("logged_changes", f"""WITH {ASSETS_SQL}, k AS (SELECT *, cast(id AS bigint) AS k FROM assets)
+  SELECT id, width + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS width, CASE WHEN k % 14 = 0 THEN NULL WHEN k % 7 = 0 THEN 'new' ELSE title END AS title,
+    CASE WHEN k % 5 = 0 THEN k WHEN k % 21 = 0 THEN NULL ELSE size_bytes END AS size_bytes FROM k WHERE k % 10 <> 3 UNION ALL
+  SELECT id, 0, 'back', NULL FROM k WHERE k % 30 = 3 UNION ALL SELECT 'n' || id, width, NULL, 9 FROM k WHERE k % 1000 = 1""")
+def logged_changes(spark, sf_dir):
+    """Upserts, sizes, removals and returns appended to a log, with a compaction between them."""
+    rows, k = assets(spark, sf_dir), F.col("id").cast("long")
+    log = ChangeLog(spark, scratch_path(spark, "log"), ASSETS)
+    log.put(rows)
+    log.put(rows.filter(k % 7 == 0).select("id", (F.col("width") + 1).alias("width"), F.when(k % 14 != 0, "new").alias("title")))
+    log.put(rows.filter(k % 21 == 0).select("id", F.lit(None).cast("long").alias("size_bytes")))
+    log.compact()
+    log.set(rows.filter(k % 5 == 0).select("id", k.alias("size_bytes")).union(rows.limit(1).select(F.lit("no such id"), F.lit(1).cast("long"))))
+    log.remove(rows.filter(k % 10 == 3).select("id"))
+    log.set(rows.filter(k % 10 == 3).select("id", F.lit(77).cast("long").alias("size_bytes")))
+    log.put(rows.filter(k % 30 == 3).select("id", F.lit("back").alias("title")))
+    log.put(rows.filter(k % 1000 == 1).select(F.concat(F.lit("n"), "id").alias("id"), "width"))
+    log.set(rows.filter(k % 1000 == 1).select(F.concat(F.lit("n"), "id").alias("id"), F.lit(9).cast("long").alias("size_bytes")))
+    return log.read().select("id", "width", "title", "size_bytes")
+
+
+@register("digest_sync", f"WITH {ASSETS_SQL}, n AS (SELECT max(cast(id AS bigint)) AS top FROM assets) SELECT id, CASE WHEN cast(id AS bigint) % 1499 = 4 THEN width + 2 ELSE width END AS width, size_bytes FROM assets WHERE cast(id AS bigint) % 1499 <> 3 UNION ALL SELECT 'new' || id, width, NULL FROM assets WHERE cast(id AS bigint) % 1499 = 5")
+def digest_sync(spark, sf_dir):
+    """A source that differs in few rows: digests of ranges of ids say where."""
+    rows, k = assets(spark, sf_dir), F.col("id").cast("long") % 1499
+    source = rows.filter(k != 3).select("id", "type", F.when(k == 4, F.col("width") + 2).otherwise(F.col("width")).alias("width"), "title")
+    source = source.union(rows.filter(k == 5).select(F.concat(F.lit("new"), "id").alias("id"), "type", "width", "title"))
+    return digest.sync(rows, source).select("id", "width", "size_bytes")
+
+
 @register("turned_images", """WITH p AS (SELECT page_id, cast(1 + page_id % 5 AS integer) AS w, cast(1 + page_id % 3 AS integer) AS h, cast(page_id % 4 AS integer) AS t FROM pages)
   SELECT page_id, CASE WHEN t % 2 = 1 THEN h ELSE w END AS wide, CASE WHEN t % 2 = 1 THEN w ELSE h END AS high, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 6 END AS colour FROM p""")
 def turned_images(spark, sf_dir):

@@ -208,7 +208,7 @@ def test_restore_and_sweep(spark, tmp_path):
     book = J.insert_pending(table.read(), rows[0].union(rows[1]).union(rows[2]))
     table.write(book)
     wanted = spark.createDataFrame([("e",), ("g",), ("unknown",)], "id string")
-    assert {r.id: r.ok for r in J.restore(table, wanted, backups, gallery).collect()} == {"e": True, "g": False, "unknown": False}
+    assert {r.id: r.ok for r in J.restore(table, wanted, gallery).collect()} == {"e": True, "g": False, "unknown": False}
     assert sorted(ids(table.read())) == ["f", "g"] and [bytes(r.content) for r in read_backups(spark, backups).collect()] == [b"two"]
     saved = spark.read.parquet(gallery).collect()
     assert [(r.title, bytes(r.content), r.created, r.latitude, r.longitude) for r in saved] == [("restored", b"one", None, None, 2.5)]

@@ -112,7 +112,7 @@ def test_a_hot_key_of_sparse_changes_is_many_tasks_work(spark):
     rows = spark.range(n).select(F.lit("hot").alias("key"), F.timestamp_millis(ms).alias("ts"))
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        out = T.debounced_batch(rows, 2000)
+        out = T.debounced_batch(rows, 2000, 86_400_000)
         got = out.groupBy("changes").count().orderBy("changes").collect()
         spread = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
     finally:
