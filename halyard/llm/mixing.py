@@ -7,21 +7,20 @@ everything and a seeded permutation picks the blocks of the last, partial pass.
 
 A document's size is its number of words, null texts have none. A null source is a source of its own
 that comes last. Documents of no words are kept with nothing taken. An empty table gives no rows.
-Equal rows are separate documents. Other columns pass through untouched if the caller keeps them.
+Equal rows are separate documents. Texts of any length are counted whole. Other columns pass through untouched if the
+caller keeps them.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import stored
-from halyard.scratch import numbered
+from halyard.scratch import numbered, spooled
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3  # no document and no source is taken more often than this
@@ -42,7 +41,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     per = numbered(per, [F.col("source").asc_nulls_last()], "place")
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
-    per = stored(per.withColumn("cap", F.col("source_size") * F.lit(float(most))), "sources")
+    per = spooled(per.withColumn("cap", F.col("source_size") * F.lit(float(most))), "sources")
     total = float(per.agg(F.sum("source_size")).first()[0] or 0) * share
     level = 0.0
     while True:
@@ -57,59 +56,29 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return per.select("source", "place", "source_size", "source_docs", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def divisor(votes: DataFrame, seats: int, lanes: int = 64) -> tuple[float, int]:
-    """(d, left): above the divisor ``d`` lie all but ``left`` of the ``seats`` highest quotients vote / (2k + 1) of
-    ``votes(target)``; the rest lie at the next smaller number.
+def seats_above(vote: Column, d: float) -> Column:
+    """How many quotients vote / (2k + 1) are above the divisor."""
+    return F.greatest(F.ceil(vote / F.lit(2 * d) - 0.5), F.lit(0)).cast("long")
 
-    Between two bounds ``lanes`` divisors are tried at once, whose seats one pass over the parties counts."""
 
-    def counter(tried: np.ndarray):
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(tried))
-            for batch in batches:
-                for v in np.array_split(batch["target"].to_numpy(float), len(batch) // 4096 + 1):
-                    total += seats_above(v[:, None], tried[None, :]).sum(axis=0)
-            yield pd.DataFrame({"lane": np.arange(len(tried)), "n": total.astype(np.int64)})
-
-        return votes.mapInPandas(count, "lane int, n long").groupBy("lane").agg(F.sum("n").alias("n"))
+def source_quotas(sources: DataFrame, seats: int) -> DataFrame:
+    """The sources with ``quota``, their seats by the highest quotients, ties to the earlier source.
 
+    Rounding moves the sum of seats by half a seat a source at most, so the last seat's quotient lies between two
+    divisors that three sums give. The seats above the upper one are sure; between the two lie about two quotients a source, the
+    highest of which get the seats that are left."""
+    votes = sources.filter("target > 0")
     ends = votes.agg(F.max("target").alias("top"), F.sum("target").alias("sum"), F.count(F.lit(1)).alias("n")).first()
-    # rounding moves the sum of seats by half a seat a party at most
-    low, high = ends["sum"] / (2 * seats + ends["n"] + 1), ends["sum"] / (2 * seats - ends["n"] - 1) if 2 * seats > ends["n"] + 1 else 2 * ends["top"]
-    low, high, at_high = low * 0.999, max(high, low) * 1.001, 0
-    while np.nextafter(low, high) < high:
-        tried = np.unique(np.linspace(low, high, lanes + 2)[1:-1])
-        tried = tried[(tried > low) & (tried < high)]
-        tried = tried if len(tried) else np.array([np.nextafter(low, high)])
-        found = {r["lane"]: r["n"] for r in counter(tried).collect()}
-        counts = np.array([found.get(k, 0) for k in range(len(tried))])
-        if (counts == seats).any():
-            return float(tried[int(np.argmax(counts == seats))]), 0
-        above = int((counts > seats).sum())  # counts fall as divisors rise
-        if above < len(tried):
-            high, at_high = float(tried[above]), int(counts[above])
-        if above:
-            low = float(tried[above - 1])
-    return high, seats - at_high
-
-
-def seats_above(votes, d):
-    """How many quotients votes / (2k + 1) are above the divisor, for numpy."""
-    return np.ceil(votes / (2 * d) - 0.5).clip(0)
-
-
-def source_quotas(sources: DataFrame, seats: int) -> DataFrame:
-    """The sources with ``quota``, their seats by the highest quotients, ties to the earlier source."""
-    some = sources.filter("target > 0").select("target")
-    if seats <= 0 or not some.limit(1).count():
+    if seats <= 0 or not ends["n"]:
         return sources.withColumn("quota", F.lit(0).cast("long"))
-    d, left = divisor(some, seats)
-    won = F.greatest(F.ceil(F.col("target") / F.lit(2 * d) - 0.5), F.lit(0)).cast("long")
-    out = sources.withColumn("quota", won)
-    if left:  # the last seats are equal quotients
-        tied = out.filter("target > 0").orderBy((F.col("target") / (2 * F.col("quota") + 1)).desc(), "place").limit(left)
-        out = out.join(tied.select("place", F.lit(1).cast("long").alias("more")), "place", "left").withColumn("quota", F.col("quota") + F.coalesce("more", F.lit(0))).drop("more")
-    return out
+    low = 0.999 * ends["sum"] / (2 * seats + ends["n"] + 1)
+    high = 1.001 * (ends["sum"] / (2 * seats - ends["n"] - 1) if 2 * seats > ends["n"] + 1 else 2 * ends["top"])
+    sure, most = seats_above(F.col("target"), high), seats_above(F.col("target"), low)
+    left = seats - votes.agg(F.sum(sure)).first()[0]
+    open_ = votes.filter(most > sure).select("place", "target", F.explode(F.sequence(sure, most - 1)).alias("k"))
+    won = open_.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "place").limit(left).groupBy("place").agg(F.count(F.lit(1)).alias("more"))
+    quota = F.when(F.col("target") > 0, sure).otherwise(0) + F.coalesce("more", F.lit(0))
+    return sources.join(won, "place", "left").withColumn("quota", quota.cast("long")).drop("more")
 
 
 def sainte_lague(votes: np.ndarray, seats: int, limit: np.ndarray | None = None) -> np.ndarray:
@@ -143,11 +112,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     The texts are read once; only ids and sizes are shuffled. A hot source is cut into as many shards as its words and
     documents ask for. Quotas stay rows of tables; the driver sees sums only."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("tie"))
-    sized = stored(sized, "sizes")
+    sized = spooled(sized, "sizes")
     sources = source_targets(sized, weights, most, share)
     sources = source_quotas(sources, round((sources.agg(F.sum("target")).first()[0] or 0.0) / block_words))
     n_shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_docs") / shard_docs), F.lit(1)).cast("long")
-    s, d = stored(sources.withColumn("n_shards", n_shards), "source-quotas").alias("s"), sized.alias("d")
+    s, d = spooled(sources.withColumn("n_shards", n_shards), "source-quotas").alias("s"), sized.alias("d")
     dealt = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.*", "s.place", "s.source_size", "s.target", "s.n_shards", F.col("s.quota").alias("source_quota"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("n_shards")))
     shards = dealt.groupBy("place", "source_quota", "n_shards", "shard").agg(F.sum("size").alias("shard_size"))

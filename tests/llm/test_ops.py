@@ -437,8 +437,61 @@ def test_links_do_not_depend_on_shards_and_blocks(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=(600, 8))
     df = spark.createDataFrame([(k, v[k].tolist(), 1) for k in range(600)], "vec_id long, embedding array<double>, label int")
-    one, many = (sorted(map(tuple, embedding_dedup.near_vectors(df, block_rows=b, shard_rows=s).collect())) for b, s in ((1024, 32_768), (40, 150)))
-    assert one == many
+    one, many, rounds = (sorted(map(tuple, embedding_dedup.near_vectors(df, block_rows=b, shard_rows=s, round_blocks=n).collect())) for b, s, n in ((1024, 32_768, 256), (40, 150, 256), (40, 150, 3)))
+    assert one == many == rounds
+
+
+def clusters(n, side=64, seed=6):
+    """Unit vectors of which half lie in clusters of 1 to 300 around the threshold of 0.93."""
+    r = np.random.default_rng(seed)
+    parts, made = [], 0
+    while made < n:
+        k = int(r.choice([1, 2, 3, 10, 40, 300]))
+        centre = r.normal(size=side)
+        parts.append(centre / np.linalg.norm(centre) + r.normal(size=(k, side)) * r.uniform(0.01, 0.04))
+        made += k
+    v = np.concatenate(parts)[:n]
+    return r.permutation(v / np.linalg.norm(v, axis=1, keepdims=True))
+
+
+def linked_pairs(v, least=0.93):
+    return np.argwhere(np.triu(v @ v.T >= least, 1))
+
+
+def test_walks_find_the_links_of_a_large_shard(monkeypatch):
+    """8,000 nodes of one shard: the walks' own recall against brute force, without a comparison with the whole shard."""
+    v = clusters(8_000)
+    graph = embedding_dedup.Graph(v.astype(np.float32))
+    walked, search = [], embedding_dedup.Graph.search
+    monkeypatch.setattr(embedding_dedup.Graph, "search", lambda self, q, beam, *a, **k: walked.append(len(q)) or search(self, q, beam, *a, **k))
+    q, found = embedding_dedup.matches(graph, v[:1024].astype(np.float32), 0.93)
+    want = {(a, b) for a, b in np.argwhere(v[:1024] @ v.T >= 0.93).tolist()}
+    got = set(zip(q.tolist(), found.tolist(), strict=True))
+    assert walked[0] == 1024 and len(want) > 20_000
+    assert len(want & got) >= 0.99 * len(want)
+
+
+def test_links_of_walked_shards(spark):
+    """12,000 vectors of a label in two shards of 6,000: at least 0.99 of all links, none that is none, components from them."""
+    v = clusters(12_000)
+    df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df, shard_rows=6_000).collect()}
+    pairs = linked_pairs(v)
+    want = np.bincount(pairs.reshape(-1), minlength=len(v))
+    links = np.array([got[k].n_links for k in range(len(v))])
+    assert want.sum() > 200_000 and links.sum() >= 0.99 * want.sum() and (links <= want).all()
+    root = list(range(len(v)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs.tolist():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert np.mean([got[k].component_id == find(k) for k in range(len(v))]) >= 0.99
 
 
 def test_graph_survives_packing():
