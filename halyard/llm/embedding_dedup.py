@@ -2,17 +2,20 @@
 
 Vectors are scaled to unit length in double precision. Equal vectors of a label are one node with a count. A label's
 nodes are dealt by hash into shards of about ``SHARD_ROWS``, fewer where vectors are long; each shard builds one graph,
-and every node of the label is asked of every shard. A task holds one shard and lets blocks of nodes stream past it. The
-blocks of a large label are cut into rounds as long as a shard, so a shard moves once a round and a block once a shard.
+and every node of the label is asked of every shard. A task holds one shard and lets blocks of nodes stream past it: all
+blocks of the label, or where they are more than ``ROUND_BLOCKS``, so many of them. So a block moves once a shard, and a shard
+once for so many blocks, an eighth of what the blocks move.
 
 Searches of a block walk in step, so that each step is a few array operations. Beams widen until two tests hold: every
 found neighbour list ends below the threshold, and an audit of each block against all of the shard's vectors finds the
-recall asked for. Walks that would have to widen to a large part of the shard become comparisons with all of it.
+recall asked for. Walks that would have to widen to a sixteenth of the shard become comparisons with all of it, so shards of
+up to twice the first beam (64 nodes) are never walked.
 Neighbours are verified by their cosines in double precision; links are counted and contracted to a forest a block before
 they are united into components.
 
 Vectors that are null, empty, zero, or that hold null or non-finite numbers link with nothing, nor do rows without a
-label; each is a component of its own. Vectors of different lengths do not link. Repeated rows of a vec_id count as
+label; each is a component of its own. Vectors of different lengths do not link. A pair whose cosine, rounded in double precision, is
+the threshold itself links. Repeated rows of a vec_id count as
 separate vectors with one id. Empty tables give no rows. Other columns are not touched.
 """
 
@@ -32,6 +35,7 @@ SHARD_ROWS = 32_768
 #: Bytes of a shard's vectors in double precision.
 SHARD_BYTES = 1 << 25
 BLOCK_ROWS = 1_024
+ROUND_BLOCKS = 256
 
 
 class Graph:
@@ -229,7 +233,7 @@ def unpack_graph(blob: bytes, vectors: np.ndarray) -> Graph:
     return graph
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, round_blocks: int = ROUND_BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors(vec_id, embedding, label)``."""
     spark = vectors.sparkSession
 
@@ -254,7 +258,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99,
     counts = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     size = F.least(F.lit(shard_rows), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / F.col("dim"))))
     counts = counts.withColumn("shards", F.ceil(F.col("n") / size).cast("long")).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long"))
-    counts = stored(counts.withColumn("rounds", F.least("shards", "blocks")), "label-sizes")
+    counts = stored(counts.withColumn("rounds", F.ceil(F.col("blocks") / round_blocks).cast("long")), "label-sizes")
     dealt = nodes.join(counts, ["label", "dim"])
     part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     dealt = stored(dealt.withColumn("shard", part("shards", 1)).withColumn("block", part("blocks", 2)), "dealt")
