@@ -156,7 +156,7 @@ def held_out(doc_id):
 def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 16_000, entries: int = 4_000, exceptions: tuple[str, ...] = EXCEPTIONS, seed: int = 11) -> Lexicon:
     """Learns from at most ``fit_rows`` labelled rows (the documented bound), those with the smallest keyed
     hashes, none of them held out. The driver gets those terms of these rows that pass the test of significance, of which
-    the ``entries`` surest make the lexicon, and one pair of numbers a training row. Labels that repeat for a document count once, as toxic if any is."""
+    the ``entries`` surest make the lexicon, the phrases that enough of them share, and one pair of numbers a training row. Labels that repeat for a document count once, as toxic if any is."""
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     chosen = chosen.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
@@ -196,11 +196,13 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 16_000, entr
             phrases = [around(f, lexicon.matches(f)) if not y else [] for f, y in zip(folded, batch["toxic"], strict=True)]
             yield pd.DataFrame({"x": [lexicon.density(f) for f in folded], "toxic": batch["toxic"].astype(int), "phrases": phrases})
 
-    points = train.mapInPandas(measure, "x double, toxic int, phrases array<string>").toPandas()
+    measured = stored(train.mapInPandas(measure, "x double, toxic int, phrases array<string>"), "toxicity-points")
     # phrases around matches that several harmless documents share spare those matches
-    common = Counter(p for row in points["phrases"] for p in set(row))
-    lexicon.exceptions = (*exceptions, *sorted(p for p, n in common.items() if n >= max(5, 0.002 * n_good)))
+    common = measured.select(F.explode(F.array_distinct("phrases")).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    spared = common.filter(F.col("n") >= max(5, 0.002 * n_good)).select("phrase").collect()
+    lexicon.exceptions = (*exceptions, *sorted(r["phrase"] for r in spared))
     lexicon._automaton = None
+    points = measured.select("x", "toxic").orderBy("x", "toxic").toPandas()
     lexicon.slope, lexicon.offset = logistic(points["x"].to_numpy(float), points["toxic"].to_numpy(float))
     return lexicon
 
