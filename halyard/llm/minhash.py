@@ -12,7 +12,7 @@ Work is per distinct text. A band's bucket proposes its members against its smal
 several classes afterwards propose their members again: small ones every pair across classes, the members of
 large ones every pair whose rare tokens allow the similarity, an exact join.
 
-Null and empty texts, and texts without words, are copies of one another and one class. Repeated rows fall
+Texts of any length are read whole, one at a time in a task. Null and empty texts, and texts without words, are copies of one another and one class. Repeated rows fall
 into one class. A null doc_id takes part and never names a class unless all ids in it are null. Empty tables
 give no rows; other columns are not touched.
 """

@@ -19,12 +19,13 @@ whole. Equal rows with equal keys get equal ids.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.minhash import chunks, mixed
@@ -296,8 +297,22 @@ def _digest(batch: pd.DataFrame, own: Encoder) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["n_pieces", "pieces_crc32", "round_trip", "decoded_crc32"])
 
 
-def encode_documents(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, variants: int = 0) -> DataFrame:
-    """``docs(doc_id, text)`` as doc_id, ids. Nothing is shuffled."""
+def numbered_copies(docs: DataFrame) -> DataFrame:
+    """The rows with ``copy_number``: 0, 1, ... for rows of one doc_id and text, which meet in one task. Rows that are alike but for
+    the number are as good as one another, so any order gives the same table."""
+    mark = f"mark_{uuid.uuid4().hex}"
+    alike = Window.partitionBy("doc_id", mark).orderBy(mark)
+    return docs.withColumn(mark, F.xxhash64("text")).withColumn("copy_number", F.row_number().over(alike) - 1).drop(mark)
+
+
+def encode_documents(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, variants: int = 0, copies: bool = False) -> DataFrame:
+    """``docs(doc_id, text)`` as doc_id, ids. Nothing is shuffled, unless ``copies`` asks for a segmentation of its own for each
+    copy of a document: then the first has the one that it has alone."""
+    if copies:
+        rows = numbered_copies(docs.select("doc_id", "text"))
+        key = F.when(F.col("copy_number") == 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "copy_number"))
+    else:
+        rows, key = docs, F.xxhash64("doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, dropout, seed, variants)
@@ -310,7 +325,7 @@ def encode_documents(docs: DataFrame, path: str, dropout: float = 0.1, seed: int
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].tolist(), "ids": pd.Series(lists, dtype="object")})
         own.rest()
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInPandas(run, "doc_id long, ids array<int>")
+    return rows.select("doc_id", "text", key.alias("key")).mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -73,13 +73,31 @@ def test_stages(spark, tiny):
 
     ids = steps["pieces"](spark, mixed, tiny).collect()
     model = pieces.PieceModel(queries.tokenizer_path("piece_bpe_32k.model"))
-    keyed = mixed.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).collect()
-    plain = {r.doc_id: plain_ids(model, r.text, r.key % 2**64) for r in keyed}
-    assert len(ids) == len(keyed) and all(r.ids == plain[r.doc_id] and r.n_pieces == len(r.ids) for r in ids)
-    texts = {r.doc_id: r.text for r in keyed}
+    keyed = [(r.doc_id, r.text, [r.first, r.second, r.third]) for r in mixed.select("doc_id", "text", F.xxhash64("doc_id").alias("first"), F.xxhash64("doc_id", F.lit(1)).alias("second"), F.xxhash64("doc_id", F.lit(2)).alias("third")).distinct().collect()]
+    plain = {k: [plain_ids(model, text, key % 2**64) for key in keys[: got[k]]] for k, text, keys in keyed}
+    found = {}
+    for r in ids:
+        found.setdefault(r.doc_id, []).append(r.ids)
+        assert r.n_pieces == len(r.ids)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in plain.items()}
+    texts = {k: text for k, text, _ in keyed}
     assert all(pieces.decode(model, np.array(r.ids)) == texts[r.doc_id] for r in ids)
 
 
+def test_copies_of_a_document_differ(spark, tiny):
+    """Three copies of a text: three segmentations, all lossless, the first that of the text alone; the table's order does not
+    matter."""
+    text = "A considerable number of segmentations are conceivable for internationalization. " * 5
+    df = docs(spark, [text, text, "short"]).filter("doc_id <> 1")
+    three = df.union(df.filter("doc_id = 0")).union(df.filter("doc_id = 0"))
+    rows = corpus_pipeline.pieces(spark, three.repartition(3), tiny).collect()
+    own = [tuple(r.ids) for r in rows if r.doc_id == 0]
+    model = pieces.PieceModel(queries.tokenizer_path("piece_bpe_32k.model"))
+    assert len(rows) == 4 and len(set(own)) == 3 and {pieces.decode(model, np.array(i)) for i in own} == {text}
+    alone = [tuple(r.ids) for r in corpus_pipeline.pieces(spark, df, tiny).collect() if r.doc_id == 0]
+    assert alone[0] in own and sorted(own) == sorted(tuple(r.ids) for r in corpus_pipeline.pieces(spark, three.coalesce(1), tiny).collect() if r.doc_id == 0)
+
+
 def test_toxicity_stage_rejects_by_score(spark, tiny):
     """What goes is what the plain matcher scores at 0.5 or more."""
     from halyard.llm.toxicity import fit_lexicon
