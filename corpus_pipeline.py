@@ -42,8 +42,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces: the ids to train on."""
-    encoded = encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
+    """doc_id, ids, n_pieces: the ids to train on. Each copy that the mix made has a segmentation of its own."""
+    encoded = encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), copies=True)
     return encoded.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)))
 
 
