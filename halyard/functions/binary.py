@@ -184,6 +184,22 @@ def transformed(rgba: pd.Series, width: pd.Series, height: pd.Series, turns: pd.
     return pd.Series([None if d is None else turned_png(bytes(d), int(a), int(b), int(t), bool(fh), bool(fv), (x, y, cw, ch)) for d, a, b, t, fh, fv, x, y, cw, ch in rows], dtype="object")
 
 
+@F.pandas_udf(T.BinaryType())
+def png_pixels(png: pd.Series) -> pd.Series:
+    """The pixel rows of PNGs as ``png_of`` writes them, one after another; null for rows that are filtered."""
+
+    def pixels(data: bytes | None) -> bytes | None:
+        if data is None:
+            return None
+        parts = list(png_parts(bytes(data)))
+        wide, high, _, colour = struct.unpack_from(">IIBB", bytes(data), 16)
+        raw, step = zlib.decompress(b"".join(part[8:-4] for kind, part in parts if kind == b"IDAT")), 1 + wide * (4 if colour == 6 else 3)
+        rows = [raw[k * step : (k + 1) * step] for k in range(high)]
+        return None if any(row[0] for row in rows) else b"".join(row[1:] for row in rows)
+
+    return pd.Series([pixels(x) for x in png], dtype="object")
+
+
 def png_has_alpha(data: bytes) -> bool:
     """Whether a PNG's colour type has alpha, or a transparent colour is named; True where that cannot be read."""
     try:

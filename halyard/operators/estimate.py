@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from halyard.functions.numbers import bits_per_pixel, clamp, pixels
 from halyard.functions.text import extension, family
+from halyard.operators.median import exact_median
 from halyard.schema import FAMILIES
+from halyard.scratch import spooled
 
 # Fixed values of the model: bits per pixel of a target, and of a source family at full detail.
 TARGET_BPP = {"jpeg": 1.8, "heic": 1.0, "avif": 0.7, "webp": 1.3, "png": 6.0, "auto": 1.0}
@@ -87,19 +89,23 @@ def calibrated(df: DataFrame, samples: DataFrame, target: str, quality: int) ->
 
     Ratios beyond a third or three times their median are left out. An item takes the factor of its family and tier
     if two samples have both, else its tier's, else the common one; all three come from one pass over grouping
-    sets. Without a usable sample it is the prior. The medians are exact, so one task counts the samples' distinct
-    ratios; samples are what a stratified sample takes. The factors, at most 29 rows, are broadcast."""
+    sets. Without a usable sample it is the prior. The medians are exact, whatever the number of samples
+    (``exact_median``); the driver holds them alone. The factors, at most 29 rows, are broadcast."""
     ratio = F.when(F.col("predicted") > 0, F.col("actual") / F.col("predicted").cast("double"))
     usable = once(strata(samples), [], F.col("family"), F.col("tier"), F.col("predicted"), F.col("actual"), ratio.alias("ratio")).filter("ratio is not null")
-    middle = usable.agg(F.median("ratio").alias("med"))
-    kept = usable.crossJoin(F.broadcast(middle)).filter((F.col("med") > 0) & F.col("ratio").between(F.col("med") / 3, F.col("med") * 3))
+    usable = spooled(usable, "samples")
+    middle = F.lit(exact_median(usable, "ratio")).cast("double")
+    kept = usable.filter((middle > 0) & F.col("ratio").between(middle / 3, middle * 3))
     sums = kept.groupingSets([["family", "tier"], ["tier"], []], "family", "tier").agg(F.sum("actual").alias("a"), F.sum("predicted").alias("p"), F.count(F.lit(1)).alias("n"), F.grouping_id("family", "tier").alias("g"))
     factors = sums.filter(F.col("n") > 0).withColumn("alpha", F.col("a") / F.col("p").cast("double"))
     fine = factors.filter("g = 0 and n >= 2").select("family", "tier", F.col("alpha").alias("fine"))
     coarse = factors.filter("g = 2 and n >= 2").select("tier", F.col("alpha").alias("coarse"))
     common = factors.filter("g = 3").select(F.col("alpha").alias("common"), F.col("n").alias("n_kept"))
-    spread = kept.crossJoin(F.broadcast(common)).agg(F.median(F.abs(F.col("ratio") - F.col("common"))).alias("mad"), F.first("common").alias("common"), F.first("n_kept").alias("n_kept"))
-    rel = F.when(F.col("common") > 0, clamp(F.col("mad") / F.col("common"), 0.0, 1.0)).otherwise(0.5)
+    apart = kept.crossJoin(F.broadcast(common)).select(F.abs(F.col("ratio") - F.col("common")).alias("apart"))
+    mad = F.lit(exact_median(apart, "apart")).cast("double")
+    # one row, of nulls if no sample is kept
+    spread = common.agg(F.first("common").alias("common"), F.first("n_kept").alias("n_kept"))
+    rel = F.when(F.col("common") > 0, clamp(mad / F.col("common"), 0.0, 1.0)).otherwise(0.5)
     half = clamp(rel / F.sqrt(F.col("n_kept").cast("double")), 0.04, 0.5)
     spread = spread.select(F.col("common"), half.alias("half"))
     each = by_stratum(df, target, quality).join(F.broadcast(fine), ["family", "tier"], "left").join(F.broadcast(coarse), "tier", "left").crossJoin(F.broadcast(spread))
@@ -139,6 +145,11 @@ def compression_ratio(target: str, quality: int) -> float:
     return min(max(RATIO[target] * (0.7 + (quality - 30) / 70 * 0.7), 0.05), 0.95)
 
 
+def compression_ratios(target: Column, quality: Column) -> Column:
+    """The older model's share of the source that is left, for rows of targets and qualities."""
+    return clamp(one_of(target, RATIO) * (F.lit(0.7) + (quality - 30) / F.lit(70.0) * 0.7), 0.05, 0.95)
+
+
 def eta_seconds(df: DataFrame, anchor_id: str, anchor_ms: int) -> DataFrame:
     """One row: seconds for all items at the anchor's milliseconds a megapixel; null without one."""
     anchor = df.filter(F.col("id") == anchor_id).limit(1).agg(F.first("pixels").alias("a_px"))
@@ -192,6 +203,12 @@ def resolve_auto(choice: str, avif_hardware: bool = False, heic: bool = False, h
     return "avif" if avif_hardware else "heic" if heic or heif else "webp" if webp else "jpeg"
 
 
+def auto_target(choice: Column) -> Column:
+    """The target of rows with the capability columns avif_hardware, heic, heif, webp."""
+    best = F.when(F.col("avif_hardware"), "avif").when(F.col("heic") | F.col("heif"), "heic").when(F.col("webp"), "webp").otherwise("jpeg")
+    return F.when(choice == "auto", best).otherwise(choice)
+
+
 def format_policy(choice: Column, has_alpha: Column) -> Column:
     """(target, flatten) of rows with the capability columns avif_hardware, heic, heif, webp."""
     auto = F.when(F.col("avif_hardware"), "avif").when(F.col("heic") | F.col("heif"), "heic").when(F.col("webp"), "webp").when(has_alpha, "png").otherwise("jpeg")
@@ -210,4 +227,4 @@ def capability_defaults(spark) -> DataFrame:
     return spark.createDataFrame(rows, "platform string, heic boolean, heif boolean, webp boolean, avif_hardware boolean")
 
 
-__all__ = ["anchored", "batch_savings", "calibrated", "capability_defaults", "compression_ratio", "estimate", "eta_seconds", "extension", "fallback_chain", "format_policy", "items", "predicted", "prior", "resolve_auto", "strata", "stratified_sample"]
+__all__ = ["anchored", "auto_target", "batch_savings", "calibrated", "capability_defaults", "compression_ratio", "compression_ratios", "estimate", "eta_seconds", "extension", "fallback_chain", "format_policy", "items", "predicted", "prior", "resolve_auto", "strata", "stratified_sample"]

@@ -37,6 +37,11 @@ class View:
         return self.size != "any" or self.sort in ("largest", "smallest")
 
 
+def flags(sort: Column, size: Column, format: Column) -> Column:
+    """(active, needs_sizes) of stored choices, as ``View`` has them; an absent format is null."""
+    return F.struct(((sort != "newest") | (size != "any") | format.isNotNull()).alias("active"), ((size != "any") | sort.isin("largest", "smallest")).alias("needs_sizes"))
+
+
 @dataclass(frozen=True)
 class Parameters:
     """What the index is asked: all parts are optional but the order."""

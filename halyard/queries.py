@@ -18,6 +18,7 @@ from halyard.operators import catalog_index, estimate, journal, tasks
 from halyard.plans import view
 from halyard.plans.rank_index import RankIndex
 from halyard.plans.view import View, planned
+from halyard.schema import TARGETS
 from halyard.scratch import scratch_path, spooled
 from halyard.sources.catalog import assets_of, tasks_of, trash_of
 
@@ -321,22 +322,23 @@ def stratified_sample(spark, sf_dir):
     return estimate.stratified_sample(rows, 40).select("id", "family", "tier", "place")
 
 
-POLICY_SQL = """WITH choices AS (SELECT unnest(['auto', 'avif', 'heic', 'webp', 'jpeg', 'png']) AS choice), alphas AS (SELECT unnest([TRUE, FALSE]) AS has_alpha),
-  caps AS (SELECT * FROM (VALUES ('ios', TRUE, FALSE, TRUE, FALSE), ('android', FALSE, TRUE, TRUE, FALSE), ('other', FALSE, FALSE, TRUE, FALSE)) t(platform, heic, heif, webp, hw))
-  SELECT platform, choice, has_alpha, CASE WHEN choice <> 'auto' THEN choice WHEN hw THEN 'avif' WHEN heic OR heif THEN 'heic' WHEN webp THEN 'webp' WHEN has_alpha THEN 'png' ELSE 'jpeg' END AS target,
+POLICY_SQL = f"""WITH {ASSETS_SQL}, caps AS (SELECT * FROM (VALUES ('ios', TRUE, FALSE, TRUE, FALSE), ('android', FALSE, TRUE, TRUE, FALSE), ('other', FALSE, FALSE, TRUE, FALSE)) t(platform, heic, heif, webp, hw)),
+  chosen AS (SELECT id, ['ios', 'android', 'other'][1 + cast(id AS bigint) % 3] AS platform, ['auto', 'avif', 'heic', 'webp', 'jpeg', 'png'][1 + width % 6] AS choice, height % 2 = 0 AS has_alpha FROM assets WHERE type = 1)
+  SELECT id, platform, choice, has_alpha, CASE WHEN choice <> 'auto' THEN choice WHEN hw THEN 'avif' WHEN heic OR heif THEN 'heic' WHEN webp THEN 'webp' WHEN has_alpha THEN 'png' ELSE 'jpeg' END AS target,
     has_alpha AND choice = 'jpeg' AS flatten,
     array_to_string(list_filter(list_distinct_ordered, lambda t: t <> 'auto' AND NOT (has_alpha AND t = 'jpeg')), ',') AS chain
   FROM (SELECT *, CASE WHEN has_alpha THEN CASE choice WHEN 'webp' THEN ['webp', 'png'] WHEN 'png' THEN ['png', 'webp'] ELSE [choice, 'webp', 'png'] END
     ELSE CASE choice WHEN 'webp' THEN ['webp', 'jpeg', 'png'] WHEN 'jpeg' THEN ['jpeg', 'webp', 'png'] WHEN 'png' THEN ['png', 'webp', 'jpeg'] ELSE [choice, 'webp', 'jpeg', 'png'] END END AS list_distinct_ordered
-    FROM caps, choices, alphas)"""
+    FROM chosen JOIN caps USING (platform))"""
 
 
 @register("format_policy", POLICY_SQL)
 def format_policy(spark, sf_dir):
-    choices = spark.range(1).select(F.explode(F.array(*map(F.lit, ("auto", "avif", "heic", "webp", "jpeg", "png")))).alias("choice"))
-    rows = estimate.capability_defaults(spark).join(F.broadcast(choices)).withColumn("has_alpha", F.explode(F.array(F.lit(True), F.lit(False))))
-    rows = rows.withColumn("p", estimate.format_policy(F.col("choice"), F.col("has_alpha")))
-    return rows.select("platform", "choice", "has_alpha", "p.target", "p.flatten", F.array_join(estimate.fallback_chain(F.col("choice"), F.col("has_alpha")), ",").alias("chain"))
+    """The platform, choice and alpha of each image by its id, width and height; the platforms' defaults, three rows, are broadcast."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (1 + n % len(values)).cast("int"))
+    rows = assets(spark, sf_dir).filter("type = 1").select("id", pick(("ios", "android", "other"), F.col("id").cast("long")).alias("platform"), pick(TARGETS, F.col("width")).alias("choice"), (F.col("height") % 2 == 0).alias("has_alpha"))
+    rows = rows.join(F.broadcast(estimate.capability_defaults(spark)), "platform").withColumn("p", estimate.format_policy(F.col("choice"), F.col("has_alpha")))
+    return rows.select("id", "platform", "choice", "has_alpha", "p.target", "p.flatten", F.array_join(estimate.fallback_chain(F.col("choice"), F.col("has_alpha")), ",").alias("chain"))
 
 
 @register("trash_committed", f"WITH {TRASH_SQL} SELECT * FROM trash WHERE state = 1")

@@ -239,8 +239,11 @@ class Flags:
         return bool(rows and rows[0]["on"])
 
     def put(self, name: str, on: bool) -> None:
-        row = self.table.spark.createDataFrame([(name, on)], self.table.schema)
-        self.table.change(lambda known: known.filter(F.col("name") != name).unionByName(row))
+        self.put_all(self.table.spark.createDataFrame([(name, on)], self.table.schema))
+
+    def put_all(self, rows: DataFrame) -> None:
+        """Sets the switches of ``rows(name, on)``; the others stay."""
+        self.table.change(lambda known: known.join(rows, "name", "left_anti").unionByName(rows.select("name", "on")))
 
 
 def first_digit(c: Column) -> Column:

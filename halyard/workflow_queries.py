@@ -8,7 +8,7 @@ from halyard.functions import binary, numbers, text
 from halyard.operators import catalog_index, digest, estimate, journal, tasks
 from halyard.plans import view
 from halyard.queries import AS_OF, ASSETS_SQL, SELECTION_SQL, TASKS_SQL, TRASH_SQL, assets, read, register, selection, streamed, task_events, trash
-from halyard.schema import ASSETS, TRASH
+from halyard.schema import ASSETS, TARGETS, TRASH
 from halyard.scratch import scratch_path, spooled
 from halyard.sources import catalog
 from halyard.sources.backups import opened, read_backups, write_backups
@@ -69,10 +69,13 @@ def ids_meet(spark, sf_dir):
     return spark.createDataFrame([(catalog_index.intersects(assets(spark, sf_dir), selection(spark, sf_dir)),)], "meet boolean")
 
 
-@register("view_flags", "SELECT * FROM (VALUES ('newest', FALSE, FALSE), ('largest', TRUE, TRUE), ('oldest', TRUE, FALSE), ('small', TRUE, TRUE), ('jpeg', TRUE, FALSE)) t(name, active, needs_sizes)")
+@register("view_flags", f"""WITH {ASSETS_SQL}, c AS (SELECT id, ['newest', 'oldest', 'largest', 'smallest'][1 + width % 4] AS sort, ['any', 'small', 'medium', 'large'][1 + height % 4] AS size, CASE WHEN width % 3 = 0 THEN 'jpeg' END AS format FROM assets)
+  SELECT id, sort <> 'newest' OR size <> 'any' OR format IS NOT NULL AS active, size <> 'any' OR sort IN ('largest', 'smallest') AS needs_sizes FROM c""")
 def view_flags(spark, sf_dir):
-    views = {"newest": view.View(), "largest": view.View(sort="largest"), "oldest": view.View(sort="oldest"), "small": view.View(size="small"), "jpeg": view.View(format="jpeg")}
-    return spark.createDataFrame([(k, v.any_active, v.needs_sizes) for k, v in views.items()], "name string, active boolean, needs_sizes boolean")
+    """A stored choice for each asset, by its width and height."""
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (1 + F.col(c) % len(values)).cast("int"))
+    chosen = view.flags(pick(view.SORTS, "width"), pick(view.BUCKETS, "height"), F.when(F.col("width") % 3 == 0, "jpeg"))
+    return assets(spark, sf_dir).select("id", chosen.alias("f")).select("id", "f.active", "f.needs_sizes")
 
 
 @register("shown_figures", f"""WITH {ASSETS_SQL}, f AS (SELECT id, width, height, size_bytes, duration_ms FROM assets)
@@ -94,17 +97,25 @@ def shown_figures(spark, sf_dir):
     )
 
 
-@register("ratio_model", "SELECT t.target, q.quality, least(greatest(r * (0.7::double + (quality - 30) / 70.0::double * 0.7::double), 0.05), 0.95) AS ratio FROM (VALUES ('avif', 0.32::double), ('heic', 0.5::double), ('webp', 0.6::double), ('jpeg', 0.9::double), ('png', 0.95::double), ('auto', 0.4::double)) t(target, r), (VALUES (1), (50), (80), (95), (100)) q(quality)")
+CHOICE_SQL = "['auto', 'avif', 'heic', 'webp', 'jpeg', 'png'][1 + width % 6]"
+
+
+def choice():
+    return F.element_at(F.array(*map(F.lit, TARGETS)), (1 + F.col("width") % len(TARGETS)).cast("int"))
+
+
+@register("ratio_model", f"WITH {ASSETS_SQL} SELECT id, least(greatest(CASE {CHOICE_SQL} WHEN 'avif' THEN 0.32::double WHEN 'heic' THEN 0.5::double WHEN 'webp' THEN 0.6::double WHEN 'jpeg' THEN 0.9::double WHEN 'png' THEN 0.95::double ELSE 0.4::double END * (0.7::double + (1 + height % 100 - 30) / 70.0::double * 0.7::double), 0.05), 0.95) AS ratio FROM assets")
 def ratio_model(spark, sf_dir):
-    rows = [(t, q, estimate.compression_ratio(t, q)) for t in estimate.RATIO for q in (1, 50, 80, 95, 100)]
-    return spark.createDataFrame(rows, "target string, quality int, ratio double")
+    """A target and a quality for each asset, by its width and height."""
+    return assets(spark, sf_dir).select("id", estimate.compression_ratios(choice(), 1 + F.col("height") % 100).alias("ratio"))
 
 
-@register("auto_targets", "SELECT choice, hw, heic, heif, webp, CASE WHEN choice <> 'auto' THEN choice WHEN hw THEN 'avif' WHEN heic OR heif THEN 'heic' WHEN webp THEN 'webp' ELSE 'jpeg' END AS target FROM (VALUES ('auto'), ('png')) c(choice), (VALUES (TRUE), (FALSE)) a(hw), (VALUES (TRUE), (FALSE)) b(heic), (VALUES (TRUE), (FALSE)) d(heif), (VALUES (TRUE), (FALSE)) e(webp)")
+@register("auto_targets", f"WITH {ASSETS_SQL} SELECT id, CASE WHEN {CHOICE_SQL} <> 'auto' THEN {CHOICE_SQL} WHEN height % 16 >= 8 THEN 'avif' WHEN height % 8 >= 4 OR height % 4 >= 2 THEN 'heic' WHEN height % 2 = 1 THEN 'webp' ELSE 'jpeg' END AS target FROM assets")
 def auto_targets(spark, sf_dir):
-    both = (True, False)
-    rows = [(c, a, b, d, e, estimate.resolve_auto(c, a, b, d, e)) for c in ("auto", "png") for a in both for b in both for d in both for e in both]
-    return spark.createDataFrame(rows, "choice string, hw boolean, heic boolean, heif boolean, webp boolean, target string")
+    """A choice and what a device can write for each asset."""
+    bit = lambda k: F.col("height") % (2 * k) >= k
+    rows = assets(spark, sf_dir).select("id", choice().alias("choice"), bit(8).alias("avif_hardware"), bit(4).alias("heic"), bit(2).alias("heif"), bit(1).alias("webp"))
+    return rows.select("id", estimate.auto_target(F.col("choice")).alias("target"))
 
 
 @register("gallery_places", f"WITH {ASSETS_SQL} SELECT id, CASE WHEN width % 3 <> 0 THEN cast(width % 3 AS double) END AS latitude, CASE WHEN height % 2 <> 0 THEN cast(height % 2 AS double) END AS longitude, 2 AS copies FROM assets WHERE type = 1")
@@ -168,13 +179,16 @@ def swept_journal(spark, sf_dir):
     return table.read().select("id", "state", F.lit(len(table.versions())).alias("versions"))
 
 
-@register("kept_flags", "SELECT * FROM (VALUES ('seen', TRUE), ('other', FALSE), ('unset', FALSE)) t(name, is_on)")
+@register("kept_flags", f"WITH {ASSETS_SQL}, c AS (SELECT mime_type AS name, count(*) AS n FROM assets WHERE mime_type IS NOT NULL GROUP BY mime_type) SELECT name, CASE WHEN name = 'image/png' THEN FALSE ELSE n % 2 = 0 OR name = 'image/webp' END AS is_on FROM c")
 def kept_flags(spark, sf_dir):
+    """A switch for each kind of asset, on where their number is even; then two are set again."""
     flags = Flags(spark, scratch_path(spark, "flags"))
-    flags.put("seen", False)
-    flags.put("other", False)
-    flags.put("seen", True)
-    return spark.createDataFrame([(n, flags.get(n)) for n in ("seen", "other", "unset")], "name string, is_on boolean")
+    kinds = assets(spark, sf_dir).filter("mime_type is not null").groupBy(F.col("mime_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    flags.put_all(kinds.select("name", F.lit(False).alias("on")))
+    flags.put_all(kinds.select("name", (F.col("n") % 2 == 0).alias("on")))
+    flags.put("image/png", False)
+    flags.put("image/webp", True)
+    return flags.table.read().select("name", F.col("on").alias("is_on"))
 
 
 @register("newest_encodes", "SELECT user_id AS key, max(event_id) AS seq FROM events WHERE event_type <> 'view' GROUP BY user_id HAVING max(event_id) = arg_max(event_id, event_id) AND max(event_id) >= (SELECT max(e.event_id) FROM events e WHERE e.user_id = events.user_id)")
@@ -299,6 +313,27 @@ def digest_sync(spark, sf_dir):
     return digest.sync(rows, source).select("id", "width", "size_bytes")
 
 
+TURNED_SQL = """t AS (SELECT page_id, page_id % 256 AS k, 1 + page_id % 5 AS w, 1 + page_id % 3 AS h, page_id % 4 AS t, page_id % 8 >= 4 AS fh, page_id % 16 >= 8 AS fv, (page_id % 3) / 4.0::double AS cl, (page_id % 2) / 3.0::double AS ct FROM pages),
+  a AS (SELECT *, CASE WHEN t % 2 = 1 THEN h ELSE w END AS wide, CASE WHEN t % 2 = 1 THEN w ELSE h END AS high FROM t),
+  b AS (SELECT *, least(cast(floor(cl * wide + 0.5) AS bigint), wide - 1) AS x0, least(cast(floor(ct * high + 0.5) AS bigint), high - 1) AS y0 FROM a),
+  c AS (SELECT *, least(greatest(cast(floor(0.6::double * wide + 0.5) AS bigint), 1), wide - x0) AS nx, least(greatest(cast(floor(0.75::double * high + 0.5) AS bigint), 1), high - y0) AS ny FROM b),
+  d AS (SELECT *, unnest(range(y0, y0 + ny)) AS y FROM c), e AS (SELECT *, unnest(range(x0, x0 + nx)) AS x FROM d),
+  f AS (SELECT *, CASE WHEN fh THEN wide - 1 - x ELSE x END AS fx, CASE WHEN fv THEN high - 1 - y ELSE y END AS fy FROM e),
+  g AS (SELECT *, CASE t WHEN 0 THEN fx WHEN 1 THEN fy WHEN 2 THEN w - 1 - fx ELSE w - 1 - fy END AS col, CASE t WHEN 0 THEN fy WHEN 1 THEN h - 1 - fx WHEN 2 THEN h - 1 - fy ELSE fx END AS row FROM f)"""
+
+
+@register("turned_pixels", f"WITH {TURNED_SQL} SELECT page_id, string_agg(format('{{:02X}}{{:02X}}{{:02X}}', col, row, k) || CASE WHEN page_id % 2 = 1 THEN '80' ELSE '' END, '' ORDER BY y, x) AS pixels FROM g GROUP BY page_id")
+def turned_pixels(spark, sf_dir):
+    """Raw images whose pixels tell their column and row, turned, flipped and cropped: the pixels that the PNG holds."""
+    k = F.col("page_id")
+    w, h = (1 + k % 5).cast("int"), (1 + k % 3).cast("int")
+    byte = lambda n: F.lpad(F.hex(n), 2, "0")
+    pixel = lambda i: F.concat(byte(i % w), byte(F.floor(i / w)), byte(k % 256), F.when(k % 2 == 1, "80").otherwise("FF"))
+    rgba = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), w * h - 1), pixel), ""))
+    png = binary.transformed(rgba, w, h, (k % 4).cast("int"), k % 8 >= 4, k % 16 >= 8, k % 3 / F.lit(4.0), k % 2 / F.lit(3.0), F.lit(0.6), F.lit(0.75))
+    return read(spark, sf_dir, "pages").select("page_id", png.alias("png")).select("page_id", F.hex(binary.png_pixels("png")).alias("pixels"))
+
+
 @register("turned_images", """WITH p AS (SELECT page_id, cast(1 + page_id % 5 AS integer) AS w, cast(1 + page_id % 3 AS integer) AS h, cast(page_id % 4 AS integer) AS t FROM pages)
   SELECT page_id, CASE WHEN t % 2 = 1 THEN h ELSE w END AS wide, CASE WHEN t % 2 = 1 THEN w ELSE h END AS high, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 6 END AS colour FROM p""")
 def turned_images(spark, sf_dir):

@@ -97,3 +97,25 @@ def test_ratio_and_policy(spark):
     chain = lambda t, a: spark.range(1).select(E.fallback_chain(F.lit(t), F.lit(a))).first()[0]
     assert chain("avif", True) == ["avif", "webp", "png"] and chain("jpeg", True) == ["webp", "png"]
     assert chain("auto", False) == ["webp", "jpeg", "png"] and chain("png", False) == ["png", "webp", "jpeg"]
+
+
+def test_exact_median_of_many(spark):
+    """Ten million ratios with ties: narrowed to what fits, equal to the aggregate."""
+    from halyard.operators.median import exact_median
+
+    rows = spark.range(10_000_000, numPartitions=8).select(F.round(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1000.0, 2).alias("r"))
+    assert exact_median(rows, "r", fits=1000) == rows.agg(F.median("r")).first()[0]
+
+
+def test_exact_median_of_odd_values(spark):
+    import random
+    from statistics import median
+
+    from halyard.operators.median import exact_median
+
+    r = random.Random(2)
+    sets = [[1.0], [1.0, 2.0], [5.0] * 400, [1.0] * 200 + [9.0] * 200, [1.0] * 200 + [9.0] * 201, [10.0**k for k in range(-150, 150)], [-x / 7 for x in range(333)], [r.choice([0.0, 1e-9, 1e300, r.random()]) for _ in range(501)]]
+    for values in sets:
+        rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        assert exact_median(rows, "v", fits=4) == median(values)
+    assert exact_median(spark.createDataFrame([(None,)], "v double"), "v") is None
