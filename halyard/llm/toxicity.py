@@ -202,7 +202,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 16_000, entr
     spared = common.filter(F.col("n") >= max(5, 0.002 * n_good)).select("phrase").collect()
     lexicon.exceptions = (*exceptions, *sorted(r["phrase"] for r in spared))
     lexicon._automaton = None
-    points = measured.select("x", "toxic").orderBy("x", "toxic").toPandas()
+    points = measured.select("x", "toxic").toPandas().sort_values(["x", "toxic"])
     lexicon.slope, lexicon.offset = logistic(points["x"].to_numpy(float), points["toxic"].to_numpy(float))
     return lexicon
 
