@@ -625,24 +625,57 @@ def task_lives(spark, sf_dir):
     return tasks.folded_lives(task_events(spark, sf_dir), FORGET_MS)
 
 
+def in_batches(spark: SparkSession, rows: DataFrame, order: str, n: int) -> DataFrame:
+    """A stream of ``n`` micro-batches of a table's rows, in order of a column."""
+    where = scratch_path(spark, "batches")
+    told = spooled(rows.withColumn("batch", F.ntile(n).over(Window.orderBy(order))), "told")
+    # files go out one after another, as file streams take the oldest first
+    for k in range(1, n + 1):
+        told.filter(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(where)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
+
+
 @register("task_lives_stream", f"WITH {LIVES_SQL} SELECT * FROM states")
 def task_lives_stream(spark, sf_dir):
     """The same as a stream of four batches that shuffle the events among them by up to a minute."""
     from halyard.streaming.tasks import task_states, use_rocksdb
 
     use_rocksdb(spark)
-    where = scratch_path(spark, "shuffled")
-    events = task_events(spark, sf_dir)
     late = F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(60_000_000))
-    batch = F.ntile(4).over(Window.orderBy("at"))
-    # the batches go out one after another, as file streams take the oldest first
-    told = spooled(events.withColumn("at", late).withColumn("batch", batch), "told")
-    for k in range(1, 5):
-        told.filter(F.col("batch") == k).drop("at", "batch").coalesce(1).write.mode("append").parquet(where)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    stream = in_batches(spark, task_events(spark, sf_dir).withColumn("at", late), "at", 4).drop("at")
     return drained(spark, task_states(stream, "2 minutes", FORGET_MS), "task-lives", "update", ["task_id"]).select("task_id", "status")
 
 
+@register("new_outputs_stream", f"""WITH {TASKS_SQL}, b AS (SELECT *, ntile(3) OVER (ORDER BY seq) AS batch FROM tasks),
+  ends AS (SELECT task_id, n, arg_max(status, (ts, seq)) AS status, max(batch) = n AS heard FROM b, (SELECT unnest([1, 2, 3]) AS n) WHERE batch <= n GROUP BY task_id, n)
+  SELECT DISTINCT task_id, unnest([task_id * 10, task_id * 10 + 1]) AS output_id FROM ends WHERE status = 'completed' AND heard""")
+def new_outputs_stream(spark, sf_dir):
+    """The outputs of tasks that are completed at the end of one of three batches, once each."""
+    from halyard.streaming.tasks import new_outputs, use_rocksdb
+
+    use_rocksdb(spark)
+    outputs = F.array(F.col("task_id") * 10, F.col("task_id") * 10 + 1)
+    stream = in_batches(spark, task_events(spark, sf_dir).withColumn("outputs", outputs), "seq", 3)
+    return drained(spark, new_outputs(stream), "new-outputs", "append").select("task_id", "output_id")
+
+
+@register("newest_results_stream", """WITH r AS (SELECT user_id AS key, event_id AS seq, ts, event_type FROM events)
+  SELECT key, seq FROM r a WHERE event_type <> 'view' AND NOT EXISTS (SELECT 1 FROM r b WHERE b.key = a.key AND b.seq > a.seq AND b.ts <= a.ts + INTERVAL 6 HOUR)
+    AND epoch_us(a.ts + INTERVAL 6 HOUR) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 + 6 * 3600000000::bigint - 60000000 FROM events WHERE event_type <> 'view')""")
+def newest_results_stream(spark, sf_dir):
+    """A user's requests, each but views answered after six hours: the answers that no newer request overtook, as a stream of
+    three batches, up to the watermark a minute before its end."""
+    from halyard.streaming.tasks import newest_results, use_rocksdb
+
+    use_rocksdb(spark)
+    events = task_events(spark, sf_dir).select(F.col("task_id").alias("key"), "seq", "ts", F.col("status"))
+    requests = events.select("key", "seq", "ts", F.lit(False).alias("answer"))
+    answers = events.filter("status <> 'pending'").select("key", "seq", (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("ts"), F.lit(True).alias("answer"))
+    stream = in_batches(spark, requests.union(answers), "ts", 3)
+    out = newest_results(stream.filter("not answer"), stream.filter("answer"), "60 seconds")
+    return drained(spark, out, "newest-results", "append").select("key", "seq")
+
+
 @register("debounce_stream", """WITH g AS (SELECT user_id AS key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 2000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   r AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), b AS (SELECT key, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 2000000 AS settled, count(*) AS changes FROM r GROUP BY key, run)
   SELECT * FROM b WHERE settled <= (SELECT max(epoch_us(ts)) - 10000000 FROM events)""")

@@ -84,6 +84,84 @@ def task_states(events: DataFrame, late: str = "10 seconds", forget_ms: int | No
     return timely.transformWithStateInPandas(statefulProcessor=TaskFold(forget_ms), outputStructType="task_id long, status string", outputMode="Update", timeMode="EventTime")
 
 
+class NewOutputs(StatefulProcessor):
+    """A task's last event, and the outputs that were told: each is told once, at the first batch that ends with its task
+    completed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "us long, seq long, status string")
+        self.told = handle.getMapState("told", "output_id long", "at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last, outputs = tuple(self.last.get()) if self.last.exists() else None, {}
+        for batch in rows:
+            micros = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+            for us, seq, status, made in zip(micros, batch["seq"].tolist(), batch["status"].tolist(), batch["outputs"], strict=True):
+                last = max(last or (us, seq, status), (us, seq, status), key=lambda e: e[:2])
+                outputs |= dict.fromkeys(() if made is None else map(int, made))
+        self.last.update(last)
+        fresh = [o for o in outputs if not self.told.containsKey((o,))] if last[2] == "completed" else []
+        for o in fresh:
+            self.told.updateValue((o,), (last[0],))
+        yield pd.DataFrame({"task_id": [key[0]] * len(fresh), "output_id": pd.Series(fresh, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def new_outputs(events: DataFrame) -> DataFrame:
+    """(task_id, output_id) of a stream of (task_id, seq, ts, status, outputs): what each task that completes has made, once."""
+    return events.groupBy("task_id").transformWithStateInPandas(statefulProcessor=NewOutputs(), outputStructType="task_id long, output_id long", outputMode="Append", timeMode="None")
+
+
+class NewestResults(StatefulProcessor):
+    """A key's requests and results that the watermark has not passed, and the newest request that it has. A timer at a result's time
+    decides it: whatever was asked for up to then is known."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "seq long")
+        self.waiting = handle.getListState("waiting", "us long, seq long, result boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        waiting = list(map(tuple, self.waiting.get()))
+        for batch in rows:
+            micros = batch["ts"].astype("datetime64[us]").astype("int64")
+            fresh = list(zip(micros.tolist(), batch["seq"].tolist(), batch["result"].tolist(), strict=True))
+            for us in {-(-us // 1000) for us, _, _ in fresh}:
+                self.handle.registerTimer(us)
+            waiting += fresh
+        self.waiting.put(sorted(waiting))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        waiting = list(map(tuple, self.waiting.get()))
+        passed, rest = [e for e in waiting if e[0] <= until], [e for e in waiting if e[0] > until]
+        kept = []
+        for _, seq, result in passed:  # in order of time, at one time by number, requests before results
+            if not result:
+                newest = seq if newest is None else max(newest, seq)
+            elif newest is None or seq >= newest:
+                kept.append(seq)
+        if newest is not None:
+            self.newest.update((newest,))
+        if passed:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        yield pd.DataFrame({"key": [key[0]] * len(kept), "seq": pd.Series(kept, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def newest_results(requests: DataFrame, results: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """(key, seq) of the results (key, seq, ts) that no newer request (key, seq, ts) had overtaken when they came: those of the time
+    of a result or before it count. Both streams may be ``late``; results are told once the watermark has passed them."""
+    both = requests.select("key", "seq", "ts", F.lit(False).alias("result")).unionByName(results.select("key", "seq", "ts", F.lit(True).alias("result")))
+    return both.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(statefulProcessor=NewestResults(), outputStructType="key long, seq long", outputMode="Append", timeMode="EventTime")
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 

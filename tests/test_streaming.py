@@ -9,7 +9,7 @@ from halyard.operators import tasks as T
 from halyard.queries import drained
 from halyard.schema import ASSETS
 from halyard.sources.catalog import VersionedTable
-from halyard.streaming.tasks import change_bursts, sync_on_bursts, task_states, use_rocksdb
+from halyard.streaming.tasks import change_bursts, new_outputs, newest_results, sync_on_bursts, task_states, use_rocksdb
 from tests.test_catalog import assets, ids
 
 BASE = dt.datetime(2024, 1, 1)
@@ -122,6 +122,34 @@ def test_a_hot_key_of_sparse_changes_is_many_tasks_work(spark):
     assert spread < n / 4
 
 
+def test_outputs_are_told_once(spark, tmp_path):
+    """A task that completes tells its outputs, once; one that is completed again tells what is new; others tell nothing."""
+    use_rocksdb(spark)
+    kind = T.EVENT + ", outputs array<long>"
+    parts = [
+        [(1, 1, at(1), "running", None), (1, 2, at(2), "completed", [10, 11]), (2, 3, at(3), "completed", [20]), (2, 4, at(4), "running", [21]), (3, 5, at(5), "completed", None)],
+        [(1, 6, at(6), "completed", [11, 12]), (2, 7, at(7), "failed", [20])],
+        [(2, 8, at(8), "completed", [20, 22]), (1, 0, at(0), "running", [13])],
+    ]
+    out = drained(spark, new_outputs(batches(spark, tmp_path, *parts, kind=kind)), "told", "append")
+    # task 2 had ended each earlier batch in another state; an older event of task 1 does not change its state
+    assert sorted(map(tuple, out.select("task_id", "output_id").collect())) == [(1, 10), (1, 11), (1, 12), (1, 13), (2, 20), (2, 22)]
+
+
+def test_overtaken_results_are_dropped(spark, tmp_path):
+    """Requests and results of three batches, out of order within the delay: the results of a key's newest request at their time."""
+    use_rocksdb(spark)
+    kind = "key long, seq long, ts timestamp, result boolean"
+    parts = [
+        [(1, 1, at(10), False), (2, 2, at(10), False), (1, 1, at(20), True)],
+        [(1, 3, at(19), False), (2, 2, at(30), True), (2, 4, at(31), False), (3, 5, at(25), True)],  # request 3 came late, yet before result 1
+        [(1, 3, at(40), True), (2, 2, at(41), True), (2, 4, at(45), True), (9, 9, at(400), False)],
+    ]
+    stream = batches(spark, tmp_path, *parts, kind=kind)
+    out = drained(spark, newest_results(stream.filter("not result"), stream.filter("result"), "30 seconds"), "newest", "append")
+    assert sorted(map(tuple, out.select("key", "seq").collect())) == [(1, 3), (2, 2), (2, 4), (3, 5)]
+
+
 def test_bursts_sync_once_a_batch(spark, tmp_path):
     """Bursts of a micro-batch are one sync; a batch without a settled burst is none."""
     table = VersionedTable(spark, f"file://{tmp_path}/t", ASSETS)
