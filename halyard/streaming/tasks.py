@@ -115,8 +115,8 @@ def new_outputs(events: DataFrame) -> DataFrame:
 
 
 class NewestResults(StatefulProcessor):
-    """A key's requests and results that the watermark has not passed, and the newest request that it has. A timer at a result's time
-    decides it: whatever was asked for up to then is known."""
+    """A key's requests and results that the watermark has not passed, and the newest request that it has. A timer at the earliest
+    of them takes what the watermark has passed in order of time: whatever was asked for up to a result's time is known then."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -125,17 +125,20 @@ class NewestResults(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         waiting = list(map(tuple, self.waiting.get()))
+        first = min(waiting, default=None)
         for batch in rows:
             micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            fresh = list(zip(micros.tolist(), batch["seq"].tolist(), batch["result"].tolist(), strict=True))
-            for us in {-(-us // 1000) for us, _, _ in fresh}:
-                self.handle.registerTimer(us)
-            waiting += fresh
-        self.waiting.put(sorted(waiting))
+            waiting += zip(micros.tolist(), batch["seq"].tolist(), batch["result"].tolist(), strict=True)
+        waiting.sort()
+        self.waiting.put(waiting)
+        if first is None or waiting[0][0] < first[0]:
+            if first is not None:
+                self.handle.deleteTimer(-(-first[0] // 1000))
+            self.handle.registerTimer(-(-waiting[0][0] // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        until = timerValues.getCurrentWatermarkInMs() * 1000
         newest = self.newest.get()[0] if self.newest.exists() else None
         waiting = list(map(tuple, self.waiting.get()))
         passed, rest = [e for e in waiting if e[0] <= until], [e for e in waiting if e[0] > until]
@@ -149,6 +152,8 @@ class NewestResults(StatefulProcessor):
             self.newest.update((newest,))
         if passed:
             self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
         yield pd.DataFrame({"key": [key[0]] * len(kept), "seq": pd.Series(kept, dtype="int64")})
 
     def close(self) -> None:
