@@ -8,7 +8,8 @@ import os
 import duckdb
 import pytest
 
-import halyard.scalar_queries  # noqa: F401  registers more queries
+import halyard.index_queries  # noqa: F401  registers more queries
+import halyard.scalar_queries  # noqa: F401
 import halyard.workflow_queries  # noqa: F401
 from halyard.queries import ORACLES, QUERIES
 
