@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.plans.bitmaps import Facets, Selection
+from halyard.plans.postings import TextIndex, matching_formats, named
 from halyard.plans.rank_index import RankIndex
 from halyard.plans.view import BUCKETS, View, planned
-from halyard.queries import ASSETS_SQL, PLACED_SQL, SELECTION_SQL, assets, register, selection
+from halyard.queries import ASSETS_SQL, PLACED_SQL, SELECTION_SQL, assets, read, register, selection
+from halyard.scratch import scratch_path
 
 CHOICES = [View(kind, size=size, format=format) for kind in ("all", "photos", "videos") for size in BUCKETS for format in (None, "jpeg", "mov")]
 
@@ -45,3 +50,28 @@ def bitmap_lock(spark, sf_dir):
     """The type of the first selected entry after place 40."""
     known = facets(spark, sf_dir)
     return known.lock(Selection.of(known.index.places(selection(spark, sf_dir))).minus(Selection.between(known.index, 0, 40)))
+
+
+NEEDLES = (" BLUE", "ed", "k", "re-", "green r", "none of them")
+
+
+@register("indexed_names", f"""WITH now AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 3 THEN 'Re-' || p_name ELSE p_name END AS name FROM part WHERE p_partkey % 10 <> 4)
+  SELECT needle, p_partkey, name FROM now, (SELECT unnest([{", ".join(f"'{n}'" for n in NEEDLES)}]) AS needle) WHERE contains(lower(name), lower(trim(needle)))""")
+def indexed_names(spark, sf_dir):
+    """Names found by posting lists, after a tenth of the parts got other names and a tenth went."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    index = TextIndex.built(parts, ["name"], scratch_path(spark, "names"), key="p_partkey")
+    index.changed(parts.filter("p_partkey % 10 = 3").withColumn("name", F.concat(F.lit("Re-"), "name")))
+    index.removed(parts.filter("p_partkey % 10 = 4").select("p_partkey"))
+    return reduce(DataFrame.unionByName, (named(index, n).select(F.lit(n).alias("needle"), "p_partkey", "name") for n in NEEDLES))
+
+
+@register("indexed_formats", f"""WITH {ASSETS_SQL}, t AS (SELECT *, lower(coalesce(mime_type, '')) AS m, lower(coalesce(title, '')) AS e FROM assets)
+  SELECT id, 'jpeg' AS format FROM t WHERE m LIKE '%jpeg%' OR m LIKE '%jpg%' OR e LIKE '%.jpeg' OR e LIKE '%.jpg'
+  UNION ALL SELECT id, 'mov' FROM t WHERE type = 2 AND size_bytes >= 10485760 AND (m LIKE '%mov%' OR m LIKE '%quicktime%' OR e LIKE '%.mov' OR e LIKE '%.quicktime')""")
+def indexed_formats(spark, sf_dir):
+    """Two format filters answered from one index."""
+    rows = assets(spark, sf_dir).select("id", "type", "size_bytes", "title", "mime_type")
+    index = TextIndex.built(rows, ["mime_type", "title"], scratch_path(spark, "formats"))
+    found = [matching_formats(index, planned(v)).select("id", F.lit(v.format).alias("format")) for v in (View(format="jpeg"), View("videos", size="large", format="mov"))]
+    return reduce(DataFrame.unionByName, found)
