@@ -3,8 +3,9 @@
 An index is a folder of segments, each written once: its rows as Parquet files, and for every field and three-letter string (in
 lower case) the numbers of the rows that hold it, a list for each 32,768 rows of a file, so that a string that every
 row has is many short lists. Two end marks follow a text, so one- and two-letter strings and endings are found by lists too.
-A search counts the needle's strings, intersects their lists from the rarest on, and reads only the files in which rows are
-left; what it reads is tested against the texts themselves.
+A search counts the strings of its needles, intersects their lists from the rarest on, and reads only the files in which rows
+are left; what it reads is tested against the texts themselves. Two small jobs answer for all needles and segments: one reads
+the lengths of lists, one the lists.
 
 A change is a segment of its changed rows alone, and a row of an older segment with the same key no longer counts;
 a removal is a segment of keys. ``compacted`` makes one segment of all that counts. Segments are numbered by atomic claims, so
@@ -34,8 +35,7 @@ END = "\0\0"
 LETTERS = 3
 BLOCK = 32_768
 LISTS = 4  # lists that are intersected, the rarest; the test of the texts does the rest
-POSTINGS = "field string, gram string, file int, block int, rows array<int>"
-GRAMS = "field string, gram string, n long"
+POSTINGS = "field string, gram string, file int, block int, n int, rows array<int>"
 FILES = "path string, file int"
 
 
@@ -115,17 +115,20 @@ class TextIndex:
         held = cut.select("field", "file", "row", F.explode(grams).alias("gram"))
         lists = held.groupBy("field", "gram", "file", F.floor(F.col("row") / BLOCK).cast("int").alias("block")).agg(F.sort_array(F.collect_list((F.col("row") % BLOCK).cast("int"))).alias("rows"))
         order = ["field", "gram", "file", "block"]
-        lists.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{where}/postings")
-        counted = self._table(data, "postings", POSTINGS).groupBy("field", "gram").agg(F.sum(F.size("rows")).alias("n"))
-        counted.repartitionByRange("field", "gram").sortWithinPartitions("field", "gram").write.parquet(f"{where}/grams")
+        lists.withColumn("n", F.size("rows")).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{where}/postings")
         return data
 
-    def _table(self, data: str, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{data}/{name}")
+    def _table(self, segments: list[str], name: str, schema: str) -> DataFrame:
+        """A table of several segments, with the ``segment`` of each row."""
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.folder}/{data}/{name}" for data in segments])
+        return rows.withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), f"/(d-[0-9a-f]+)/{name}/", 1))
 
-    def _rows(self, data: str, *paths: str) -> DataFrame:
+    def _rows(self, *segments: str) -> DataFrame:
+        return self._files([f"{self.folder}/{data}/rows" for data in segments])
+
+    def _files(self, paths: list[str]) -> DataFrame:
         schema = StructType([*self.schema.fields]).add("__gone", "boolean")
-        return self.spark.read.schema(schema).parquet(*(paths or [f"{self.folder}/{data}/rows"]))
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     # changes
 
@@ -158,8 +161,8 @@ class TextIndex:
         """Rows found in all segments, without those that a later segment has replaced."""
         parts = []
         for k, (_, rows) in enumerate(found):
-            for data, _ in found[k + 1 :]:
-                rows = rows.join(self._rows(data).select(self.key), self.key, "left_anti")
+            if later := [data for data, _ in found[k + 1 :]]:
+                rows = rows.join(self._rows(*later).select(self.key), self.key, "left_anti")
             parts.append(rows.filter(~F.col("__gone")).select(*self.schema.names))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.schema)
 
@@ -167,38 +170,52 @@ class TextIndex:
         """All rows that count."""
         return self._united([(data, self._rows(data)) for data in self.segments()])
 
-    def _lists(self, data: str, term: Term) -> DataFrame | None:
-        """(file, block, rows) of the rows that may hold a term; None for all rows."""
-        text, postings = term.text, self._table(data, "postings", POSTINGS).filter(F.col("field") == term.field)
-        if not text:
+    def _counted(self, segments: list[str], terms: list[Term]) -> dict[str, dict[tuple[str, str], int]]:
+        """{segment: {(field, three-letter string): rows}} of the strings of the terms: at most one a letter and segment."""
+        wanted: dict[str, set[str]] = {}
+        for t in terms:
+            wanted.setdefault(t.field, set()).update(_cut(t.text))
+        tests = [(F.col("field") == f) & F.col("gram").isin(*grams) for f, grams in wanted.items() if grams]
+        counted: dict[str, dict[tuple[str, str], int]] = {data: {} for data in segments}
+        if tests and segments:
+            known = self._table(segments, "postings", POSTINGS).filter(reduce(Column.__or__, tests))
+            for r in known.groupBy("segment", "field", "gram").agg(F.sum("n").alias("n")).collect():
+                counted[r["segment"]][r["field"], r["gram"]] = r["n"]
+        return counted
+
+    def _lists(self, data: str, term: Term, counted: dict[tuple[str, str], int]) -> DataFrame | None:
+        """(segment, file) of the rows of a segment that may hold a term; None where there are none."""
+        text, wanted = term.text, _cut(term.text)
+        if not all((term.field, g) in counted for g in wanted):
             return None
-        if len(text) < LETTERS:
-            return postings.filter(F.col("gram").startswith(text)).groupBy("file", "block").agg(F.array_distinct(F.flatten(F.collect_list("rows"))).alias("rows"))
-        wanted = {text[k : k + LETTERS] for k in range(len(text) - LETTERS + 1)}
-        known = self._table(data, "grams", GRAMS).filter((F.col("field") == term.field) & F.col("gram").isin(*wanted)).collect()  # at most one a letter
-        if len(known) < len(wanted):
-            return postings.filter(F.lit(False)).select("file", "block", "rows")
-        rarest = sorted(known, key=lambda r: (r["n"], r["gram"]))[:LISTS]
-        lists = [postings.filter(F.col("gram") == r["gram"]).select("file", "block", F.col("rows").alias(f"rows{k}")) for k, r in enumerate(rarest)]
+        postings = self._table([data], "postings", POSTINGS).filter(F.col("field") == term.field)
+        if not wanted:
+            return postings.filter(F.col("gram").startswith(text)).select("segment", "file")
+        rarest = sorted(wanted, key=lambda g: (counted[term.field, g], g))[:LISTS]
+        lists = [postings.filter(F.col("gram") == g).select("segment", "file", "block", F.col("rows").alias(f"rows{k}")) for k, g in enumerate(rarest)]
         met = lists[0].withColumnRenamed("rows0", "rows")
         for k, other in enumerate(lists[1:], 1):
-            met = met.join(other, ["file", "block"]).select("file", "block", F.array_intersect("rows", f"rows{k}").alias("rows")).filter(F.size("rows") > 0)
-        return met
+            met = met.join(other, ["segment", "file", "block"]).withColumn("rows", F.array_intersect("rows", f"rows{k}")).drop(f"rows{k}").filter(F.size("rows") > 0)
+        return met.select("segment", "file")
 
     def search(self, terms: Iterable[Term], test: Column) -> DataFrame:
         """The rows that pass ``test``, which must be false for those that hold none of the terms."""
-        terms, found = list(terms), []
-        for data in self.segments():
-            lists = [self._lists(data, t) for t in terms]
-            if any(part is None for part in lists):
-                some = self._rows(data)
-            else:
-                held = reduce(DataFrame.unionByName, lists).select("file").distinct()
-                files = self._table(data, "files", FILES)
-                paths = [r["path"] for r in files.join(held, "file", "left_semi").select("path").collect()]  # at most one a file
-                some = self._rows(data, *paths) if paths else None
-            found.append((data, some.filter(test) if some is not None else self._rows(data).filter(F.lit(False))))
-        return self._united(found)
+        terms, segments = list(terms), self.segments()
+        if not all(t.text for t in terms):
+            return self._united([(data, self._rows(data).filter(test)) for data in segments])
+        counted = self._counted(segments, terms)
+        lists = [part for data in segments for t in terms if (part := self._lists(data, t, counted[data])) is not None]
+        paths: dict[str, list[str]] = {data: [] for data in segments}
+        if lists:
+            held = reduce(DataFrame.unionByName, lists).distinct()
+            for r in self._table(segments, "files", FILES).join(held, ["segment", "file"], "left_semi").select("segment", "path").collect():  # at most one a file
+                paths[r["segment"]].append(r["path"])
+        return self._united([(data, self._files(paths[data]).filter(test)) for data in segments])
+
+
+def _cut(text: str) -> set[str]:
+    """The three-letter strings of a text."""
+    return {text[k : k + LETTERS] for k in range(len(text) - LETTERS + 1)}
 
 
 def matching_formats(index: TextIndex, p: Parameters) -> DataFrame:
