@@ -34,20 +34,18 @@ def digests(rows: DataFrame, like: DataFrame, columns: list[str], bits: int = BI
 
 
 def differing(mine: DataFrame, theirs: DataFrame, bits: int = BITS) -> DataFrame:
-    """leaf of each leaf whose digests differ, or that one side lacks."""
+    """leaf of each leaf whose digests differ, or that one side lacks. Both sides' digests are paired by leaf and stored once,
+    at most 2 to ``bits`` rows, so each level is one look at the pairs."""
+    other = theirs.select("leaf", F.col("n").alias("n_"), F.col("total").alias("total_"), F.col("odd").alias("odd_"))
+    pairs = spooled(mine.select("leaf", "n", "total", "odd").join(other, "leaf", "full_outer"), "digests")
+    up = F.col("leaf").cast("long")
     parents = None
     for depth in [*range(0, bits, STEP), bits]:
-
-        def nodes(side: DataFrame, depth: int = depth) -> DataFrame:
-            up = F.col("leaf").cast("long")
-            side = side.withColumn("node", F.call_function("shiftright", up, F.lit(bits - depth)))
-            if parents is not None:
-                above = F.call_function("shiftright", up, F.lit(bits - last))
-                side = side.withColumn("parent", above).join(F.broadcast(parents), "parent", "left_semi")
-            return side.groupBy("node").agg(F.struct(F.sum("n").alias("n"), F.sum("total").cast("decimal(38,0)").alias("total"), F.bit_xor("odd").alias("odd")).alias("digest"))
-
-        a, b = nodes(mine), nodes(theirs).withColumnRenamed("digest", "other")
-        parents = a.join(b, "node", "full_outer").filter(~F.col("digest").eqNullSafe(F.col("other"))).select(F.col("node").alias("parent"))
+        nodes = pairs.withColumn("node", F.call_function("shiftright", up, F.lit(bits - depth)))
+        if parents is not None:
+            nodes = nodes.withColumn("parent", F.call_function("shiftright", up, F.lit(bits - last))).join(F.broadcast(parents), "parent", "left_semi")
+        told = [F.struct(F.sum(f"n{s}").alias("n"), F.sum(f"total{s}").cast("decimal(38,0)").alias("total"), F.bit_xor(f"odd{s}").alias("odd")).alias(f"digest{s}") for s in ("", "_")]
+        parents = nodes.groupBy("node").agg(*told).filter(~F.col("digest").eqNullSafe(F.col("digest_"))).select(F.col("node").alias("parent"))
         last = depth
     return parents.select(F.col("parent").alias("leaf"))
 
@@ -57,7 +55,7 @@ def sides(table: DataFrame, source: DataFrame, bits: int = BITS, stored: DataFra
     columns, if they are kept."""
     columns = [c for c in source.columns if c in table.columns and c != "id"]
     mine = digests(table, table, columns, bits) if stored is None else stored
-    theirs = spooled(digests(source, table, columns, bits), "digests")
+    theirs = digests(source, table, columns, bits)
     apart = spooled(differing(mine, theirs, bits), "leaves")
     within = lambda df: df.join(F.broadcast(apart.withColumnRenamed("leaf", "__leaf")), leaf(bits) == F.col("__leaf"), "left_semi")
     return apart, within(table), within(source)
