@@ -142,8 +142,9 @@ def two_pages(spark, sf_dir):
     return view.next_page(view.page(rows, p, 0, 100), rows, p, 100).select("id")
 
 
-@register("trash_items", f"SELECT cast(event_id AS varchar) AS id, CASE WHEN event_type = 'view' THEN 'IMG' ELSE event_type END AS name, CASE WHEN event_type = 'error' THEN epoch_ms(TIMESTAMP '{AS_OF}') ELSE event_id END AS deleted_at_ms, CASE WHEN event_id % 2 = 1 THEN 'video' ELSE 'image' END AS kind FROM events")
+@register("trash_items", f"SELECT cast(event_id AS varchar) AS id, coalesce(nullif(nullif(event_type, 'view'), ''), 'IMG') AS name, CASE WHEN event_type = 'error' OR event_id = 0 THEN epoch_ms(TIMESTAMP '{AS_OF}') ELSE event_id END AS deleted_at_ms, CASE WHEN event_id % 2 = 1 THEN 'video' ELSE 'image' END AS kind FROM events")
 def trash_items(spark, sf_dir):
+    """Journal entries as a list shows them: no name or an empty one is IMG, and a time of 0, whatever the event, is now."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = F.col("event_type")
     rows = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.when(e == "view", "").otherwise(e).alias("filename"), F.when(e == "error", 0).otherwise(F.col("event_id")).alias("deleted_at_ms"), (1 + F.col("event_id") % 2).alias("asset_type"))
