@@ -856,6 +856,34 @@ def test_one_url_of_a_class_is_learnt_from(spark):
     assert (got[31], got[32]) == ("block", "allow")
 
 
+def test_all_ruled_urls_are_learnt_from(spark):
+    """More rows than the 40,000 that were once sampled: what only the others hold is learnt, each count being of all rows."""
+    n = 60_000
+    letters = F.translate(F.conv((F.col("id") % 7).cast("string"), 10, 7), "0123456", "abcdefg")
+    known = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("http://x.org/fr/"), letters)).otherwise(F.concat(F.lit("http://"), letters, F.lit(".net/q"))).alias("url"))
+    draw = F.xxhash64("url", F.lit(5))
+    late = [r.url for r in spark.range(4000).select(F.concat(F.lit("http://x.org/fr/zzz"), F.translate(F.col("id").cast("string"), "0123456789", "hijklmnopr")).alias("url")).orderBy(draw.desc()).limit(3).collect()]
+    pages = known.union(spark.createDataFrame([(n + k, u) for k, u in enumerate(late)], "id long, url string"))
+    split = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"), draw.alias("draw"))
+    ruled = split.withColumn("accepted", url_filter.matched_rule(F.col("host"), F.col("path")) == "org/fr/")
+    ratio = url_filter.learnt(ruled, 5)
+    assert [m.contexts[0][1].sum() for m in ratio.models] == [sum(len(url_filter.features(r.host, r.path).encode()) + 1 for r in ruled.filter(F.col("accepted") == a).collect()) for a in (True, False)]
+    z = np.frombuffer(b"/fr/zz", ">u1")
+    code = np.uint64(int.from_bytes(z.tobytes(), "big"))
+    assert url_filter.find(*ratio.models[0].grams[5], np.array([code]))[0] == 3
+
+
+def test_best_cut_matches_sorting(spark):
+    r = random.Random(3)
+    rows = [(r.choice([r.gauss(g, 1), round(r.gauss(g, 1), 1)]), g > 0) for g in (1, -1) for _ in range(500)]
+    good, bad = (np.sort([x for x, g in rows if g == which]) for which in (True, False))
+    cuts = np.unique([x for x, _ in rows])
+    mids = np.concatenate([[cuts[0] - 1e-6], (cuts[1:] + cuts[:-1]) / 2])
+    wrong = np.searchsorted(good, mids) / len(good) + 1 - np.searchsorted(bad, mids) / len(bad)
+    best = mids[wrong <= wrong.min() + 1e-12]
+    assert url_filter.best_cut(spark.createDataFrame(rows, "score double, accepted boolean")) == best[np.argmin(np.abs(best))]
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
