@@ -19,7 +19,7 @@ from halyard.plans import view
 from halyard.plans.rank_index import RankIndex
 from halyard.plans.view import View, planned
 from halyard.schema import TARGETS
-from halyard.scratch import scratch_path, spooled
+from halyard.scratch import numbered, scratch_path, spooled
 from halyard.sources.catalog import assets_of, tasks_of, trash_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,13 +626,22 @@ def task_lives(spark, sf_dir):
 
 
 def in_batches(spark: SparkSession, rows: DataFrame, order: str, n: int) -> DataFrame:
-    """A stream of ``n`` micro-batches of a table's rows, in order of a column."""
+    """A stream of ``n`` micro-batches of a table's rows, in order of a column, as even as ``ntile`` makes them.
+
+    A batch is as many files as a shuffle has partitions, each with rows of its own, so no task sees a whole batch. Small batches
+    are a file each."""
     where = scratch_path(spark, "batches")
-    told = spooled(rows.withColumn("batch", F.ntile(n).over(Window.orderBy(order))), "told")
-    # files go out one after another, as file streams take the oldest first
-    for k in range(1, n + 1):
-        told.filter(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(where)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    placed = spooled(numbered(rows, [F.col(order)], "place"), "told")
+    count = placed.count()
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // n))
+    first = 0
+    # files go out one batch after another, as file streams take the oldest first
+    for k in range(n):
+        last = first + count // n + (k < count % n)
+        batch = placed.filter((F.col("place") >= first) & (F.col("place") < last))
+        batch.repartitionById(files, (F.col("place") % files).cast("int")).drop("place").write.mode("append").parquet(where)
+        first = last
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(where)
 
 
 @register("task_lives_stream", f"WITH {LIVES_SQL} SELECT * FROM states")

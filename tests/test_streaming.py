@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from halyard.operators import catalog_index as C
 from halyard.operators import tasks as T
-from halyard.queries import drained
+from halyard.queries import drained, in_batches
 from halyard.schema import ASSETS
 from halyard.sources.catalog import VersionedTable
 from halyard.streaming.tasks import change_bursts, new_outputs, newest_results, sync_on_bursts, task_states, use_rocksdb
@@ -169,3 +169,47 @@ def test_bursts_sync_once_a_batch(spark, tmp_path):
 
 def test_clear(spark):
     assert ids(C.clear(assets(spark, {"id": "a"}))) == [] and C.as_assets(spark.createDataFrame([("a", "3")], "id string, type string")).select("type", F.col("width")).first() == (3, 0)
+
+
+def test_a_batch_is_many_tasks_work(spark, tmp_path):
+    """Batches as even as ntile makes them, in order, each of as many files as a shuffle has partitions: none holds a batch."""
+    rows = spark.range(10_001).select(F.col("id").alias("seq"), ((F.col("id") * 7919) % 10_001).alias("at"))
+    seen = []
+    keep = lambda batch, n: seen.append((batch.agg(F.min("at"), F.max("at"), F.count("at")).first(), batch.withColumn("f", F.input_file_name()).groupBy("f").count().agg(F.count("f"), F.max("count")).first()))
+    in_batches(spark, rows, "at", 3).writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    assert [tuple(r) for r, _ in seen] == [(0, 3333, 3334), (3334, 6667, 3334), (6668, 10_000, 3333)]
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(n == files and most <= 3334 // files + 1 for _, (n, most) in seen)
+    assert [r.at for r in spark.createDataFrame([(1, 5)], "seq long, at long").transform(lambda d: numbered_batches(spark, d, tmp_path)).collect()] == [5]
+
+
+def numbered_batches(spark, rows, path):
+    """The rows of a stream of three batches of which two are empty."""
+    stream = in_batches(spark, rows, "at", 3)
+    return drained(spark, stream, "few", "append")
+
+
+def test_waiting_events_are_one_value():
+    """A key's waiting events go to the state store as one value, and come back in order of time, number and kind."""
+    import pandas as pd
+
+    from halyard.streaming.tasks import Waiting
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.calls = value, self.calls + 1
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    waiting = Waiting(Handle())
+    batch = pd.DataFrame({"ts": [at(3), at(1), at(3), at(1)], "seq": [2, 9, 2, 7], "what": [1, 0, 0, -1]})
+    waiting.add(waiting.get(), iter([batch.iloc[:1], batch.iloc[1:]]), lambda b: b["what"])
+    us = [int((at(k) - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for k in (1, 3)]
+    assert waiting.get().tolist() == [(us[0], 7, -1), (us[0], 9, 0), (us[1], 2, 0), (us[1], 2, 1)] and waiting.state.calls == 1
