@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,40 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from halyard.operators import catalog_index
 from halyard.operators.tasks import FINISHED, debounced, fold_timed
+from halyard.schema import TASK_STATES
 from halyard.sources.catalog import VersionedTable
 
+EVENT_CODES = {name: k for k, name in enumerate(TASK_STATES)}
+
+
+class Waiting:
+    """A key's rows (us, seq, what) that the watermark has not passed, in order of time and number, as one binary value: the rows of
+    a list state go to the state store and back one by one, which takes longer than all else that is done with them."""
+
+    ROW = np.dtype([("us", "<i8"), ("seq", "<i8"), ("what", "i1")])
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.state = handle.getValueState("waiting", "rows binary")
+
+    def get(self) -> np.ndarray:
+        held = self.state.get()
+        return np.frombuffer(bytes(held[0]), self.ROW) if held else np.empty(0, self.ROW)
+
+    def put(self, rows: np.ndarray) -> None:
+        self.state.update((rows.tobytes(),))
+
+    def add(self, old: np.ndarray, batches: Iterator[pd.DataFrame], what) -> np.ndarray:
+        """``old`` with the rows of ``batches``, ``what(batch)`` being their third column; kept in the state."""
+        parts = [old]
+        for batch in batches:
+            part = np.empty(len(batch), self.ROW)
+            part["us"], part["seq"], part["what"] = batch["ts"].astype("datetime64[us]").astype("int64"), batch["seq"], what(batch)
+            parts.append(part)
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["what"], rows["seq"], rows["us"]))]
+        self.put(rows)
+        return rows
+
 
 class TaskFold(StatefulProcessor):
     """A task's settled state, and its events that the watermark has not passed.
@@ -29,32 +62,26 @@ class TaskFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.settled = handle.getValueState("settled", "status string, last_us long")
-        self.waiting = handle.getListState("waiting", "us long, seq long, status string")
+        self.waiting = Waiting(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        waiting = list(map(tuple, self.waiting.get()))
-        first = min(waiting, default=None)
-        for batch in rows:
-            micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            waiting += zip(micros.tolist(), batch["seq"].tolist(), batch["status"].tolist(), strict=True)
-        waiting.sort(key=lambda e: e[:2])
-        self.waiting.put(waiting)
-        if first is None or waiting[0] < first:
-            self._arm(waiting[0][0], first)
-        status, _ = fold_timed(self._state(), waiting, self.forget_ms)
+        old = self.waiting.get()
+        waiting = self.waiting.add(old, rows, lambda batch: [EVENT_CODES.get(s, -1) for s in batch["status"]])
+        if not len(old) or waiting["us"][0] < old["us"][0]:
+            self._arm(int(waiting["us"][0]), int(old["us"][0]) if len(old) else None)
+        status, _ = self._folded(waiting)
         yield pd.DataFrame({"task_id": [key[0]], "status": [status]})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(map(tuple, self.waiting.get()))
-        passed = [e for e in waiting if e[0] <= watermark]
-        state = fold_timed(self._state(), passed, self.forget_ms)
-        rest = waiting[len(passed) :]
-        if passed:
+        waiting = self.waiting.get()
+        passed, rest = waiting[waiting["us"] <= watermark], waiting[waiting["us"] > watermark]
+        state = self._folded(passed)
+        if len(passed):
             self.settled.update(state)
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
-            self._arm(rest[0][0])
+            self.waiting.put(rest) if len(rest) else self.waiting.state.clear()
+        if len(rest):
+            self._arm(int(rest["us"][0]))
         elif self.forget_ms is not None and state[0] in FINISHED:
             over = state[1] + self.forget_ms * 1000
             if over < watermark:
@@ -63,13 +90,18 @@ class TaskFold(StatefulProcessor):
                 self._arm(over + 1000)
         yield from ()
 
+    def _folded(self, rows: np.ndarray) -> tuple[str | None, int | None]:
+        """The settled state after ``rows``; what is no event of the fold changes nothing."""
+        names = [TASK_STATES[k] if k >= 0 else None for k in rows["what"].tolist()]
+        return fold_timed(self._state(), zip(rows["us"].tolist(), rows["seq"].tolist(), names, strict=True), self.forget_ms)
+
     def _state(self) -> tuple[str | None, int | None]:
-        return tuple(self.settled.get()) if self.settled.exists() else (None, None)
+        return self.settled.get() or (None, None)
 
-    def _arm(self, us: int, before: tuple | None = None) -> None:
+    def _arm(self, us: int, before: int | None = None) -> None:
         """A timer at the first millisecond that is not before ``us``, in place of the one for ``before``."""
         if before is not None:
-            self.handle.deleteTimer(-(-before[0] // 1000))
+            self.handle.deleteTimer(-(-before // 1000))
         self.handle.registerTimer(-(-us // 1000))
 
     def close(self) -> None:
@@ -93,7 +125,7 @@ class NewOutputs(StatefulProcessor):
         self.told = handle.getMapState("told", "output_id long", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last, outputs = tuple(self.last.get()) if self.last.exists() else None, {}
+        last, outputs = self.last.get(), {}
         for batch in rows:
             micros = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
             for us, seq, status, made in zip(micros, batch["seq"].tolist(), batch["status"].tolist(), batch["outputs"], strict=True):
@@ -121,39 +153,35 @@ class NewestResults(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.newest = handle.getValueState("newest", "seq long")
-        self.waiting = handle.getListState("waiting", "us long, seq long, result boolean")
+        self.waiting = Waiting(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        waiting = list(map(tuple, self.waiting.get()))
-        first = min(waiting, default=None)
-        for batch in rows:
-            micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            waiting += zip(micros.tolist(), batch["seq"].tolist(), batch["result"].tolist(), strict=True)
-        waiting.sort()
-        self.waiting.put(waiting)
-        if first is None or waiting[0][0] < first[0]:
-            if first is not None:
-                self.handle.deleteTimer(-(-first[0] // 1000))
-            self.handle.registerTimer(-(-waiting[0][0] // 1000))
+        old = self.waiting.get()
+        waiting = self.waiting.add(old, rows, lambda batch: batch["result"])
+        if not len(old) or waiting["us"][0] < old["us"][0]:
+            if len(old):
+                self.handle.deleteTimer(-(-int(old["us"][0]) // 1000))
+            self.handle.registerTimer(-(-int(waiting["us"][0]) // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        waiting = list(map(tuple, self.waiting.get()))
-        passed, rest = [e for e in waiting if e[0] <= until], [e for e in waiting if e[0] > until]
+        known = self.newest.get()
+        newest = known[0] if known else None
+        waiting = self.waiting.get()
+        passed, rest = waiting[waiting["us"] <= until], waiting[waiting["us"] > until]
         kept = []
-        for _, seq, result in passed:  # in order of time, at one time by number, requests before results
+        for _, seq, result in passed.tolist():  # in order of time, at one time by number, requests before results
             if not result:
                 newest = seq if newest is None else max(newest, seq)
             elif newest is None or seq >= newest:
                 kept.append(seq)
         if newest is not None:
             self.newest.update((newest,))
-        if passed:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        if len(passed):
+            self.waiting.put(rest) if len(rest) else self.waiting.state.clear()
+        if len(rest):
+            self.handle.registerTimer(-(-int(rest["us"][0]) // 1000))
         yield pd.DataFrame({"key": [key[0]] * len(kept), "seq": pd.Series(kept, dtype="int64")})
 
     def close(self) -> None:
