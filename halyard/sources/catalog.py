@@ -4,7 +4,7 @@ A table is a folder of versions, each a whole Parquet table; a change reads the
 readers keep what they opened and a lost executor only repeats its part of the write. Writers may meet: each writes a data
 folder of its own, and a version exists from the moment that its number is claimed by one atomic step, so a version is
 whole when it is seen and no two writers share one. Who finds the number claimed has read a table that is no longer the
-newest: his change runs again on the newest.
+newest: his change runs again on the newest. Writers of one process take turns, so that none of them does his work in vain.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import os
 import re
+import threading
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -70,6 +71,16 @@ class Change(NamedTuple):
     version: int
 
 
+#: A table's folder and the lock of this process's changes of it.
+_turns: dict[str, threading.RLock] = {}
+_turns_lock = threading.Lock()
+
+
+def turn(folder: str) -> threading.RLock:
+    with _turns_lock:
+        return _turns.setdefault(folder, threading.RLock())
+
+
 class VersionedTable:
     """A table whose changes are new versions. Old ones stay until ``vacuum``.
 
@@ -134,14 +145,15 @@ class VersionedTable:
         """Puts ``work(newest version)`` in the next version, or nothing if it is None. If another writer was faster, the work
         is done again on what he left, so ``work`` must only describe rows."""
         for _ in range(tries):
-            newest, number = self._next()
-            before = self.at(newest)
-            after = work(before)
-            if after is None:
-                return Change(before, before, newest)
-            name = self._stored(after, number, sort_by)
-            if claim(self.spark, f"{self.folder}/v{number:08d}", name):
-                return Change(before, self.at(number), number)
+            with turn(self.folder):  # until the claim: a writer of this process that comes meanwhile finds what this one leaves
+                newest, number = self._next()
+                before = self.at(newest)
+                after = work(before)
+                if after is None:
+                    return Change(before, before, newest)
+                name = self._stored(after, number, sort_by)
+                if claim(self.spark, f"{self.folder}/v{number:08d}", name):
+                    return Change(before, self.at(number), number)
             self._remove(name)
         raise Conflict(f"{self.folder}: {tries} other changes came first")
 

@@ -122,6 +122,19 @@ def test_writers_that_meet(spark, tmp_path):
     assert len(folders) == 8 and not [p for p in (tmp_path / "t").iterdir() if p.name.endswith(".claim")]
 
 
+def test_writers_of_a_process_write_once_each(spark, tmp_path, monkeypatch):
+    """Six changes that meet write six tables: none is written again because another came first."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = VersionedTable(spark, f"file://{tmp_path}/t", ASSETS)
+    row = lambda k: C.as_assets(spark.createDataFrame([(f"{k}", 1)], "id string, type int"))
+    written, stored = [], VersionedTable._stored
+    monkeypatch.setattr(VersionedTable, "_stored", lambda self, *rest: written.append(1) or stored(self, *rest))
+    with ThreadPoolExecutor(6) as pool:  # each by an object of its own
+        list(pool.map(lambda k: VersionedTable(spark, table.folder, ASSETS).change(lambda now: now.unionByName(row(k))), range(6)))
+    assert table.versions() == list(range(1, 7)) and table.read().count() == 6 and len(written) == 6
+
+
 def test_a_stale_write_is_a_conflict(spark, tmp_path):
     """What a sync planned before a size write does not wipe the sizes out."""
     table = VersionedTable(spark, f"file://{tmp_path}/t", ASSETS)
