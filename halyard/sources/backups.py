@@ -54,6 +54,21 @@ def read_backups(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_replace("path", r"^file:/+", "file:///").alias("backup_path"), "content")
 
 
+def present(paths: DataFrame) -> DataFrame:
+    """(backup_path) of the files that ``paths(backup_path)`` names and that are there: each task looks for its own, so nobody lists the
+    folder, and none is opened. Empty paths are passed over."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileType
+
+        for batch in batches:
+            where = batch["backup_path"].tolist()
+            found = [fs.get_file_info(path).type == FileType.File for fs, path in map(open_fs, where)]
+            yield pd.DataFrame({"backup_path": [w for w, there in zip(where, found, strict=True) if there]})
+
+    return paths.filter("backup_path <> ''").select("backup_path").distinct().mapInPandas(look, "backup_path string")
+
+
 def opened(paths: DataFrame, counter=None) -> DataFrame:
     """(backup_path, content) of the files that ``paths(backup_path)`` names, and no others: each task opens its own, one at
     a time. A file that is gone gives no row; empty and repeated paths are passed over. ``counter``, an accumulator, counts the files

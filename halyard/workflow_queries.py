@@ -11,7 +11,7 @@ from halyard.queries import AS_OF, ASSETS_SQL, SELECTION_SQL, TASKS_SQL, TRASH_S
 from halyard.schema import ASSETS, TARGETS, TRASH
 from halyard.scratch import scratch_path, spooled
 from halyard.sources import catalog
-from halyard.sources.backups import opened, read_backups, write_backups
+from halyard.sources.backups import opened, present, read_backups, write_backups
 from halyard.sources.catalog import Flags, VersionedTable, open_tables
 from halyard.sources.change_log import ChangeLog
 
@@ -235,7 +235,7 @@ def emptied_trash(spark, sf_dir):
     table = open_tables(spark, folder)["trash"]
     table.write(book.drop("backup_path").join(paths, "id", "left").withColumn("backup_path", F.coalesce("backup_path", F.lit(""))))
     journal.empty_trash(table).collect()
-    left = read_backups(spark, f"{folder}/backups").select("backup_path", F.lit(True).alias("there"))
+    left = present(paths).select("backup_path", F.lit(True).alias("there"))
     backed = paths.join(left, "backup_path", "left").select("id", F.coalesce("there", F.lit(False)).alias("backed"))
     listed = table.read().select("id", F.lit(True).alias("listed"))
     both = listed.join(backed, "id", "full_outer")

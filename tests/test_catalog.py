@@ -346,3 +346,16 @@ def test_streamed_sync(spark, tmp_path):
     stream = spark.readStream.schema(new.schema).parquet(f"{tmp_path}/in")
     sizes_from(stream, table, f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert {r.id: r.size_bytes for r in table.read().collect()} == {"a": 5, "b": None}
+
+
+def test_present_backups_are_found_by_their_names(spark, tmp_path):
+    """Files that are gone, empty paths and folders are none; nothing is opened, not even what may not be read."""
+    from halyard.sources.backups import present
+
+    (tmp_path / "a.bin").write_bytes(b"x")
+    (tmp_path / "b.bin").write_bytes(b"")
+    (tmp_path / "b.bin").chmod(0)
+    (tmp_path / "c.bin").mkdir()
+    paths = [f"file://{tmp_path}/{n}.bin" for n in ("a", "b", "c", "gone", "a")] + [""]
+    out = present(spark.createDataFrame([(p,) for p in paths], "backup_path string"))
+    assert sorted(r.backup_path for r in out.collect()) == paths[:2] and present(out.limit(0)).count() == 0
