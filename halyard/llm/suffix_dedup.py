@@ -17,11 +17,12 @@ all four symbols are one interval.
 
 Equal snippets are one with a count, and long ones are cut at fixed places, so a text of one letter is one snippet with a
 large count. An anchor with very many different snippets (a common passage in different surroundings) is filed again
-under longer strings: first the smallest hash of 150 bytes, then whole windows, of which each anchor has one. So no
-anchor's snippets outgrow a task, and each step moves only what the one before could not hold. Long texts are read in slices.
+under the smallest hash of 150 bytes. Where that is not enough, windows are compared without an index: a task settles those that
+it holds twice, in place, and passes on each other window once, to be counted over all tasks. So no anchor's snippets outgrow
+a task, and each step moves only what the one before could not hold. Long texts are read in slices.
 
 Nulls are empty texts; texts under 200 bytes keep everything; repeated rows are repeats of each other.
-Windows are compared by 64-bit hashes of their four quarters. Equal ids with equal texts share a result.
+Windows are compared by 64-bit hashes of their four quarters, or 128 bits of these. Equal ids with equal texts share a result.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ from halyard.llm.minhash import chunks, mixed
 from halyard.llm.shared import discard, partitions, stored, trim_worker
 
 LENGTH, GRAM, STEP = 200, 100, 50
-#: Under what strings the snippets of a hot anchor are filed again, in turn.
-FINER = (150, LENGTH)
+#: Under what strings the snippets of a hot anchor are filed again, in turn, before their windows are compared one by one.
+FINER = (150,)
 U64 = np.uint64
 #: An anchor with more different snippets than this, or more bytes of them, is hot.
 MOST_KINDS, MOST_BYTES = 2048, 1 << 19
@@ -49,6 +50,8 @@ MOST_WINDOWS, SLICE = 1 << 14, 1 << 21
 SHARDS = 8
 #: Snippet bytes that are indexed together; each takes some 100 bytes of memory meanwhile.
 INDEXED_BYTES = 1 << 19
+#: Snippet bytes whose windows are compared together in a task.
+COMPARED_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -274,9 +277,7 @@ def _cut_snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _filed_again(gram: int):
-    """The runs of snippets under anchors of ``gram`` bytes, as snippets of their own. Where the anchors are whole windows, a run
-    of equal ones is one window that occurs as often."""
-    exact = gram == LENGTH
+    """The runs of snippets under anchors of ``gram`` bytes, as snippets of their own."""
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -286,14 +287,69 @@ def _filed_again(gram: int):
                 found = anchored_runs(data, gram)
                 text, begin, windows = found["text"], found["begin"], found["windows"]
                 times = own["times"].to_numpy(np.int64)[text]
-                cover = windows + LENGTH - 1
-                inner = [data[t][a : a + n] for t, a, n in zip(text.tolist(), begin.tolist(), (np.full(len(text), LENGTH) if exact else cover).tolist(), strict=True)]
-                yield pd.DataFrame({"outer": own["snippet"].to_numpy(object)[text], "offset": begin.astype(np.int32), "cover": cover.astype(np.int32), "anchor": found["anchor"], "snippet": [hashlib.blake2b(x, digest_size=16).digest() for x in inner], "data": inner, "times": times * windows if exact else times, "places": times * found["places"]})
+                inner = [data[t][a : a + n] for t, a, n in zip(text.tolist(), begin.tolist(), (windows + LENGTH - 1).tolist(), strict=True)]
+                yield pd.DataFrame({"outer": own["snippet"].to_numpy(object)[text], "offset": begin.astype(np.int32), "anchor": found["anchor"], "snippet": [hashlib.blake2b(x, digest_size=16).digest() for x in inner], "data": inner, "times": times, "places": times * found["places"]})
         trim_worker()
 
     return file
 
 
+def window_keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the window from each place, in two halves, made of the hashes of its quarters."""
+    hashes = gram_hashes(data, STEP)
+    n = max(0, len(data) - LENGTH + 1)
+    halves = np.full(n, 0x9E3779B97F4A7C15, U64), np.full(n, 0xC2B2AE3D27D4EB4F, U64)
+    for at in range(0, LENGTH, STEP):
+        halves = tuple(mixed(half * U64(0xD1342543DE82EF95) + hashes[at : at + n]) for half in halves)
+    return halves
+
+
+def _compare_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For snippets that hold windows twice among those compared together, a row with the runs of these; for each different window
+    a row with its key, and where it stands if it occurs once."""
+    for batch in batches:
+        for part in chunks(batch["data"].tolist(), COMPARED_BYTES):
+            own = batch.iloc[part]
+            lengths = own["data"].map(len).to_numpy(np.int64)
+            names, ends = own["snippet"].to_numpy(object), np.cumsum(lengths)
+            high, low = window_keys(np.frombuffer(b"".join(own["data"]), np.uint8))
+            who = np.repeat(np.arange(len(own)), lengths)[: len(high)]
+            at = np.flatnonzero(np.arange(len(high)) + LENGTH <= ends[who])
+            at = at[np.lexsort((low[at], high[at]))]
+            high, low, who = high[at].view(np.int64), low[at].view(np.int64), who[at]
+            heads = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
+            many = np.add.reduceat(own["times"].to_numpy(np.int64)[who], heads) > 1
+            held = np.sort(at[np.repeat(many, np.diff(np.append(heads, len(at))))])
+            holder = np.searchsorted(ends, held, "right")
+            starts, sizes = runs_of_starts(holder, held - (ends - lengths)[holder], len(own))
+            some = [k for k, x in enumerate(starts) if len(x)]
+            if some:
+                yield pd.DataFrame({"snippet": names[some], "starts": [starts[k] for k in some], "sizes": [sizes[k] for k in some], "high": None, "low": None, "place": None})
+            place = pd.array(at[heads] - (ends - lengths)[who[heads]], "Int32")
+            place[many] = pd.NA
+            yield pd.DataFrame({"snippet": np.where(many, None, names[who[heads]]), "starts": None, "sizes": None, "high": high[heads], "low": low[heads], "place": place})
+    trim_worker()
+
+
+def _join_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        spans = [merged_spans((r["starts"], r["starts"] + r["sizes"]) for r in runs) for runs in batch["runs"]]
+        yield pd.DataFrame({"snippet": batch["snippet"], "starts": [[a for a, _ in x] for x in spans], "sizes": [[b - a for a, b in x] for x in spans]})
+
+
+def repeats_by_window(snippets: DataFrame) -> DataFrame:
+    """snippet, starts, sizes: the runs of repeated bytes in ``snippets(snippet, data, times)``, however many share a string.
+    A window that many hold is a row a task and not a row a snippet; the text of none is moved."""
+    found = stored(snippets.mapInPandas(_compare_windows, "snippet binary, starts array<int>, sizes array<int>, high long, low long, place int"), "compared-windows")
+    # who holds a window once in a task learns here whether another task has it too
+    once = F.when(F.col("place").isNotNull(), F.struct("snippet", "place"))
+    shared = found.filter("high IS NOT NULL").groupBy("high", "low").agg(F.sum(F.when(once.isNull(), 2).otherwise(1)).alias("times"), F.collect_list(once).alias("holders"))
+    shared = shared.filter("times > 1").select(F.explode("holders").alias("r")).groupBy("r.snippet").agg(F.collect_list("r.place").alias("starts"))
+    shared = shared.select("snippet", "starts", F.transform("starts", lambda _: F.lit(LENGTH)).alias("sizes"))
+    runs = found.filter("high IS NULL").select("snippet", "starts", "sizes").unionByName(shared).select("snippet", F.arrays_zip("starts", "sizes").alias("runs"))
+    return runs.groupBy("snippet").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInPandas(_join_runs, "snippet binary, starts array<int>, sizes array<int>")
+
+
 def _merge_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by anchor: whole anchors are indexed together, half a megabyte at a time."""
     held: list[pd.DataFrame] = []
@@ -340,23 +396,25 @@ def merged_spans(runs) -> list[tuple[int, int]]:
 
 def repeats_within(kinds: DataFrame, finer: tuple[int, ...]) -> DataFrame:
     """snippet, starts, sizes: the runs of repeated bytes in the snippets of ``kinds(anchor, snippet, times, data)``, a row a
-    snippet that has any. Calm anchors are indexed; the snippets of hot ones are filed under the next of ``finer`` and come back here."""
+    snippet that has any. Calm anchors are indexed; the snippets of hot ones are filed under the next of ``finer`` and come back
+    here, or have their windows compared after the last."""
     hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("data")).alias("bytes"))
     hot = stored(hot.filter((F.col("kinds") > MOST_KINDS) | ((F.col("kinds") > 1) & (F.col("bytes") > MOST_BYTES))).select("anchor"), "hot-anchors")
-    again = bool(finer) and hot.limit(1).count() > 0
+    again = hot.limit(1).count() > 0
     calm = kinds.join(hot, "anchor", "left_anti") if again else kinds
     found = calm.repartition(partitions(kinds.sparkSession), "anchor").sortWithinPartitions("anchor").mapInPandas(_merge_groups, "snippet binary, starts array<int>, sizes array<int>")
     if not again:
         return found
-    kind = "outer binary, offset int, cover int, anchor long, snippet binary, data binary, times long, places long"
-    filed = stored(kinds.join(hot, "anchor", "left_semi").select("snippet", "data", "times").mapInPandas(_filed_again(finer[0]), kind), "filed-again")
+    crowded = kinds.join(hot, "anchor", "left_semi").select("snippet", "data", "times")
+    if not finer:
+        return found.unionByName(repeats_by_window(crowded))
+    kind = "outer binary, offset int, anchor long, snippet binary, data binary, times long, places long"
+    filed = stored(crowded.mapInPandas(_filed_again(finer[0]), kind), "filed-again")
     common = filed.groupBy("anchor").agg(F.sum("places").alias("places")).filter("places > 1").select("anchor")
     inner = filed.join(common, "anchor", "left_semi").groupBy("anchor", "snippet").agg(F.sum("times").alias("times"), F.first("data").alias("data"))
     inner = repeats_within(stored(inner, "finer-snippets"), finer[1:])
-    # of a run of equal windows the first stands for all
-    sizes = F.array("cover") if finer[0] == LENGTH else F.col("sizes")
-    back = filed.select("outer", "offset", "cover", "snippet").join(inner, "snippet")
-    back = back.select("outer", F.arrays_zip(F.transform("starts", lambda x: x + F.col("offset")).alias("starts"), sizes.alias("sizes")).alias("runs"))
+    back = filed.select("outer", "offset", "snippet").join(inner, "snippet")
+    back = back.select("outer", F.arrays_zip(F.transform("starts", lambda x: x + F.col("offset")).alias("starts"), "sizes").alias("runs"))
     # a row a snippet again, so that many copies of one do not multiply its runs
     back = back.groupBy(F.col("outer").alias("snippet")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return found.unionByName(back.select("snippet", "runs.starts", "runs.sizes"))

@@ -263,6 +263,57 @@ def test_hot_anchors_and_long_runs_match_brute_force(spark, monkeypatch):
         assert tuple(got[k])[1:] == (len(t), int(m.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~m])).hexdigest()), k
 
 
+def test_windows_of_crowded_snippets_match_brute_force(spark):
+    """Windows that are repeated in a snippet, a task, across tasks or by a snippet's own count, and windows that are not."""
+    r = random.Random(31)
+    rnd = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    q = rnd(700)
+    snippets = [rnd(r.randrange(90)) + q[a : a + r.randrange(150, 400)] + rnd(r.randrange(90)) for a in range(0, 400, 8)]
+    snippets = [x + rnd(200) for x in snippets[:10]] + [x for x in snippets[10:] if len(x) >= 200] + [b"ab" * 300, b"a" * 200, b"a" * 201, rnd(200), rnd(450), rnd(300)]
+    times = [2 if k % 17 == 3 else 1 for k in range(len(snippets))]
+    seen = Counter(t[k : k + 200] for t, n in zip(snippets, times, strict=True) for k in range(len(t) - 199) for _ in range(n))
+    want = {}
+    for k, t in enumerate(snippets):
+        mask = np.zeros(len(t), bool)
+        for at in range(len(t) - 199):
+            mask[at : at + 200] |= seen[t[at : at + 200]] > 1
+        if mask.any():
+            want[b"%d" % k] = mask.tolist()
+    rows = [(bytearray(b"%d" % k), bytearray(t), n) for k, (t, n) in enumerate(zip(snippets, times, strict=True))]
+    df = spark.createDataFrame(rows, "snippet binary, data binary, times long")
+    for parts in (1, 4, len(rows)):
+        got = {}
+        for x in suffix_dedup.repeats_by_window(df.repartition(parts)).collect():
+            mask = np.zeros(len(snippets[int(bytes(x.snippet))]), bool)
+            for a, n in zip(x.starts, x.sizes, strict=True):
+                mask[a : a + n] = True
+            assert bytes(x.snippet) not in got
+            got[bytes(x.snippet)] = mask.tolist()
+        assert got == want and 0 < len(want) < len(rows), parts
+
+
+def test_windows_of_a_hot_anchor_are_not_rows(spark, monkeypatch):
+    """A common passage in different surroundings: no step has a row for each window of each text, and none joins as many."""
+    monkeypatch.setattr(suffix_dedup, "MOST_KINDS", 8)
+    rows, real = [], suffix_dedup.stored
+
+    def counted(df, label):
+        out = real(df, label)
+        rows.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    r = random.Random(37)
+    rnd = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    texts = [rnd(60) + "ab cd " * r.randrange(150, 250) + rnd(60) for _ in range(60)]
+    got = {x.doc_id: x for x in suffix_dedup.repeat_digest(docs(spark, texts)).collect()}
+    data = [t.encode() for t in texts]
+    for k, (t, m) in enumerate(zip(data, repeats(data), strict=True)):
+        assert tuple(got[k])[1:3] == (len(t), int(m.sum())) and got[k].kept_sha256 == hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~m])).hexdigest()
+    windows = sum(len(t) - 199 for t in data)
+    assert sum(label == "hot-anchors" and n > 0 for label, n in rows) == 2 and max(n for _, n in rows) < windows / 4, rows
+
+
 def test_a_text_of_one_letter_takes_little_memory():
     """25 MB of one letter: slices bound what is held, and all its snippets but the ends are one."""
     import tracemalloc
