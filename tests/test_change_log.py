@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from halyard.operators import catalog_index as C
 from halyard.operators import digest
 from halyard.schema import ASSETS
-from halyard.sources.backups import opened, write_backups
+from halyard.sources.backups import delete_backups, opened, present, read_backups, remove, write_backups
 from halyard.sources.change_log import ChangeLog
 from tests.test_catalog import assets, ids
 
@@ -157,3 +158,48 @@ def test_wanted_backups_alone_are_opened(spark, tmp_path):
     count = spark.sparkContext.accumulator(0)
     got = opened(more, count).collect()
     assert count.value == 10 and sorted(int(r.content) for r in got) == [k * 1000 + 7 for k in range(10)]
+
+
+def test_many_backups_are_few_files(spark, tmp_path):
+    """20,000 backups are packs of 16,384 at most; what is deleted is gone from their bytes, the rest is whole, the last deletion leaves
+    no file."""
+    folder, text = f"file://{tmp_path}/backups", F.concat(F.lit("<"), F.col("id").cast("string"), F.lit(">"))
+    content = spark.range(0, 20_000, 1, 1).select(F.col("id").cast("string").alias("id"), F.encode(text, "utf-8").alias("content"))
+    paths = spark.createDataFrame(write_backups(content, folder).collect(), "id string, backup_path string")
+    assert write_backups(content, folder).count() == 20_000  # a repeated task
+    files = lambda: [p for p in (tmp_path / "backups").iterdir() if not p.name.endswith(".crc")]
+    assert len(files()) == 2 and present(paths).count() == 20_000
+    assert opened(paths).join(paths, "backup_path").filter(F.col("content").cast("string") != F.concat(F.lit("<"), "id", F.lit(">"))).count() == 0
+    gone = paths.filter("cast(id as long) % 3 <> 0")
+    assert delete_backups(gone.union(gone).select("backup_path")).first()["deleted"] == 13_333 and delete_backups(gone).first()["deleted"] == 0
+    left = {r.backup_path: bytes(r.content) for r in read_backups(spark, folder).collect()}
+    assert left == {r.backup_path: f"<{r.id}>".encode() for r in paths.collect() if int(r.id) % 3 == 0} and {r.backup_path for r in present(paths).collect()} == set(left)
+    assert len(files()) == 2 and not any(b"<10000>" in p.read_bytes() for p in files()) and any(b"<9999>" in p.read_bytes() for p in files())
+    assert delete_backups(paths).first()["deleted"] == 6_667 and files() == [] and opened(paths).count() == present(paths).count() == 0
+
+
+def test_odd_backups_are_kept_whole(spark, tmp_path):
+    """Names with marks of paths, empty and large contents, an id twice; files of one backup's own, as older journals name them."""
+    folder, large = f"file://{tmp_path}/back#ups", bytes(9 << 20)
+    rows = [("a/b#c", b"1"), ("", b""), ("\u00fc\n", b"3"), ("x", b"old"), ("x", b"new"), *((f"large{k}", large) for k in range(4)), (None, b"no"), ("none", None)]
+    content = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in rows], "id string, content binary").coalesce(1)
+    met = write_backups(content, folder, "heic").collect()
+    paths, plain = dict(map(tuple, met)), tmp_path / "own.bin"
+    plain.write_bytes(b"own")
+    want = {paths[i]: c for i, c in rows if i is not None and c is not None}
+    assert len(met) == 9 and len(want) == 8 and len(list((tmp_path / "back#ups").iterdir())) == 2
+    assert {r.backup_path: bytes(r.content) for r in read_backups(spark, folder).collect()} == want
+    asked = spark.createDataFrame([(p,) for p in (paths["a/b#c"], paths["x"], f"file://{plain}", paths["x"] + "no", f"file://{tmp_path}/gone")], "backup_path string")
+    assert {r.backup_path: bytes(r.content) for r in opened(asked).collect()} == {paths["a/b#c"]: b"1", paths["x"]: b"new", f"file://{plain}": b"own"}
+    assert delete_backups(asked).first()["deleted"] == 3 and not plain.exists()
+    assert {r.backup_path for r in read_backups(spark, folder).collect()} == set(want) - {paths["a/b#c"], paths["x"]}
+
+
+def test_deletions_that_meet_in_a_pack_are_all_done(spark, tmp_path):
+    folder = f"file://{tmp_path}/backups"
+    content = spark.range(0, 4_000, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit(bytearray(1000)).alias("content"))
+    paths = [r.backup_path for r in write_backups(content, folder).collect()]
+    (file,) = {p.split("#")[0] for p in paths}
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(lambda k: remove(file, {p[len(file) + 1 :] for p in paths[k::10]}), range(9)))
+    assert done == [400] * 9 and {r.backup_path for r in read_backups(spark, folder).collect()} == set(paths[9::10])
