@@ -274,7 +274,7 @@ def met_streams(spark, sf_dir):
 
 @register("restored_few", "SELECT cast(page_id AS varchar) AS id, sha256(encode(html)) AS sha, (SELECT count(*) FROM pages WHERE page_id % 50 = 7 AND html IS NOT NULL) AS opened FROM pages WHERE page_id % 50 = 7 AND html IS NOT NULL")
 def restored_few(spark, sf_dir):
-    """All pages have backups; a fiftieth of them is asked for, and as many files are opened."""
+    """All pages have backups; a fiftieth of them is asked for, and as many contents are read."""
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "page_id", F.encode("html", "utf-8").alias("content"))
     paths = spooled(write_backups(pages, scratch_path(spark, "few")), "backup-paths")
     count = spark.sparkContext.accumulator(0)
